@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the character 3- to 5-grams of the lower-cased text, present or not, hashed into 2**22 buckets. With p and q
-the smoothed document counts of a feature in the two classes, r = log((p / |p|) / (q / |q|)) scales it; a logistic
-regression is trained on the scaled features. It is fitted on at most PER_CLASS labelled rows of each class; the weights
+Features are the character 3- to 6-grams of the lower-cased text, present or not, hashed into 2**22 buckets; ASCII
+characters that are no letters count as blanks, so that an n-gram at the edge of a word is one wherever the word stands.
+With p and q the smoothed document counts of a feature in the two classes, r = log((p / |p|) / (q / |q|)), drawn towards 0
+by SURE standard errors, scales it; a logistic regression is trained on the scaled features. It is fitted on at most PER_CLASS labelled rows of each class; the weights
 (one small table of bounded size) are broadcast and every whole text is scored where it lies.
 """
 
@@ -20,16 +21,17 @@ from .base import append_arrow, fresh
 from .learning import labelled_sample, sigmoid
 
 BITS = 22
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 #: Bound of the training sample, for each class.
 PER_CLASS = 2500
-#: A feature counts only if so many training rows have it and its ratio is at least this far from 0.
-LEAST_ROWS, LEAST_RATIO = 4, 0.3
+#: Standard errors by which a log-count ratio is drawn towards 0; one that would pass it does not count.
+SURE = 2.5
+BLANKS = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all lower-cased texts, one after another, and where each begins (with the end last)."""
-    own = [(t or "").lower().encode("utf-32-le", "surrogatepass") for t in texts]
+    own = [(t or "").lower().translate(BLANKS).encode("utf-32-le", "surrogatepass") for t in texts]
     ends = np.cumsum([0, *(len(x) // 4 for x in own)])
     return np.frombuffer(b"".join(own), np.uint32), ends
 
@@ -73,7 +75,7 @@ class Model:
         return out
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, prior: dict[int, int], *, rounds: int = 120, ridge: float = 1e-3) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, prior: dict[int, int], *, rounds: int = 600, ridge: float = 1e-6) -> Model:
     """The classifier from each row's buckets. With one class only, every text gets the smoothed share of label 1."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
@@ -82,7 +84,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: dict[int, int], *, rounds:
     feet, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
     p, q = (np.bincount(feet, weights=(y[row] == k).astype(float), minlength=1 << BITS) for k in (1, 0))
     ratio = np.log(((p + 1) / (n1 + 2)) / ((q + 1) / (n0 + 2)))
-    ratio[(p + q < LEAST_ROWS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * np.sqrt(1 / (p + 1) + 1 / (q + 1)))
     feature = np.flatnonzero(ratio)
     if not len(feature):
         return Model(feature, np.zeros(0, np.float32), math.log((prior[1] + 1) / (prior[0] + 1)))
