@@ -24,11 +24,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     null ids and labels are left out.
     """
     own = labels.where(quoted(id_col).isNotNull() & quoted(label).isNotNull() & (fold(quoted(id_col)) != 0))
-    own = own.groupBy(quoted(id_col).alias("_id")).agg((F.max(quoted(label)) > 0).cast("int").alias("_y"))
+    own = own.groupBy(quoted(id_col).alias("_sampled")).agg((F.max(quoted(label)) > 0).cast("int").alias("_y"))
     counts = {r["_y"]: r["count"] for r in own.groupBy("_y").count().collect()}
-    parts = [own.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
+    parts = [own.where(F.col("_y") == y).orderBy(F.xxhash64("_sampled"), "_sampled").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))
-    rows = docs.join(chosen, quoted(id_col) == F.col("_id")).drop("_id")
+    rows = docs.join(chosen, quoted(id_col) == F.col("_sampled")).drop("_sampled")
     return rows, {y: counts.get(y, 0) for y in (0, 1)}
 
 

@@ -10,20 +10,24 @@ by SURE standard errors, scales it; a logistic regression is trained on the scal
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import append_arrow, fresh
+from .base import append_arrow, cut, fresh, quoted, written
 from .learning import labelled_sample, sigmoid
 
 BITS = 22
 ORDERS = (3, 4, 5, 6)
 #: Bound of the training sample, for each class.
 PER_CLASS = 2500
+#: Parts of the buckets that are counted apart.
+SLICES = 16
 #: Standard errors by which a log-count ratio is drawn towards 0; one that would pass it does not count.
 SURE = 2.5
 BLANKS = {c: " " for c in range(128) if not chr(c).isalpha()}
@@ -75,50 +79,85 @@ class Model:
         return out
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, prior: dict[int, int], *, rounds: int = 600, ridge: float = 1e-6) -> Model:
-    """The classifier from each row's buckets. With one class only, every text gets the smoothed share of label 1."""
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), math.log((prior[1] + 1) / (prior[0] + 1)))
-    lengths = np.array([len(r) for r in rows])
-    feet, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    p, q = (np.bincount(feet, weights=(y[row] == k).astype(float), minlength=1 << BITS) for k in (1, 0))
+def ratios(p: np.ndarray, q: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-count ratios of features with p rows of label 1 and q of label 0, drawn in; 0 where they tell nothing."""
     ratio = np.log(((p + 1) / (n1 + 2)) / ((q + 1) / (n0 + 2)))
-    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * np.sqrt(1 / (p + 1) + 1 / (q + 1)))
-    feature = np.flatnonzero(ratio)
-    if not len(feature):
-        return Model(feature, np.zeros(0, np.float32), math.log((prior[1] + 1) / (prior[0] + 1)))
-    column = np.full(1 << BITS, -1, np.int64)
-    column[feature] = np.arange(len(feature))
-    held = column[feet] >= 0
-    col, row, r = column[feet[held]], row[held], ratio[feature]
-    length = np.sqrt(np.bincount(row, weights=r[col] ** 2, minlength=len(y))).mean() + 1
-    x = r / length
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * np.sqrt(1 / (p + 1) + 1 / (q + 1)))
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, feature: np.ndarray, ratio: np.ndarray, prior: dict[int, int], *, rounds: int = 600, ridge: float = 1e-6) -> Model:
+    """The classifier from each row's numbers of features. With one class only, every text gets the smoothed share of label 1."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    odds = math.log((prior[1] + 1) / (prior[0] + 1))
+    if not n1 or not n0 or not len(feature):
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), odds)
+    col, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    length = np.sqrt(np.bincount(row, weights=ratio[col] ** 2, minlength=len(y))).mean() + 1
+    x = ratio / length
     w, was, b = np.zeros(len(feature)), np.zeros(len(feature)), 0.0
     for k in range(rounds):
         v = w + k / (k + 3) * (w - was)
         e = sigmoid(b + np.bincount(row, weights=(v * x)[col], minlength=len(y))) - y
         was, w = w, v - (np.bincount(col, weights=e[row], minlength=len(v)) * x / len(y) + ridge * v)
         b -= e.mean()
-    return Model(feature, (w * x).astype(np.float32), b + math.log((prior[1] + 1) / (prior[0] + 1)) - math.log(n1 / n0))
+    return Model(feature, (w * x).astype(np.float32), b + odds - math.log(n1 / n0))
+
+
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each label that have each bucket, of a task's rows (_y, text): one row for each of SLICES parts of the buckets."""
+    held = np.zeros((2, 1 << BITS), np.uint32)
+    for whole in batches:
+        for batch in cut(whole, 1, 1 << 20):
+            row, b = present(batch.column(1).to_pylist())
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            for label in (0, 1):
+                np.add.at(held[label], b[y[row] == label], 1)
+    parts = held.reshape(2, SLICES, -1)
+    if held.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *(pa.array([x.tobytes() for x in parts[label]], pa.binary()) for label in (0, 1))], names=["slice", "zeros", "ones"])
+
+
+def useful_features(n1: int, n0: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, zeros, ones in zip(*(c.to_pylist() for c in batch.columns)):
+                held[k] = held.get(k, 0) + np.stack([np.frombuffer(x, np.uint32) for x in (zeros, ones)]).astype(np.int64)
+        for k in sorted(held):
+            q, p = held.pop(k)
+            r = ratios(p, q, n1, n0)
+            at = np.flatnonzero(r)
+            yield pa.RecordBatch.from_arrays([pa.array(at + k * len(p)), pa.array(r[at])], names=["bucket", "ratio"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label: str = "toxic", id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
-    """Fits on a sample of at most per_class rows of each class; only their feature buckets come to the driver."""
-    rows, prior = labelled_sample(docs.select(id_col, text_col), labels, label, per_class, id_col=id_col)
+    """Fits on a sample of at most per_class rows of each class; the driver holds the useful features and which rows have them."""
+    rows, prior = labelled_sample(docs.select(quoted(id_col), quoted(text_col)), labels, label, per_class, id_col=id_col)
+    sample = written(rows.select("_y", quoted(text_col).alias("text"), F.xxhash64(quoted(id_col)).alias("place")).repartition(8, "place"), "labelled")
+    n = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
+    counts = sample.select("_y", "text").mapInArrow(count_features, "slice int, zeros binary, ones binary")
+    found = counts.repartition(SLICES, "slice").mapInArrow(useful_features(n.get(1, 0), n.get(0, 0)), "bucket long, ratio double").collect()
+    found.sort()
+    feature, ratio = np.array([r.bucket for r in found], np.int64), np.array([r.ratio for r in found])
+    held = docs.sparkSession.sparkContext.broadcast(feature)  # 2**22 numbers at most, in fact some ten thousand
 
     def make():
+        useful = np.zeros(1 << BITS, bool)
+        useful[held.value] = True
+
         def one(texts: pa.Array) -> pa.Array:
-            row, b = present(texts.to_pylist())
+            row, b = present(texts.to_pylist(), useful)
             ends = np.searchsorted(row, np.arange(len(texts) + 1))
-            return pa.array([b[ends[i] : ends[i + 1]].astype("<u4").tobytes() for i in range(len(texts))], pa.binary())
+            at = np.searchsorted(held.value, b).astype("<u4")
+            return pa.array([at[ends[i] : ends[i + 1]].tobytes() for i in range(len(texts))], pa.binary())
 
         return one
 
-    # a third of the rows may be one text: the sample is by id, so its size is bounded whatever the texts are
-    got = append_arrow(rows, [text_col], "_feet", T.BinaryType(), make).select(id_col, "_y", "_feet").collect()
+    got = append_arrow(sample, ["text"], "_feet", T.BinaryType(), make).select("place", "_y", "_feet").collect()
     got.sort(key=lambda r: (r[0], r[2]))
-    return fit([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got], np.int64), prior)
+    return fit([np.frombuffer(r[2], "<u4") for r in got], np.array([r[1] for r in got], np.int64), feature, ratio, prior)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str]:
