@@ -103,7 +103,7 @@ def rate_limit(hits: DataFrame, *, key: list[str], order: list[str], limit: Colu
     out = out.withColumn("nth", F.row_number().over(W.partitionBy(*key, "window").orderBy("ts", *order)))
     left = F.greatest(F.lit(1), F.ceil((F.col("window") + 1) * seconds - F.unix_micros("ts") / 1_000_000)).cast("int")
     out = out.withColumn("refused", F.coalesce(F.col("nth") > limit, F.lit(False)))
-    return out.withColumn("retry_after", F.when("refused", left))
+    return out.withColumn("retry_after", F.when(F.col("refused"), left))
 
 
 def scope_rates(spark: SparkSession, rates: Mapping[str, str] = RATES) -> DataFrame:
