@@ -1 +1,236 @@
+"""Queries of comparison, numbering, layout, Markdown, Word packages and streams."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import compare as C
+from ..operators import layout as L
+from ..operators import numbered, segment
+from ..sources import docx, markdown
+from ..sources.tables import table
+from ..streaming import metering as SM
+from .catalogue import query
+from .metering_queries import BURST
+from .relations import elements
+
+BEFORE = "before as (select conv_id as doc_id, conv_id || '-' || turn as element_id, turn as ord, case when role = 'system' then 'heading' else 'paragraph' end as type, case when role = 'system' then 1 end as level, text as content from conversations where (conv_id + turn) % 7 <> 0)"
+AFTER = "after as (select conv_id as doc_id, conv_id || '-' || turn as element_id, case when turn % 5 = 1 then turn + 2.5 else turn end as ord, case when role = 'system' or turn % 11 = 3 then 'heading' else 'paragraph' end as type, case when role = 'system' then 1 + turn % 2 when turn % 11 = 3 then 2 end as level, case when turn % 3 = 2 then text || ' more' else text end as content from conversations where (conv_id + turn) % 9 <> 0)"
+
+
+def versions(spark, d):
+    c = table(spark, d, "conversations")
+    t = F.col("turn")
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string")).alias("element_id")
+    before = c.where((F.col("conv_id") + t) % 7 != 0).select(F.col("conv_id").alias("doc_id"), key, t.cast("double").alias("ord"), F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("type"), F.when(F.col("role") == "system", 1).alias("level"), F.col("text").alias("content"))
+    after = c.where((F.col("conv_id") + t) % 9 != 0).select(
+        F.col("conv_id").alias("doc_id"), key, F.when(t % 5 == 1, t + 2.5).otherwise(t.cast("double")).alias("ord"), F.when((F.col("role") == "system") | (t % 11 == 3), "heading").otherwise("paragraph").alias("type"),
+        F.when(F.col("role") == "system", (1 + t % 2).cast("int")).when(t % 11 == 3, 2).alias("level"), F.when(t % 3 == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("content"),
+    )
+    return before, after
+
+
+@query("with " + BEFORE + ", " + AFTER + " select coalesce(b.doc_id, a.doc_id) as doc_id, coalesce(b.element_id, a.element_id) as element_id, case when b.doc_id is null then 'added' when a.doc_id is null then 'removed' when b.type <> a.type or (a.type = 'heading' and b.level is distinct from a.level) then 'retyped' else 'edited' end as change, b.type as before_type, a.type as after_type from before b full join after a on a.doc_id = b.doc_id and a.element_id = b.element_id where b.doc_id is null or a.doc_id is null or b.type <> a.type or (a.type = 'heading' and b.level is distinct from a.level) or b.content <> a.content")
+def j13_version_diff(spark, d):
+    return C.element_changes(*versions(spark, d)).select("doc_id", "element_id", "change", "before_type", "after_type")
+
+
+@query()
+def w15_moved_elements(spark, d):
+    return C.moved_elements(*versions(spark, d))
+
+
+@query()
+def v10_document_comparison(spark, d):
+    before, after = versions(spark, d)
+    return C.element_changes(before, after, C.moved_elements(before, after)).groupBy("doc_id", "change").agg(F.count("*").alias("n"))
+
+
+@query("with " + BEFORE + ", " + AFTER + " select coalesce(b.doc_id, a.doc_id) as doc_id, coalesce(b.element_id, a.element_id) as element_id, case when b.doc_id is null then 'added' when a.doc_id is null then 'removed' else 'changed' end as change from before b full join after a on a.doc_id = b.doc_id and a.element_id = b.element_id where b.doc_id is null or a.doc_id is null or (b.type, coalesce(b.level, -1), b.content) <> (a.type, coalesce(a.level, -1), a.content)")
+def m11_content_delta(spark, d):
+    before, after = versions(spark, d)
+    return C.content_delta(before, after)
+
+
+@query("with s as (select conv_id as doc_id, turn, text from conversations), k as (select doc_id, [turn * 10] as place, doc_id || '-' || turn as element_id, case when turn % 4 = 2 then 'changed' else text end as content from s where turn % 5 <> 3 union all select doc_id, [turn * 10, 1], doc_id || '-' || turn || 'n', 'new' from s where turn % 5 = 1 union all select doc_id, [turn * 10, 2], doc_id || '-' || turn || 'nn', 'newer' from s where turn % 5 = 1 union all select distinct doc_id, [-1], doc_id || '-first', 'first' from s) select doc_id, element_id, row_number() over (partition by doc_id order by place) - 1 as ord, content from k")
+def m10_patched_document(spark, d):
+    c = table(spark, d, "conversations")
+    t, doc = F.col("turn"), F.col("conv_id").alias("doc_id")
+    name = F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    stored = c.select(doc, name.alias("element_id"), t.alias("ord"), F.col("text").alias("content"))
+    changed = c.where((t % 4 == 2) & (t % 5 != 3)).select(doc, name.alias("element_id"), F.lit("changed").alias("content"))
+    a = c.where(t % 5 == 1)
+    added = a.select(doc, F.concat(name, F.lit("n")).alias("element_id"), name.alias("after_id"), F.lit("new").alias("content"))
+    added = added.unionByName(a.select(doc, F.concat(name, F.lit("nn")).alias("element_id"), F.concat(name, F.lit("n")).alias("after_id"), F.lit("newer").alias("content")))
+    added = added.unionByName(c.select(doc, F.concat(F.col("conv_id").cast("string"), F.lit("-first")).alias("element_id"), F.lit(None).cast("string").alias("after_id"), F.lit("first").alias("content")).distinct())
+    return C.patched(stored, changed, added, c.where(t % 5 == 3).select(doc, name.alias("element_id"))).select("doc_id", "element_id", F.col("ord").cast("long").alias("ord"), "content")
+
+
+@query("select l_orderkey as doc_id, css, max(b) as before, max(a) as after from (select l_orderkey, 'font-size' as css, min(l_quantity)::integer || 'pt' as b, max(l_quantity)::integer || 'pt' as a from lineitem group by 1 union all select l_orderkey, 'line-height', null, '2' from lineitem where l_orderkey % 3 = 0 group by 1) group by 1, 2 having max(b) is distinct from max(a)")
+def j14_style_changes(spark, d):
+    q = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_quantity").cast("int").alias("lo"), F.max("l_quantity").cast("int").alias("hi"))
+    size = lambda c: q.select("doc_id", F.lit("font-size").alias("css"), F.concat(F.col(c).cast("string"), F.lit("pt")).alias("value"))
+    spaced = q.where("doc_id % 3 = 1")
+    line = lambda rows, v: rows.select("doc_id", F.lit("line-height").alias("css"), F.lit(v).alias("value"))
+    ls = spaced.select("doc_id", F.lit("--line-spacing").alias("css"), F.lit("1").alias("value"))
+    before = size("lo").unionByName(line(spaced, "1.15")).unionByName(ls)
+    after = size("hi").unionByName(line(spaced, "9.99")).unionByName(ls).unionByName(line(q.where("doc_id % 3 = 0"), "2"))
+    return C.style_changes(before, after, keys=["doc_id"])
+
+
+@query("select c_custkey as doc_id, p as property, b as before, a as after from (select c_custkey, 'orientation' as p, case when c_custkey % 2 = 0 then 'portrait' else 'landscape' end as b, 'portrait' as a from customer union all select c_custkey, 'header', null, case when c_custkey % 3 = 0 then c_mktsegment end from customer) where a is distinct from b")
+def d23_setting_changes(spark, d):
+    c = table(spark, d, "customer").withColumnRenamed("c_custkey", "doc_id")
+    before = c.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "portrait").otherwise("landscape").alias("orientation"), F.lit(None).cast("string").alias("header"))
+    after = c.select("doc_id", F.lit("portrait").alias("orientation"), F.when(F.col("doc_id") % 3 == 0, F.col("c_mktsegment")).alias("header"))
+    return C.setting_changes(before, after, key="doc_id", fields=["orientation", "header"])
+
+
+def pairs(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.col("text").alias("source"), F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" and 17 more"))).when(F.col("turn") % 3 == 2, F.regexp_replace("text", r"^\w+ ", "")).otherwise(F.col("text")).alias("result"))
+
+
+@query()
+def v1_word_check(spark, d):
+    return C.compare_words(pairs(spark, d), keys=["conv_id", "turn"], source="source", result="result").drop("samples")
+
+
+@query("select conv_id, turn, true as verified from conversations where turn % 3 = 0")
+def v1_verified_pairs(spark, d):
+    out = C.compare_words(pairs(spark, d).where("turn % 3 = 0"), keys=["conv_id", "turn"], source="source", result="result")
+    return out.where("verified").select("conv_id", "turn", "verified")
+
+
+@query("select conv_id, turn, cast([] as varchar[]) as missing, case when turn % 3 = 1 then ['17'] else cast([] as varchar[]) end as added from conversations where not regexp_matches(text, '[0-9]')")
+def o12_changed_numbers(spark, d):
+    rows = pairs(spark, d).where(~F.col("source").rlike("[0-9]"))
+    return C.changed_numbers(rows, keys=["conv_id", "turn"], source="source", result="result")
+
+
+@query("select conv_id, turn::integer as ord, row_number() over (partition by conv_id order by turn)::integer as number from conversations")
+def w10_list_numbers(spark, d):
+    items = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("ord"), F.lit(0).alias("level"))
+    return numbered.counted(items, key="conv_id").select("conv_id", "ord", F.get("values", F.lit(0)).alias("number"))
+
+
+HEADS = "h as (select c.*, turn % 2 as level from conversations c), n as (select conv_id, turn, level, count(*) filter (where level = 0) over (partition by conv_id order by turn) as a from h)"
+
+
+@query("with " + HEADS + " select conv_id, turn::integer as ord, case when level = 0 then a::varchar || '.' else a::varchar || '.' || chr((96 + sum(level) over (partition by conv_id, a order by turn))::integer) || ')' end as label from n")
+def w9_heading_labels(spark, d):
+    items = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("ord"), (F.col("turn") % 2).cast("int").alias("level"))
+    return numbered.labelled(items, key="conv_id", pattern="%1.|%2)", formats=["decimal", "lowerLetter"]).select("conv_id", "ord", "label")
+
+
+@query()
+def l1_pages(spark, d):
+    e = elements(spark, d).select("doc_id", "ord", (F.length("content") / 10.0).alias("height"), L.break_after(F.col("type"), F.lit(None).cast("string")).alias("break_after"))
+    return L.paginate(e, key="doc_id", height=60.0)
+
+
+@query("with s as (select o_custkey as doc_id, o_orderkey as page, case when o_orderkey % 5 = 0 then 1 end as start, o_orderkey % 3 = 0 as is_start from orders), st as (select doc_id, page as first_page, start, row_number() over (partition by doc_id order by page) as section from s where is_start) select p.doc_id, p.page, (select max(section) from st where st.doc_id = p.doc_id and first_page <= p.page) as section, coalesce((select arg_max(start + p.page - first_page, first_page) from st where st.doc_id = p.doc_id and first_page <= p.page and start is not null), p.page)::integer as number from s p")
+def j20_page_sections(spark, d):
+    from pyspark.sql import Window as W
+
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"))
+    s = p.where("page % 3 = 0").select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("page")).cast("long").alias("section"), F.col("page").alias("first_page"), F.when(F.col("page") % 5 == 0, 1).alias("start"), F.lit("decimal").alias("format"))
+    return L.page_numbers(p, s).select("doc_id", "page", "section", "number")
+
+
+@query("select o_custkey as doc_id, o_orderkey as section, last_value(case when o_orderkey % 4 = 0 then o_orderpriority end ignore nulls) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row) as header from orders")
+def w18_inherited_headers(spark, d):
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("section"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("header"))
+    return L.inherited(s, ["header"])
+
+
+@query("select o_orderkey as page, case when o_custkey % 2 = 0 and o_orderkey = 1 then 'first' when o_custkey % 3 = 0 and o_orderkey % 2 = 0 then 'even' else 'main' end as header from orders")
+def w20_running_headers(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), L.running_key(F.col("o_orderkey"), F.lit(1), F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 3 == 0).alias("header"))
+
+
+@query("select o_custkey as doc_id, o_orderkey as ord, lead(case when o_orderkey % 2 = 0 then 'evenPage' else 'nextPage' end) over (partition by o_custkey order by o_orderkey) as next_start from orders")
+def w17_next_section_start(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.lit("section_break").alias("type"), F.when(F.col("o_orderkey") % 2 == 0, "evenPage").otherwise("nextPage").alias("start"))
+    return L.section_starts(e).select("doc_id", "ord", "next_start")
+
+
+@query("select l_orderkey, r as row, c as col, (sum(span) over (partition by l_orderkey, r order by c) - span)::integer as grid_col from (select l_orderkey, l_linenumber % 3 as r, row_number() over (partition by l_orderkey, l_linenumber % 3 order by l_linenumber, l_partkey, l_suppkey)::integer as c, (1 + l_partkey % 3)::integer as span from lineitem)")
+def l3_table_grid(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("l_orderkey", F.col("l_linenumber") % 3).orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    cells = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("row"), F.row_number().over(w).alias("col"), (1 + F.col("l_partkey") % 3).cast("int").alias("colspan"), F.lit(1).alias("rowspan"))
+    return L.grid(cells, key=["l_orderkey"]).select("l_orderkey", "row", "col", "grid_col")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(l_quantity * least(100, 450) / sum(l_quantity) over (partition by l_orderkey), 6) as width from lineitem")
+def l4_column_widths(spark, d):
+    c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("width"))
+    return L.column_widths(c, key="l_orderkey", room=F.lit(450.0), target=F.lit(100.0)).withColumn("width", F.round("width", 6))
+
+
+@query("select o_custkey as doc_id, o_orderkey as ord, case when c and coalesce(lag(c) over w, false) then 0.0 else 6.0 end::double as space_before, case when c and coalesce(lead(c) over w, false) then 0.0 else 8.0 end::double as space_after from (select *, o_orderkey % 3 <> 0 as c from orders) window w as (partition by o_custkey order by o_orderkey)")
+def l5_contextual_spacing(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 3 != 0).alias("contextual"), F.lit(6.0).alias("space_before"), F.lit(8.0).alias("space_after"))
+    return L.closed_up(p).drop("contextual")
+
+
+@query("select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines, true as has_title from documents where text not like '%  %' and not regexp_matches(text, '[#*>|`~\\[\\]_<-]|(?m)^\\s*$|^[0-9]+[.)]')")
+def s10_markdown_plain(spark, d):
+    docs = table(spark, d, "documents").where(~F.col("text").like("%  %") & ~F.col("text").rlike(r"[#*>|`~\[\]_<-]|(?m)^\s*$|^[0-9]+[.)]"))
+    md = docs.select("doc_id", F.concat(F.lit("# Title\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("md"))
+    out = markdown.elements(md, doc="doc_id", text="md")
+    return out.groupBy("doc_id").agg((F.count("*") - 1).alias("lines"), (F.min_by("type", "ord") == "heading").alias("has_title"))
+
+
+@query()
+def s10_markdown_elements(spark, d):
+    out = markdown.elements(table(spark, d, "documents").select("doc_id", "text"), doc="doc_id", text="text")
+    return out.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items"), F.sum(F.size("cells")).alias("cells"))
+
+
+@query("select conv_id, count(*) as elements, true as same from conversations where trim(text) <> '' and turn < 6 group by 1")
+def k1_word_round_trip(spark, d):
+    rows = table(spark, d, "conversations").where("trim(text) != '' and turn < 6").select("conv_id", F.col("turn").alias("ord"), F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("type"), F.lit(1).alias("level"), F.col("text").alias("content"))
+    back = docx.elements(docx.packages(rows, key="conv_id").select(F.col("conv_id").cast("string").alias("key"), "content"))
+    own = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("ord", "content"))).alias("a"))
+    read = back.groupBy(F.col("key").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "content"))).alias("b"))
+    both = own.join(read, "conv_id")
+    return both.select("conv_id", F.size("b").cast("long").alias("elements"), (F.transform("a", lambda x: x["content"]) == F.transform("b", lambda x: x["content"])).alias("same"))
+
+
+@query("select page_id, count(*) as candidates from (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>.*?</h1>')) as h from pages) group by 1")
+def w4_heading_gaps(spark, d):
+    return segment.html_headings(table(spark, d, "pages"), key="page_id", html="html").groupBy("page_id").agg(F.count("*").alias("candidates"))
+
+
+def streamed(spark, d, make, mode):
+    """Runs a stream over the table as it is, into the session's shared folder, and reads what it wrote."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/quire/stream-{uuid.uuid4().hex}"
+    out = make(SM.event_stream(spark, d))
+    SM.drained(out, f"{base}/out", mode=mode, checkpoint=f"{base}/state")
+    return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+
+
+@query("select date_trunc('month', ts)::timestamp as month, user_id, event_type, count(*) as quantity from events group by all")
+def e4_streamed_monthly_usage(spark, d):
+    got = streamed(spark, d, lambda e: SM.monthly_usage(e, workspace="user_id", metric="event_type"), "update")
+    return got.groupBy(F.col("month").cast("timestamp_ntz").alias("month"), "user_id", "event_type").agg(F.max("quantity").alias("quantity"))
+
+
+@query("with r as (select event_id, user_id, floor(epoch_us(ts) / 1000000 / 86400)::bigint as w, row_number() over (partition by user_id, floor(epoch_us(ts) / 1000000 / 86400) order by ts, event_id) as nth from events) select user_id, event_id, w as window_id, nth from r where nth > 3")
+def e1_streamed_refusals(spark, d):
+    return streamed(spark, d, lambda e: SM.refusals(e, key="user_id", limit=3, seconds=86400), "append").select("user_id", "event_id", F.col("window").alias("window_id"), "nth")
+
+
+@query(BURST + "select user_id, step, kind, started, saves from folded")
+def e5_streamed_history(spark, d):
+    def make(e):
+        kind = F.when(F.col("event_type").isin("view", "click"), "content").otherwise("format")
+        return SM.burst_history(e.withColumn("kind", kind), doc="user_id", seconds=3600)
+
+    got = streamed(spark, d, make, "update")
+    return got.groupBy("user_id", "step").agg(F.max_by("kind", "saves").alias("kind"), F.min(F.col("started").cast("timestamp_ntz")).alias("started"), F.max("saves").alias("saves"))

@@ -1 +1,289 @@
+"""Queries on texts: segmentation, words, numbers, links, packing, sources."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import numbering as N
+from ..functions import text as X
+from ..functions import units as U
+from ..operators import segment as S
+from ..operators.compare import bag_missing, is_subsequence, occurs_in
+from ..sources.tables import table
+from .catalogue import query
+
+#: DuckDB forms of what the scalar functions do.
+WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\p{{Nl}}\p{{No}}]+')"
+SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+BLOCKS = r"list_filter(list_transform(string_split_regex(trim(replace({0}, chr(13), chr(10)), ' ' || chr(9) || chr(10)), '\n\s*\n'), lambda b: trim(b, ' ' || chr(9) || chr(10))), lambda b: b <> '')"
+SEGMENTS = "segments as (select doc_id, ord, case when ord = 0 and not contains(block, chr(10)) and length(flat) <= 80 and not regexp_matches(flat, '[.!?]$') then 'heading' else 'paragraph' end as type, flat as content from (select doc_id, ord, block, " + SQUEEZED.format("block") + " as flat from (select doc_id, unnest(b) as block, generate_subscripts(b, 1) - 1 as ord from (select doc_id, " + BLOCKS.format("replace(text, chr(10), chr(10) || chr(10))") + " as b from documents))))"
+
+
+def segments(spark, d):
+    """The corpus has no blank lines, so its line ends are doubled first."""
+    return S.segment(table(spark, d, "documents").select("doc_id", "text"), doc="doc_id", text=F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+@query("with " + SEGMENTS + " select doc_id, count(*) as elements, count(*) filter (where type = 'heading') as headings, sum(length(content))::bigint as chars from segments group by 1")
+def s11_segment_counts(spark, d):
+    return segments(spark, d).groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if(F.col("type") == "heading").alias("headings"), F.sum(F.length("content")).cast("long").alias("chars"))
+
+
+@query("with " + SEGMENTS + " select doc_id, ord::integer as ord, type, content from segments")
+def s11_segment_elements(spark, d):
+    return segments(spark, d).select("doc_id", "ord", "type", "content")
+
+
+@query("with " + SEGMENTS + " select doc_id, ord::integer as ord, case when doc_id % 2 = 0 then type else 'paragraph' end as type from segments")
+def g3_first_chunk_heading(spark, d):
+    out = S.segment(table(spark, d, "documents").select("doc_id", "text"), doc="doc_id", text=F.replace("text", F.lit("\n"), F.lit("\n\n")), first=F.col("doc_id") % 2 == 0)
+    return out.select("doc_id", "ord", "type")
+
+
+PACK = """with recursive pieces as (select doc_id, unnest(b) as piece, generate_subscripts(b, 1) as rn from (select doc_id, {b} as b, length(trim(text, ' ' || chr(9) || chr(10))) as n from documents) where n + len(b) - 1 > 9000 and list_max(list_transform(b, lambda x: length(x))) <= 9000),
+fold as (select doc_id, rn, length(piece) as size, 0 as chunk from pieces where rn = 1
+ union all select p.doc_id, p.rn, case when f.size + 2 + length(p.piece) > 9000 then length(p.piece) else f.size + 2 + length(p.piece) end, case when f.size + 2 + length(p.piece) > 9000 then f.chunk + 1 else f.chunk end
+ from pieces p join fold f on p.doc_id = f.doc_id and p.rn = f.rn + 1)
+select doc_id, chunk::integer as chunk_no, max(size)::bigint as chars from fold group by 1, 2"""
+
+
+@query(PACK.format(b=BLOCKS.format("replace(text, chr(10), chr(10) || chr(10))")))
+def g1_packed_chunks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = docs.where((F.length(S.unified(F.col("text"))) > 9000) & ~F.exists(S.blocks(F.col("text")), lambda b: F.length(b) > 9000))
+    return S.chunks(docs, doc="doc_id", text="text", limit=9000).select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("chars"))
+
+
+@query()
+def g2_cut_chunks(spark, d):
+    out = S.chunks(table(spark, d, "documents").select("doc_id", "text"), doc="doc_id", text="text", limit=500)
+    return out.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"))
+
+
+@query("select doc_id, len(" + WORDS.format("text") + ")::bigint as words from documents")
+def d4_word_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("words"))
+
+
+@query("select lower(w) as word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(" + WORDS.format("text") + ") as w from documents) group by 1 having count(*) >= 5")
+def d4_word_frequencies(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("w"))
+    return w.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 5")
+
+
+NUMBERS = r"regexp_extract_all(text, '[-+]?\p{Nd}+(?:[.,:/-]\p{Nd}+)*%?')"
+
+
+@query("select doc_id, len(list_filter(" + NUMBERS + ", lambda x: true)) > 0 as has_numbers from documents")
+def d7_documents_with_numbers(spark, d):
+    return table(spark, d, "documents").select("doc_id", (F.size(X.number_facts(F.col("text"))) > 0).alias("has_numbers"))
+
+
+@query()
+def d7_token_kinds(spark, d):
+    t = table(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("t"))
+    return t.groupBy(X.token_kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("select lower(w) as word, count(*) as n from (select unnest(" + WORDS.format("text") + ") as w from documents) where lower(w) in ('not','no','never','none','nothing','nobody','nowhere','neither','nor','without','cannot','не','няма','никога','нито','никой','никоя','никое','никои','нищо','никъде','без') group by 1")
+def d8_negations(spark, d):
+    w = table(spark, d, "documents").select(F.explode(X.words(F.col("text"))).alias("w")).where(X.is_negation(F.col("w")))
+    return w.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+
+
+def previews(n: int, q: bool) -> str:
+    flat = SQUEEZED.format("text")
+    cut = f"case when length({flat}) > {n} then substr({flat}, 1, {n}) || '…' else {flat} end"
+    return "select doc_id, " + (f"'“' || {cut} || '”'" if q else cut) + " as preview from documents"
+
+
+@query(previews(60, True))
+def d9_health_preview(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
+
+
+@query(previews(80, False))
+def d10_compare_preview(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.preview(F.col("text"), 80, quoted=False).alias("preview"))
+
+
+@query("select size, case when regexp_matches(size, '^[0-9.]+\\s*px') then 0.75 else 1.0 end::double * coalesce(try_cast(nullif(regexp_extract(size, '^([0-9.]+)', 1), '') as double), 0) as points from (values ('12pt'), ('16px'), ('11'), (''), ('large'), ('1.5 px')) t(size)")
+def d11_points(spark, d):
+    return spark.createDataFrame([(s,) for s in ("12pt", "16px", "11", "", "large", "1.5 px")], "size string").select("size", X.points(F.col("size")).alias("points"))
+
+
+HREFS = (None, "", "https://example.org/a", "www.example.org", "javascript:alert(1)", "mailto:a@example.org", "mailto:nobody", "http://localhost/x", "http://intranet/x", "ftp://files.example.org", "tel:+359", "/relative", "data:text/html,x", " https://example.org ", "HTTPS://EXAMPLE.ORG")
+
+
+@query("select href, regexp_extract(lower(full_), '^([a-z][a-z0-9+.-]*):', 1) in ('http','https','ftp','ftps','mailto','tel','callto','sms','xmpp') and length(full_) > 0 as safe, case when scheme in ('http','https','ftp','ftps') then contains(host, '.') or host = 'localhost' when scheme = 'mailto' then contains(full_, '@') when scheme = 'tel' then true else false end as usable from (select *, regexp_extract(lower(full_), '^([a-z][a-z0-9+.-]*):', 1) as scheme, regexp_extract(lower(full_), '^[a-z]+://([^/?#:]*)', 1) as host from (select href, case when lower(trim(href)) like 'www.%' then 'https://' || trim(href) else coalesce(trim(href), '') end as full_ from (values " + ", ".join("(null)" if h is None else f"('{h}')" for h in HREFS) + ") t(href)))")
+def p10_link_policy(spark, d):
+    rows = spark.createDataFrame([(h,) for h in HREFS], "href string")
+    return rows.select("href", X.safe_href(F.col("href")).isNotNull().alias("safe"), X.usable_link(F.col("href")).alias("usable"))
+
+
+@query("select page_id, regexp_extract(url, '^([a-z]+):', 1) as scheme, regexp_extract(url, '^([a-z]+):', 1) in ('http','https') as safe from pages")
+def p11_url_schemes(spark, d):
+    safe = X.safe_href(F.col("url"))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+):", 1).alias("scheme"), safe.isNotNull().alias("safe"))
+
+
+COLORS = ("#fff", "#12345G", "red", "Blue ", "#a1b2c3", "rgb(1,2,3)", "", "grey")
+
+
+@query("select v as value, regexp_full_match(trim(v), '#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})') or lower(trim(v)) in ('red','blue','green','black','white','gray','grey','yellow','orange','purple') as ok, regexp_full_match(trim(v), '[\\p{L}\\p{Nd}_][\\p{L}\\p{Nd}_ .\\-]*') as font from (values " + ", ".join(f"('{c}')" for c in COLORS) + ") t(v)")
+def p12_colors_and_fonts(spark, d):
+    return spark.createDataFrame([(c,) for c in COLORS], "value string").select("value", X.is_color(F.col("value")).alias("ok"), X.is_font_name(F.col("value")).alias("font"))
+
+
+@query("select doc_id, (regexp_matches(text, '(?m)^ {0,3}#{1,6}(?:\\s+\\S|\\s*$)') or regexp_matches(text, '(?m)^ {0,3}(`{3,}|~{3,})') or regexp_matches(text, '(?m)^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)+\\|?\\s*$') or (regexp_matches(text, '(\\*\\*[^*\\n]+\\*\\*|\\*[^*\\n]+\\*)')::int + regexp_matches(text, '(?m)^ {0,3}>')::int + regexp_matches(text, '\\[[^\\]\\n]+\\]\\([^)\\n]+\\)')::int) >= 2) as is_markdown from documents")
+def p20_looks_like_markdown(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.looks_like_markdown(F.col("text")).alias("is_markdown"))
+
+
+@query("select page_id, regexp_extract(url, '\\.([^.]*)$', 1) as extension, regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[\\\\/:*?\"<>|]', '_', 'g') as file_name from pages")
+def k10_file_names(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.([^.]*)$", 1).alias("extension"), F.translate(F.regexp_extract("html", "<title>(.*?)</title>", 1), '\\/:*?"<>|', "_" * 9).alias("file_name"))
+
+
+@query("select page_id, lower(regexp_extract(url, '\\.([^.]*)$', 1)) as extension from pages")
+def d28_extension(spark, d):
+    return table(spark, d, "pages").select("page_id", X.extension(F.col("url")).alias("extension"))
+
+
+@query("select page_id, regexp_extract(h, '<h1[^>]*>(.*?)</h1>', 1) as raw, 1 as level from (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>.*?</h1>')) as h from pages)")
+def s10_html_headings(spark, d):
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"), F.lit(2))
+    a = S.html_headings(table(spark, d, "pages"), key="page_id", html="html")
+    b = table(spark, d, "pages").select("page_id", F.posexplode(tags).alias("ord", "raw"))
+    return a.join(b, ["page_id", "ord"]).select("page_id", "raw", "level")
+
+
+@query("select page_id, count(*) as links, count(*) filter (where regexp_matches(lower(href), '^(https?|ftps?|mailto|tel|callto|sms|xmpp):')) as safe from (select page_id, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1)) as href from pages) group by 1")
+def d12_page_links(spark, d):
+    links = S.html_links(table(spark, d, "pages"), key="page_id", html="html")
+    return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(X.safe_href(F.col("href")).isNotNull()).alias("safe"))
+
+
+@query("select doc_id, sha256(text) as fingerprint from documents")
+def d24_fingerprints(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"))
+
+
+@query("select sha256(text) as fingerprint, count(*) as copies, min(doc_id) as first from documents group by 1 having count(*) > 1")
+def d24_exact_duplicates(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
+
+
+@query("select doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') = text as clean from documents")
+def d26_xml_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", (X.xml_text(F.col("text")) == F.col("text")).alias("clean"))
+
+
+ROMAN_SQL = "array_to_string([" + ", ".join("[" + ", ".join(f"'{x}'" for x in digits) + f"][((n // {10 ** k}) % 10) + 1]" for k, digits in reversed(list(enumerate(N.ROMAN)))) + "], '')"
+
+
+@query("select n, " + ROMAN_SQL + " as roman, upper(" + ROMAN_SQL + ") as upper_roman, repeat(chr((97 + (n - 1) % 26)::integer), ((n - 1) // 26 + 1)::integer) as letters, case when n < 10 then '0' || n else n::varchar end as zeroed, repeat(substr('абвгдежзиклмнопрстуфхцчшщэюя', ((n - 1) % 28 + 1)::integer, 1), ((n - 1) // 28 + 1)::integer) as cyrillic from (select unnest(range(1, 4000)) as n)")
+def d13_number_formats(spark, d):
+    n = spark.range(1, 4000).select(F.col("id").alias("n"))
+
+    def shown(fmt: str):
+        return N.format_number(F.col("n"), F.lit(fmt))
+
+    return n.select("n", shown("lowerRoman").alias("roman"), shown("upperRoman").alias("upper_roman"), shown("lowerLetter").alias("letters"), shown("decimalZero").alias("zeroed"), shown("russianLower").alias("cyrillic"))
+
+
+@query("select n, n || '.' || chr((97 + (n - 1) % 26)::integer) || ')' as label, n || '.' || n || ')' as legal from (select unnest(range(1, 27)) as n)")
+def d14_level_labels(spark, d):
+    n = spark.range(1, 27).select(F.col("id").alias("n"))
+    values, formats = F.array("n", "n"), F.array(F.lit("decimal"), F.lit("lowerLetter"))
+    return n.select("n", N.level_label(F.lit("%1.%2)"), values, formats, F.lit(False)).alias("label"), N.level_label(F.lit("%1.%2)"), values, formats, F.lit(True)).alias("legal"))
+
+
+@query("select k as kind, i::integer as level, case k when 'bullet' then 'bullet' when 'none' then 'none' else ['decimal','lowerLetter','lowerRoman'][i % 3 + 1] end as format, case k when 'bullet' then ['•','◦','▪'][i % 3 + 1] when 'none' then '' else '%' || (i + 1) || '.' end as text, (357 * (i + 1))::integer as \"left\" from (values ('number'), ('bullet'), ('none')) t(k), (select unnest(range(0, 9)) as i)")
+def d15_list_levels(spark, d):
+    kinds = spark.createDataFrame([(k,) for k in ("number", "bullet", "none")], "kind string")
+    return kinds.select("kind", F.inline(N.default_levels(F.col("kind"), F.lit(None).cast("string")))).select("kind", "level", "format", "text", "left")
+
+
+LENGTHS = (("2.5", "cm"), ("25", "mm"), ("1", "in"), ("72", "pt"), ("96", "px"), ("3", None), ("x", "cm"), ("2", "em"))
+
+
+@query("select value, unit, round(try_cast(value as double) * case coalesce(unit, 'cm') when 'cm' then 1.0 when 'mm' then 0.1 when 'in' then 2.54 when 'pt' then 2.54 / 72 when 'px' then 2.54 / 96 end, 6)::double as cm, try_cast(value as double) * case coalesce(unit, 'pt') when 'pt' then 1.0::double when 'px' then 0.75::double end as pt from (values " + ", ".join(f"('{v}', {'null' if u is None else repr(u)})" for v, u in LENGTHS) + ") t(value, unit)")
+def d16_unit_conversion(spark, d):
+    return spark.createDataFrame(list(LENGTHS), "value string, unit string").select("value", "unit", F.round(U.to_cm(F.col("value"), F.col("unit")), 6).alias("cm"), U.to_pt(F.col("value"), F.col("unit")).alias("pt"))
+
+
+@query("select l_orderkey, l_linenumber, rtrim(rtrim(printf('%.4f', l_quantity / 20 * 1.15), '0'), '.') as height from lineitem where l_quantity < 20")
+def d17_line_heights(spark, d):
+    q = F.col("l_quantity") / 20
+    return table(spark, d, "lineitem").where("l_quantity < 20").select("l_orderkey", "l_linenumber", U.line_height(q.cast("string"), F.lit(None).cast("string")).alias("height"))
+
+
+@query("select size, orientation, case when orientation = 'landscape' then h else w end as width, case when orientation = 'landscape' then w else h end as height from (select size, orientation, (case size when 'Letter' then 215.9 when 'Legal' then 215.9 else 210.0 end)::double as w, (case size when 'Letter' then 279.4 when 'Legal' then 355.6 else 297.0 end)::double as h from (values ('A4'), ('Letter'), ('Legal'), ('A5')) a(size), (values ('portrait'), ('landscape')) b(orientation))")
+def d18_page_sizes(spark, d):
+    a = spark.createDataFrame([(s, o) for s in ("A4", "Letter", "Legal", "A5") for o in ("portrait", "landscape")], "size string, orientation string")
+    return a.withColumn("p", U.page_mm(F.col("size"), F.col("orientation"))).select("size", "orientation", "p.width", "p.height")
+
+
+@query("with w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from (select doc_id, " + WORDS.format("text") + " as ws from documents where doc_id % 10 = 1)), k as (select doc_id, unnest(ws) as word from (select doc_id + 1 as doc_id, " + WORDS.format("text") + " as ws from documents where doc_id % 10 = 0)), a as (select *, row_number() over (partition by doc_id, word order by pos) as n from w), b as (select doc_id, word, count(*) as n from k group by 1, 2) select a.doc_id, a.pos::integer as pos, a.word from a left join b on a.doc_id = b.doc_id and a.word = b.word where b.n is null or a.n > b.n")
+def j16_bag_missing(spark, d):
+    def rows(rest: int, shift: int):
+        return table(spark, d, "documents").where(F.col("doc_id") % 10 == rest).select((F.col("doc_id") + shift).alias("doc_id"), F.posexplode(X.words(F.col("text"))).alias("p", "word")).select("doc_id", (F.col("p") + 1).alias("pos"), "word")
+
+    return bag_missing(rows(1, 0), rows(0, 1), key="doc_id", word="word", at="pos")
+
+
+@query("select doc_id, item_id, contains(' ' || array_to_string(" + WORDS.format("d.text") + ", ' ') || ' ', ' ' || array_to_string(list_slice(" + WORDS.format("b.text") + ", 1, 5), ' ') || ' ') as inside from documents d join benchmark b on b.item_id = d.doc_id % 40")
+def o14_contiguous_words(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.slice(X.words(F.col("text")), 1, 5).alias("run"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.words(F.col("text")).alias("w"))
+    return docs.join(b, "item_id").select("doc_id", "item_id", occurs_in(F.col("run"), F.col("w")).alias("inside"))
+
+
+@query()
+def o13_subsequence(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.slice(X.words(F.col("text")), 1, 3).alias("run"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.words(F.col("text")).alias("w"))
+    return docs.join(b, "item_id").select("doc_id", "item_id", is_subsequence(F.col("run"), F.col("w")).alias("inside"))
+
+
+BYTES = [("utf8", "здравей".encode()), ("bom", b"\xef\xbb\xbfabc"), ("cp1251", "здравей".encode("cp1251")), ("latin", b"caf\xe9 \x98"), ("pdf", b"%PDF-1.7 x"), ("late pdf", b"\x00" * 10 + b"%PDF-1.4"), ("zip", b"PK\x03\x04rest"), ("png", b"\x89PNG\r\n\x1a\n"), ("jpeg", b"\xff\xd8\xff\xe0"), ("nul", b"a\x00b"), ("utf16", b"\xff\xfea\x00")]
+
+
+@query()
+def p15_sniffed_files(spark, d):
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])
+    c = F.col("content")
+    return spark.createDataFrame([(n, bytearray(b)) for n, b in BYTES], schema).select("name", X.sniffed(c).alias("kind"), X.is_pdf(c).alias("is_pdf"), X.is_plain_text(c).alias("is_text"))
+
+
+@query("select source, lang, count(*) as n from documents group by all")
+def a19_category_counts(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+@query("select source, arg_min(lang, (-n, first)) as lang from (select source, lang, count(*) as n, min(doc_id) as first from documents group by all) group by 1")
+def a14_majority_language(spark, d):
+    from ..operators.rules import majority_rules
+
+    rows = table(spark, d, "documents").select("source", "lang", "doc_id", F.lit(1).alias("one"))
+    return majority_rules(rows, ["source"], value="lang", weight="one", seq="doc_id").select("source", "lang")
+
+
+@query("select source, arg_min(lang, (-w, first)) as lang, max(w)::bigint as weight from (select source, lang, sum(greatest(1, length(trim(text)))) as w, min(doc_id) as first from documents group by all) group by 1")
+def a15_weighted_majority(spark, d):
+    from ..operators.rules import majority_rules
+
+    rows = table(spark, d, "documents").select("source", "lang", "doc_id", F.greatest(F.lit(1), F.length(F.trim("text"))).alias("w"))
+    return majority_rules(rows, ["source"], value="lang", weight="w", seq="doc_id").select("source", "lang", "weight")
+
+
+@query("select source as feature, lang as reason, sum(n_chars)::bigint as n, arg_min(substr(text, 1, 20), doc_id) as example, count(*) as items from documents group by 1, 2")
+def a10_grouped_findings(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("source").alias("feature"), F.col("lang").alias("reason")).agg(F.sum("n_chars").alias("n"), F.min_by(F.substring("text", 1, 20), "doc_id").alias("example"), F.count("*").alias("items"))
+
+
+@query("select role, max(len(string_split(text, chr(10)))) as depth, sum(length(text) * 3 // 4)::bigint as bytes from conversations group by 1")
+def a25_inline_sizes(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.max(F.size(F.split("text", "\n"))).cast("long").alias("depth"), F.sum(F.floor(F.length("text") * 3 / 4)).cast("long").alias("bytes"))
