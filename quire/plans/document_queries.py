@@ -131,7 +131,9 @@ def l1_pages(spark, d):
     return L.paginate(e, key="doc_id", height=60.0)
 
 
-@query("with s as (select o_custkey as doc_id, o_orderkey as page, case when o_orderkey % 5 = 0 then 1 end as start, o_orderkey % 3 = 0 as is_start from orders), st as (select doc_id, page as first_page, start, row_number() over (partition by doc_id order by page) as section from s where is_start) select p.doc_id, p.page, (select max(section) from st where st.doc_id = p.doc_id and first_page <= p.page) as section, coalesce((select arg_max(start + p.page - first_page, first_page) from st where st.doc_id = p.doc_id and first_page <= p.page and start is not null), p.page)::integer as number from s p")
+@query("""with s as (select o_custkey as doc_id, o_orderkey as page, case when o_orderkey % 5 = 0 then 1 end as start, o_orderkey % 3 = 0 as is_start from orders),
+ m as (select *, sum(is_start::int) over w as n, last_value(case when is_start and start is not null then page end ignore nulls) over w as first from s window w as (partition by doc_id order by page rows between unbounded preceding and current row))
+ select doc_id, page, case when n > 0 then n end::bigint as section, coalesce(1 + page - first, page)::integer as number from m""")
 def j20_page_sections(spark, d):
     from pyspark.sql import Window as W
 

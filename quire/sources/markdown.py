@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 RUN = "struct<text:string,marks:array<string>,href:string>"
 ELEMENT = f"struct<ord:int,type:string,level:int,content:string,runs:array<{RUN}>,items:array<struct<level:int,ordered:boolean,checked:boolean,text:string>>,cells:array<struct<row:int,col:int,header:boolean,text:string>>>"
@@ -127,15 +129,11 @@ def elements(docs: DataFrame, *, doc: str, text: str) -> DataFrame:
     """(doc, ord, type, level, content, runs, items, cells) of Markdown texts; a null text has no elements."""
     kind = docs.schema[doc].dataType.simpleString()
 
+    made_of = pa.list_(to_arrow_type(_parse_datatype_string(ELEMENT)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind_ = None
         for batch in batches:
-            if kind_ is None:
-                from pyspark.sql.pandas.types import to_arrow_type
-                from pyspark.sql.types import _parse_datatype_string
-
-                kind_ = pa.list_(to_arrow_type(_parse_datatype_string(ELEMENT)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(t or "") for t in batch.column(1).to_pylist()], kind_)], names=[doc, "e"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(t or "") for t in batch.column(1).to_pylist()], made_of)], names=[doc, "e"])
 
     made = docs.select(doc, text).mapInArrow(run, f"{doc} {kind}, e array<{ELEMENT}>")
     return made.select(doc, F.inline("e"))

@@ -31,8 +31,8 @@ def window_counts(events: DataFrame, *, key: list[str], seconds: int, late: str
     return marked.groupBy(F.window("ts", f"{seconds} seconds"), *key).agg(F.count("*").alias("hits")).select(F.col("window.start").alias("start"), *key, "hits")
 
 
-def refusals(events: DataFrame, *, key: str, limit: int, seconds: int) -> DataFrame:
-    """Hits beyond the limit of their fixed window, as they come: state is (window, count) of each key, dropped when idle."""
+def refusals(events: DataFrame, *, key: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """Hits beyond the limit of their fixed window, as they come: state is (window, count) of each key, dropped once the watermark has passed its window."""
     kind = events.schema[key].dataType.simpleString()
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,11 +47,11 @@ def refusals(events: DataFrame, *, key: str, limit: int, seconds: int) -> DataFr
             if n > limit:
                 out.append((k[0], event, ts, int(w), n))
         state.update((int(at), int(n)))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max((int(at) + 2) * seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "event_id", "ts", "window", "nth"])
 
-    hits = events.select(key, "event_id", "ts", fixed_window(F.col("ts"), F.lit(seconds)).alias("w"))
-    return hits.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, ts timestamp, window long, nth long", "w long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    hits = events.withWatermark("ts", late).select(key, "event_id", "ts", fixed_window(F.col("ts"), F.lit(seconds)).alias("w"))
+    return hits.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, ts timestamp, window long, nth long", "w long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def burst_history(saves: DataFrame, *, doc: str, seconds: float = BURST_SECONDS) -> DataFrame:
