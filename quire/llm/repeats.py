@@ -105,7 +105,7 @@ class Chunk:
         at = (m & bits).astype(np.int64)  # anchor of the window that starts here
         valid = np.ones(len(at) + LENGTH, np.int8)
         for k in range(1, LENGTH):
-            valid[np.maximum(self.ends - k, 0)] = 0
+            valid[self.ends[self.ends >= k] - k] = 0
         valid = valid[: len(at)]
         opens = (valid > 0) & (np.append(True, at[1:] != at[:-1]) | np.append(True, valid[:-1] == 0))
         closes = (valid > 0) & np.append(opens[1:] | (valid[1:] == 0), True)
