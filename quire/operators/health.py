@@ -12,14 +12,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from ..functions import text as X
 
 BODY = ("paragraph", "list", "quote", "table", "caption", "footnote")
 #: Checks in their order, with their weights.
 WEIGHTS = {"hierarchy": 3, "fonts": 3, "heading_sizes": 3, "spacing": 2, "direct_formatting": 2, "numbering": 2, "alignment": 1, "tables": 1, "captions": 1, "page_breaks": 1, "links": 1}
-DOC = W.partitionBy("doc_id")
-IN_ORDER = DOC.orderBy("ord")
+
+
+def in_doc() -> WindowSpec:
+    return W.partitionBy("doc_id")
+
+
+def in_order() -> WindowSpec:
+    return in_doc().orderBy("ord")
 
 
 def filled(content: Column) -> Column:
@@ -39,7 +46,7 @@ def check(docs: DataFrame, found: DataFrame, name: str, status: Column, issues:
 def hierarchy(elements: DataFrame, docs: DataFrame) -> DataFrame:
     """Headings go down one level at a time; more than 600 words need some."""
     heads = elements.where("type = 'heading'").withColumn("lv", F.coalesce("level", F.lit(1)))
-    heads = heads.withColumn("gap", F.col("lv") > F.lag("lv").over(IN_ORDER) + 1)
+    heads = heads.withColumn("gap", F.col("lv") > F.lag("lv").over(in_order()) + 1)
     a = heads.groupBy("doc_id").agg(F.count("*").alias("heads"), F.count_if("gap").alias("gaps"))
     n = F.when(F.col("type").isin(*BODY), F.size(F.filter(F.split("content", r"(?U)\s+"), lambda w: w != ""))).otherwise(0)
     b = elements.groupBy("doc_id").agg(F.sum(n).alias("words"))
@@ -81,7 +88,7 @@ def spacing(elements: DataFrame, docs: DataFrame) -> DataFrame:
     each = full.groupBy("doc_id", "look").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     per = each.groupBy("doc_id").agg(F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("odd"))
     empty = elements.withColumn("empty", (F.col("type") == "paragraph") & ~filled(F.col("content")))
-    empty = empty.withColumn("island", F.sum(F.when(F.col("empty"), 0).otherwise(1)).over(IN_ORDER)).where("empty")
+    empty = empty.withColumn("island", F.sum(F.when(F.col("empty"), 0).otherwise(1)).over(in_order())).where("empty")
     runs = empty.groupBy("doc_id", "island").count().where("count >= 2").groupBy("doc_id").agg(F.count("*").alias("runs"))
     found = per.join(runs, "doc_id", "left")
     gaps = F.coalesce("runs", F.lit(0))
@@ -134,7 +141,7 @@ def tables(elements: DataFrame, docs: DataFrame) -> DataFrame:
 
 def captions(elements: DataFrame, docs: DataFrame) -> DataFrame:
     """Once some figures or tables have a caption beside them, all should."""
-    near = (F.coalesce(F.lag("type").over(IN_ORDER), F.lit("")) == "caption") | (F.coalesce(F.lead("type").over(IN_ORDER), F.lit("")) == "caption")
+    near = (F.coalesce(F.lag("type").over(in_order()), F.lit("")) == "caption") | (F.coalesce(F.lead("type").over(in_order()), F.lit("")) == "caption")
     seen = elements.withColumn("near", near)
     figure = F.col("type").isin("image", "table")
     per = seen.groupBy("doc_id").agg(F.count_if(figure).alias("figures"), F.count_if(figure & ~F.col("near")).alias("missing"), F.count_if(F.col("type") == "caption").alias("captions"))
@@ -146,8 +153,8 @@ def page_breaks(elements: DataFrame, docs: DataFrame) -> DataFrame:
     """Breaks stand between content: none before the first or after the last, none right after another."""
     is_break = F.col("type") == "page_break"
     content = ~is_break & (filled(F.col("content")) | F.col("type").isin("image", "table"))
-    seen = elements.withColumns({"before": F.count_if(content).over(IN_ORDER), "total": F.count_if(content).over(DOC)}).where(is_break)
-    seen = seen.withColumn("empty", F.col("before") == F.lag("before").over(IN_ORDER))
+    seen = elements.withColumns({"before": F.count_if(content).over(in_order()), "total": F.count_if(content).over(in_doc())}).where(is_break)
+    seen = seen.withColumn("empty", F.col("before") == F.lag("before").over(in_order()))
     per = seen.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if((F.col("before") == 0) | (F.col("before") == F.col("total"))).alias("edges"), F.count_if("empty").alias("doubled"))
     issues = (F.col("edges") > 0).cast("int") + (F.col("doubled") > 0).cast("int")
     return check(docs, per, "page_breaks", F.when(issues > 0, "warn").when(F.col("n") > 0, "pass"), issues)
