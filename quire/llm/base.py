@@ -56,7 +56,7 @@ def quoted(name: str) -> Column:
 def append_arrow(df: DataFrame, inputs: list[str], name: str, kind: T.DataType, make: Callable[[], Callable[..., pa.Array]]) -> DataFrame:
     """df and one more column, computed batch by batch. make() runs once in each task and returns a function of the input arrays.
 
-    Batches are cut to about 8 MB of the first input, so that a run of very long texts stays small in memory.
+    Batches are cut to about 2 MB of the first input, so that a run of very long texts stays small in memory.
     """
     where = [df.columns.index(c) for c in inputs]
     made = to_arrow_type(kind)
@@ -72,7 +72,7 @@ def append_arrow(df: DataFrame, inputs: list[str], name: str, kind: T.DataType,
     return df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
 
-def cut(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about `most` bytes together (one row at least)."""
     size = batch.column(column).nbytes
     if size <= most or batch.num_rows < 2:

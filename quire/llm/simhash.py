@@ -192,7 +192,7 @@ def candidate_links(distinct: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     packed = distinct.select("fp").repartition(1 + n // KEYED, "fp").mapInArrow(pack, "bucket long, keys binary, fps binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(link, "a long, b long").distinct()
+    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(link, "a long, b long").distinct()
 
 
 def group(prints: DataFrame, *, id_col: str, print_col: str) -> DataFrame:
