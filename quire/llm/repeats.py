@@ -347,9 +347,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = 1 + (packed.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES
     packed = packed.drop("size")
     sent = packed.mapInArrow(send_hashes(buckets), "bucket long, chunk long, hashes binary")
-    shared = sent.repartition(buckets, "bucket").mapInArrow(shared_hashes, "chunk long, bucket long, hashes binary")
+    shared = sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(shared_hashes, "chunk long, bucket long, hashes binary")
     flags = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "hashes")).alias("flags"))  # 4 bytes an anchor of the chunk at most
     blocks = packed.join(flags, "chunk", "left").mapInArrow(send_blocks(buckets), "bucket long, chunk long, rows binary, docs binary, first binary")
-    answers = blocks.repartition(buckets, "bucket").mapInArrow(answer_blocks, "chunk long, first binary, mask binary")
+    answers = blocks.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(answer_blocks, "chunk long, first binary, mask binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("first", "mask")).alias("answers"))  # 8 bytes a block of the chunk at most
     return packed.join(answers, "chunk", "left").mapInArrow(finish, OUT)
