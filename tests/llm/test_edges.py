@@ -266,3 +266,19 @@ def test_fingerprint_links_are_all_found(spark):
     got = {r.fp: r.component for r in simhash.group(table, id_col="id", print_col="fp").collect()}
     want = brute.components(list(enumerate(fps)))
     assert [got[r[1]] for r in rows] == want
+
+
+def test_pipeline_stages(spark, odd, none):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (odd.select(*plain), odd, none.select(*plain)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            assert out.columns[: len(docs.columns)] == docs.columns, name
+            assert name == "sharding" or out.columns == docs.columns
+            if docs is odd and name in ("toxicity", "decontamination", "sharding"):
+                assert out.count() == len(ODD)
+            elif not set(docs.columns) > set(plain):
+                out.count()
