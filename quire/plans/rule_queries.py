@@ -27,7 +27,7 @@ def rules(spark, d):
         F.when(p == 0, (8 + s % 10).cast("string")).when(p == 1, F.when(s % 2 == 0, "true").otherwise("no")).when(p == 2, F.when(s % 3 == 0, "#ff0000").when(s % 3 == 1, "plaid").otherwise("blue"))
         .when(p == 3, F.when(s % 2 == 0, "center").otherwise("justify")).otherwise((s % 40).cast("string"))
     )
-    return table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(
+    return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), F.when(n == 0, "Paragraph").when(n == 1, F.concat(F.lit("Heading "), (1 + s % 6).cast("string"))).otherwise("Quote").alias("target"),
         F.when(p == 0, "fontSize").when(p == 1, "bold").when(p == 2, "color").when(p == 3, "alignment").otherwise("indentLeft").alias("property"), value.alias("value"),
         F.when(p == 0, "pt").when(p == 4, "cm").alias("unit"), (1 + s % 7).cast("int").alias("priority"), F.lit("instruction").alias("source"), (F.col("l_linenumber").cast("long") * 100000000000 + F.col("l_partkey") * 10000 + s).alias("seq"),
