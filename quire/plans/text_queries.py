@@ -9,7 +9,7 @@ from ..functions import numbering as N
 from ..functions import text as X
 from ..functions import units as U
 from ..operators import segment as S
-from ..operators.compare import bag_missing, is_subsequence, occurs_in
+from ..operators.compare import bag_missing, following, is_subsequence, occurs_in
 from ..sources.tables import table
 from .catalogue import query
 
@@ -228,10 +228,14 @@ def d18_page_sizes(spark, d):
 
 @query("with w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from (select doc_id, " + WORDS.format("text") + " as ws from documents where doc_id % 10 = 1)), k as (select doc_id, unnest(ws) as word from (select doc_id + 1 as doc_id, " + WORDS.format("text") + " as ws from documents where doc_id % 10 = 0)), a as (select *, row_number() over (partition by doc_id, word order by pos) as n from w), b as (select doc_id, word, count(*) as n from k group by 1, 2) select a.doc_id, a.pos::integer as pos, a.word from a left join b on a.doc_id = b.doc_id and a.word = b.word where b.n is null or a.n > b.n")
 def j16_bag_missing(spark, d):
-    def rows(rest: int, shift: int):
-        return table(spark, d, "documents").where(F.col("doc_id") % 10 == rest).select((F.col("doc_id") + shift).alias("doc_id"), F.posexplode(X.words(F.col("text"))).alias("p", "word")).select("doc_id", (F.col("p") + 1).alias("pos"), "word")
+    """Each document against the one with the next smaller doc_id; the first, which has none, lacks all its words."""
+    docs = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
+    kept = docs.select(F.col("doc_id").alias("before"), "w").join(following(docs.select("doc_id"), "doc_id"), "before")
 
-    return bag_missing(rows(1, 0), rows(0, 1), key="doc_id", word="word", at="pos")
+    def rows(df):
+        return df.select("doc_id", F.posexplode("w").alias("p", "word")).select("doc_id", (F.col("p") + 1).alias("pos"), "word")
+
+    return bag_missing(rows(docs), rows(kept), key="doc_id", word="word", at="pos")
 
 
 @query("select doc_id, item_id, contains(' ' || array_to_string(" + WORDS.format("d.text") + ", ' ') || ' ', ' ' || array_to_string(list_slice(" + WORDS.format("b.text") + ", 1, 5), ' ') || ' ') as inside from documents d join benchmark b on b.item_id = d.doc_id % 40")

@@ -35,3 +35,24 @@ def test_rules_of_all_orders(spark, duck, name):
     if name in ("w2_resolved_styles", "p22_usable_rules"):
         found = catalogue.queries()[name](spark, SF).select("doc_id").distinct().count()
         assert found == docs if name == "w2_resolved_styles" else found > 0.9 * docs
+
+
+def test_bag_difference_of_every_document(spark, tmp_path):
+    from collections import Counter
+
+    docs = [(3, "b a b"), (4, "a c b b b"), (1500, "c a"), (9000, "x"), (9001, "x x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, before = [], Counter()
+    for k, text in docs:
+        left, before = before, Counter(text.split())
+        for at, w in enumerate(text.split(), 1):
+            if left[w] > 0:
+                left[w] -= 1
+            else:
+                want.append((k, at, w))
+    assert sorted(map(tuple, catalogue.queries()["j16_bag_missing"](spark, str(tmp_path)).collect())) == want
+
+
+def test_bag_difference_on_the_given_table(spark, duck):
+    words = r"regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}\p{No}]+')"
+    same(spark, duck, "j16_bag_missing", f"with p as (select doc_id, lag(doc_id) over (order by doc_id) as before, {words} as ws from documents), a as (select doc_id, word, pos, before, row_number() over (partition by doc_id, word order by pos) as n from (select doc_id, before, unnest(ws) as word, generate_subscripts(ws, 1) as pos from p)), b as (select doc_id, word, count(*) as n from (select doc_id, unnest(ws) as word from p) group by 1, 2) select a.doc_id, pos, a.word from a left join b on b.doc_id = a.before and b.word = a.word where b.n is null or a.n > b.n")
