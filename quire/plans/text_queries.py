@@ -9,7 +9,7 @@ from ..functions import numbering as N
 from ..functions import text as X
 from ..functions import units as U
 from ..operators import segment as S
-from ..operators.compare import bag_missing, following, is_subsequence, occurs_in
+from ..operators.compare import bag_missing, following, subsequences, windows_in
 from ..sources.tables import table
 from .catalogue import query
 
@@ -238,18 +238,21 @@ def j16_bag_missing(spark, d):
     return bag_missing(rows(docs), rows(kept), key="doc_id", word="word", at="pos")
 
 
+def worded(spark, d):
+    w = X.words(F.col("text")).alias("w")
+    return table(spark, d, "documents").select("doc_id", w), table(spark, d, "benchmark").select("item_id", w)
+
+
 @query("select doc_id, item_id, contains(' ' || array_to_string(" + WORDS.format("d.text") + ", ' ') || ' ', ' ' || array_to_string(list_slice(" + WORDS.format("b.text") + ", 1, 5), ' ') || ' ') as inside from documents d join benchmark b on b.item_id = d.doc_id % 40")
 def o14_contiguous_words(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.slice(X.words(F.col("text")), 1, 5).alias("run"))
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.words(F.col("text")).alias("w"))
-    return docs.join(b, "item_id").select("doc_id", "item_id", occurs_in(F.col("run"), F.col("w")).alias("inside"))
+    """All runs of five words of all items, in all documents: a row for each run that is there."""
+    return windows_in(*worded(spark, d), size=5)
 
 
 @query()
 def o13_subsequence(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.slice(X.words(F.col("text")), 1, 3).alias("run"))
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.words(F.col("text")).alias("w"))
-    return docs.join(b, "item_id").select("doc_id", "item_id", is_subsequence(F.col("run"), F.col("w")).alias("inside"))
+    """Whole items in all documents: a row for each pair whose item is there."""
+    return subsequences(*worded(spark, d))
 
 
 BYTES = [("utf8", "здравей".encode()), ("bom", b"\xef\xbb\xbfabc"), ("cp1251", "здравей".encode("cp1251")), ("latin", b"caf\xe9 \x98"), ("pdf", b"%PDF-1.7 x"), ("late pdf", b"\x00" * 10 + b"%PDF-1.4"), ("zip", b"PK\x03\x04rest"), ("png", b"\x89PNG\r\n\x1a\n"), ("jpeg", b"\xff\xd8\xff\xe0"), ("nul", b"a\x00b"), ("utf16", b"\xff\xfea\x00")]

@@ -56,3 +56,35 @@ def test_bag_difference_of_every_document(spark, tmp_path):
 def test_bag_difference_on_the_given_table(spark, duck):
     words = r"regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}\p{No}]+')"
     same(spark, duck, "j16_bag_missing", f"with p as (select doc_id, lag(doc_id) over (order by doc_id) as before, {words} as ws from documents), a as (select doc_id, word, pos, before, row_number() over (partition by doc_id, word order by pos) as n from (select doc_id, before, unnest(ws) as word, generate_subscripts(ws, 1) as pos from p)), b as (select doc_id, word, count(*) as n from (select doc_id, unnest(ws) as word from p) group by 1, 2) select a.doc_id, pos, a.word from a left join b on b.doc_id = a.before and b.word = a.word where b.n is null or a.n > b.n")
+
+
+def benchmarked(spark, folder):
+    docs = [(1, "the cat sat on the mat and slept"), (2, "a b a b a b a b"), (3, ""), (4, "mat the on sat cat the"), (5, "zero one two three four five six"), (6, "one two")]
+    items = [(0, "the cat sat on the mat and slept"), (41, "b a b a b a b"), (77, "one two"), (150, "nothing before zero one two three four"), (199, "the mat slept"), (200, "..."), (201, "sat cat the")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return [(d, t.split()) for d, t in docs], [(i, t.replace(".", "").split()) for i, t in items]
+
+
+def test_runs_of_all_items_in_all_documents(spark, tmp_path):
+    docs, items = benchmarked(spark, tmp_path)
+    want = set()
+    for i, needed in items:
+        n = min(5, len(needed))
+        for at in range(len(needed) - n + 1) if n else ():
+            want |= {(d, i, at + 1) for d, w in docs if any(w[k : k + n] == needed[at : at + n] for k in range(len(w) - n + 1))}
+    got = catalogue.queries()["o14_contiguous_words"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "at").collect()) == sorted(want)
+    assert {i for _, i, _ in want} == {0, 41, 77, 150, 201}
+
+
+def test_whole_items_in_order_in_all_documents(spark, tmp_path):
+    docs, items = benchmarked(spark, tmp_path)
+
+    def in_order(needed, found):
+        rest = iter(found)
+        return all(w in rest for w in needed)
+
+    want = sorted((d, i) for d, w in docs for i, needed in items if needed and in_order(needed, w))
+    assert sorted(map(tuple, catalogue.queries()["o13_subsequence"](spark, str(tmp_path)).collect())) == want
+    assert (1, 199) in want and (5, 77) in want and (4, 201) in want
