@@ -165,11 +165,9 @@ def o6_nearest_level(spark, d):
 
 
 @query(with_(ELEMENTS) + "select doc_id, element_id, least(6, dense_rank() over (partition by doc_id order by size desc, bold desc, italic))::integer as level from (select *, count(*) over (partition by doc_id) as n from (select e.doc_id, element_id, length(content) % 4 + 10.0 as size, length(content) % 7 = 0 as bold, false as italic, p.paragraphs from elements e join (select doc_id, count(*) as paragraphs, arg_min(size, (-w, s)) as bs, arg_min(bold, (-w, s)) as bb from (select doc_id, size, bold, sum(wt) as w, min(ord) as s from (select doc_id, ord, length(content) % 4 + 10.0 as size, length(content) % 7 = 0 as bold, greatest(1, length(trim(content))) as wt from elements where type = 'paragraph' and content <> '') group by 1, 2, 3) group by 1) p on p.doc_id = e.doc_id where false)) where n * 2 <= paragraphs")
-def o5_inferred_levels_none(spark, d):
-    """Documents with headings of their own get no inferred ones: of those that have none no element qualifies here."""
+def o5_inferred_levels(spark, d):
+    """Heading levels inferred in documents that have no headings of their own."""
     from ..operators import segment as S
 
     e = elements(spark, d).withColumns({"size": (F.length("content") % 4 + 10.0), "bold": F.length("content") % 7 == 0, "italic": F.lit(False)})
-    heads = e.where("type = 'heading'").select("doc_id").distinct()
-    with_heads = e.join(heads, "doc_id", "left_semi")
-    return S.inferred_levels(S.heading_candidates(with_heads), with_heads.where("type = 'paragraph' and content != ''"))
+    return S.inferred_levels(S.heading_candidates(e), e.where("type = 'paragraph' and content != ''"))

@@ -1,5 +1,7 @@
 """Queries do the whole job: against SQL or plain models of all rows, where the registered SQL covers a part only."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -88,3 +90,28 @@ def test_whole_items_in_order_in_all_documents(spark, tmp_path):
     want = sorted((d, i) for d, w in docs for i, needed in items if needed and in_order(needed, w))
     assert sorted(map(tuple, catalogue.queries()["o13_subsequence"](spark, str(tmp_path)).collect())) == want
     assert (1, 199) in want and (5, 77) in want and (4, 201) in want
+
+
+def test_levels_inferred_where_there_are_no_headings(spark, tmp_path):
+    import re
+    from collections import defaultdict
+
+    rng = random.Random(5)
+    docs = [(k, "\n".join("w" * rng.randrange(1, 14) + " " + "x" * rng.randrange(1, 30) + rng.choice(["", "", "."]) for _ in range(rng.randrange(1, 6)))) for k in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, text in docs:
+        lines = text.split("\n")
+        if len(lines) > 3:  # the fourth line is a heading; up to three are all paragraphs
+            continue
+        looks = [(len(c) % 4 + 10.0, len(c) % 7 == 0) for c in lines]
+        weight, first = defaultdict(int), {}
+        for k, c in enumerate(lines):
+            weight[looks[k]] += max(1, len(c.strip(" ")))
+            first.setdefault(looks[k], k)
+        size, bold = min(weight, key=lambda x: (-weight[x], first[x]))
+        out = [k for k, c in enumerate(lines) if not re.search(r"[.,;]$", c) and (looks[k][0] >= size + 1 or (looks[k][1] and not bold))]
+        ranks = sorted({looks[k] for k in out}, key=lambda x: (-x[0], not x[1]))
+        want |= {(d, f"{d}-{k}"): ranks.index(looks[k]) + 1 for k in out} if len(out) * 2 <= len(lines) else {}
+    got = catalogue.queries()["o5_inferred_levels"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.element_id): r.level for r in got} == want and len(got) == len(want) > 0
