@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from quire.plans import catalogue, rule_queries
+from quire.plans import catalogue, health_queries, rule_queries
 from quire.plans.relations import with_
 
 from .test_catalogue import SF, TABLES, rows
@@ -115,3 +115,26 @@ def test_levels_inferred_where_there_are_no_headings(spark, tmp_path):
         want |= {(d, f"{d}-{k}"): ranks.index(looks[k]) + 1 for k in out} if len(out) * 2 <= len(lines) else {}
     got = catalogue.queries()["o5_inferred_levels"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.element_id): r.level for r in got} == want and len(got) == len(want) > 0
+
+
+NUMBERING = r"""h as (select doc_id, ord, string_split(regexp_extract(content, '^\s*([0-9]+(?:\.[0-9]+)*)[.)]?\s+\S', 1), '.') as parts from elements where type = 'heading'),
+        n as (select doc_id, ord, parts[-1]::bigint as own, array_to_string(list_transform(parts[:-2], lambda x: x::bigint), '.') as parent from h where parts[1] <> ''),
+        o as (select *, own <> coalesce(lag(own) over (partition by doc_id, parent order by ord), 0) + 1 as odd from n),
+        a as (select doc_id, count(*) as numbered, count(*) filter (where odd) as odds from o group by 1),
+        l as (select doc_id, count(*) as lists, count(*) filter (where regexp_matches(content, '^\s*[0-9]+[.)]\s')) as typed from elements where type = 'list' and ordered group by 1)
+        select doc_id, case when numbered is null and lists is null then 'skip' when odds > 0 then 'fail' when typed > 0 then 'warn' else 'pass' end as status, coalesce(odds, 0) + coalesce((typed > 0)::int, 0) as issues from all_docs left join a using (doc_id) left join l using (doc_id)"""
+
+
+def test_scores_of_all_eleven_checks(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    docs = [(k, "\n".join(rng.choice(["", "1. ", "2) ", "1.1 ", f"{j // 11 + 1}. "] if k % 2 or j % 11 != 3 else [""]) + "word " * rng.randrange(1, 20) for j in range(rng.choice([3, 10, 30, 80])))) for k in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    ten = sorted(con.execute(health_queries.score_sql()).fetchall())
+    monkeypatch.setitem(health_queries.CHECKS, "numbering", NUMBERING)
+    states = {r[0] for r in con.execute("select distinct status from (" + health_queries.sql_of("numbering") + ")").fetchall()}
+    want = sorted(con.execute(health_queries.score_sql()).fetchall())
+    got = catalogue.queries()["a13_health_score"](spark, str(tmp_path))
+    assert sorted((r.doc_id, r.score, r.rating) for r in got.collect()) == want != ten
+    assert states == {"skip", "pass", "warn", "fail"}
