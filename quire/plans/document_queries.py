@@ -100,14 +100,13 @@ def v1_word_check(spark, d):
 
 @query("select conv_id, turn, true as verified from conversations where turn % 3 = 0")
 def v1_verified_pairs(spark, d):
-    out = C.compare_words(pairs(spark, d).where("turn % 3 = 0"), keys=["conv_id", "turn"], source="source", result="result")
+    out = C.compare_words(pairs(spark, d), keys=["conv_id", "turn"], source="source", result="result")
     return out.where("verified").select("conv_id", "turn", "verified")
 
 
 @query("select conv_id, turn, cast([] as varchar[]) as missing, case when turn % 3 = 1 then ['17'] else cast([] as varchar[]) end as added from conversations where not regexp_matches(text, '[0-9]')")
 def o12_changed_numbers(spark, d):
-    rows = pairs(spark, d).where(~F.col("source").rlike("[0-9]"))
-    return C.changed_numbers(rows, keys=["conv_id", "turn"], source="source", result="result")
+    return C.changed_numbers(pairs(spark, d), keys=["conv_id", "turn"], source="source", result="result")
 
 
 @query("select conv_id, turn::integer as ord, row_number() over (partition by conv_id order by turn)::integer as number from conversations")
@@ -196,7 +195,7 @@ def s10_markdown_elements(spark, d):
 
 @query("select conv_id, count(*) as elements, true as same from conversations where trim(text) <> '' and turn < 6 group by 1")
 def k1_word_round_trip(spark, d):
-    rows = table(spark, d, "conversations").where("trim(text) != '' and turn < 6").select("conv_id", F.col("turn").alias("ord"), F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("type"), F.lit(1).alias("level"), F.col("text").alias("content"))
+    rows = table(spark, d, "conversations").where("trim(text) != ''").select("conv_id", F.col("turn").alias("ord"), F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("type"), F.lit(1).alias("level"), F.col("text").alias("content"))
     back = docx.elements(docx.packages(rows, key="conv_id").select(F.col("conv_id").cast("string").alias("key"), "content"))
     own = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("ord", "content"))).alias("a"))
     read = back.groupBy(F.col("key").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "content"))).alias("b"))

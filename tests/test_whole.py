@@ -138,3 +138,26 @@ def test_scores_of_all_eleven_checks(spark, tmp_path, monkeypatch):
     got = catalogue.queries()["a13_health_score"](spark, str(tmp_path))
     assert sorted((r.doc_id, r.score, r.rating) for r in got.collect()) == want != ten
     assert states == {"skip", "pass", "warn", "fail"}
+
+
+def conversations(spark, folder, rows):
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+
+
+def test_every_turn_is_written_and_read_again(spark, duck, tmp_path):
+    conversations(spark, tmp_path, [(1, k, f"turn {k} of a long talk") for k in range(25)] + [(2, 9, "late only"), (3, 0, "  ")])
+    got = catalogue.queries()["k1_word_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 25, True), (2, 1, True)]
+    same(spark, duck, "k1_word_round_trip", catalogue.oracle_sql()["k1_word_round_trip"].replace(" and turn < 6", ""))
+
+
+def test_numbers_lost_are_told(spark, tmp_path):
+    conversations(spark, tmp_path, [(1, 0, "8 of 9"), (1, 1, "3 cats"), (1, 2, "7 dogs and 7 cats and 12"), (1, 5, "no digits")])
+    got = catalogue.queries()["o12_changed_numbers"](spark, str(tmp_path)).select("turn", "missing", "added").collect()
+    assert sorted(map(tuple, got)) == [(0, [], []), (1, [], ["17"]), (2, ["7"], []), (5, [], [])]
+
+
+def test_pairs_of_every_turn_are_verified(spark, tmp_path):
+    conversations(spark, tmp_path, [(1, 0, "a b"), (1, 1, "a b"), (1, 2, "alone"), (1, 3, "c"), (1, 5, "one two")])
+    got = catalogue.queries()["v1_verified_pairs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, True), (1, 2, True), (1, 3, True)]
