@@ -57,10 +57,23 @@ def fail_interrupted(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status").isin("pending", "running"), "failed").otherwise(F.col("status")))
 
 
+def placed(jobs: DataFrame, head_start_minutes: int = 10) -> DataFrame:
+    place = F.col("created_at") - F.when(F.col("priority"), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(head_start_minutes))).otherwise(F.make_dt_interval(F.lit(0)))
+    return jobs.withColumn("place", place)
+
+
 def queue_order(jobs: DataFrame, *, head_start_minutes: int = 10) -> DataFrame:
     """Jobs by enqueue time, a priority job counted as enqueued head_start_minutes earlier."""
-    place = F.col("created_at") - F.when(F.col("priority"), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(head_start_minutes))).otherwise(F.make_dt_interval(F.lit(0)))
-    return jobs.withColumn("place", place).orderBy("place", "id")
+    return placed(jobs, head_start_minutes).orderBy("place", "id")
+
+
+def queue_places(jobs: DataFrame, *, head_start_minutes: int = 10) -> DataFrame:
+    """jobs with nth, each one's number in queue_order from 1: jobs are counted by hour, only the hours' counts meet in one task."""
+    hourly = placed(jobs, head_start_minutes).withColumn("_h", F.date_trunc("hour", "place"))
+    before = F.sum("_n").over(W.orderBy("_h").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
+    hours = hourly.groupBy("_h").agg(F.count("*").alias("_n")).select("_h", before.alias("_before"))
+    within = hourly.withColumn("_k", F.row_number().over(W.partitionBy("_h").orderBy("place", "id")))
+    return within.join(hours, "_h").withColumn("nth", F.col("_before") + F.col("_k")).drop("_h", "_k", "_before")
 
 
 def summaries(documents: DataFrame, templates: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def p6_interrupted_jobs(spark, d):
 @query("select event_id as id from events order by ts - case when event_type = 'purchase' then interval 10 minute else interval 0 minute end, event_id limit 100")
 def e10_queue_order(spark, d):
     jobs = events(spark, d).select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), (F.col("event_type") == "purchase").alias("priority"))
-    return C.queue_order(jobs).limit(100).select("id")
+    return C.queue_places(jobs).select("id", "nth")
 
 
 @query("select least(max_mb, 50) as mb, p_partkey from (select p_partkey, p_size * 2 as max_mb from part)")

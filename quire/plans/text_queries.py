@@ -51,7 +51,6 @@ select doc_id, chunk::integer as chunk_no, max(size)::bigint as chars from fold
 @query(PACK.format(b=BLOCKS.format("replace(text, chr(10), chr(10) || chr(10))")))
 def g1_packed_chunks(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    docs = docs.where((F.length(S.unified(F.col("text"))) > 9000) & ~F.exists(S.blocks(F.col("text")), lambda b: F.length(b) > 9000))
     return S.chunks(docs, doc="doc_id", text="text", limit=9000).select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("chars"))
 
 
@@ -217,7 +216,7 @@ def d16_unit_conversion(spark, d):
 @query("select l_orderkey, l_linenumber, rtrim(rtrim(printf('%.4f', l_quantity / 20 * 1.15), '0'), '.') as height from lineitem where l_quantity < 20")
 def d17_line_heights(spark, d):
     q = F.col("l_quantity") / 20
-    return table(spark, d, "lineitem").where("l_quantity < 20").select("l_orderkey", "l_linenumber", U.line_height(q.cast("string"), F.lit(None).cast("string")).alias("height"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", U.line_height(q.cast("string"), F.lit(None).cast("string")).alias("height"))
 
 
 @query("select size, orientation, case when orientation = 'landscape' then h else w end as width, case when orientation = 'landscape' then w else h end as height from (select size, orientation, (case size when 'Letter' then 215.9 when 'Legal' then 215.9 else 210.0 end)::double as w, (case size when 'Letter' then 279.4 when 'Legal' then 355.6 else 297.0 end)::double as h from (values ('A4'), ('Letter'), ('Legal'), ('A5')) a(size), (values ('portrait'), ('landscape')) b(orientation))")

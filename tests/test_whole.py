@@ -161,3 +161,35 @@ def test_pairs_of_every_turn_are_verified(spark, tmp_path):
     conversations(spark, tmp_path, [(1, 0, "a b"), (1, 1, "a b"), (1, 2, "alone"), (1, 3, "c"), (1, 5, "one two")])
     got = catalogue.queries()["v1_verified_pairs"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 0, True), (1, 2, True), (1, 3, True)]
+
+
+def test_line_heights_of_all_quantities(spark, duck):
+    same(spark, duck, "d17_line_heights", catalogue.oracle_sql()["d17_line_heights"].replace(" where l_quantity < 20", ""))
+
+
+def test_every_event_has_its_place_in_the_queue(spark, duck):
+    same(spark, duck, "e10_queue_order", "select event_id as id, row_number() over (order by ts - case when event_type = 'purchase' then interval 10 minute else interval 0 minute end, event_id) as nth from events")
+
+
+def test_chunks_of_short_texts_and_long_lines(spark, tmp_path):
+    rng = random.Random(7)
+    word = lambda: "x" * rng.randrange(1, 12)
+    lines = {1: ["short"], 2: [" ".join(word() for _ in range(4000)), "end"], 3: ["y" * 20000, "z"], 4: ["a" * 4000] * 9, 5: ["b" * 8999, "c", "d" * 9001], 6: ["e" * 9000]}
+    spark.createDataFrame([(k, "\n".join(v)) for k, v in lines.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, own in lines.items():
+        sizes = []
+        for line in own:
+            while len(line) > 9000:
+                at = line.rfind(" ", 0, 9001)
+                sizes.append(at if at > 0 else 9000)
+                line = line[at + 1 :] if at > 0 else line[9000:]
+            sizes.append(len(line))
+        packed = [sizes[0]]
+        for n in sizes[1:]:
+            if packed[-1] + 2 + n > 9000:
+                packed.append(n)
+            else:
+                packed[-1] += 2 + n
+        want += [(k, j, n) for j, n in enumerate(packed)]
+    assert sorted(map(tuple, catalogue.queries()["g1_packed_chunks"](spark, str(tmp_path)).collect())) == want
