@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_path, quoted
+from .base import fresh, new_path, quoted
 
 
 @dataclass(frozen=True)
@@ -51,23 +51,45 @@ ADDED = (
 )
 RULES = BASE + ADDED
 SPAN = "array<struct<start:int,end:int>>"
+STEPS = "array<struct<gap:int,hit:int,own:int>>"
+#: Matches whose places are summed up at once.
+RUN = 256
 LEDGER = f"blob binary, rule string, version int, spans {SPAN}"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Places (code points, end exclusive) of a rule's matches."""
+def matched(text: Column, rule: Rule) -> Column:
+    """A rule's matches as (gap before it, its length, length of the group that counts), in code points."""
     pieces, found = F.split(text, rule.pattern), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("gap"), found.alias("hit"), kept.alias("own"))
+    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("gap"), found.alias("hit"), kept.alias("own"))
+    steps = F.transform(zipped, lambda s: F.struct(F.length(s["gap"]).alias("gap"), F.length(s["hit"]).alias("hit"), F.length(s["own"]).alias("own")))
+    return F.when(text.rlike(rule.hint or rule.pattern), steps).otherwise(F.array().cast(STEPS))
+
+
+def spans(steps: Column, least: int) -> Column:
+    """Places (code points, end exclusive) of the matches that are long enough.
+
+    The matches are taken in runs of RUN: first each run's length, then the run's own places, so the work is in
+    proportion to their number. `steps` should be a column, since it is read several times.
+    """
+    first = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    length = F.transform(first, lambda b: F.aggregate(F.slice(steps, b, RUN), F.lit(0), lambda n, s: n + s["gap"] + s["hit"]))
+
+    def add(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    begin = F.aggregate(length, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
 
     def one(acc: Column, s: Column) -> Column:
-        start = acc["at"] + F.length(s["gap"])
-        end = start + F.length(s["hit"])
+        start = acc["at"] + s["gap"]
+        end = start + s["hit"]
         here = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(s["own"]) >= rule.least, F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(s["own"] >= least, F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"))
+
+    def run(z: Column) -> Column:
+        return F.aggregate(F.slice(steps, z["first"], RUN), F.struct(z["begin"].alias("at"), F.array().cast(SPAN).alias("out")), one)["out"]
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(text.rlike(rule.hint or rule.pattern), F.aggregate(steps, zero, one)["out"]).otherwise(F.array().cast(SPAN))
+    return F.flatten(F.transform(F.arrays_zip(first.alias("first"), begin.alias("begin")), run))
 
 
 def address(content: Column) -> Column:
@@ -90,30 +112,36 @@ def scan_new(versions: DataFrame, ledger: DataFrame, *, content_col: str = "cont
     todo = blobs.join(known, "blob", "left")
     ask = [~F.coalesce(F.array_contains("known", f"{r.kind}@{r.version}"), F.lit(False)) for r in rules]
     todo = todo.where(F.greatest(*(a.cast("int") for a in ask)) == 1) if len(ask) > 1 else todo.where(ask[0])
-    entries = F.array(*(F.when(a, F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r, a in zip(rules, ask)))
+    todo = todo.select("blob", *(F.when(a, matched(F.col("text"), r)).alias(f"s{k}") for k, (r, a) in enumerate(zip(rules, ask))))
+    entries = F.array(*(F.when(F.col(f"s{k}").isNotNull(), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(F.col(f"s{k}"), r.least).alias("spans"))) for k, r in enumerate(rules)))
     found = todo.select("blob", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
     return found.select("blob", "e.rule", "e.version", "e.spans")
 
 
 def findings(versions: DataFrame, ledger: DataFrame, *, content_col: str = "content", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """versions and a column `findings`: array of (kind, start, end) of the given rule versions, by start and the rules' order."""
+    """versions and, as the last column, the array of (kind, start, end) of the given rule versions, by start and the rules' order.
+
+    The column is named by `fresh` from "findings", so that columns of versions stay as they are, whatever their names.
+    """
     rank = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (f"{r.kind}@{r.version}", k)))
     hits = ledger.where(F.size("spans") > 0).withColumn("rank", F.element_at(rank, F.concat_ws("@", "rule", "version"))).where("rank is not null")
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("rule").alias("kind")))
+    own, key, told, name = (fresh(x, versions) for x in ("_own", "_blob", "_told", "findings"))
     # a ledger may have a row twice, if a scan was repeated: distinct spans of at most len(rules) rows a blob
-    by_blob = hits.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(each)))).alias("_found"))
-    out = versions.withColumn("_blob", address(quoted(content_col)))
-    out = out.join(by_blob, out["_blob"] == by_blob["blob"], "left").drop("blob", "_blob")
-    tidy = F.transform(F.coalesce("_found", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.withColumn("findings", tidy).drop("_found")
+    by_blob = hits.groupBy(F.col("blob").alias(key)).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(each)))).alias(told))
+    out = versions.withColumn(own, address(quoted(content_col)))
+    out = out.join(by_blob, F.col(own) == F.col(key), "left")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    tidy = F.transform(F.coalesce(F.col(told), none), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return out.select(*(quoted(c) for c in versions.columns), tidy.alias(name))
 
 
 def scan(versions: DataFrame, *, content_col: str = "content", path: str | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
     """Scans what the ledger at `path` has not seen, adds it there, and returns all versions with their findings, and the path.
 
     A null content is the empty blob; empty versions, blobs of any length and repeated rows are scanned like others; an
-    empty table adds nothing and returns nothing. Columns named blob, findings, _blob or _found belong to the operator:
-    select others before. A ledger that does not exist yet is begun.
+    empty table adds nothing and returns nothing. The findings are the last column, named by `fresh`; columns of versions
+    may have any names. A ledger that does not exist yet is begun.
     """
     spark = versions.sparkSession
     base = path or new_path(spark, "ledger")
