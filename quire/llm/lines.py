@@ -1,10 +1,10 @@
 """Quality rules by cross-document line frequency.
 
 Lines are normalised (lower case, digits to 0, blanks squeezed) and hashed. For each host the number of distinct documents
-with a line is counted; lines above the limit are removed, and a document is rejected if too little of it is left.
-Documents are told apart by their content, so that exact copies count once and do not condemn each other. The counts are
-partial before they are shuffled; the frequent lines are broadcast if there are few, else joined by salted keys.
-All of it is DataFrame expressions.
+with a line is counted; lines above the host's limit are removed, and a document is rejected if too little of it is left.
+The limit is a share of the host's distinct documents, and FLOOR at least. Documents are told apart by their content, so
+that exact copies count once and do not condemn each other. The counts are partial before they are shuffled; the frequent
+lines are broadcast if there are few, else joined by salted keys. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from .base import fresh, quoted, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: A line may be in so many distinct documents of a host.
-LIMIT = 100
+#: A line may be in this share of a host's distinct documents, and in FLOOR of them in any case.
+SHARE, FLOOR = 0.01, 5
 #: A document is depleted if fewer words, or a smaller share of its words, are left.
 LEAST_WORDS, LEAST_SHARE = 10, 0.2
 #: Frequent lines that are broadcast at most (24 bytes each).
@@ -72,6 +72,16 @@ def base_failed(rules: Column) -> Column:
     return (rules["n_words"] < 10) | (rules["n_repeat_words"] * 100 > rules["n_words"] * 20)
 
 
+def sized(x: Column) -> Column:
+    """A value with its length before it, null as "-": strings of these stand for one list of values only."""
+    return F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+
+
+def row_key(*columns: Column) -> Column:
+    """SHA-256 of a row's values, nulls told apart."""
+    return F.unhex(F.sha2(F.concat(*(sized(c.cast("string")) for c in columns)).cast("binary"), 256))
+
+
 def line_rows(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     """(_row, pos, host, line hash, words) of every line with a word."""
     text = F.coalesce(quoted(text_col), F.lit(""))
@@ -79,13 +89,20 @@ def line_rows(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     return rows.select("_row", "pos", "host", F.xxhash64(normal(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).alias("words"))
 
 
-def frequent_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(host, line) of the lines found in more than `limit` distinct documents of a host; null is a host of its own."""
+def frequent_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", share: float = SHARE, floor: int = FLOOR) -> DataFrame:
+    """(host, line) of the lines found in more distinct documents of a host than its limit; null is a host of its own.
+
+    Each document also sends its host a null line, so that one count gives the hosts' sizes too.
+    """
     text = F.coalesce(quoted(text_col), F.lit(""))
     own = F.array_distinct(F.transform(lines_of(text), lambda x: F.xxhash64(normal(x))))
+    own = F.concat(F.array(F.lit(None).cast("long")), own)
     rows = docs.select(quoted(host_col).cast("string").alias("host"), F.xxhash64(text).alias("doc"), F.explode(own).alias("line"))
     # a copy of a document adds nothing: distinct (host, line, document) are merged before and after the shuffle
-    return rows.distinct().groupBy("host", "line").count().where(F.col("count") > limit).select("host", "line")
+    counts = written(rows.distinct().groupBy("host", "line").count().where((F.col("count") > floor) | F.col("line").isNull()), "counts")
+    sizes = counts.where("line is null").select(F.col("host").alias("_host"), F.col("count").alias("_docs"))
+    lines = counts.where("line is not null")
+    return lines.join(sizes, lines.host.eqNullSafe(F.col("_host"))).where(F.col("count") > F.lit(share) * F.col("_docs")).select("host", "line")
 
 
 def removed_words(docs: DataFrame, frequent: DataFrame, n: int, *, host_col: str, text_col: str) -> DataFrame:
@@ -103,15 +120,16 @@ def removed_words(docs: DataFrame, frequent: DataFrame, n: int, *, host_col: str
     return hit.groupBy("_row").agg(F.sum("words").alias("removed"))
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", share: float = SHARE, floor: int = FLOOR, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """(id, the base counts, base_failed, n_removed_words, kept) for every row of docs.
 
     Null texts have no lines or words and fail the base rules; the null host is a host; repeated rows share their counts
-    (rows are told apart by id and content, and copies of a document count once per host); an empty table gives no rows.
+    (rows are told apart by id, host and text, and copies of a document count once per host); an empty table gives no
+    rows. Texts of any length are read whole. Only the three named columns are read, so others may have any names.
     """
     rows = docs.select(quoted(id_col).alias("id"), quoted(host_col).cast("string").alias("host"), quoted(text_col).alias("text"))
-    rows = rows.withColumn("_row", F.xxhash64("id", "host", "text"))
-    frequent = written(frequent_lines(rows, host_col="host", text_col="text", limit=limit), "lines")
+    rows = rows.withColumn("_row", row_key(F.col("id"), F.col("host"), F.col("text")))
+    frequent = written(frequent_lines(rows, host_col="host", text_col="text", share=share, floor=floor), "lines")
     base, name = base_rules(rows, "text")
     lost = removed_words(rows, frequent, frequent.count(), host_col="host", text_col="text")
     copies = base.select("id", "_row", F.col(name).alias("r"))

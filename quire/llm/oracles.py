@@ -54,7 +54,8 @@ win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as win from (select d
 rep as (select doc_id, count(distinct pos) as n from (select doc_id, unnest(range(i, i + 5)) as pos from (select *, count(*) over (partition by doc_id, win) as c from win) where c > 1) group by 1),
 ln as (select doc_id, source, t, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {filled}))) as line from d),
 nl as (select doc_id, source, t, {normal} as line, len(regexp_extract_all(line, {word})) as words from ln),
-freq as (select source, line from nl group by 1, 2 having count(distinct t) > {lines.LIMIT}),
+hosts as (select source, count(distinct t) as docs from d group by 1),
+freq as (select source, line from (select source, line, count(distinct t) as n from nl group by 1, 2) c where n > {lines.FLOOR} and n > {lines.SHARE}::double * (select docs from hosts h where h.source is not distinct from c.source)),
 lost as (select doc_id, sum(words) as n from nl where exists (select 1 from freq f where f.line = nl.line and f.source is not distinct from nl.source) group by 1),
 r as (select a.doc_id, len(w)::bigint as n_words, list_sum(list_transform(w, lambda x: length(x))) as chars, length(t) - length(translate(t, {quoted(lines.SYMBOLS)}, '')) as symbols, len(ls) - len(list_distinct(ls)) as dup, coalesce(rep.n, 0) as rep, coalesce(lost.n, 0) as lost from a left join rep using (doc_id) left join lost using (doc_id)),
 f as (select *, n_words < 10 or 100 * rep > 20 * n_words as failed from r)

@@ -36,7 +36,9 @@ def bag(rows):
 
 def test_secrets(spark, odd, none, tmp_path):
     rows = odd.withColumnRenamed("text", "content").drop("fp")
-    out, _ = secrets.scan(rows)
+    out, _ = secrets.scan(rows.selectExpr("*", "1 as blob", "2 as findings", "3 as _found", "4 as _blob"))
+    assert out.columns[:-1] == [*rows.columns, "blob", "findings", "_found", "_blob"]
+    out = out.withColumn("findings", out[out.columns[-1]])
     base = tuple(r.kind for r in secrets.BASE)
     got = [(r.content, brute.sha(",".join(f"{f.kind}:{f.start}:{f.end}" for f in r.findings if f.kind in base))) for r in out.collect()]
     assert Counter(got) == Counter((t, brute.secrets(t)[1]) for _, t, *_ in ODD)
@@ -72,18 +74,19 @@ def test_contamination(spark, odd, none):
 
 
 def test_rules(spark, odd, none):
-    out = lines.judge(odd, limit=1).collect()
+    out = lines.judge(odd, share=0, floor=1).collect()
     assert bag((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out) == bag(brute.rules(t) for _, t, *_ in ODD)
     assert lines.judge(none).count() == 0
     shared = "this line stands in many documents of one host"
     many = spark.createDataFrame([(i, f"{shared}\n{'own words ' * 6} {i} and some more of it", "h") for i in range(5)] + [(9, shared + "\nwords 1 2", "h"), (10, shared + "\nwords 1 2", "h"), (11, shared + "\nother", "g")], "doc_id long, text string, source string")
-    got = {r.id: (r.n_removed_words, r.kept) for r in lines.judge(many, limit=5).collect()}
+    got = {r.id: (r.n_removed_words, r.kept) for r in lines.judge(many, share=0, floor=5).collect()}
     assert got[0][0] == 9 and got[9] == (9, False) and got[10] == (9, False) and got[11][0] == 0
 
 
 def test_salted_join_of_frequent_lines_agrees(spark, odd):
-    rows = odd.selectExpr("doc_id as id", "source as host", "text").selectExpr("*", "xxhash64(id, host, text) as _row")
-    frequent = lines.frequent_lines(rows, host_col="host", text_col="text", limit=0).cache()
+    rows = odd.selectExpr("doc_id as id", "source as host", "text")
+    rows = rows.withColumn("_row", lines.row_key(rows.id, rows.host, rows.text))
+    frequent = lines.frequent_lines(rows, host_col="host", text_col="text", share=0, floor=0).cache()
     a, b = (bag(lines.removed_words(rows, frequent, n, host_col="host", text_col="text").collect()) for n in (0, lines.BROADCAST_ROWS + 1))
     assert a == b and a
 
