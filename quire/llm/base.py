@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and runs in one process (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/quire"
 
 
@@ -20,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all run in one process, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    held = None if found else spark.sparkContext.getCheckpointDir()
+    if held:
+        found = held.rsplit("/", 1)[0]
     if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held.rsplit("/", 1)[0] if held else LOCAL_CHECKPOINTS
-        if not held:
-            spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        found = LOCAL_CHECKPOINTS
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
