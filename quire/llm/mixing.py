@@ -6,14 +6,16 @@ by the highest quotients target / (2 k + 1), shard by shard: the quota of shards
 their blocks together (divisor methods never take a seat back when the house grows), so a shard's quota is a difference
 of two apportionments and all of them add up to that of the whole mix.
 
-Selection: a source's quota in words makes whole passes over the source, and the rest is taken block by block in the
-order of a seeded hash, the last block in part. Only sums by (source, hash bin) are shuffled; the border of each source
-is then one hash value, and every row decides alone which of its blocks it gives.
+Selection: the blocks of a source stand in a seeded order, by the hash of their document and in the document's own order,
+so a document is cut only where a border falls into it. The shards take their quotas one after another along that order,
+again from its start when a pass over the source is over. Only sums by (source, hash bin) are shuffled; the end of each
+shard in each source is then one hash and a number of words, and every row decides alone what it gives to which shard.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -26,10 +28,10 @@ from .base import fresh, quoted, written
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
-#: The sources' table is held by the driver and broadcast (about 100 bytes a source); more sources than this are refused.
+#: The sources' table is held by the driver and broadcast (about 300 bytes a source); more sources than this are refused.
 MOST_SOURCES = 200_000
-#: About so many blocks share a hash bin.
-BIN_BLOCKS = 2048
+#: About so many rows share a hash bin; there are 2 ** MOST_BITS bins of a source at most.
+BIN_ROWS, MOST_BITS = 256, 20
 
 
 def n_words(text: Column) -> Column:
@@ -78,86 +80,98 @@ def shard_quotas(votes: list[Fraction], blocks: int, shards: int) -> list[list[i
 
 @dataclass
 class Plan:
-    """What rows need to know of their source. sources: source, source_size, target, blocks, whole passes, border hash, words of the border block."""
+    """What rows need to know of their source. sources: source, source_size, target, blocks, borders; quotas: shard, source, blocks.
+
+    borders has the end of each shard: the passes that are over, the hash of the document in which it lies (-1: at the start
+    of a pass), and the words of that document before it.
+    """
 
     sources: DataFrame
     quotas: DataFrame
     seed: int
-    block: int
-
-
-KIND = "source string, source_size long, target double, blocks long, passes long, rest long, border long, part long"
 
 
-def seeded(seed: int, key: Column, j: Column) -> Column:
-    """Hash of a block, cut to 62 bits so that bins are its leading digits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, j), 2)
+BORDERS = "array<struct<pass:long,h:long,part:long>>"
+KIND = f"source string, source_size long, target double, blocks long, borders {BORDERS}"
 
 
-def blocks_of(size: Column, block: int) -> Column:
-    return F.when(size > 0, F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / block))).otherwise(F.array().cast("array<bigint>"))
+def seeded(seed: int, key: Column) -> Column:
+    """A document's hash, cut to 62 bits so that bins are its leading digits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 2)
 
 
 def plan_mix(narrow: DataFrame, *, seed: int = 9, block: int = BLOCK, share: Fraction = Fraction(3, 2), most: int = 2, weights=WEIGHTS, shards: int = 8) -> Plan:
     """Plans a mix of rows (key long, source string, size long); the table is read three times, so it should be a written one."""
     spark = narrow.sparkSession
-    rows = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.size(blocks_of(F.col("size"), block))).alias("n")).limit(MOST_SOURCES + 1).collect()
+    rows = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in rows]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
     quotas = shard_quotas(want, round(sum(want) / block), shards)
-    total = [sum(q[i] for q in quotas) for i in range(len(rows))]
+    ends = {}
+    for i, r in enumerate(rows):
+        upto = itertools.accumulate(q[i] for q in quotas)
+        ends[r.source] = [divmod(min(k * block, most * r["size"]), r["size"]) if r["size"] else (0, 0) for k in upto]
+    bits = min(MOST_BITS, max(2, (sum(r.n for r in rows) // BIN_ROWS).bit_length()))
+    inside = [(source, k, rest) for source, own in ends.items() for k, (_, rest) in enumerate(own) if rest]
+    found = {(r.name, r.k): (r.h, r.part) for r in find_borders(narrow, inside, seed, bits)}
     known = []
-    for r, t, q in zip(rows, want, total):
-        words = min(q * block, most * r["size"])
-        passes, rest = divmod(words, r["size"]) if r["size"] else (0, 0)
-        known.append((r.source, r["size"], float(t), q, passes, rest))
-    bits = min(20, max(2, (sum(r.n for r in rows) // BIN_BLOCKS).bit_length()))
-    borders = {name: (h, part) for name, h, part in find_borders(narrow, {r[0]: r[5] for r in known}, seed, block, bits)}
-    held = spark.createDataFrame([(*r, *borders.get(r[0], (None, None))) for r in known], KIND)
+    for i, (r, t) in enumerate(zip(rows, want)):
+        borders = [(passes, *(found[r.source, k] if rest else (-1, 0))) for k, (passes, rest) in enumerate(ends[r.source])]
+        known.append((r.source, r["size"], float(t), sum(q[i] for q in quotas), borders))
     table = [(k, r.source, q[i]) for k, q in enumerate(quotas) for i, r in enumerate(rows)]
-    return Plan(held, spark.createDataFrame(table, "shard int, source string, blocks long"), seed, block)
+    return Plan(spark.createDataFrame(known, KIND), spark.createDataFrame(table, "shard int, source string, blocks long"), seed)
 
 
-def find_borders(narrow: DataFrame, rest: dict, seed: int, block: int, bits: int) -> list[tuple]:
-    """For each source whose rest is not empty: hash of the block in which the rest ends, and its words still taken."""
+def find_borders(narrow: DataFrame, ends: list[tuple], seed: int, bits: int) -> list:
+    """(name, k, h, part) for the k-th end of a source, `rest` words after the start of a pass.
+
+    Rows of one hash (repeated rows) are cut alike: each gives the same whole number of words, so that what does not divide
+    among them, less than a word a row, is left out.
+    """
     spark = narrow.sparkSession
-    wanted = spark.createDataFrame([(s, n) for s, n in rest.items() if n > 0], "name string, rest long")
-    j = F.explode(blocks_of(F.col("size"), block))
-    each = narrow.select("key", "source", "size", j.alias("j")).select(
-        "source", seeded(seed, F.col("key"), F.col("j")).alias("h"), F.least(F.lit(block).cast("long"), F.col("size") - F.col("j") * block).alias("words"))
+    if not ends:
+        return []
+    wanted = F.broadcast(spark.createDataFrame(ends, "name string, k int, rest long"))  # at most MOST_SOURCES * shards rows
+    each = narrow.where("size > 0").select("source", "size", seeded(seed, F.col("key")).alias("h"))
     each = each.withColumn("bin", F.shiftright("h", 62 - bits))
-    sums = each.groupBy("source", "bin").agg(F.sum("words").alias("words"))
-    run = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    sums = each.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    run = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # 2 ** bits bins of a source at most
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    edge = F.broadcast(wanted)  # at most MOST_SOURCES rows
-    at = sums.join(edge, sums.source.eqNullSafe(edge.name)).where("before < rest and before + words >= rest").select("name", F.col("bin").alias("edge_bin"), (F.col("rest") - F.col("before")).alias("need"))
-    held = spark.createDataFrame([tuple(r) for r in at.collect()], "name string, edge_bin long, need long")
-    inside = each.join(F.broadcast(held), each.source.eqNullSafe(held.name) & (F.col("bin") == F.col("edge_bin")))
-    inside = inside.groupBy("name", "need", "h").agg(F.sum("words").alias("words"))
-    run = W.partitionBy("name").orderBy("h").rowsBetween(W.unboundedPreceding, -1)
-    inside = inside.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).where("before < need and before + words >= need")
-    return [(r.name, r.h, r.need - r.before) for r in inside.select("name", "h", "need", "before").collect()]
+    at = sums.join(wanted, sums.source.eqNullSafe(wanted.name)).where("before < rest and before + words >= rest")
+    at = at.select("name", "k", F.col("bin").alias("edge"), (F.col("rest") - F.col("before")).alias("need")).collect()
+    held = spark.createDataFrame([tuple(r) for r in at], "name string, k int, edge long, need long")
+    bins = F.broadcast(held.select("name", "edge").distinct())
+    near = each.join(bins, each.source.eqNullSafe(bins.name) & (F.col("bin") == F.col("edge"))).groupBy("name", "edge", "h").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    run = W.partitionBy("name", "edge").orderBy("h").rowsBetween(W.unboundedPreceding, -1)  # one bin
+    near = near.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    e = F.broadcast(held)
+    cut = near.join(e, near.name.eqNullSafe(e.name) & (near.edge == e.edge)).where("before < need and before + words >= need")
+    return cut.select(near.name.alias("name"), "k", "h", F.floor((F.col("need") - F.col("before")) / F.col("n")).alias("part")).collect()
 
 
 def with_plan(rows: DataFrame, plan: Plan, *, key: str, source: str, size: str, to: str) -> DataFrame:
-    """rows and a struct column: source_size, target, passes, chosen (array of (block number, words)), taken."""
+    """rows and a struct column: source_size, target, upto (words of the row's passes given when each shard ends), taken."""
     s = F.broadcast(plan.sources.select(F.struct("*").alias(own := fresh("_plan", rows))))  # at most MOST_SOURCES rows
     out = rows.join(s, quoted(source).eqNullSafe(F.col(own)["source"]), "left")
+    h = fresh("_h", out)
+    out = out.withColumn(h, seeded(plan.seed, F.col(key)))
     p, n = F.col(own), F.col(size)
 
-    def one(j: Column) -> Column:
-        h, words = seeded(plan.seed, F.col(key), j), F.least(F.lit(plan.block).cast("long"), n - j * plan.block)
-        take = F.when(h < p["border"], words).when(h == p["border"], F.least(words, p["part"])).otherwise(F.lit(0).cast("long"))
-        return F.struct(j.alias("block"), take.alias("words"))
+    def given(b: Column) -> Column:
+        inside = F.when(F.col(h) < b["h"], n).when(F.col(h) == b["h"], F.least(n, b["part"])).otherwise(F.lit(0).cast("long"))
+        return b["pass"] * n + inside
+
+    upto = F.transform(p["borders"], given)
+    taken = F.coalesce(F.element_at(upto, -1), F.lit(0).cast("long"))
+    return out.withColumn(to, F.struct(p["source_size"].alias("source_size"), p["target"].alias("target"), upto.alias("upto"), taken.alias("taken"))).drop(own, h)
 
-    chosen = F.when(p["rest"] > 0, F.filter(F.transform(blocks_of(n, plan.block), one), lambda b: b["words"] > 0)).otherwise(F.array().cast("array<struct<block:bigint,words:bigint>>"))
-    pick = fresh("_chosen", out)
-    out = out.withColumn(pick, chosen)
-    taken = p["passes"] * n + F.aggregate(F.col(pick), F.lit(0).cast("long"), lambda a, b: a + b["words"])
-    return out.withColumn(to, F.struct(p["source_size"].alias("source_size"), p["target"].alias("target"), p["passes"].alias("passes"), F.col(pick).alias("chosen"), taken.alias("taken"))).drop(own, pick)
+
+def shard_words(mix: Column) -> Column:
+    """Words that each shard takes of a row."""
+    return F.transform(mix["upto"], lambda x, k: x - F.when(k > 0, F.get(mix["upto"], k - 1)).otherwise(0))
 
 
 def measured(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -170,23 +184,37 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     """(id, source, size, mix) for every row, and the plan with the quotas of shards.
 
     A null text has size 0 and gives nothing; null sources are one source, last in order. Repeated rows hash alike and
-    give alike, so a source can pass its quota by less than a block for each repetition of the border row. An empty
-    table gives an empty mix. Sources of size 0 have target 0.
+    give alike; what does not divide among those in which a border falls, less than a word a row, is left out. An empty
+    table gives an empty mix. Sources of size 0 have target 0. A text of any length is counted whole and is cut only at a
+    border. Only the three named columns are read, so others may have any names.
     """
     narrow = measured(docs, id_col=id_col, source_col=source_col, text_col=text_col)
     plan = plan_mix(narrow, seed=seed, block=block)
     return with_plan(narrow, plan, key="key", source="source", size="size", to="mix"), plan
 
 
-def mixed_texts(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of the mix: a row for each whole pass over a document, and one whose text is its chosen blocks, words joined by a space."""
-    key, size, to, copy = (fresh(x, docs) for x in ("_key", "_size", "_mix", "_copy"))
+def mixed_texts(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shard_to: str | None = None) -> DataFrame:
+    """The rows of the mix: a row for each piece of a document that a pass (and, with `shard_to`, a shard) takes.
+
+    A whole document keeps its text; of a part the words are joined by a space. shard_to names a column for the shard.
+    """
+    key, size, to, piece = (fresh(x, docs) for x in ("_key", "_size", "_mix", "_piece"))
     rows = docs.withColumns({key: F.xxhash64(quoted(id_col), quoted(text_col)), size: n_words(quoted(text_col))})
     rows = with_plan(rows, plan, key=key, source=source_col, size=size, to=to)
+    n, m = F.col(size), F.col(to)
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("shard"), F.lit(0).cast("long").alias("low"), m["taken"].alias("high")))
+    own = F.transform(m["upto"], lambda x, k: F.struct(k.alias("shard"), F.when(k > 0, F.get(m["upto"], k - 1)).otherwise(F.lit(0).cast("long")).alias("low"), x.alias("high")))
+
+    def passes(r: Column) -> Column:
+        def one(q: Column) -> Column:
+            return F.struct(r["shard"].alias("shard"), (F.greatest(r["low"], q * n) - q * n).alias("low"), (F.least(r["high"], (q + 1) * n) - q * n).alias("high"))
+
+        return F.transform(F.sequence(F.floor(r["low"] / n), F.floor((r["high"] - 1) / n)), one)
+
+    ranges = F.filter(own if shard_to else whole, lambda r: r["high"] > r["low"])
+    out = rows.withColumn(piece, F.explode(F.flatten(F.transform(ranges, passes))))
     words = F.filter(F.split(quoted(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = F.concat_ws(" ", F.flatten(F.transform(F.col(to)["chosen"], lambda b: F.slice(words, (b["block"] * plan.block + 1).cast("int"), b["words"].cast("int")))))
-    given = F.aggregate(F.col(to)["chosen"], F.lit(0).cast("long"), lambda a, b: a + b["words"])
-    kinds = F.concat(F.array_repeat(F.lit("whole"), F.col(to)["passes"].cast("int")), F.when(F.size(F.col(to)["chosen"]) > 0, F.array(F.lit("part"))).otherwise(F.array().cast("array<string>")))
-    out = rows.withColumn(copy, F.explode(kinds))
-    out = out.withColumn(text_col, F.when((F.col(copy) == "whole") | (given == F.col(size)), quoted(text_col)).otherwise(some))
-    return out.select(*(quoted(c) for c in docs.columns))
+    low, high = F.col(piece)["low"], F.col(piece)["high"]
+    part = F.array_join(F.slice(words, (low + 1).cast("int"), (high - low).cast("int")), " ")
+    out = out.withColumn(text_col, F.when((low == 0) & (high == n), quoted(text_col)).otherwise(part))
+    return out.select(*(quoted(c) for c in docs.columns), *([F.col(piece)["shard"].alias(shard_to)] if shard_to else []))

@@ -66,7 +66,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mixing.mix(table(spark, sf_dir, "documents"))
     m = F.col("mix")
-    return out.select(F.col("id").alias("doc_id"), "size", m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"))
+    return out.select(F.col("id").alias("doc_id"), "size", m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"), mixing.shard_words(m).alias("shard_words"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

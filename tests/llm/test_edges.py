@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, golay, learning, lines, mixing, quality, repeats, secrets, sharding, simhash, toxicity, urls
 
@@ -210,6 +211,39 @@ def test_mixing(spark, odd, none):
     assert mixing.mixed_texts(odd, plan).columns == odd.columns
 
 
+def test_mixing_fills_the_quotas_of_shards(spark):
+    import random
+
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(rng.choice((0, 1, 5, 60, 700)))), rng.choice("abc")) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    out, plan = mixing.mix(df)
+    rows = out.withColumn("own", mixing.shard_words(out["mix"])).collect()
+    quotas = {(r.shard, r.source): r.blocks for r in plan.quotas.collect()}
+    size = {r.source: r.mix.source_size for r in rows}
+    for s in "abc":
+        ends = [min(mixing.BLOCK * sum(quotas[k, s] for k in range(upto)), 2 * size[s]) for upto in range(9)]
+        assert [sum(r.own[k] for r in rows if r.source == s) for k in range(8)] == [b - a for a, b in zip(ends, ends[1:])]
+    mixed = mixing.mixed_texts(df, plan, shard_to="shard").collect()
+    words = defaultdict(list)
+    for r in sorted(mixed, key=lambda r: (r.doc_id, r.shard)):
+        words[r.doc_id, r.shard] += r.text.split()
+    assert {k: len(v) for k, v in words.items()} == {(r.id, k): n for r in rows for k, n in enumerate(r.own) if n}
+    text = {d: t.split() for d, t, _ in docs}
+    for d, own in text.items():
+        taken = Counter(w for k in range(8) for w in words[d, k])
+        assert all(taken[w] in (1, 2) for w in taken) and set(taken) <= set(own)
+    joined = Counter((r.doc_id, w) for r in mixing.mixed_texts(df, plan).collect() for w in r.text.split())
+    assert joined == Counter((d, w) for (d, _), v in words.items() for w in v)
+
+
+def test_mixing_of_many_repeated_rows(spark):
+    docs = [(7, "one two three four five", "a")] * 1000 + [(i, "w " * 40, "b") for i in range(100)]
+    out, _ = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    for r in out.groupBy("source").agg(F.sum("mix.taken").alias("taken"), F.first("mix.target").alias("target")).collect():
+        assert -1000 - mixing.BLOCK < r.taken - r.target <= mixing.BLOCK
+
+
 def test_sainte_lague_by_rounds():
     import random
     from fractions import Fraction
