@@ -46,7 +46,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8, texts=False)
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -5,13 +5,16 @@ same on every run. The smallest capacity for which the ordered groups fit into t
 capacity being checked by a greedy sweep; the cuts then lie within that capacity, each as near to an even split as the
 remaining groups allow, and a row's shard follows from comparing its key with the cut keys - no join, no shuffle.
 
-The driver never sees the groups: it holds sums of the key's first 16 bits (65,536 rows at most) and fetches the groups
-of one such bucket only where a cut falls into it, a page of the ordered keys at a time.
+The driver never sees the groups: it holds sums of the key's first 16 bits (65,536 rows at most). Sweeps over these sums
+bound the capacity and the places of all cuts from both sides; only the buckets between the bounds are fetched, all at
+once, and the search is finished on their groups. The groups are written in the order of their key, so that a fetch reads
+the files of its buckets only. Where the bounds leave more than MOST_GROUPS groups, buckets are fetched one by one instead.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,6 +27,8 @@ from .base import fresh, quoted, written
 DIGITS = 4
 #: Rows in one numbering group, about.
 SLOT_ROWS = 50_000
+#: Groups fetched at once at most; buckets held besides.
+MOST_GROUPS, MOST_HELD = 200_000, 64
 
 
 class Ordered:
@@ -31,24 +36,59 @@ class Ordered:
 
     def __init__(self, groups: DataFrame):
         self.groups = groups
-        rows = groups.groupBy("bucket").agg(F.sum("size").alias("size"), F.max("size").alias("most")).collect()
+        rows = groups.groupBy("bucket").agg(F.sum("size").alias("size"), F.max("size").alias("most"), F.count("*").alias("n")).collect()
         rows.sort(key=lambda r: r.bucket)
         self.names = [r.bucket for r in rows]
+        self.counts = np.array([r.n for r in rows], np.int64)
         self.after = np.cumsum([r.size for r in rows], dtype=np.int64) if rows else np.zeros(0, np.int64)
         self.total = int(self.after[-1]) if rows else 0
         self.most = max((r.most for r in rows), default=0)
         self.held: dict[int, tuple[np.ndarray, list[str]]] = {}
+        self.single: list[int] = []
+
+    def fetch(self, ks: list[int]) -> None:
+        """Holds the buckets with these numbers, one job for all."""
+        ks = [k for k in ks if k not in self.held]
+        if not ks:
+            return
+        names = [self.names[k] for k in ks]
+        inside = (F.col("bucket") >= min(names)) & (F.col("bucket") <= max(names)) & F.col("bucket").isin(names)
+        rows = sorted(self.groups.where(inside).select("bucket", "key", "size").collect())
+        for k, own in zip(ks, (list(g) for _, g in groupby(rows, lambda r: r.bucket))):
+            base = int(self.after[k - 1]) if k else 0
+            self.held[k] = (base + np.cumsum([r.size for r in own], dtype=np.int64), [r.key for r in own])
 
     def detail(self, k: int) -> tuple[np.ndarray, list[str]]:
-        """Prefix sums after each group of bucket k, and the groups' keys; the last 64 buckets asked for are kept."""
+        """Prefix sums after each group of bucket k, and the groups' keys."""
         if k not in self.held:
-            rows = sorted(self.groups.where(F.col("bucket") == self.names[k]).select("key", "size").collect())
-            base = int(self.after[k - 1]) if k else 0
-            if len(self.held) >= 64:
-                self.held.pop(next(iter(self.held)))
-            self.held[k] = (base + np.cumsum([r.size for r in rows], dtype=np.int64), [r.key for r in rows])
+            self.fetch([k])
+            self.single.append(k)
+            if len(self.single) > MOST_HELD:
+                self.held.pop(self.single.pop(0))
         return self.held[k]
 
+    def foresee(self, spans: list[tuple[int, int]]) -> None:
+        """Fetches the buckets in which places from low to high lie, unless they have too many groups."""
+        ks = sorted({k for low, high in spans if self.total for k in range(*self.between(low, high))})
+        if self.counts[ks].sum() <= MOST_GROUPS:
+            self.fetch(ks)
+
+    def between(self, low: int, high: int) -> tuple[int, int]:
+        last = len(self.after) - 1
+        return min(int(np.searchsorted(self.after, max(low, 0), "left")), last), min(int(np.searchsorted(self.after, min(high, self.total), "right")), last) + 1
+
+    def bucket_floor(self, x: int) -> int:
+        """The largest bucket boundary at or below x."""
+        k = int(np.searchsorted(self.after, x, "right"))
+        return int(self.after[k - 1]) if k else 0
+
+    def bucket_ceil(self, x: int) -> int:
+        """The smallest bucket boundary at or above x."""
+        if x <= 0:
+            return 0
+        k = int(np.searchsorted(self.after, x, "left"))
+        return int(self.after[min(k, len(self.after) - 1)])
+
     def floor(self, x: int) -> int:
         """The largest group boundary at or below x."""
         if x <= 0 or not self.total:
@@ -79,31 +119,52 @@ class Ordered:
         return keys[bisect_left(sums, boundary)]
 
 
-def fits(order: Ordered, capacity: int, shards: int) -> bool:
-    at = 0
+def swept(floor, total: int, capacity: int, shards: int) -> list[int]:
+    """Ends of the shards when each takes what `floor` lets it take."""
+    out, at = [], 0
     for _ in range(shards):
-        at = order.floor(at + capacity)
-        if at >= order.total:
-            return True
-    return False
+        at = min(floor(at + capacity), total)
+        out.append(at)
+    return out
 
 
-def least_capacity(order: Ordered, shards: int) -> int:
-    """The smallest capacity by which the ordered groups fit into the shards."""
-    low = max(order.most, -(-order.total // shards))
-    high = low + order.most
+def fits(order: Ordered, capacity: int, shards: int) -> bool:
+    return swept(order.floor, order.total, capacity, shards)[-1] >= order.total
+
+
+def least(low: int, high: int, good) -> int:
+    """The smallest number from low to high that is good; high counts as good."""
     while low < high:
         mid = (low + high) // 2
-        if fits(order, mid, shards):
+        if good(mid):
             high = mid
         else:
             low = mid + 1
     return low
 
 
+def least_capacity(order: Ordered, shards: int) -> int:
+    """The smallest capacity by which the ordered groups fit into the shards.
+
+    Sweeps that end each shard at a bucket's start or end bound it from above and below without a fetch.
+    """
+    low = max(order.most, -(-order.total // shards))
+    high = low + order.most
+    high = least(low, high, lambda c: swept(order.bucket_floor, order.total, c, shards)[-1] >= order.total)
+    low = least(low, high, lambda c: swept(order.bucket_ceil, order.total, c, shards)[-1] >= order.total)
+    order.foresee(list(zip(swept(order.bucket_floor, order.total, low, shards), swept(order.bucket_ceil, order.total, high, shards))))
+    return least(low, high, lambda c: fits(order, c, shards))
+
+
 def cuts(order: Ordered, shards: int) -> tuple[int, list[int]]:
     """Least capacity and the boundaries before shards 1 to shards-1."""
     capacity = least_capacity(order, shards)
+    back_low, back_high, spans = order.total, order.total, []
+    for k in range(shards - 2, -1, -1):
+        back_low, back_high = order.bucket_floor(max(0, back_low - capacity)), order.bucket_ceil(back_high - capacity)
+        even = order.total * (k + 1) // shards
+        spans += [(back_low, back_high), (order.bucket_floor(even) - 1, order.bucket_ceil(even) + 1)]
+    order.foresee(spans)
     earliest = [order.total] * shards
     for k in range(shards - 2, -1, -1):  # from the right: how early cut k may come
         earliest[k] = order.ceil(earliest[k + 1] - capacity)
@@ -135,37 +196,42 @@ def shard_of(key: Column, boundaries: list[str | None]) -> Column:
     return out.cast("int")
 
 
-def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
-    """docs with size, crc, shard and slot in columns named by `fresh` from _size, _crc, _shard, _slot.
+def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, texts: bool = True) -> DataFrame:
+    """docs with size, crc, shard and slot in columns named by `fresh` from _size, _crc, _shard, _slot; without `texts`, the id and these only.
 
-    size is the UTF-8 bytes of the text plus one; a null text counts as
-    an empty one. Rows of equal text share a shard. Slots
-    count from 0 without gaps in each shard; repeated rows get slots of their own, in any order among themselves. An
-    empty table gives an empty table. A group larger than an even share raises the capacity to its size.
+    size is the UTF-8 bytes of the text plus one; a null text counts as an empty one. Rows of equal text share a shard.
+    Slots count from 0 without gaps in each shard; repeated rows get slots of their own, in any order among themselves. An
+    empty table gives an empty table. A group larger than an even share, as a very long text or many copies of one can be,
+    raises the capacity to its size.
     """
     base = measured(docs, text_col)
     size, key, crc = base.columns[-3:]
-    groups = written(base.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("size")).withColumn("bucket", F.substring("key", 1, DIGITS)), "groups")
+    held = written(base.select(quoted(id_col), size, key, crc), "keys")  # the texts are hashed once for groups and slots
+    own = held.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("size")).withColumn("bucket", F.substring("key", 1, DIGITS))
+    groups = written(own.repartitionByRange("key").sortWithinPartitions("key"), "groups")
     order = Ordered(groups)
     _, at = cuts(order, shards)
     boundaries = [order.key_at(b) for b in at]
     shard_col, slot_col = fresh("_shard", base), fresh("_slot", base)
-    placed = base.withColumn(shard_col, shard_of(F.col(key), boundaries))
-    return numbered(placed, shard_col, slot_col, [quoted(id_col), F.col(key)]).drop(key)
-
-
-def numbered(placed: DataFrame, shard_col: str, slot_col: str, ids: list[Column]) -> DataFrame:
-    """Adds slots by a hash of the row: each numbering group is counted, starts behind those before it, and numbers its own."""
-    part, start = fresh("_part", placed), fresh("_start", placed)
-    rows = placed.count()
-    parts = 1 + rows // SLOT_ROWS
-    held = placed.withColumn(part, F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int"))
-    counts = held.groupBy(F.col(shard_col).alias("s"), F.col(part).alias("p")).count()
-    before = counts.withColumn(start, F.sum("count").over(W.partitionBy("s").orderBy("p").rowsBetween(W.unboundedPreceding, -1)))
+    placed = (base if texts else held).withColumn(shard_col, shard_of(F.col(key), boundaries))
+    narrow = held.withColumn(shard_col, shard_of(F.col(key), boundaries))
+    return numbered(placed, narrow, shard_col, slot_col, [quoted(id_col), F.col(key)]).drop(key)
+
+
+def numbered(placed: DataFrame, narrow: DataFrame, shard_col: str, slot_col: str, ids: list[Column]) -> DataFrame:
+    """Adds slots by a hash of the row: each numbering group is counted, starts behind those before it, and numbers its own.
+
+    `narrow` has the columns of `placed` that the numbers depend on.
+    """
+    part, start, s, p = fresh("_part", placed), fresh("_start", placed), fresh("_s", placed), fresh("_p", placed)
+    parts = 1 + narrow.count() // SLOT_ROWS
+    home = F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int")
+    counts = narrow.groupBy(F.col(shard_col).alias(s), home.alias(p)).count()
+    before = counts.withColumn(start, F.sum("count").over(W.partitionBy(s).orderBy(p).rowsBetween(W.unboundedPreceding, -1)))
     own = W.partitionBy(shard_col, part).orderBy(*ids)
-    numbers = held.withColumn(slot_col, F.row_number().over(own).cast("long") - 1)
+    numbers = placed.withColumn(part, home).withColumn(slot_col, F.row_number().over(own).cast("long") - 1)
     return (
-        numbers.join(before.select("s", "p", start), (F.col(shard_col) == F.col("s")) & (F.col(part) == F.col("p")))
+        numbers.join(before.select(s, p, start), (F.col(shard_col) == F.col(s)) & (F.col(part) == F.col(p)))
         .withColumn(slot_col, F.col(slot_col) + F.coalesce(F.col(start), F.lit(0)))
-        .drop("s", "p", part, start)
+        .drop(s, p, part, start)
     )

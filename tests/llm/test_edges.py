@@ -143,6 +143,8 @@ def test_sharding(spark, odd, none):
         home[r.text or ""].add(r._shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(h) == 1 for h in home.values())
     assert sharding.shard(none).count() == 0
+    bare = sharding.shard(odd, shards=3, texts=False)
+    assert bag((r.doc_id, r[size], r[crc], r._shard) for r in bare.collect()) == bag((r.doc_id, r[size], r[crc], r._shard) for r in out)
 
 
 class Listed(sharding.Ordered):
@@ -155,11 +157,16 @@ class Listed(sharding.Ordered):
         self.parts = [sizes[k : k + 3] for k in range(0, len(sizes), 3)]
         self.names = list(range(len(self.parts)))
         self.after = np.cumsum([sum(p) for p in self.parts])
-        self.total, self.most, self.held = sum(sizes), max(sizes), {}
+        self.counts = np.array([len(p) for p in self.parts])
+        self.total, self.most, self.held, self.fetched = sum(sizes), max(sizes), {}, set()
+
+    def fetch(self, ks):
+        self.fetched |= set(ks)
 
     def detail(self, k):
         import numpy as np
 
+        assert k in self.fetched, "a bucket that was not foreseen"
         base = int(self.after[k - 1]) if k else 0
         return base + np.cumsum(self.parts[k]), [f"{k}-{i}" for i in range(len(self.parts[k]))]
 
