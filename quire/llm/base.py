@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,8 @@ def cut(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.
     half = batch.num_rows // 2
     yield from cut(batch.slice(0, half), column, most)
     yield from cut(batch.slice(half), column, most)
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start to start + size - 1 of all runs, one run after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())

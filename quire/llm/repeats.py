@@ -8,9 +8,11 @@ the window occurs (its anchor). Consecutive windows with one anchor make a block
 2. Every chunk sends the distinct hashes of its anchors, 4 bytes each, to buckets; a bucket sends back those of several
    chunks. Buckets grow in number with the input, so their hashes stay as telling as now (a false one costs only time).
 3. Chunks send the blocks of these anchors, equal blocks once with their least document, to the buckets of the anchors.
-   There the suffixes of the blocks are put into buckets by their first 8 bytes and refined by the bucket pointers of
-   the suffixes 8, 16 and 18 bytes later, each round using the pointers that the one before has made, to depth LENGTH;
-   buckets of one suffix are left alone. Every final bucket is one string; its least document decides.
+   There the suffixes of the blocks are put into buckets by their first 8 bytes. A bucket of depth d is refined by sorting
+   on the bucket pointers of the suffixes d bytes later; the new pointers hold at once, so buckets refined after it jump
+   further, and its own parts are refined again in the same way until their depth is LENGTH. Buckets with one window are
+   left alone. In the order so found, windows of one string are neighbours: those of one bucket are equal, those of two
+   buckets are compared. The least document of each string decides.
 4. Answers, a bit for each window, return to the chunk, which marks the bytes and hashes what is left.
 
 Hashes only choose candidates; strings are compared as strings. Copies within a chunk are merged before anything is sent.
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, quoted, written
+from .base import cut, gathered, quoted, written
 
 LENGTH = 50
 Q = 24
@@ -40,6 +42,8 @@ CHUNK = 2 << 20
 BUCKET_BYTES = 12 << 20
 #: Distinct blocks whose suffixes are refined at once (a group of one anchor is never split).
 REFINED = 20_000
+#: Suffixes refined before the next ones see their pointers.
+SLICE = 1 << 16
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 NONE = np.iinfo(np.int64).max
 PACKED = "chunk long, data binary, ends binary, ids binary, known binary, size long"
@@ -219,37 +223,65 @@ def send_blocks(buckets: int):
     return run
 
 
-def refine(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """New buckets of suffixes from their buckets and those of the later suffixes; a bucket of one is not sorted again."""
-    size = np.bincount(bucket)
-    open_ = np.flatnonzero(size[bucket] > 1)
-    _, fine = np.unique(bucket[open_].astype(np.uint64) << np.uint64(32) | later[open_].astype(np.uint64), return_inverse=True)
-    out = np.empty_like(bucket)
-    out[open_] = fine
-    alone = np.setdiff1d(np.arange(len(bucket)), open_, assume_unique=True)
-    out[alone] = np.arange(len(alone)) + (fine.max() + 1 if len(fine) else 0)
-    return out
+def refined(order: np.ndarray, windows: np.ndarray, pointer: np.ndarray, depth: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Refines the buckets that start where `start` says by the pointers of their later suffixes; returns those still open.
+
+    A pointer is the place of its bucket's first suffix in the order; -1 stands for the end of a block.
+    """
+    place = gathered(start, size)
+    bucket = np.repeat(np.arange(len(start)), size)
+    suffix = order[place]
+    later = pointer[suffix + depth[start][bucket]]
+    by = np.argsort(bucket.astype(np.int64) << 32 | later + 1, kind="stable")
+    order[place], suffix, later = suffix[by], suffix[by], later[by]
+    opens = np.append(True, (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1]))
+    first = np.flatnonzero(opens)
+    new = place[first]
+    depth[new] = depth[start][bucket[first]] + np.where(later[first] < 0, LENGTH, depth[later[first]])
+    sizes = np.diff(np.append(first, len(place)))
+    pointer[suffix] = np.repeat(new, sizes)
+    own = windows[suffix]
+    open_ = (np.add.reduceat(own, first) > 1) & (depth[new] < LENGTH)
+    return new[open_], sizes[open_]
 
 
 def window_classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, window, class) of all windows of the blocks; equal classes are equal strings of LENGTH bytes."""
     n = rows[:, BLOCK].astype(np.int64)
-    place = np.arange(BLOCK)
-    size = n + LENGTH - 1
-    eight = np.ascontiguousarray(rows[:, :BLOCK])
-    flat = np.ndarray((eight.size - 7,), "<u8", eight, 0, (1,))
-    base = np.arange(len(rows)) * BLOCK
-    pointer = np.full(eight.size, -1, np.int64)
-    depth = 8
-    at = (base[:, None] + place)[place + depth <= size[:, None]]
-    _, bucket = np.unique(flat[at], return_inverse=True)
-    pointer[at] = bucket
-    for step in (8, 16, LENGTH - 32):
-        depth += step
-        at = (base[:, None] + place)[place + depth <= size[:, None]]
-        fine = refine(pointer[at], pointer[at + step])
-        pointer[at] = fine
-    return at // BLOCK, at % BLOCK, pointer[at]
+    place, stride = np.arange(BLOCK), BLOCK + LENGTH
+    held = np.zeros((len(rows), stride), np.uint8)  # zeros behind each block: nothing reaches into the next
+    held[:, :BLOCK] = rows[:, :BLOCK]
+    grams = np.ndarray((held.size - 7,), ">u8", held, 0, (1,))
+    at = (np.arange(len(rows)) * stride)[:, None] + place
+    own = place < (n + LENGTH - 1)[:, None]
+    windows = np.zeros(held.size, np.int32)
+    windows[at[place < n[:, None]]] = 1
+    at = at[own]
+    key = grams[at].astype(np.uint64)
+    by = np.argsort(key, kind="stable")
+    order, key = at[by], key[by]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(start, len(order)))
+    pointer = np.full(held.size, -1, np.int64)
+    pointer[order] = np.repeat(start, size)
+    depth = np.full(len(order), 8, np.int64)
+    open_ = np.add.reduceat(windows[order], start) > 1
+    start, size = start[open_], size[open_]
+    while len(start):
+        part = np.cumsum(size) // SLICE
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        found = [refined(order, windows, pointer, depth, b, s) for b, s in zip(np.split(start, cuts), np.split(size, cuts)) if len(b)]
+        start, size = (np.concatenate(x) for x in zip(*found))
+    seen = order[windows[order] > 0]
+    own = pointer[seen]
+    turn = np.flatnonzero(own[1:] != own[:-1]) + 1
+    a, b = seen[turn - 1], seen[turn]
+    alike = np.ones(len(turn), bool)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        alike &= grams[a + k] == grams[b + k]
+    step = np.zeros(len(seen), np.int64)
+    step[turn[~alike]] = 1
+    return seen // stride, seen % stride, np.cumsum(step)
 
 
 def answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +297,9 @@ def answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = rows[one]
         anchors = rows[np.arange(len(rows))[:, None], rows[:, BLOCK + 1].astype(np.int64)[:, None] + np.arange(Q)]
         _, group = distinct_rows(anchors)
-        bits = np.zeros(len(rows), np.uint32)  # windows that a smaller document than the block's least has
+        less, any_ = np.zeros(len(rows), np.uint32), np.zeros(len(rows), np.uint32)  # windows that a document smaller than the block's least, or it, has
         order = np.argsort(group, kind="stable")
-        order = order[np.bincount(group)[group[order]] > 1]
+        order = order[np.bincount(group[kind])[group[order]] > 1]  # groups of one anchor with two blocks or more, equal ones too
         starts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else np.zeros(0, np.int64)
         at = 0
         while at < len(order):
@@ -277,11 +309,12 @@ def answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             row, window, string = window_classes(rows[part])
             low = np.full(string.max() + 1, NONE)
             np.minimum.at(low, string, least[part[row]])
-            less = low[string] < least[part[row]]
-            np.bitwise_or.at(bits, part[row[less]], np.uint32(1) << window[less].astype(np.uint32))
+            bit = np.uint32(1) << window.astype(np.uint32)
+            np.bitwise_or.at(any_, part[row], bit)
+            under = low[string] < least[part[row]]
+            np.bitwise_or.at(less, part[row[under]], bit[under])
             at = end
-        full = (np.uint64(1) << rows[:, BLOCK].astype(np.uint64)) - np.uint64(1)
-        mask = np.where(docs > least[kind], full.astype(np.uint32)[kind], bits[kind])
+        mask = np.where(docs > least[kind], any_[kind], less[kind])
         told = np.flatnonzero(mask)
         told = told[np.argsort(home[told], kind="stable")]
         back = [(c, firsts[told[s]].tobytes(), mask[told[s]].tobytes()) for c, s in runs(home[told])]

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import golay
-from .base import append_arrow, fresh, quoted, written
+from .base import append_arrow, fresh, gathered, quoted, written
 from .components import components
 
 SHINGLE = 4
@@ -41,6 +41,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BUCKET_ROWS = 1 << 20
 #: Fingerprints keyed at once in a task.
 KEYED = 1 << 13
+#: Fingerprints with one key that are split by their other bits before they are compared.
+LONG_RUN = 1 << 10
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -125,34 +127,60 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def split_runs(fp: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, where runs begin) of the runs that take the place of the given long ones.
+
+    The bits in which a run's members differ are dealt into DISTANCE + 1 parts. Members that differ in DISTANCE bits at most
+    agree in a part, so those that agree in one make a new run, part by part.
+    """
+    fps, begins, n = [], [], 0
+    for b, s in zip(begin.tolist(), size.tolist()):
+        own = fp[b : b + s]
+        differ = int(np.bitwise_or.reduce(own) & ~np.bitwise_and.reduce(own))
+        bits = [k for k in range(64) if differ >> k & 1]
+        for part in range(DISTANCE + 1):
+            value = own & np.uint64(sum(1 << k for k in bits[part :: DISTANCE + 1]))
+            order = np.argsort(value, kind="stable")
+            value = value[order]
+            fps.append(own[order])
+            begins.append(n + np.flatnonzero(np.append(True, value[1:] != value[:-1])))
+            n += s
+    return np.concatenate(fps), np.concatenate(begins)
+
+
 def forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (pairs of fingerprints) that span what the confirmed candidates of one bucket connect.
 
     Member k of each run of equal keys meets member k + step, for all runs at once; pairs that are connected already are
-    not compared, and a run that has become one component is left.
+    not compared, and a run that has become one component is left. Runs longer than LONG_RUN are split first.
     """
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
     shared = ~new | np.append(~new[1:], False) if len(key) else new
     fp, new = fp[shared], new[shared]
-    names, node = np.unique(fp, return_inverse=True)
-    label, step = np.arange(len(names)), 0
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(fp)))
+    if (long := size > LONG_RUN).any():
+        more, at = split_runs(fp, begin[long], size[long])
+        begin = np.concatenate([begin[~long], len(fp) + at])
+        size = np.concatenate([size[~long], np.diff(np.append(at, len(more)))])
+        fp = np.concatenate([fp, more])
+        begin, size = begin[size > 1], size[size > 1]
+    names, node = np.unique(fp, return_inverse=True)
+    label, step = np.arange(len(names)), 0
     while len(begin):
         step += 1
         begin, size = begin[size > step], size[size > step]
         for part in range(0, len(begin), 1 << 15):
             b, s = begin[part : part + (1 << 15)], size[part : part + (1 << 15)] - step
-            i = np.repeat(b - (np.cumsum(s) - s), s) + np.arange(s.sum())
+            i = gathered(b, s)
             i = i[label[node[i]] != label[node[i + step]]]
             i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= DISTANCE]
             if len(i):
                 label = joined(label, node[i], node[i + step])
         if step & (step - 1) == 0 and len(begin):  # now and then: which runs still have several components
-            i = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            own = label[node[i]]
+            own = label[node[gathered(begin, size)]]
             start = np.cumsum(size) - size
             open_ = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
             begin, size = begin[open_], size[open_]
