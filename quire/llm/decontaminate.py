@@ -8,7 +8,7 @@ thins them out and a direct comparison of all bytes confirms each occurrence. Ma
 buffer, run through the same tables at once as numpy vectors.
 
 Only the pattern tables are broadcast. Items are dealt into blocks of at most ITEM_BYTES of text; one block is the usual
-case and costs one map over the documents without a shuffle; a larger benchmark takes one scan a block, merged by row.
+case and costs one map over the documents without a shuffle; a larger benchmark takes one map a block, merged in the row.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import append_arrow, fresh, quoted
+from .base import append_arrow, fresh, quoted, written
 
 WINDOW = 13
 ITEM_BYTES = 4 << 20
+#: Blocks searched in one pass over the documents.
+CHAIN = 8
 SEGMENT = 4096
 #: Lower bounds of the length classes, in bytes of a canonical pattern.
 CLASSES = (3, 8, 16, 40)
@@ -170,12 +172,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     Every row keeps its own answer, so repeated rows and doc_ids are judged alike. A null or empty text has no words and
     is hit by nothing; null items are ignored; an item with a null id marks words but has no id to list; an empty
-    benchmark hits nothing. Of equal texts under several ids all ids are listed. Extra columns pass through.
+    benchmark hits nothing. Of equal texts under several ids all ids are listed. Extra columns pass through, whatever their
+    names; an empty table stays empty; texts of any length are searched whole. A benchmark of several blocks is searched
+    in runs of CHAIN blocks, each run one pass whose result is written.
     """
     spark = docs.sparkSession
     name = fresh("decontamination", docs)
     out: DataFrame | None = None
-    for block in item_blocks(benchmark, item_col, item_text_col, item_bytes):
+    for k, block in enumerate(item_blocks(benchmark, item_col, item_text_col, item_bytes)):
+        if k and k % CHAIN == 0:
+            out = written(out, "searched")
         tables = spark.sparkContext.broadcast(compiled(block, window))
 
         def make(tables=tables):

@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", meta: t
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars")) -> tuple[DataFrame, str]:
     """docs with a struct column (its name is returned too): text_score, meta_score and score, from 0 to 1.
 
-    Null texts count as empty, null metadata as a value of its own; repeated rows score alike; an empty table stays empty.
+    Null texts count as empty, null metadata as a value of its own; repeated rows score alike; an empty table stays empty;
+    very long texts are scored whole; columns of any other names pass through.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 

@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     component is the least id that a chain of links reaches, the row's own included. Equal fingerprints link, so repeated
     rows and all rows without words (null, empty, blank texts: fingerprint 0) are one group each, joined to others only by
-    distance. An empty table gives an empty result.
+    distance. An empty table gives an empty result. Texts of any length are hashed whole; other columns are not read.
     """
     prints, name = fingerprints(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), *(quoted(c) for c in keep)))
     prints = written(prints.select("id", F.col(name).alias("fp"), *(quoted(c) for c in keep)), "fingerprints")

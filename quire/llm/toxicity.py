@@ -86,11 +86,11 @@ def ratios(p: np.ndarray, q: np.ndarray, n1: int, n0: int) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, feature: np.ndarray, ratio: np.ndarray, prior: dict[int, int], *, rounds: int = 600, ridge: float = 1e-6) -> Model:
-    """The classifier from each row's numbers of features. With one class only, every text gets the smoothed share of label 1."""
+    """The classifier from each row's numbers of features. With one class only, every text gets the smoothed share of label 1, without labels a third."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    odds = math.log((prior[1] + 1) / (prior[0] + 1))
     if not n1 or not n0 or not len(feature):
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), odds)
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), math.log((prior[1] + 1) / (prior[0] + 2)))
+    odds = math.log((prior[1] + 1) / (prior[0] + 1))
     col, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     length = np.sqrt(np.bincount(row, weights=ratio[col] ** 2, minlength=len(y))).mean() + 1
     x = ratio / length

@@ -104,7 +104,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, *, url_col: str =
     """pages with _host, _path, _rule, _verdict and _score (names by `fresh`); score is the classifier's log-odds of block times a scale.
 
     A null url, or one without "://", has an empty host and path and is left to the classifier, as is every url that no
-    rule fits; ties at zero allow. Repeated rows are judged alike; an empty table gives an empty table.
+    rule fits; ties at zero allow. Repeated rows are judged alike; an empty table gives an empty table; a url of any length is judged
+    whole.
     """
     spark = pages.sparkSession
     w = train(labelled if labelled is not None else spark.createDataFrame(list(LABELLED), "url string, label int"))

@@ -64,7 +64,7 @@ def test_contamination(spark, odd, none):
     items = [(1, PASSAGE), (2, PASSAGE), (3, "one two"), (4, ""), (5, None), (None, "three"), (6, "😀")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter(x[1:] for x in brute.contamination([r[:2] for r in ODD], items))
-    for size in (decontaminate.ITEM_BYTES, 40):  # one block, and several
+    for size in (decontaminate.ITEM_BYTES, 40, 4):  # one block, and several
         out, name = decontaminate.decontaminate(odd, bench, item_bytes=size)
         got = Counter((a.n_words, a.n_hit, len(a.item_ids), decontaminate.digest(a.item_ids), a.n_hit > 0 and 20 * a.n_hit >= a.n_words) for a in (r[name] for r in out.collect()))
         assert got == want
