@@ -177,8 +177,110 @@ def all_checks(elements: DataFrame, runs: DataFrame, items: DataFrame) -> DataFr
 
 def score(checks: DataFrame) -> DataFrame:
     """(doc_id, score, rating): a pass counts its weight, a warning half, a skipped check not at all; half-even rounding."""
-    earned = F.sum(F.col("weight") * F.when(F.col("status") == "pass", 1.0).when(F.col("status") == "warn", 0.5).otherwise(0.0))
-    counted = checks.where("status != 'skip'").groupBy("doc_id").agg(earned.alias("earned"), F.sum("weight").alias("total"))
-    out = checks.select("doc_id").distinct().join(counted, "doc_id", "left")
+    earned = F.sum(F.when(F.col("status") != "skip", F.col("weight") * worth(F.col("status"))))
+    total = F.sum(F.when(F.col("status") != "skip", F.col("weight")))
+    return rated(checks.groupBy("doc_id").agg(earned.alias("earned"), total.alias("total")))
+
+
+def worth(status: Column) -> Column:
+    return F.when(status == "pass", 1.0).when(status == "warn", 0.5).otherwise(0.0)
+
+
+def rated(sums: DataFrame) -> DataFrame:
     points = F.coalesce(F.bround(100 * F.col("earned") / F.col("total"), 0), F.lit(100.0)).cast("int")
-    return out.select("doc_id", points.alias("score"), F.when(points >= 85, "good").when(points >= 60, "fair").otherwise("poor").alias("rating"))
+    return sums.select("doc_id", points.alias("score"), F.when(points >= 85, "good").when(points >= 60, "fair").otherwise("poor").alias("rating"))
+
+
+def scores(elements: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
+    """What `score` gives for `all_checks`, in one pass over the elements: they are dealt by document once.
+
+    Each element sends what it counts in its document and facts (check, key): a body font, a heading's size, a paragraph's
+    look or side, a number typed into a heading. Facts are counted by document, check and key, then folded by document.
+    """
+    type_, text = F.col("type"), filled(F.col("content"))
+    own = F.when((F.col("mark") == "textStyle") & filled(F.col("text")), F.struct("font_family", "font_size_pt", "color"))
+    marks = runs.groupBy("doc_id", "element_id").agg(
+        F.collect_set(F.trim(own["font_family"])).alias("_set"), F.coalesce(F.bool_or(own["font_family"].isNotNull() | own["font_size_pt"].isNotNull() | own["color"].isNotNull()), F.lit(False)).alias("_marked"),
+        F.count_if(F.col("mark") == "link").alias("_links"), F.count_if((F.col("mark") == "link") & ~X.usable_link(F.col("href"))).alias("_broken"),
+    )
+    typed = items.where(F.col("text").rlike(r"^\s*[0-9]+[.)]\s")).select("doc_id", "element_id", F.lit(True).alias("_typed")).distinct()
+    e = elements.join(marks, ["doc_id", "element_id"], "left").join(typed, ["doc_id", "element_id"], "left")
+    past = in_order().rowsBetween(W.unboundedPreceding, -1)
+    heading, body, level = type_ == "heading", type_.isin(*BODY), F.coalesce("level", F.lit(1))
+    empty = (type_ == "paragraph") & ~text
+    is_break, figure = type_ == "page_break", type_.isin("image", "table")
+    content = ~is_break & (text | figure)
+
+    def before(c: Column, k: int = 1) -> Column:
+        return F.coalesce(F.lag(c, k).over(in_order()), F.lit(False))
+
+    caption = type_ == "caption"
+    near = before(caption) | F.coalesce(F.lead(caption).over(in_order()), F.lit(False))
+    e = e.withColumns({
+        "_gap": heading & (level > F.last(F.when(heading, level), ignorenulls=True).over(past) + 1), "_run": empty & before(empty) & ~before(empty, 2), "_near": near,
+        "_before": F.count_if(content).over(in_order()), "_all": F.count_if(content).over(in_doc()),
+    })
+    e = e.withColumn("_double", is_break & (F.col("_before") == F.last(F.when(is_break, F.col("_before")), ignorenulls=True).over(past)))
+    number = F.regexp_extract("content", r"^\s*([0-9]+(?:\.[0-9]+)*)[.)]?\s+\S", 1)
+    parts = F.transform(F.split(number, r"\."), lambda x: x.cast("long"))
+    parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1).cast("array<string>"), ".")
+    base = F.trim(F.regexp_replace(F.trim(F.split_part(css("font-family"), F.lit(","), F.lit(1))), "^['\"]+|['\"]+$", ""))
+    used = F.filter(F.array_distinct(F.concat(F.array(base), F.coalesce("_set", F.array().cast("array<string>")))), lambda f: (f != "") | (f != base))
+    numbered = F.coalesce(type_ == "list", F.lit(False)) & F.coalesce("ordered", F.lit(False))
+    words = F.when(body, F.size(F.filter(F.split("content", r"(?U)\s+"), lambda w: w != ""))).otherwise(0)
+    flags = {
+        "words": words, "heads": heading, "gaps": F.col("_gap"), "runs": F.col("_run"), "body": body & text, "own": body & text & ((F.col("style_ref") == F.col("element_id")) | F.coalesce("_marked", F.lit(False))),
+        "lists": numbered, "typed": numbered & F.coalesce("_typed", F.lit(False)), "tables": type_ == "table", "headers": (type_ == "table") & F.col("has_header"), "apart": (type_ == "table") & (F.col("style_ref") == F.col("element_id")),
+        "figures": figure, "bare": figure & ~F.col("_near"), "captions": caption, "breaks": is_break, "edges": is_break & ((F.col("_before") == 0) | (F.col("_before") == F.col("_all"))), "doubled": F.col("_double"),
+        "links": F.coalesce("_links", F.lit(0)), "broken": F.coalesce("_broken", F.lit(0)),
+    }
+
+    def fact(check: str, when: Column, key: Column, num: Column | None = None) -> Column:
+        num = F.lit(None).cast("long") if num is None else num
+        return F.when(when, F.array(F.struct(F.lit(check).alias("check"), key.alias("key"), num.alias("num")))).otherwise(F.array().cast("array<struct<check:string,key:string,num:bigint>>"))
+
+    fonts_ = F.when(body & text, F.transform(used, lambda f: F.struct(F.lit("font").alias("check"), f.alias("key"), F.lit(None).cast("long").alias("num")))).otherwise(F.array().cast("array<struct<check:string,key:string,num:bigint>>"))
+    facts = F.concat(
+        fact("doc", F.lit(True), F.lit("")), fonts_, fact("size", heading & text, F.concat_ws("|", level.cast("string"), css("font-size"))), fact("look", (type_ == "paragraph") & text, F.concat_ws("|", css("line-height"), css("margin-bottom"))),
+        fact("side", (type_ == "paragraph") & (F.length(F.trim("content")) > 80), F.coalesce(F.element_at("css", "text-align"), F.lit("left"))), fact("number", heading & (number != ""), parent, F.element_at(parts, -1)),
+    )
+    each = e.select("doc_id", "ord", *(f.cast("long").alias(n) for n, f in flags.items()), F.explode(facts).alias("f"))
+    whole = F.col("f.check") == "doc"
+    numbers = F.array_sort(F.collect_list(F.when(F.col("f.check") == "number", F.struct("ord", "f.num"))))
+    counts = each.groupBy("doc_id", F.col("f.check").alias("check"), F.col("f.key").alias("key")).agg(F.count("*").alias("n"), F.min("ord").alias("first"), numbers.alias("numbers"), *(F.sum(F.when(whole, F.col(n))).alias(n) for n in flags))
+    numbers = F.col("numbers")
+    odd = F.size(F.filter(F.transform(numbers, lambda x, k: x["num"] != F.when(k > 0, F.get(numbers, k - 1)["num"]).otherwise(0) + 1), lambda b: b))
+    sized = F.when(F.col("check") == "size", F.struct(F.split_part("key", F.lit("|"), F.lit(1)).cast("int").alias("lv"), (-F.col("n")).alias("n"), "first", F.substring_index("key", "|", -1).alias("size")))
+
+    def of(check: str, f, c: Column | None = None) -> Column:
+        return F.coalesce(f(F.when(F.col("check") == check, F.col("n") if c is None else c)), F.lit(0))
+
+    docs = counts.groupBy("doc_id").agg(
+        *(F.max(n).alias(n) for n in flags), F.collect_list(sized).alias("sizes"), of("font", F.count).alias("fonts"), of("look", F.sum).alias("looks"), of("look", F.max).alias("look"), of("side", F.sum).alias("sides"), of("side", F.max).alias("side"),
+        of("number", F.sum).alias("numbered"), of("number", F.sum, odd).alias("odd"),
+    )
+    levels = F.array_sort(F.array_distinct(F.transform("sizes", lambda s: s["lv"])))
+    mains = F.transform(levels, lambda lv: F.struct(F.size(F.filter("sizes", lambda s: s["lv"] == lv)).alias("kinds"), X.points(F.array_min(F.transform(F.filter("sizes", lambda s: s["lv"] == lv), lambda s: F.struct(s["n"], s["first"], s["size"].alias("size"))))["size"]).alias("points")))
+    docs = docs.withColumn("mains", mains)
+    sized_ = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a - s["n"])
+    mixed = F.exists("mains", lambda m: m["kinds"] > 1)
+    larger = F.exists(F.transform("mains", lambda m, k: F.coalesce((k > 0) & (m["points"] > F.get("mains", k - 1)["points"]), F.lit(False))), lambda b: b)
+    c = {n: F.col(n) for n in (*flags, "fonts", "looks", "look", "sides", "side", "numbered", "odd")}
+    split = (c["headers"] > 0) & (c["headers"] < c["tables"])
+    status = {
+        "hierarchy": F.when(c["heads"] > 0, F.when(c["gaps"] > 0, "warn").otherwise("pass")).when(c["words"] > 600, "fail").when(c["words"] > 0, "pass"),
+        "fonts": F.when(c["body"] > 0, F.when(c["fonts"] <= 1, "pass").when(c["fonts"] == 2, "warn").otherwise("fail")),
+        "heading_sizes": F.when(sized_ >= 2, F.when(mixed, "fail").when(larger, "warn").otherwise("pass")),
+        "spacing": F.when(c["looks"] >= 2, F.when((c["looks"] == c["look"]) & (c["runs"] == 0), "pass").when((c["looks"] - c["look"]) > c["looks"] / 4, "fail").otherwise("warn")),
+        "direct_formatting": F.when(c["own"] > 0.2 * c["body"], "warn").when(c["body"] > 0, "pass"),
+        "numbering": F.when(c["numbered"] + c["lists"] > 0, F.when(c["odd"] > 0, "fail").when(c["typed"] > 0, "warn").otherwise("pass")),
+        "alignment": F.when(c["sides"] >= 2, F.when(c["sides"] > c["side"], "warn").otherwise("pass")),
+        "tables": F.when(split | ((c["apart"] > 0) & (c["tables"] > 1)), "warn").when(c["tables"] > 0, "pass"),
+        "captions": F.when(c["figures"] > 0, F.when((c["bare"] == 0) | ((c["captions"] == 0) & (c["figures"] == 1)), "pass").otherwise("warn")),
+        "page_breaks": F.when((c["edges"] > 0) | (c["doubled"] > 0), "warn").when(c["breaks"] > 0, "pass"),
+        "links": F.when(c["broken"] > 0, "fail").when(c["links"] > 0, "pass"),
+    }
+    told = docs.select("doc_id", *(s.alias(n) for n, s in status.items()))
+    earned = sum((F.when(F.col(n).isNotNull(), worth(F.col(n)) * w).otherwise(0.0) for n, w in WEIGHTS.items()), F.lit(0.0))
+    total = sum((F.when(F.col(n).isNotNull(), w).otherwise(0) for n, w in WEIGHTS.items()), F.lit(0))
+    return rated(told.select("doc_id", earned.alias("earned"), F.when(total > 0, total).alias("total")))

@@ -20,6 +20,8 @@ FROM_BODY = {
     **{f"Heading {k}": ("font-family", "color") for k in range(1, 7)}, "List": BODY_TEXT, "Quote": BODY_TEXT, "Table": BODY_TEXT[:5],
     "Caption": ("font-family", "color", "text-align", "line-height", "--line-spacing"), "Footnote": ("font-family", "color", "line-height", "--line-spacing"), "CodeBlock": ("color",),
 }
+#: Rules that one request may bring; they become literals of the plan.
+MOST_RULES = 10_000
 RULES = T.StructType([T.StructField("target", T.StringType()), T.StructField("property", T.StringType()), T.StructField("value", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("priority", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("seq", T.LongType())])
 
 
@@ -40,6 +42,13 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, DEFAULT, "default", k) for k, r in enumerate(default_rows())], RULES)
 
 
+def default_looks(spark: SparkSession, base: list[tuple]) -> list[tuple]:
+    """(target, property, pairs of css and value) of the default rules, a fixed table of about 60 rows."""
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(base)], "k int, target string, property string, value string, unit string")
+    shown = rows.select("k", "target", "property", units.css_of(F.col("property"), F.col("value"), F.col("unit")).alias("pairs")).collect()
+    return [(r.target, r.property, [tuple(p) for p in r.pairs]) for r in sorted(shown)]
+
+
 def target_of(kind: Column, level: Column) -> Column:
     """Style target of an element: the key between elements and styles."""
     return F.when(kind == "heading", F.concat(F.lit("Heading "), F.coalesce(level, F.lit(1)).cast("string"))).otherwise(F.coalesce(units.mapped(TARGETS, kind), F.lit("Paragraph")))
@@ -61,33 +70,48 @@ def usable(rules: DataFrame) -> DataFrame:
 
 
 def winners(rules: DataFrame, keys: list[str], *, specific: Column | None = None) -> DataFrame:
-    """The rule that wins each property of each key: lowest priority, then the more specific target, then the first."""
-    order = [F.col("priority"), *([F.when(specific, 0).otherwise(1)] if specific is not None else []), F.col("seq")]
-    nth = F.row_number().over(W.partitionBy(*keys, "property").orderBy(*order))
-    return rules.withColumn("_n", nth).where("_n = 1").drop("_n")
+    """The rule that wins each property of each key: lowest priority, then the more specific target, then the first.
+
+    A least struct, so each task sends one candidate of a key and property at most.
+    """
+    order = F.struct(F.col("priority"), *([F.when(specific, 0).otherwise(1).alias("s")] if specific is not None else []), F.col("seq"))
+    rest = [c for c in rules.columns if c not in (*keys, "property")]
+    return rules.groupBy(*keys, "property").agg(F.min_by(F.struct(*rest), order).alias("_w")).select(*keys, "property", *(F.col(f"_w.{c}").alias(c) for c in rest)).select(rules.columns)
 
 
 def css_rows(rules: DataFrame, keys: list[str]) -> DataFrame:
     return rules.select(*keys, F.inline(units.css_of(F.col("property"), F.col("value"), F.col("unit"))))
 
 
-def with_body(styles: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds what each kind of text takes from Paragraph where it sets nothing itself; styles are (*keys, target, css, value)."""
-    wanted = [(t, c) for t, own in FROM_BODY.items() for c in own]
-    taken = styles.sparkSession.createDataFrame(wanted, "target string, css string")
-    body = styles.where("target = 'Paragraph'").select(*keys, "css", "value")
-    targets = styles.select(*keys, "target").distinct()
-    more = targets.join(F.broadcast(taken), "target").join(body, [*keys, "css"]).select(*keys, "target", "css", "value")
-    return styles.unionByName(more.join(styles, [*keys, "target", "css"], "left_anti"))
-
-
 def resolve(rules: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, target, css, value): the look of each target of each key, the defaults taking part after the given rules."""
-    spark = rules.sparkSession
-    base = default_rules(spark).withColumn("seq", F.col("seq") + (1 << 50))
-    base = rules.select(*keys).distinct().join(F.broadcast(base)) if keys else base  # a fixed table of about 60 rows
-    own = usable(rules.unionByName(base)).where(~F.col("property").isin(*PAGE_PROPERTIES) & (F.col("target") != "Document"))
-    return with_body(css_rows(winners(own, [*keys, "target"]), [*keys, "target"]), keys)
+    """(*keys, target, css, value): the look of each target of each key.
+
+    The winning rules of a key come together in one row; what the defaults add to them, and what each kind of text takes
+    from Paragraph where nothing sets it, follows there from literal tables, so nothing is joined. A key needs memory for
+    its own winning rules. Keys without a usable rule have the defaults.
+    """
+    marked = rules.withColumn("_c", units.clean_value(F.col("property"), F.col("value"), F.col("unit")))
+    counts = F.col("_c").isNotNull() & ~F.col("property").isin(*PAGE_PROPERTIES) & (F.col("target") != "Document")
+    order = F.struct((~counts).cast("int").alias("n"), F.col("priority"), F.col("seq"))
+    best = marked.groupBy(*keys, "target", "property").agg(F.min_by(F.when(counts, F.struct("_c.value", "_c.unit", "priority")), order).alias("w"))
+    base = [(t, p, v, u) for t, p, v, u in default_rows() if t != "Document"]
+    given = F.concat_ws("/", "target", "property")
+    loses = (F.col("w.priority") > DEFAULT) & given.isin(*(f"{t}/{p}" for t, p, _, _ in base))
+    look = F.struct("target", given.alias("rule"), units.css_of(F.col("property"), F.col("w.value"), F.col("w.unit")).alias("pairs"))
+    own = best.groupBy(*keys).agg(F.collect_list(F.when(F.col("w").isNotNull() & ~loses, look)).alias("own"))
+    defaults = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(f"{t}/{p}").alias("rule"), F.array(*(F.struct(F.lit(c).alias("css"), F.lit(v).alias("value")) for c, v in pairs)).alias("pairs")) for t, p, pairs in default_looks(rules.sparkSession, base)))
+    own = own.withColumn("set", F.transform("own", lambda r: r["rule"]))
+    every = F.concat(F.col("own"), F.filter(defaults, lambda r: ~F.array_contains("set", r["rule"])))
+    rows = F.flatten(F.transform(every, lambda r: F.transform(r["pairs"], lambda x: F.struct(r["target"].alias("target"), x["css"].alias("css"), x["value"].alias("value")))))
+    own = own.select(*keys, rows.alias("rows"))
+    own = own.withColumns({
+        "here": F.transform("rows", lambda r: F.concat_ws("/", r["target"], r["css"])), "targets": F.array_distinct(F.transform("rows", lambda r: r["target"])),
+        "body": F.map_from_entries(F.transform(F.filter("rows", lambda r: r["target"] == "Paragraph"), lambda r: F.struct(r["css"], r["value"]))),
+    })
+    takes = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(c).alias("css"), F.lit(f"{t}/{c}").alias("at")) for t, css in FROM_BODY.items() for c in css))
+    open_ = F.filter(takes, lambda x: F.array_contains("targets", x["target"]) & F.map_contains_key("body", x["css"]) & ~F.array_contains("here", x["at"]))
+    taken = F.transform(open_, lambda x: F.struct(x["target"].alias("target"), x["css"].alias("css"), F.element_at("body", x["css"]).alias("value")))
+    return own.select(*keys, F.inline(F.concat(F.col("rows"), taken)))
 
 
 def settings(rules: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,25 +162,44 @@ def prune(rules: DataFrame, elements: DataFrame, doc: str = "doc_id") -> DataFra
     return coarse.unionByName(own.select(coarse.columns))
 
 
-def reformat(rules: DataFrame, template: DataFrame, instructions: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
-    """The rules after formatting anew: defaults, the source's own, template, instructions, and the overrides that are not dropped."""
-    spark = rules.sparkSession
-    everyone = rules.select(*keys).distinct()
+def given_to(everyone: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules of one request, MOST_RULES at most, for each row of everyone."""
+    rows = rules.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules in a request")
+    kind = f"array<{rules.schema.simpleString()}>"
+    literal = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema)) for r in rows)).cast(kind)
+    return everyone.select("*", F.inline(literal))
 
-    def each(r: DataFrame) -> DataFrame:
-        return everyone.join(F.broadcast(r)) if keys else r  # rule tables of one request
 
+def reformat(rules: DataFrame, template: DataFrame, instructions: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """The rules after formatting anew: defaults, the source's own, template, instructions, and the overrides that are not dropped."""
+    everyone = rules.select(*keys).distinct() if keys else rules.sparkSession.range(1).select()
     kept = rules.where(F.col("priority") == LIVE_OVERRIDE).join(dropped, [*keys, "target", "property"], "left_anti")
-    return stacked(each(default_rules(spark)), rules.where("source = 'source_document'").select(*keys, *RULES.names), each(template), each(instructions), kept.select(*keys, *RULES.names))
+    own = rules.where("source = 'source_document'").select(*keys, *RULES.names)
+    base, made, asked = (given_to(everyone, r) for r in (default_rules(rules.sparkSession), template, instructions))
+    return stacked(base, own, made, asked, kept.select(*keys, *RULES.names))
 
 
 def set_overrides(rules: DataFrame, wanted: DataFrame, elements: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Batch upsert of overrides: unknown elements and values that cannot be drawn are skipped."""
-    given = wanted.join(elements.select(doc, F.col("element_id").alias("target")), [doc, "target"], "left_semi")
-    given = usable(given.withColumns({"priority": F.lit(LIVE_OVERRIDE), "source": F.lit("live_override")}))
-    old = (F.col("priority") == LIVE_OVERRIDE)
-    replaced = rules.where(old).join(given.select(doc, "target", "property"), [doc, "target", "property"], "left_anti")
-    return rules.where(~old).unionByName(replaced.select(rules.columns)).unionByName(given.select(rules.columns))
+    """Batch upsert of overrides: one (target, property) each, a null value clears it, the last wanted of several counts.
+
+    A target is an element of the document, or Document with a page property. Unknown elements and values that cannot be
+    drawn are skipped, and an override that says the same already stays as it is.
+    """
+    keys = [doc, "target", "property"]
+    page = (F.col("target") == "Document") & F.col("property").isin(*PAGE_PROPERTIES)
+    known = elements.select(doc, F.col("element_id").alias("target")).distinct()
+    asked = wanted.where(page).unionByName(wanted.where(F.col("target") != "Document").join(known, [doc, "target"], "left_semi").select(wanted.columns))
+    asked = asked.withColumn("_c", units.clean_value(F.col("property"), F.col("value"), F.col("unit"))).where("value is null or _c is not null")
+    asked = asked.groupBy(*keys).agg(F.max_by(F.struct(F.col("_c.value").alias("value"), F.col("_c.unit").alias("unit"), "seq"), "seq").alias("_w"))
+    live = (F.col("priority") == LIVE_OVERRIDE)
+    both = rules.where(live).join(asked, keys, "left")
+    same = F.col("_w.value").eqNullSafe(F.col("value")) & F.col("_w.unit").eqNullSafe(F.col("unit"))
+    stays = both.where(F.col("_w").isNull() | same).select(rules.columns)
+    new = asked.where("_w.value is not null").select(*keys, "_w.value", "_w.unit", F.lit(LIVE_OVERRIDE).alias("priority"), F.lit("live_override").alias("source"), "_w.seq")
+    new = new.join(stays.select(*keys), keys, "left_anti")
+    return rules.where(~live).unionByName(stays).unionByName(new.select(rules.columns))
 
 
 def majority_rules(values: DataFrame, keys: list[str], *, value: str, weight: str, seq: str) -> DataFrame:

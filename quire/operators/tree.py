@@ -10,6 +10,8 @@ from .folds import ordered_fold
 
 #: Marks in the order in which a run holds them; operations that only change the look.
 MARKS = ("bold", "italic", "underline", "strike", "code", "link", "superscript", "subscript", "textStyle", "hidden")
+#: Rounds of following replies; threads of 2 ** THREAD_ROUNDS levels are followed to their root.
+THREAD_ROUNDS = 4
 CAPTION = r"(?i)^\s*(figure|fig\.|table|фигура|фиг\.|таблица|табл\.)\s*[0-9]+"
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)\]]|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 
@@ -65,20 +67,26 @@ def continued_starts(lists: DataFrame, *, doc: str = "doc_id") -> DataFrame:
 
 
 def inserted(elements: DataFrame, new: DataFrame, *, doc: str = "doc_id") -> DataFrame:
-    """elements (doc, element_id, ord) with new ones behind the element each names (null: at the end), renumbered from 0."""
-    at = elements.select(doc, F.col("element_id").alias("after_id"), F.col("ord").alias("_at"))
-    placed = new.join(at, [doc, "after_id"], "left").where(F.col("after_id").isNull() | F.col("_at").isNotNull())
-    rows = elements.select(doc, "element_id", F.col("ord").cast("double").alias("_at"), F.lit(0).alias("_s")).unionByName(placed.select(doc, "element_id", F.col("_at").cast("double").alias("_at"), F.lit(1).alias("_s")))
-    w = W.partitionBy(doc).orderBy(F.asc_nulls_last("_at"), "_s", "element_id")
-    return rows.select(doc, "element_id", (F.row_number().over(w) - 1).alias("ord"))
+    """elements (doc, element_id, ord) with new ones behind the element each names, renumbered from 0.
+
+    A null or unknown anchor means the end. New elements are put in one after another by their column seq, or where there
+    is none by their id, so of those behind one anchor the last stands nearest; an anchor may be new itself.
+    """
+    seq = F.col("seq") if "seq" in new.columns else F.row_number().over(W.partitionBy(doc).orderBy(F.desc("element_id")))
+    steps = new.select(doc, seq.cast("long").alias("seq"), F.lit("insert").alias("op"), F.col("element_id").alias("target"), "after_id")
+    return replayed(elements, steps, doc=doc)
 
 
 def invalid_operations(operations: DataFrame, elements: DataFrame, *, doc: str = "doc_id") -> DataFrame:
-    """Operations that name an element the document lacks, or lack what they need; a batch is applied only if there are none."""
-    known = elements.select(doc, F.col("element_id").alias("target"), F.lit(True).alias("_known"))
-    seen = operations.join(known, [doc, "target"], "left")
+    """Operations that name an element or an anchor which the document lacks, or lack what they need; a document's batch is applied only if it has none."""
+    def known(c: str) -> DataFrame:
+        return elements.select(doc, F.col("element_id").alias(c), F.lit(True).alias(f"_{c}")).distinct()
+
+    seen = operations.join(known("target"), [doc, "target"], "left").join(known("after_id"), [doc, "after_id"], "left")
+    names = F.col("op").isin("delete", "move", "set_style")
     short = F.when(F.col("op") == "insert", F.col("content").isNull()).when(F.col("op") == "set_style", F.col("property").isNull() | F.col("value").isNull()).otherwise(F.lit(False))
-    return seen.where((F.col("target").isNotNull() & F.col("_known").isNull()) | short).drop("_known")
+    lost = (names & F.col("_target").isNull()) | (F.col("after_id").isNotNull() & F.col("_after_id").isNull())
+    return seen.where(lost | short).select(operations.columns)
 
 
 def split_operations(operations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,30 +95,66 @@ def split_operations(operations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return operations.where(look), operations.where(~look)
 
 
-class Operations:
-    """A document's ids in order while operations are applied one after another: delete, insert behind, move behind."""
+class Chain:
+    """A document's ids as links in both directions, so that every operation takes the same time: None stands before the first and behind the last."""
 
     def __init__(self, key: tuple):
-        self.key, self.ids = key, []
+        self.key, self.next, self.last = key, {None: None}, {None: None}
+
+    def put(self, target: str, after: str | None) -> None:
+        before = after if after in self.next and after is not None else self.last[None]
+        behind = self.next[before]
+        self.next[before], self.next[target] = target, behind
+        self.last[behind], self.last[target] = target, before
+
+    def take(self, target: str) -> None:
+        before, behind = self.last.pop(target), self.next.pop(target)
+        self.next[before], self.last[behind] = behind, before
 
     def step(self, row: dict) -> list[tuple]:
-        op, target, after = row["op"], row["target"], row["after_id"]
-        if op in ("delete", "move") and target in self.ids:
-            self.ids.remove(target)
-        if op != "delete":
-            self.ids.insert(self.ids.index(after) + 1 if after in self.ids else len(self.ids), target)
+        op, target = row["op"], row["target"]
+        if op in ("delete", "move") and target is not None and target in self.next:
+            self.take(target)
+            if op == "move":
+                self.put(target, row["after_id"])
+        elif op in ("insert", "page_break"):
+            self.put(target if target is not None else f"{op}-{row['seq']}", row["after_id"])
         return []
 
     def end(self) -> list[tuple]:
-        return [(*self.key, k, x) for k, x in enumerate(self.ids)]
+        out, at = [], self.next[None]
+        while at is not None:
+            out.append((*self.key, len(out), at))
+            at = self.next[at]
+        return out
 
 
-def applied(elements: DataFrame, operations: DataFrame, *, doc: str = "doc_id") -> DataFrame:
-    """(doc, ord, element_id) after each document's operations (doc, seq, op, target, after_id) in the order of seq."""
+def replayed(elements: DataFrame, operations: DataFrame, *, doc: str) -> DataFrame:
+    """(doc, ord, element_id) after each document's operations in the order of seq; a task holds the ids of one document."""
     kind = elements.schema[doc].dataType.simpleString()
-    base = elements.select(doc, (F.col("ord").cast("long") - (1 << 40)).alias("seq"), F.lit("load").alias("op"), F.col("element_id").alias("target"), F.lit(None).cast("string").alias("after_id"))
+    base = elements.select(doc, (F.col("ord").cast("long") - (1 << 40)).alias("seq"), F.lit("insert").alias("op"), F.col("element_id").alias("target"), F.lit(None).cast("string").alias("after_id"))
     stream = base.unionByName(operations.select(doc, F.col("seq").cast("long").alias("seq"), "op", "target", "after_id"))
-    return ordered_fold(stream, [doc], ["seq"], f"{doc} {kind}, ord long, element_id string", Operations)
+    return ordered_fold(stream, [doc], ["seq"], f"{doc} {kind}, ord long, element_id string", Chain)
+
+
+def applied(elements: DataFrame, operations: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """(doc, ord, element_id) after each document's operations (doc, seq, op, target, after_id, content, property, value).
+
+    delete and move name their target; insert and page_break bring a new element, named by target or, where that is null,
+    by their seq; set_style leaves the order alone (see `styled`). An anchor that an earlier operation has deleted means
+    the end, as null does. A document with an invalid operation is left as it is.
+    """
+    refused = invalid_operations(operations, elements, doc=doc).select(doc).distinct()
+    return replayed(elements, operations.join(refused, doc, "left_anti"), doc=doc)
+
+
+def styled(rules: DataFrame, operations: DataFrame, *, doc: str = "doc_id", priority: int = 2) -> DataFrame:
+    """rules (doc, target, property, value, priority, source, ...) with those of the set_style operations in the place of all of one target and property; the last counts."""
+    keys = [doc, "target", "property"]
+    new = operations.where("op = 'set_style'").groupBy(*keys).agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    new = new.withColumns({"priority": F.lit(priority), "source": F.lit("instruction")})
+    kept = rules.join(new.select(*keys), keys, "left_anti").select(rules.columns)
+    return kept.unionByName(new.select(*(c for c in rules.columns if c in new.columns)), allowMissingColumns=True)
 
 
 def new_proposals(waiting: DataFrame, offered: DataFrame, keys: list[str], *, order: str) -> DataFrame:
@@ -153,12 +197,21 @@ def autolinks(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     """(key, nth, href) of plain URLs and addresses in texts; an address gets mailto:, a bare www. https://."""
     found = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(URL), F.lit(0))).alias("nth", "raw"))
     low = F.lower("raw")
-    href = F.when(low.startswith("www."), F.concat(F.lit("https://"), "raw")).when(low.startswith("http"), F.col("raw")).otherwise(F.concat(F.lit("mailto:"), "raw"))
+    href = F.when(low.rlike("^https?://"), F.col("raw")).when(low.rlike(r"^[\w.+-]+@"), F.concat(F.lit("mailto:"), "raw")).otherwise(F.concat(F.lit("https://"), "raw"))
     return found.select(key, "nth", href.alias("href"))
 
 
-def threads(comments: DataFrame) -> DataFrame:
-    """comments with the root of their thread's parent and whether it is resolved: replies follow their parent."""
-    parent = comments.select(F.col("id").alias("parent_id"), F.col("resolved").alias("_r"), F.lit(True).alias("_p"))
-    out = comments.join(parent, "parent_id", "left")
-    return out.withColumns({"thread": F.when(F.col("_p"), F.col("parent_id")).otherwise(F.col("id")), "resolved": F.coalesce("_r", "resolved")}).drop("_r", "_p")
+def threads(comments: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """comments (doc, id, parent_id, resolved) with their thread, the id of its first comment, and whether that one is resolved.
+
+    A parent that the document lacks begins no thread. Replies to replies are followed to the root, each round twice as far;
+    rings of comments have no root and stay in some thread of their own.
+    """
+    known = comments.select(doc, F.col("id").alias("thread"), F.lit(True).alias("_k"))
+    up = comments.withColumn("thread", F.coalesce("parent_id", "id")).join(known, [doc, "thread"], "left")
+    up = up.select(doc, "id", F.when(F.col("_k"), F.col("thread")).otherwise(F.col("id")).alias("thread"))
+    for _ in range(THREAD_ROUNDS):
+        above = up.select(doc, F.col("id").alias("thread"), F.col("thread").alias("_up"))
+        up = up.join(above, [doc, "thread"]).select(doc, "id", F.col("_up").alias("thread"))
+    root = comments.select(doc, F.col("id").alias("thread"), F.col("resolved").alias("_r"))
+    return comments.drop("resolved").join(up, [doc, "id"]).join(root, [doc, "thread"]).select(*(c for c in comments.columns if c != "resolved"), "thread", F.col("_r").alias("resolved"))

@@ -54,7 +54,7 @@ def p6_interrupted_jobs(spark, d):
     return C.fail_interrupted(events(spark, d).select(F.col("event_id").alias("id"), F.when(k == 0, "pending").when(k == 1, "running").when(k == 2, "succeeded").otherwise("failed").alias("status")))
 
 
-@query("select event_id as id from events order by ts - case when event_type = 'purchase' then interval 10 minute else interval 0 minute end, event_id limit 100")
+@query("select event_id as id, row_number() over (order by ts - case when event_type = 'purchase' then interval 10 minute else interval 0 minute end, event_id) as nth from events")
 def e10_queue_order(spark, d):
     jobs = events(spark, d).select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), (F.col("event_type") == "purchase").alias("priority"))
     return C.queue_places(jobs).select("id", "nth")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators import layout as L
-from ..operators import numbered, segment
+from ..operators import numbered
 from ..sources import docx, markdown
-from ..sources.tables import table
+from ..sources.tables import shared_dir, table
 from ..streaming import metering as SM
 from .catalogue import query
 from .metering_queries import BURST
@@ -93,18 +93,23 @@ def pairs(spark, d):
     return c.select("conv_id", "turn", F.col("text").alias("source"), F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" and 17 more"))).when(F.col("turn") % 3 == 2, F.regexp_replace("text", r"^\w+ ", "")).otherwise(F.col("text")).alias("result"))
 
 
-@query()
-def v1_word_check(spark, d):
-    return C.compare_words(pairs(spark, d), keys=["conv_id", "turn"], source="source", result="result").drop("samples")
+PAIRS = "pairs as (select conv_id, turn, text as source, case turn % 3 when 1 then text || ' and 17 more' when 2 then regexp_replace(text, '^\\w+ ', '') else text end as result from conversations)"
+WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\p{{Nl}}\p{{No}}]+')"
 
 
-@query("select conv_id, turn, true as verified from conversations where turn % 3 = 0")
+@query("with " + PAIRS + f", w as (select conv_id, turn, {WORDS.format('source')} as a, {WORDS.format('result')} as b from pairs) select conv_id, turn, len(a)::bigint as source_words, len(b)::bigint as result_words, a = b as verified from w")
 def v1_verified_pairs(spark, d):
     out = C.compare_words(pairs(spark, d), keys=["conv_id", "turn"], source="source", result="result")
-    return out.where("verified").select("conv_id", "turn", "verified")
+    return out.select("conv_id", "turn", "source_words", "result_words", "verified")
+
+
+NUMBERS = r"list_filter(regexp_extract_all({0}, '[-+]?\p{{Nd}}+(?:[.,:/-]\p{{Nd}}+)*%?|[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'), lambda t: regexp_matches(t, '\p{{Nd}}'))"
+FACTS = f"""n as (select conv_id, turn, {NUMBERS.format('source')} as a, {NUMBERS.format('result')} as b from pairs),
+a as (select conv_id, turn, x, row_number() over (partition by conv_id, turn, x) as k from (select conv_id, turn, unnest(a) as x from n)), b as (select conv_id, turn, x, row_number() over (partition by conv_id, turn, x) as k from (select conv_id, turn, unnest(b) as x from n)),
+lost as (select conv_id, turn, list(x order by x) as missing from a anti join b using (conv_id, turn, x, k) group by 1, 2), come as (select conv_id, turn, list(x order by x) as added from b anti join a using (conv_id, turn, x, k) group by 1, 2)"""
 
 
-@query("select conv_id, turn, cast([] as varchar[]) as missing, case when turn % 3 = 1 then ['17'] else cast([] as varchar[]) end as added from conversations where not regexp_matches(text, '[0-9]')")
+@query("with " + PAIRS + ", " + FACTS + " select conv_id, turn, coalesce(missing, []) as missing, coalesce(added, []) as added from n left join lost using (conv_id, turn) left join come using (conv_id, turn)")
 def o12_changed_numbers(spark, d):
     return C.changed_numbers(pairs(spark, d), keys=["conv_id", "turn"], source="source", result="result")
 
@@ -193,25 +198,35 @@ def s10_markdown_elements(spark, d):
     return out.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items"), F.sum(F.size("cells")).alias("cells"))
 
 
-@query("select conv_id, count(*) as elements, true as same from conversations where trim(text) <> '' and turn < 6 group by 1")
+@query("select conv_id, count(*) as elements, true as same from conversations where trim(text) <> '' group by 1")
 def k1_word_round_trip(spark, d):
-    rows = table(spark, d, "conversations").where("trim(text) != ''").select("conv_id", F.col("turn").alias("ord"), F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("type"), F.lit(1).alias("level"), F.col("text").alias("content"))
-    back = docx.elements(docx.packages(rows, key="conv_id").select(F.col("conv_id").cast("string").alias("key"), "content"))
-    own = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("ord", "content"))).alias("a"))
-    read = back.groupBy(F.col("key").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "content"))).alias("b"))
-    both = own.join(read, "conv_id")
-    return both.select("conv_id", F.size("b").cast("long").alias("elements"), (F.transform("a", lambda x: x["content"]) == F.transform("b", lambda x: x["content"])).alias("same"))
+    """Every fifth turn is a table of three cells: contents and cells come back as they were."""
+    t = F.col("turn").cast("int")
+    kind = F.when(t % 5 == 4, "table").when(F.col("role") == "system", "heading").otherwise("paragraph")
 
+    def cell(row, col, wide, text):
+        return F.struct(*(F.lit(x).alias(n) for x, n in ((row, "row"), (col, "col"), (wide, "colspan"))), text.alias("text"))
 
-@query("select page_id, count(*) as candidates from (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>.*?</h1>')) as h from pages) group by 1")
-def w4_heading_gaps(spark, d):
-    return segment.html_headings(table(spark, d, "pages"), key="page_id", html="html").groupBy("page_id").agg(F.count("*").alias("candidates"))
-
-
-def streamed(spark, d, make, mode):
-    """Runs a stream over the table as it is, into the session's shared folder, and reads what it wrote."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/quire/stream-{uuid.uuid4().hex}"
-    out = make(SM.event_stream(spark, d))
+    cells = F.when(kind == "table", F.array(cell(0, 0, 1, F.col("text")), cell(0, 1, 1, F.lit("x")), cell(1, 0, 2, F.lit("wide")))).otherwise(F.array().cast(docx.CELLS))
+    content = F.when(kind == "table", F.concat("text", F.lit("\tx\nwide"))).otherwise(F.col("text"))
+    rows = table(spark, d, "conversations").where("trim(text) != ''").select("conv_id", t.alias("ord"), kind.alias("type"), F.lit(1).alias("level"), content.alias("content"), cells.alias("cells"))
+    back = docx.elements(docx.packages(rows, key="conv_id").select(F.col("conv_id").cast("string").alias("key"), "content"))
+    told = F.struct("ord", F.struct("type", "content", "cells").alias("e"))
+    own = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(told)).alias("a"))
+    read = back.groupBy(F.col("key").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(told)).alias("b"))
+    both = own.join(read, "conv_id")
+    return both.select("conv_id", F.size("b").cast("long").alias("elements"), (F.transform("a", lambda x: x["e"]) == F.transform("b", lambda x: x["e"])).alias("same"))
+
+
+def streamed(spark, d, make, mode, *, files=3):
+    """Runs a stream over the events, dealt by time into files that are a batch each, in the session's shared folder, and reads what it wrote."""
+    base = f"{shared_dir(spark)}/quire/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    low, high = events.select(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    part = F.least(F.lit(files - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * files / F.lit(max(1, (high or 0) - (low or 0)))))
+    for k in range(files):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    out = make(SM.event_stream(spark, f"{base}/events", schema=events.schema, per_trigger=1))
     SM.drained(out, f"{base}/out", mode=mode, checkpoint=f"{base}/state")
     return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
 

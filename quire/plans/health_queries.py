@@ -33,6 +33,12 @@ CHECKS = {
     "direct_formatting": """m as (select distinct doc_id, element_id from runs where mark = 'textStyle' and trim(text) <> '' and font_family is not null),
         p as (select e.doc_id, count(*) as n, count(*) filter (where own or m.element_id is not null) as hit from elements e left join m on m.doc_id = e.doc_id and m.element_id = e.element_id where {BODY} and {FILLED} group by 1)
         select doc_id, case when n is null then 'skip' when hit > 0.2 * n then 'warn' else 'pass' end as status, coalesce(hit, 0) as issues from all_docs left join p using (doc_id)""",
+    "numbering": r"""h as (select doc_id, ord, string_split(regexp_extract(content, '^\s*([0-9]+(?:\.[0-9]+)*)[.)]?\s+\S', 1), '.') as parts from elements where type = 'heading'),
+        n as (select doc_id, ord, parts[-1]::bigint as own, array_to_string(list_transform(parts[:-2], lambda x: x::bigint), '.') as parent from h where parts[1] <> ''),
+        o as (select *, own <> coalesce(lag(own) over (partition by doc_id, parent order by ord), 0) + 1 as odd from n),
+        a as (select doc_id, count(*) as numbered, count(*) filter (where odd) as odds from o group by 1),
+        l as (select doc_id, count(*) as lists, count(*) filter (where regexp_matches(content, '^\s*[0-9]+[.)]\s')) as typed from elements where type = 'list' and ordered group by 1)
+        select doc_id, case when numbered is null and lists is null then 'skip' when odds > 0 then 'fail' when typed > 0 then 'warn' else 'pass' end as status, coalesce(odds, 0) + coalesce((typed > 0)::int, 0) as issues from all_docs left join a using (doc_id) left join l using (doc_id)""",
     "alignment": """p as (select doc_id, sum(c) as n, sum(c) - max(c) as odd from (select doc_id, coalesce(align, 'left') as side, count(*) as c from elements where type = 'paragraph' and length(trim(content)) > 80 group by 1, 2) group by 1)
         select doc_id, case when coalesce(n, 0) < 2 then 'skip' when odd > 0 then 'warn' else 'pass' end as status, case when n >= 2 then odd else 0 end as issues from all_docs left join p using (doc_id)""",
     "tables": """p as (select doc_id, count(*) as n, count(*) filter (where has_header) as heads, count(*) filter (where own) as own from elements where type = 'table' group by 1)
@@ -153,4 +159,12 @@ def a13_health_score(spark, d):
     """All eleven checks; a list element of the corpus is one line, its only item."""
     e = elements(spark, d)
     items = e.where("type = 'list'").select("doc_id", "element_id", F.col("content").alias("text"))
+    return H.scores(e, runs(spark, d), items)
+
+
+@query(score_sql())
+def a13_score_of_checks(spark, d):
+    """The same from the eleven checks' own rows."""
+    e = elements(spark, d)
+    items = e.where("type = 'list'").select("doc_id", "element_id", F.col("content").alias("text"))
     return H.score(H.all_checks(e, runs(spark, d), items))

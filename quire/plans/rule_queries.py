@@ -14,7 +14,7 @@ from .relations import ELEMENTS, elements, with_
 RULES = """rules as (select l_orderkey as doc_id, case l_linenumber % 3 when 0 then 'Paragraph' when 1 then 'Heading ' || (1 + l_suppkey % 6) else 'Quote' end as target,
     case l_partkey % 5 when 0 then 'fontSize' when 1 then 'bold' when 2 then 'color' when 3 then 'alignment' else 'indentLeft' end as property,
     case l_partkey % 5 when 0 then (8 + l_suppkey % 10)::varchar when 1 then case when l_suppkey % 2 = 0 then 'true' else 'no' end when 2 then case when l_suppkey % 3 = 0 then '#ff0000' when l_suppkey % 3 = 1 then 'plaid' else 'blue' end when 3 then case when l_suppkey % 2 = 0 then 'center' else 'justify' end else (l_suppkey % 40)::varchar end as value,
-    case l_partkey % 5 when 0 then 'pt' when 4 then 'cm' end as unit, (1 + l_suppkey % 7)::integer as priority, (l_linenumber * 100000000000 + l_partkey * 10000 + l_suppkey)::bigint as seq from lineitem where l_orderkey % 5 = 0)"""
+    case l_partkey % 5 when 0 then 'pt' when 4 then 'cm' end as unit, (1 + l_suppkey % 7)::integer as priority, (l_linenumber * 100000000000 + l_partkey * 10000 + l_suppkey)::bigint as seq from lineitem)"""
 CLEAN = """clean as (select doc_id, target, property, case property when 'bold' then case when value in ('true') then 'true' else 'false' end else value end as value, unit, priority, seq from rules
     where case property when 'color' then value <> 'plaid' when 'indentLeft' then value::double <= 20 else true end)"""
 BEST = "best as (select * from (select *, row_number() over (partition by doc_id, target, property order by priority, seq) as n from clean) where n = 1)"
@@ -164,10 +164,20 @@ def o6_nearest_level(spark, d):
     return nearest_level(spark.createDataFrame([(k,) for k in range(1, 7)], "level int"), spark.createDataFrame([(2,), (4,), (6,)], "level int"))
 
 
-@query(with_(ELEMENTS) + "select doc_id, element_id, least(6, dense_rank() over (partition by doc_id order by size desc, bold desc, italic))::integer as level from (select *, count(*) over (partition by doc_id) as n from (select e.doc_id, element_id, length(content) % 4 + 10.0 as size, length(content) % 7 = 0 as bold, false as italic, p.paragraphs from elements e join (select doc_id, count(*) as paragraphs, arg_min(size, (-w, s)) as bs, arg_min(bold, (-w, s)) as bb from (select doc_id, size, bold, sum(wt) as w, min(ord) as s from (select doc_id, ord, length(content) % 4 + 10.0 as size, length(content) % 7 = 0 as bold, greatest(1, length(trim(content))) as wt from elements where type = 'paragraph' and content <> '') group by 1, 2, 3) group by 1) p on p.doc_id = e.doc_id where false)) where n * 2 <= paragraphs")
+INFERRED = r"""unmarked as (select * replace (case when type = 'heading' and doc_id % 2 = 1 then 'paragraph' else type end as type) from elements),
+looks as (select * exclude (size), length(content) % 4 + 10.0 as size, length(content) % 7 = 0 as bold from unmarked),
+votes as (select doc_id, size, bold, sum(greatest(1, length(trim(content)))) as w, min(ord) as s, count(*) as n from looks where type = 'paragraph' and content <> '' group by 1, 2, 3),
+body as (select doc_id, arg_min(size, (-w, s)) as body_size, arg_min(bold, (-w, s)) as body_bold, sum(n) as paragraphs from votes group by 1),
+flat as (select *, trim(regexp_replace(content, '\s+', ' ', 'g')) as line from looks l where type = 'paragraph' and not exists (select 1 from unmarked h where h.doc_id = l.doc_id and h.type = 'heading')),
+out as (select f.*, paragraphs, count(*) over (partition by f.doc_id) as n from flat f join body b on b.doc_id = f.doc_id
+    where length(line) between 1 and 120 and len(string_split(line, ' ')) <= 15 and not regexp_matches(line, '[.,;]$') and (size >= body_size + 1 or (bold and not body_bold)))"""
+
+
+@query(with_(ELEMENTS, INFERRED) + "select doc_id, element_id, least(6, dense_rank() over (partition by doc_id order by size desc, bold desc))::integer as level from out where n * 2 <= paragraphs")
 def o5_inferred_levels(spark, d):
-    """Heading levels inferred in documents that have no headings of their own."""
+    """Heading levels inferred in documents that have no headings of their own; the headings of odd documents count as paragraphs that nobody has marked."""
     from ..operators import segment as S
 
-    e = elements(spark, d).withColumns({"size": (F.length("content") % 4 + 10.0), "bold": F.length("content") % 7 == 0, "italic": F.lit(False)})
+    e = elements(spark, d).withColumn("type", F.when((F.col("type") == "heading") & (F.col("doc_id") % 2 == 1), "paragraph").otherwise(F.col("type")))
+    e = e.withColumns({"size": (F.length("content") % 4 + 10.0), "bold": F.length("content") % 7 == 0, "italic": F.lit(False)})
     return S.inferred_levels(S.heading_candidates(e), e.where("type = 'paragraph' and content != ''"))

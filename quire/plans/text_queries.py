@@ -41,20 +41,29 @@ def g3_first_chunk_heading(spark, d):
     return out.select("doc_id", "ord", "type")
 
 
-PACK = """with recursive pieces as (select doc_id, unnest(b) as piece, generate_subscripts(b, 1) as rn from (select doc_id, {b} as b, length(trim(text, ' ' || chr(9) || chr(10))) as n from documents) where n + len(b) - 1 > 9000 and list_max(list_transform(b, lambda x: length(x))) <= 9000),
-fold as (select doc_id, rn, length(piece) as size, 0 as chunk from pieces where rn = 1
- union all select p.doc_id, p.rn, case when f.size + 2 + length(p.piece) > 9000 then length(p.piece) else f.size + 2 + length(p.piece) end, case when f.size + 2 + length(p.piece) > 9000 then f.chunk + 1 else f.chunk end
- from pieces p join fold f on p.doc_id = f.doc_id and p.rn = f.rn + 1)
-select doc_id, chunk::integer as chunk_no, max(size)::bigint as chars from fold group by 1, 2"""
-
-
-@query(PACK.format(b=BLOCKS.format("replace(text, chr(10), chr(10) || chr(10))")))
+def packed_sql(block: str, limit: int, marks: tuple[str, ...]) -> str:
+    """Chunks of at most `limit` characters: blocks that are longer are cut at the last of the first marks that is there, else between any two."""
+    head = f"substr(rest, 1, {limit + 1})"
+    last = [f"length({head}) - instr(reverse({head}), {m})" for m in marks]
+    place = "case " + " ".join(f"when instr({head}, {m}) > 0 then {at}" for m, at in zip(marks, last)) + f" else {limit} end"
+    skip = "case when " + " or ".join(f"instr({head}, {m}) > 0" for m in marks) + " then 2 else 1 end"
+    return f"""with recursive texts as (select doc_id, trim({block}, ' ' || chr(9) || chr(10)) as whole from documents),
+blocks as (select doc_id, unnest(b) as rest, generate_subscripts(b, 1) as rn from (select doc_id, {BLOCKS.format('whole')} as b from texts where length(whole) > {limit})),
+cut as (select doc_id, rn, 0 as k, case when length(rest) > {limit} then substr(rest, 1, {place}) else rest end as piece, case when length(rest) > {limit} then substr(rest, {place} + {skip}) else '' end as rest from blocks
+ union all select doc_id, rn, k + 1, case when length(rest) > {limit} then substr(rest, 1, {place}) else rest end, case when length(rest) > {limit} then substr(rest, {place} + {skip}) else '' end from cut where rest <> ''),
+pieces as (select doc_id, length(piece) as size, row_number() over (partition by doc_id order by rn, k) as nth from cut),
+fold as (select doc_id, nth, size, 0 as chunk from pieces where nth = 1
+ union all select p.doc_id, p.nth, case when f.size + 2 + p.size > {limit} then p.size else f.size + 2 + p.size end, case when f.size + 2 + p.size > {limit} then f.chunk + 1 else f.chunk end from pieces p join fold f on p.doc_id = f.doc_id and p.nth = f.nth + 1),
+chunks as (select doc_id, chunk::integer as chunk_no, max(size)::bigint as chars from fold group by 1, 2 union all select doc_id, 0, length(whole) from texts where length(whole) between 1 and {limit}) """
+
+
+@query(packed_sql("replace(text, chr(10), chr(10) || chr(10))", 9000, ("' '",)) + "select doc_id, chunk_no, chars from chunks")
 def g1_packed_chunks(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return S.chunks(docs, doc="doc_id", text="text", limit=9000).select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("chars"))
 
 
-@query()
+@query(packed_sql("text", 500, ("chr(10)", "' '")) + "select doc_id, count(*) as chunks, max(chars)::integer as longest from chunks group by 1")
 def g2_cut_chunks(spark, d):
     out = S.chunks(table(spark, d, "documents").select("doc_id", "text"), doc="doc_id", text="text", limit=500)
     return out.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"))
@@ -79,7 +88,18 @@ def d7_documents_with_numbers(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.size(X.number_facts(F.col("text"))) > 0).alias("has_numbers"))
 
 
-@query()
+W_ = r"[\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}\p{No}]"
+PLAIN = "{t}"
+for _variants, _plain in X.VARIANTS:
+    PLAIN = f"translate({PLAIN}, '" + _variants.replace("'", "''") + "', '" + _plain.replace("'", "''") * len(_variants) + "')"
+PLAIN = f"regexp_replace(replace({PLAIN}, '…', '...'), '" + X.LINE_MARKS.replace("(?mU)", "(?m)").replace("{", "{{").replace("}", "}}") + "', '', 'g')"
+NUMBER_SQL = r"[-+]?\p{Nd}+(?:[.,:/-]\p{Nd}+)*%?"
+TOKENS = f"regexp_extract_all({PLAIN}, '" + f"{NUMBER_SQL}|{W_}+(?:[\\x27-]{W_}+)*|[^{W_[1:-1]}\\s]".replace("{", "{{").replace("}", "}}") + "')"
+KIND_OF = f"case when regexp_full_match(t, '{NUMBER_SQL}') then 'number' when regexp_matches(t, '^{W_}') then 'word' else 'mark' end"
+KINDS = f"select {KIND_OF} as kind, count(*) as n from (select unnest({TOKENS.format(t='text')}) as t from documents) group by 1"
+
+
+@query(KINDS)
 def d7_token_kinds(spark, d):
     t = table(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("t"))
     return t.groupBy(X.token_kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
@@ -213,7 +233,7 @@ def d16_unit_conversion(spark, d):
     return spark.createDataFrame(list(LENGTHS), "value string, unit string").select("value", "unit", F.round(U.to_cm(F.col("value"), F.col("unit")), 6).alias("cm"), U.to_pt(F.col("value"), F.col("unit")).alias("pt"))
 
 
-@query("select l_orderkey, l_linenumber, rtrim(rtrim(printf('%.4f', l_quantity / 20 * 1.15), '0'), '.') as height from lineitem where l_quantity < 20")
+@query("select l_orderkey, l_linenumber, rtrim(rtrim(printf('%.4f', l_quantity / 20 * 1.15), '0'), '.') as height from lineitem")
 def d17_line_heights(spark, d):
     q = F.col("l_quantity") / 20
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", U.line_height(q.cast("string"), F.lit(None).cast("string")).alias("height"))
@@ -225,7 +245,13 @@ def d18_page_sizes(spark, d):
     return a.withColumn("p", U.page_mm(F.col("size"), F.col("orientation"))).select("size", "orientation", "p.width", "p.height")
 
 
-@query("with w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from (select doc_id, " + WORDS.format("text") + " as ws from documents where doc_id % 10 = 1)), k as (select doc_id, unnest(ws) as word from (select doc_id + 1 as doc_id, " + WORDS.format("text") + " as ws from documents where doc_id % 10 = 0)), a as (select *, row_number() over (partition by doc_id, word order by pos) as n from w), b as (select doc_id, word, count(*) as n from k group by 1, 2) select a.doc_id, a.pos::integer as pos, a.word from a left join b on a.doc_id = b.doc_id and a.word = b.word where b.n is null or a.n > b.n")
+BAGS = "with p as (select doc_id, lag(doc_id) over (order by doc_id) as before, " + WORDS.format("text") + """ as ws from documents),
+a as (select doc_id, word, pos, before, row_number() over (partition by doc_id, word order by pos) as n from (select doc_id, before, unnest(ws) as word, generate_subscripts(ws, 1) as pos from p)),
+b as (select doc_id, word, count(*) as n from (select doc_id, unnest(ws) as word from p) group by 1, 2)
+select a.doc_id, a.pos::integer as pos, a.word from a left join b on b.doc_id = a.before and b.word = a.word where b.n is null or a.n > b.n"""
+
+
+@query(BAGS)
 def j16_bag_missing(spark, d):
     """Each document against the one with the next smaller doc_id; the first, which has none, lacks all its words."""
     docs = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
@@ -242,13 +268,19 @@ def worded(spark, d):
     return table(spark, d, "documents").select("doc_id", w), table(spark, d, "benchmark").select("item_id", w)
 
 
-@query("select doc_id, item_id, contains(' ' || array_to_string(" + WORDS.format("d.text") + ", ' ') || ' ', ' ' || array_to_string(list_slice(" + WORDS.format("b.text") + ", 1, 5), ' ') || ' ') as inside from documents d join benchmark b on b.item_id = d.doc_id % 40")
+WORDED = "with d as (select doc_id, " + WORDS.format("text") + " as w from documents), b as (select item_id, " + WORDS.format("text") + " as w from benchmark where len(" + WORDS.format("text") + ") > 0)"
+RUNS_OF_FIVE = WORDED + """, runs as (select item_id, least(5, len(w)) as n, k, array_to_string(w[k:k + 4], ' ') as run from (select *, unnest(range(1, greatest(1, len(w) - 4) + 1)) as k from b)),
+found as (select distinct doc_id, n, array_to_string(w[i:i + n - 1], ' ') as run from (select *, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from runs)))
+select distinct doc_id, item_id, k::integer as "at" from runs join found using (n, run)"""
+
+
+@query(RUNS_OF_FIVE)
 def o14_contiguous_words(spark, d):
     """All runs of five words of all items, in all documents: a row for each run that is there."""
     return windows_in(*worded(spark, d), size=5)
 
 
-@query()
+@query(WORDED + " select doc_id, item_id from (select doc_id, item_id, d.w as found, b.w as needed from d, b where list_has_all(d.w, b.w)) where list_reduce(found, lambda n, x: case when needed[n::integer + 1] = x then (n::integer + 1)::varchar else n end, '0')::integer = len(needed)")
 def o13_subsequence(spark, d):
     """Whole items in all documents: a row for each pair whose item is there."""
     return subsequences(*worded(spark, d))
@@ -285,11 +317,6 @@ def a15_weighted_majority(spark, d):
     return majority_rules(rows, ["source"], value="lang", weight="w", seq="doc_id").select("source", "lang", "weight")
 
 
-@query("select source as feature, lang as reason, sum(n_chars)::bigint as n, arg_min(substr(text, 1, 20), doc_id) as example, count(*) as items from documents group by 1, 2")
-def a10_grouped_findings(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("feature"), F.col("lang").alias("reason")).agg(F.sum("n_chars").alias("n"), F.min_by(F.substring("text", 1, 20), "doc_id").alias("example"), F.count("*").alias("items"))
-
-
 @query("select role, max(len(string_split(text, chr(10)))) as depth, sum(length(text) * 3 // 4)::bigint as bytes from conversations group by 1")
 def a25_inline_sizes(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.max(F.size(F.split("text", "\n"))).cast("long").alias("depth"), F.sum(F.floor(F.length("text") * 3 / 4)).cast("long").alias("bytes"))

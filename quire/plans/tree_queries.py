@@ -9,7 +9,6 @@ from ..functions import units as U
 from ..operators import tree as T_
 from ..sources.tables import table
 from .catalogue import query
-from .document_queries import versions
 from .relations import ELEMENTS, elements, with_
 
 
@@ -62,14 +61,20 @@ def g10_continued_lists(spark, d):
     return T_.continued_starts(T_.lists_of(list_paragraphs(spark, d))).select("doc_id", "first", "start")
 
 
-@query("with e as (select conv_id as doc_id, conv_id || '-' || turn as element_id, turn::double as pos, 0 as s from conversations), n as (select doc_id, element_id || '+' as element_id, pos, 1 as s from e where pos = 1 union all select distinct doc_id, doc_id || '-end', null::double, 1 from e) select doc_id, element_id, row_number() over (partition by doc_id order by pos nulls last, s, element_id) - 1 as ord from (select * from e union all select * from n)")
+@query("with e as (select conv_id as doc_id, conv_id || '-' || turn as element_id, turn::double as pos, 0 as s from conversations), n as (select doc_id, element_id || '+' as element_id, pos, 2 as s from e where pos = 1 union all select doc_id, element_id || '+2', pos, 1 from e where pos = 1 union all select doc_id, element_id || '+2a', pos, 1.5 from e where pos = 1 union all select distinct doc_id, doc_id || '-end', null::double, 1 from e union all select distinct doc_id, doc_id || '-lost', null::double, 2 from e) select doc_id, element_id, row_number() over (partition by doc_id order by pos nulls last, s, element_id) - 1 as ord from (select * from e union all select * from n)")
 def m5_inserted_elements(spark, d):
     c = table(spark, d, "conversations")
     name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     e = c.select(F.col("conv_id").alias("doc_id"), name.alias("element_id"), F.col("turn").alias("ord"))
-    new = e.where("ord = 1").select("doc_id", F.concat("element_id", F.lit("+")).alias("element_id"), F.col("element_id").alias("after_id"))
-    end = e.select("doc_id").distinct().select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("-end")).alias("element_id"), F.lit(None).cast("string").alias("after_id"))
-    return T_.inserted(e, new.unionByName(end)).select("doc_id", "element_id", F.col("ord").cast("long").alias("ord"))
+    own, doc = F.col("element_id"), F.col("doc_id").cast("string")
+
+    def new(rows, seq, name, after):
+        return rows.select("doc_id", F.lit(seq).alias("seq"), name.alias("element_id"), after.cast("string").alias("after_id"))
+
+    one, each = e.where("ord = 1"), e.select("doc_id").distinct()
+    steps = new(one, 1, F.concat(own, F.lit("+")), own).unionByName(new(one, 2, F.concat(own, F.lit("+2")), own)).unionByName(new(one, 3, F.concat(own, F.lit("+2a")), F.concat(own, F.lit("+2"))))
+    steps = steps.unionByName(new(each, 4, F.concat(doc, F.lit("-end")), F.lit(None))).unionByName(new(each, 5, F.concat(doc, F.lit("-lost")), F.lit("nowhere")))
+    return T_.inserted(e, steps).select("doc_id", "element_id", F.col("ord").cast("long").alias("ord"))
 
 
 OPS = "select doc_id, element_id, ord, case ord % 4 when 0 then 'delete' when 1 then 'insert' when 2 then 'set_style' else 'move' end as op from elements where ord % 2 = 0 or ord % 9 = 1"
@@ -95,13 +100,45 @@ def m8_split_operations(spark, d):
     return a.withColumn("applied", F.lit(True)).unionByName(b.withColumn("applied", F.lit(False))).groupBy("applied").agg(F.count("*").alias("n"))
 
 
-@query("select conv_id as doc_id, row_number() over (partition by conv_id order by case when turn = 0 then 1 else 0 end, turn) - 1 as ord, turn::varchar as element_id from conversations where turn % 4 <> 3")
+STEPS = """rows as (select conv_id as doc_id, turn, 0 as s, turn::varchar as element_id, turn = 0 as last from conversations where turn % 4 <> 3
+ union all select conv_id, turn, 1, turn || '-new', false from conversations where turn % 4 = 1 union all select conv_id, turn, 2, turn || '-break', false from conversations where turn % 5 = 1)"""
+
+
+@query(with_(STEPS) + "select doc_id, row_number() over (partition by doc_id order by last, turn, s) - 1 as ord, element_id from rows")
 def m7_applied_operations(spark, d):
+    """Breaks, insertions, looks, deletions and a move to the end, in this order; odd documents also have a look with no value, which nothing follows here."""
+    t = F.col("ord")
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.col("turn").cast("string").alias("element_id"))
-    none = F.lit(None).cast("string").alias("after_id")
-    gone = c.where("ord % 4 = 3").select("doc_id", F.col("ord").alias("seq"), F.lit("delete").alias("op"), F.col("element_id").alias("target"), none)
-    first = c.where("ord = 0").select("doc_id", F.lit(10_000).cast("long").alias("seq"), F.lit("move").alias("op"), F.col("element_id").alias("target"), none)
-    return T_.applied(c, gone.unionByName(first))
+    none = F.lit(None).cast("string")
+
+    def step(rows, k, op, target, after=none, content=none, prop=none, value=none):
+        return rows.select("doc_id", (t + k * 1_000_000).alias("seq"), F.lit(op).alias("op"), target.alias("target"), after.alias("after_id"), content.alias("content"), prop.alias("property"), value.alias("value"))
+
+    own = F.col("element_id")
+    steps = step(c.where(t % 5 == 1), 0, "page_break", F.concat(own, F.lit("-break")), own)
+    steps = steps.unionByName(step(c.where(t % 4 == 1), 1, "insert", F.concat(own, F.lit("-new")), own, F.lit("new")))
+    steps = steps.unionByName(step(c.where(t % 4 == 2), 2, "set_style", own, none, none, F.lit("bold"), F.lit("true")))
+    steps = steps.unionByName(step(c.where(t % 4 == 3), 3, "delete", own)).unionByName(step(c.where(t == 0), 4, "move", own))
+    return T_.applied(c, steps)
+
+
+@query(with_(ELEMENTS) + f", o as ({OPS}), bad as (select distinct doc_id from o where ord % 10 = 0 or (op = 'insert' and ord % 3 <> 0) or (op = 'set_style' and ord % 6 <> 0)) select doc_id, count(*) as kept from elements where doc_id in (select doc_id from bad) group by 1")
+def m6_refused_batches(spark, d):
+    """Documents with an operation that cannot be applied keep all their elements."""
+    e, ops = elements(spark, d), operations(spark, d)
+    bad = T_.invalid_operations(ops, e).select("doc_id").distinct()
+    return T_.applied(e, ops).join(bad, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query("with o as (select conv_id as doc_id, turn from conversations where turn % 3 <> 1), k as (select doc_id, turn::varchar as target, 'color' as property, 'red' as value, 1 as priority from o where turn % 2 = 1 union all select conv_id, turn::varchar, 'bold', 'true', 2 from conversations where turn % 4 = 2) select doc_id, target, property, value, priority from k")
+def m7_styled_rules(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("turn").cast("string").alias("target"))
+    t = F.col("turn")
+    held = c.where(t % 3 != 1).select("doc_id", "target", F.when(t % 2 == 1, "color").otherwise("bold").alias("property"), F.when(t % 2 == 1, "red").otherwise("false").alias("value"), F.lit(1).alias("priority"), F.lit("live_override").alias("source"), t.alias("seq"))
+    held = held.where("property = 'color' or seq % 4 = 2")
+    ops = c.where(t % 4 == 2).select("doc_id", t.alias("seq"), F.lit("set_style").alias("op"), "target", F.lit("bold").alias("property"), F.lit("false").alias("value"))
+    last = ops.withColumns({"seq": F.col("seq") + 1_000_000, "value": F.lit("true")})
+    return T_.styled(held, ops.unionByName(last)).select("doc_id", "target", "property", "value", "priority")
 
 
 @query("with o as (select user_id, event_type, min(event_id) as event_id from events where event_id % 2 = 0 group by 1, 2) select user_id, event_type, event_id from o where not exists (select 1 from events w where w.event_id % 7 = 1 and w.user_id = o.user_id and w.event_type = o.event_type)")
@@ -141,17 +178,16 @@ def g13_autolinks(spark, d):
     return T_.autolinks(table(spark, d, "pages").select("page_id", F.concat(F.lit("see "), "url", F.lit(" and so on.")).alias("text")), key="page_id", text="text")
 
 
-@query("select o_orderkey as id, case when o_orderkey % 4 <> 0 and exists (select 1 from orders p where p.o_orderkey = o.o_orderkey - 1) then o_orderkey - 1 else o_orderkey end as thread from orders o")
-def g19_comment_threads(spark, d):
-    k = F.col("o_orderkey")
-    return T_.threads(table(spark, d, "orders").select(k.alias("id"), F.when(k % 4 != 0, k - 1).alias("parent_id"), (k % 2 == 0).alias("resolved"))).select("id", "thread")
-
+THREADS = """c as (select conv_id as doc_id, turn as id, case when turn % 4 <> 0 then turn - 1 end as parent from conversations),
+r as (with recursive up as (select doc_id, id, id as thread, parent from c union all select up.doc_id, up.id, c.id, c.parent from up join c on c.doc_id = up.doc_id and c.id = up.parent) select doc_id, id, min(thread) as thread from up group by 1, 2)"""
 
-@query("select change, count(*) as n from (select case when b.conv_id is null then 'added' when a.conv_id is null then 'removed' end as change from (select conv_id, turn from conversations where (conv_id + turn) % 7 <> 0) b full join (select conv_id, turn from conversations where (conv_id + turn) % 9 <> 0) a using (conv_id, turn)) where change is not null group by 1")
-def a12_change_counts(spark, d):
-    from ..operators.compare import element_changes
 
-    return element_changes(*versions(spark, d)).where("change in ('added', 'removed')").groupBy("change").agg(F.count("*").alias("n"))
+@query(with_(THREADS) + "select doc_id, id, thread, thread % 8 = 0 as resolved from r")
+def g19_comment_threads(spark, d):
+    """Ids repeat between documents, and replies answer replies."""
+    t = F.col("turn")
+    own = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("id"), F.when(t % 4 != 0, t - 1).alias("parent_id"), (t % 8 == 0).alias("resolved"))
+    return T_.threads(own).select("doc_id", "id", "thread", "resolved")
 
 
 @query("select value, unit, pt from (values ('12', 'pt', 12.0::double), ('16', 'px', 12.0::double), ('1', 'cm', null)) t(value, unit, pt)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
@@ -19,7 +20,10 @@ NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: What a package may hold.
 MOST_ENTRIES, MOST_PART, MOST_UNPACKED, MOST_RATIO, RATIO_FROM = 1000, 50 << 20, 200 << 20, 100, 1 << 20
 MOST_PARAGRAPHS = MOST_CELLS = 50_000
-ELEMENT = "struct<ord:int,type:string,level:int,content:string,cells:array<struct<row:int,col:int,colspan:int,text:string>>>"
+CELLS = "array<struct<row:int,col:int,colspan:int,text:string>>"
+ELEMENT = f"struct<ord:int,type:string,level:int,content:string,cells:{CELLS}>"
+#: What a damaged, encrypted or unusually packed file raises.
+DAMAGED = (ValueError, KeyError, TypeError, RuntimeError, EOFError, OSError, zlib.error, zipfile.BadZipFile, ET.ParseError)
 TARGET = {"caption": "caption", "quote": "quote", "intensequote": "quote", "footnotetext": "footnote"}
 
 
@@ -198,9 +202,9 @@ def elements(files: DataFrame, *, key: str = "key", content: str = "content") ->
                 try:
                     found.append(read(data or b""))
                     problems.append(None)
-                except (ValueError, ET.ParseError, KeyError) as e:
+                except DAMAGED as e:
                     found.append([])
-                    problems.append(str(e)[:200])
+                    problems.append((str(e) or type(e).__name__)[:200])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(problems, pa.string()), pa.array(found, made)], names=[key, "problem", "e"])
 
     out = files.select(key, content).mapInArrow(run, f"{key} {kind}, problem string, e array<{ELEMENT}>")
@@ -208,12 +212,14 @@ def elements(files: DataFrame, *, key: str = "key", content: str = "content") ->
 
 
 def packages(elements: DataFrame, *, key: str) -> DataFrame:
-    """(key, content): a package for each document of elements (key, ord, type, level, content); one document must fit in memory."""
-    rows = elements.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "type", "level", "content"))).alias("e"))
+    """(key, content): a package for each document of elements (key, ord, type, level, content, and cells where there are tables); one document must fit in memory."""
+    cells = F.col("cells") if "cells" in elements.columns else F.array()
+    own = F.struct("ord", "type", "level", "content", F.coalesce(cells.cast(CELLS), F.array().cast(CELLS)).alias("cells"))
+    rows = elements.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("e"))
     kind = elements.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([write([x | {"cells": []} for x in e]) for e in batch.column(1).to_pylist()], pa.binary())], names=[key, "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([write(e) for e in batch.column(1).to_pylist()], pa.binary())], names=[key, "content"])
 
     return rows.mapInArrow(run, f"{key} {kind}, content binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one, but only if all run in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return (found or "/tmp/checkpoints").rstrip("/")
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The event stream's rows with `ts` as an instant (the files carry no zone; they are UTC)."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))

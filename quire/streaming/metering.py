@@ -7,16 +7,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.history import BURST_SECONDS
 from ..operators.metering import fixed_window, month_start
 
 
-def event_stream(spark: SparkSession, folder: str, *, per_trigger: int = 16) -> DataFrame:
-    """The events of a folder as a stream, `ts` as an instant."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, *, schema: T.StructType | None = None, per_trigger: int = 16) -> DataFrame:
+    """The events of a folder's Parquet files as a stream, the oldest file first, `ts` as an instant; the schema is read from them if it is not given."""
+    schema = schema or spark.read.parquet(folder).schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -32,30 +33,42 @@ def window_counts(events: DataFrame, *, key: list[str], seconds: int, late: str
 
 
 def refusals(events: DataFrame, *, key: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
-    """Hits beyond the limit of their fixed window, as they come: state is (window, count) of each key, dropped once the watermark has passed its window."""
+    """Hits beyond the limit of their fixed window, as they come.
+
+    State is each key's open windows with their counts: hits of an earlier window may come in a later batch until the
+    watermark has passed its end; then the window is dropped. Hits count in the order of their batches, within a batch by time.
+    """
     kind = events.schema[key].dataType.simpleString()
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, n = state.get if state.exists else (-1, 0)
+        held = dict(zip(*state.get)) if state.exists else {}
+        passed = state.getCurrentWatermarkMs()
         out: list[tuple] = []
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for w, ts, event in zip(rows["w"], rows["ts"], rows["event_id"]):
-            at, n = (w, 1) if w != at else (at, n + 1)
-            if n > limit:
-                out.append((k[0], event, ts, int(w), n))
-        state.update((int(at), int(n)))
-        state.setTimeoutTimestamp(max((int(at) + 2) * seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "event_id", "ts", "window", "nth"])
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+            for w, ts, event in zip(rows["w"].tolist(), rows["ts"], rows["event_id"].tolist()):
+                held[w] = held.get(w, 0) + 1
+                if held[w] > limit:
+                    out.append((k[0], event, ts, w, held[w]))
+        held = {w: n for w, n in held.items() if (w + 1) * seconds * 1000 > passed}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max((min(held) + 1) * seconds * 1000, passed) + 1)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[key, "event_id", "ts", "window", "nth"])
 
     hits = events.withWatermark("ts", late).select(key, "event_id", "ts", fixed_window(F.col("ts"), F.lit(seconds)).alias("w"))
-    return hits.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, ts timestamp, window long, nth long", "w long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return hits.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, ts timestamp, window long, nth long", "windows array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def burst_history(saves: DataFrame, *, doc: str, seconds: float = BURST_SECONDS) -> DataFrame:
-    """Steps of each document's history after every batch (update mode): (doc, step, kind, started, saves)."""
+    """Steps of each document's history after every batch (update mode): (doc, step, kind, started, saves).
+
+    A save counts when its batch comes: within a batch by time, and later batches go on at the tip. State is the tip of each
+    document, four numbers, which its next save needs whenever that comes; it is never dropped.
+    """
     kind = saves.schema[doc].dataType.simpleString()
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -85,16 +98,43 @@ def drained(stream: DataFrame, path: str, *, mode: str, checkpoint: str) -> None
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert(target: str, key: list[str], order: str):
-    """foreachBatch sink: the latest row of each key, written beside the old state; out-of-order and repeated events change nothing."""
+def upsert(target: str, key: list[str], order: str, *, buckets: int = 64):
+    """foreachBatch sink: the latest row of each key; out-of-order and repeated events change nothing.
+
+    The state is kept in buckets of the key. A batch rewrites the buckets that its keys fall into, each as a new version, and
+    `upserted` reads the last version of each; a version that a failed batch has begun is written over when it is retried.
+    """
 
     def put(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        now = df
-        if epoch:
-            now = spark.read.parquet(f"{target}/v={epoch - 1}").unionByName(df)
+        own = df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in own.select("bucket").distinct().collect()]  # `buckets` numbers at most
+        old = versions(spark, target, before=epoch)
+        if old:
+            stored = spark.read.schema(own.schema).option("basePath", target).parquet(*(f"{target}/bucket={b}/version={v}" for b, v in old.items() if b in touched)) if any(b in old for b in touched) else None
+            own = own if stored is None else own.unionByName(stored.select(own.columns))
         rest = [c for c in df.columns if c not in key]
-        best = now.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("s")).select(*key, "s.*")
-        best.write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        latest = F.struct(order, *(c for c in rest if c != order))
+        best = own.groupBy(*key, "bucket").agg(F.max_by(F.struct(*rest), latest).alias("s")).select(*key, "s.*", "bucket", F.lit(epoch).alias("version"))
+        best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
 
     return put
+
+
+def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """The last version of each bucket of an upserted table, below `before` if that is given; folders only are listed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, int] = {}
+    for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/bucket=*/version=*")) or []:
+        bucket, version = (int(p.partition("=")[2]) for p in f.getPath().toString().split("/")[-2:])
+        if before is None or version < before:
+            out[bucket] = max(out.get(bucket, -1), version)
+    return out
+
+
+def upserted(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of an upserted table."""
+    paths = [f"{target}/bucket={b}/version={v}" for b, v in versions(spark, target).items()]
+    return spark.read.option("basePath", target).parquet(*paths).drop("bucket", "version")

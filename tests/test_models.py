@@ -11,40 +11,93 @@ from quire.operators import compare, layout, numbered, segment
 from quire.sources import docx, markdown
 
 
-def test_word_diff_counts_and_moves():
-    same = compare.word_diff(["a", "b"], ["a", "b"])
-    assert same["verified"] and same["missing"] == 0
-    gone = compare.word_diff("one two three four".split(), "one three four five".split())
-    assert (gone["missing"], gone["added"], gone["verified"]) == (1, 1, False)
-    moved = compare.word_diff("a b c x y z d e f".split(), "x y z a b c d e f".split())
-    assert moved["moved"] == 3 and moved["missing"] == moved["added"] == 0
-    assert compare.word_diff("a b".split(), "1 a 2 b 3".split(), True)["verified"]
+def checked(spark, pairs, **more):
+    rows = spark.createDataFrame([(k, " ".join(a), " ".join(b)) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    return [r for r in sorted(compare.compare_words(rows, keys=["k"], source="a", result="b", **more).collect())]
+
+
+def test_word_check_counts_and_moves(spark):
+    cases = [("a b", "a b"), ("one two three four", "one three four five"), ("a b c x y z d e f", "x y z a b c d e f"), ("a b", "b c")]
+    same, gone, moved, changed = checked(spark, [tuple(x.split() for x in c) for c in cases])
+    assert same.verified and same.missing == 0 and same.samples == []
+    assert (gone.missing, gone.added, gone.verified) == (1, 1, False)
+    assert [tuple(s) for s in gone.samples] == [("missing", "two", "", "one"), ("added", "", "five", "one two three four")]
+    assert moved.moved == 3 and moved.missing == moved.added == 0 and [s.kind for s in moved.samples] == ["moved"]
+    assert (changed.missing, changed.added) == (1, 1)
+    more = checked(spark, [("a b".split(), "1 a 2 b 3".split()), ("a b".split(), "b 1".split())], additions=True)
+    assert [r.verified for r in more] == [True, False] and all(s.kind != "added" for s in more[1].samples)
+
+
+def plain_check(a, b):
+    """Counts of the edits between two word lists whose common ends are set aside."""
+    low = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    high = next((k for k, (x, y) in enumerate(zip(a[low:][::-1], b[low:][::-1])) if x != y), min(len(a), len(b)) - low)
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    ops = [o for o in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if o[0] != "equal"]
+    came = [tuple(y[j:k]) for tag, _, _, j, k in ops if tag == "insert"]
+    missing = added = moved = 0
+    for tag, i, j, k, m in ops:
+        if tag == "delete" and tuple(x[i:j]) in came:
+            came.remove(tuple(x[i:j]))
+            moved += j - i
+        elif tag != "insert":
+            missing, added = missing + j - i, added + m - k
+    return missing, added + sum(map(len, came)), moved
+
+
+def test_word_check_agrees_with_a_plain_one(spark):
+    rng = random.Random(4)
+    lists = [([rng.choice("abcde") for _ in range(rng.randrange(14))], [rng.choice("abcde") for _ in range(rng.randrange(14))]) for _ in range(400)]
+    for (a, b), r in zip(lists, checked(spark, lists)):
+        assert (r.missing, r.added, r.moved) == plain_check(a, b) and r.verified == (a == b) and (r.source_words, r.result_words) == (len(a), len(b))
 
 
-def test_word_diff_agrees_with_opcodes_on_random_lists():
-    rng = random.Random(4)
-    for _ in range(100):
-        a = [rng.choice("abcde") for _ in range(rng.randrange(12))]
-        b = [rng.choice("abcde") for _ in range(rng.randrange(12))]
-        d = compare.word_diff(a, b)
-        kept = len(a) - d["missing"] - d["moved"]
-        assert kept == len(b) - d["added"] - d["moved"] and d["verified"] == (a == b)
-        assert kept <= len(a) and SequenceMatcher(None, a, b).ratio() >= 0
+def in_order(a, b):
+    """Members of a longest common subsequence, by its definition: the first list's head goes unless every longest one needs it or it is next."""
+    from functools import cache
+
+    @cache
+    def longest(i, j):
+        return 0 if i == len(a) or j == len(b) else 1 + longest(i + 1, j + 1) if a[i] == b[j] else max(longest(i + 1, j), longest(i, j + 1))
 
+    kept, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            kept.append(a[i])
+            i, j = i + 1, j + 1
+        elif longest(i + 1, j) == longest(i, j):
+            i += 1
+        else:
+            j += 1
+    return kept
 
-def test_common_subsequence_is_longest():
+
+def test_kept_in_order_is_longest_and_breaks_ties_alike():
     from itertools import permutations
 
-    def longest(a, b):
+    rng = random.Random(9)
+    lists = [list(p) for n in range(7) for p in permutations(range(n))] + [rng.sample(range(40), 40) for _ in range(200)]
+    for b in lists:
         place = {x: k for k, x in enumerate(b)}
-        best = []
-        for x in a:
-            best.append(1 + max((n for n, y in zip(best, a) if place[y] < place[x]), default=0))
-        return max(best, default=0)
-
-    for p in permutations("abcde"):
-        assert len(compare.common_subsequence(list("abcde"), list(p))) == longest("abcde", p)
-    assert compare.common_subsequence(["a", "b"], ["b", "a"]) == {"b"}  # on a tie the first list's head goes
+        a = list(range(len(b)))
+        assert [a[k] for k in compare.kept_in_order([place[x] for x in a])] == in_order(tuple(a), tuple(b))
+
+
+def test_moved_elements_of_documents(spark):
+    rng = random.Random(10)
+    before, after, want = [], [], set()
+    for d in range(60):
+        a = [f"{d}-{k}" for k in rng.sample(range(30), rng.randrange(20))]
+        b = rng.sample([*a, f"{d}-new"], rng.randrange(len(a) + 1))
+        before += [(d, x, float(k)) for k, x in enumerate(a)]
+        after += [(d, x, float(k)) for k, x in enumerate(b)]
+        both = [x for x in a if x in b], [x for x in b if x in a]
+        want |= {(d, x) for x in set(both[0]) - set(in_order(*map(tuple, both)))}
+    kind = "doc_id int, element_id string, ord double"
+    got = compare.moved_elements(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+    many = [(1, str(k), float(k)) for k in range(1001)]
+    assert compare.moved_elements(spark.createDataFrame(many, kind), spark.createDataFrame([(d, x, -k) for d, x, k in many], kind)).count() == 0
 
 
 def test_cut_keeps_all_but_blanks():
@@ -52,7 +105,12 @@ def test_cut_keeps_all_but_blanks():
     for _ in range(200):
         text = "".join(rng.choice("abc \n") for _ in range(rng.randrange(1, 80))).strip()
         parts = segment.cut(text, 10)
-        assert all(len(p) <= 10 for p in parts)
+        assert all(0 < len(p) <= 10 for p in parts)
+        at = 0
+        for p, q in zip(parts, parts[1:]):  # a piece ends as late as it can, at a line end before a blank
+            at = text.index(p, at) + len(p)
+            assert text[at] in " \n" or not set(" \n") & set(text[at - 9 : at + 1])
+            assert text[at] != " " or "\n" not in text[at - len(p) + 1 : at - len(p) + 11]
         assert "".join(parts).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
 
 
@@ -62,10 +120,28 @@ def test_packed_chunks(spark):
     assert got == ["aaaaa\n\nbbb", "cccc", "d" * 12, "e"]
 
 
-def test_counters_restart():
-    c = numbered.Counters(("k",), [1, 1, 5], [None, None, 0])
-    shown = [c.step({"ord": k, "level": lv})[0][-1] for k, lv in enumerate([0, 1, 2, 0, 1, 2])]
-    assert shown == [[1], [1, 1], [1, 1, 5], [2], [2, 1], [2, 1, 6]]
+def plain_numbers(levels, starts, restarts):
+    values, out = [s - 1 for s in starts], []
+    for at in levels:
+        values[at] += 1
+        for k in range(at + 1, len(starts)):
+            r = restarts[k]
+            if r is None or r > k or at < r:
+                values[k] = starts[k] - 1
+        out.append(values[: at + 1])
+    return out
+
+
+def test_counters_restart(spark):
+    rng = random.Random(3)
+    for starts, restarts in (([1, 1, 5], [None, None, 0]), ([1, 3, 1, 2], [None, 0, 1, 2]), ([2, 1, 1, 1], [None, 1, 3, None])):
+        levels = [rng.randrange(len(starts)) for _ in range(200)]
+        rows = spark.createDataFrame([("k", n, lv) for n, lv in enumerate(levels)], "key string, ord int, level int")
+        got = numbered.counted(rows, key="key", starts=starts, restarts=restarts).orderBy("ord").collect()
+        assert [r["values"] for r in got] == plain_numbers(levels, starts, restarts)
+    rows = spark.createDataFrame([("k", n, lv) for n, lv in enumerate([0, 1, 2, 0, 1, 2])], "key string, ord int, level int")
+    got = numbered.counted(rows, key="key", starts=[1, 1, 5], restarts=[None, None, 0]).orderBy("ord").collect()
+    assert [r["values"] for r in got] == [[1], [1, 1], [1, 1, 5], [2], [2, 1], [2, 1, 6]]
 
 
 def test_numbers(spark):
