@@ -200,15 +200,15 @@ def s10_markdown_elements(spark, d):
 
 @query("select conv_id, count(*) as elements, true as same from conversations where trim(text) <> '' group by 1")
 def k1_word_round_trip(spark, d):
-    """Every fifth turn is a table of three cells: contents and cells come back as they were."""
+    """Every fifth turn is a table of four cells: contents and cells come back as they were."""
     t = F.col("turn").cast("int")
     kind = F.when(t % 5 == 4, "table").when(F.col("role") == "system", "heading").otherwise("paragraph")
 
-    def cell(row, col, wide, text):
-        return F.struct(*(F.lit(x).alias(n) for x, n in ((row, "row"), (col, "col"), (wide, "colspan"))), text.alias("text"))
+    def cell(row, col, wide, high, text):
+        return F.struct(*(F.lit(x).alias(n) for x, n in ((row, "row"), (col, "col"), (wide, "colspan"), (high, "rowspan"))), text.alias("text"))
 
-    cells = F.when(kind == "table", F.array(cell(0, 0, 1, F.col("text")), cell(0, 1, 1, F.lit("x")), cell(1, 0, 2, F.lit("wide")))).otherwise(F.array().cast(docx.CELLS))
-    content = F.when(kind == "table", F.concat("text", F.lit("\tx\nwide"))).otherwise(F.col("text"))
+    cells = F.when(kind == "table", F.array(cell(0, 0, 1, 1, F.col("text")), cell(0, 1, 1, 2, F.lit("x")), cell(1, 0, 1, 1, F.lit("low")), cell(2, 0, 2, 1, F.lit("wide")))).otherwise(F.array().cast(docx.CELLS))
+    content = F.when(kind == "table", F.concat("text", F.lit("\tx\nlow\nwide"))).otherwise(F.col("text"))
     rows = table(spark, d, "conversations").where("trim(text) != ''").select("conv_id", t.alias("ord"), kind.alias("type"), F.lit(1).alias("level"), content.alias("content"), cells.alias("cells"))
     back = docx.elements(docx.packages(rows, key="conv_id").select(F.col("conv_id").cast("string").alias("key"), "content"))
     told = F.struct("ord", F.struct("type", "content", "cells").alias("e"))

@@ -155,7 +155,10 @@ def p12_colors_and_fonts(spark, d):
     return spark.createDataFrame([(c,) for c in COLORS], "value string").select("value", X.is_color(F.col("value")).alias("ok"), X.is_font_name(F.col("value")).alias("font"))
 
 
-@query("select doc_id, (regexp_matches(text, '(?m)^ {0,3}#{1,6}(?:\\s+\\S|\\s*$)') or regexp_matches(text, '(?m)^ {0,3}(`{3,}|~{3,})') or regexp_matches(text, '(?m)^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)+\\|?\\s*$') or (regexp_matches(text, '(\\*\\*[^*\\n]+\\*\\*|\\*[^*\\n]+\\*)')::int + regexp_matches(text, '(?m)^ {0,3}>')::int + regexp_matches(text, '\\[[^\\]\\n]+\\]\\([^)\\n]+\\)')::int) >= 2) as is_markdown from documents")
+MARKDOWN_SQL = "(regexp_matches(text, '(?m)^ {0,3}#{1,6}(?:\\s+\\S|\\s*$)') or regexp_matches(text, '(?m)^ {0,3}(`{3,}|~{3,})') or regexp_matches(text, '(?m)^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)+\\|?\\s*$') or (regexp_matches(text, '(\\*\\*[^*\\n]+\\*\\*|\\*[^*\\n]+\\*)')::int + regexp_matches(text, '(?m)^ {0,3}>')::int + regexp_matches(text, '\\[[^\\]\\n]+\\]\\([^)\\n]+\\)')::int) >= 2)"
+
+
+@query("select doc_id, " + MARKDOWN_SQL + " as is_markdown from documents")
 def p20_looks_like_markdown(spark, d):
     return table(spark, d, "documents").select("doc_id", X.looks_like_markdown(F.col("text")).alias("is_markdown"))
 

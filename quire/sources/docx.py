@@ -17,11 +17,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-#: What a package may hold.
+MATH = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
+RELS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: What is no text of its paragraph; what a package may hold.
+GONE = ("del", "moveFrom", "Fallback", "txbxContent", "instrText", "rPr", "sdtPr", "footnoteReference")
 MOST_ENTRIES, MOST_PART, MOST_UNPACKED, MOST_RATIO, RATIO_FROM = 1000, 50 << 20, 200 << 20, 100, 1 << 20
 MOST_PARAGRAPHS = MOST_CELLS = 50_000
-CELLS = "array<struct<row:int,col:int,colspan:int,text:string>>"
-ELEMENT = f"struct<ord:int,type:string,level:int,content:string,cells:{CELLS}>"
+CELLS = "array<struct<row:int,col:int,colspan:int,rowspan:int,text:string>>"
+LINKS = "array<struct<start:int,end:int,href:string>>"
+ELEMENT = f"struct<ord:int,type:string,level:int,content:string,cells:{CELLS},links:{LINKS}>"
 #: What a damaged, encrypted or unusually packed file raises.
 DAMAGED = (ValueError, KeyError, TypeError, RuntimeError, EOFError, OSError, zlib.error, zipfile.BadZipFile, ET.ParseError)
 TARGET = {"caption": "caption", "quote": "quote", "intensequote": "quote", "footnotetext": "footnote"}
@@ -59,15 +63,95 @@ def part(data: bytes, name: str) -> ET.Element | None:
     return ET.fromstring(raw)
 
 
-def text_of(node: ET.Element) -> str:
-    """Text of a paragraph: deletions are left out, tabs and breaks are kept."""
+def inline(node: ET.Element, targets: dict[str, str], href: str | None = None) -> Iterator[tuple[str, str | None]]:
+    """(text, address of its link) of a paragraph's pieces in order.
+
+    What was deleted or moved away is left out, and so are the copies that Word keeps for older readers and text in boxes
+    of its own; what was inserted stays. A field shows its last result. An equation is its text.
+    """
+    for x in node:
+        kind = x.tag.rpartition("}")[2]
+        if kind in GONE:
+            continue
+        if x.tag in (f"{NS}t", f"{MATH}t"):
+            yield x.text or "", href
+        elif x.tag == f"{NS}tab" and x.get(f"{NS}val") is None:
+            yield "\t", href
+        elif x.tag in (f"{NS}br", f"{NS}cr"):
+            yield "\n", href
+        elif x.tag == f"{MATH}f":  # a fraction
+            top, low = ("".join(t for part in x.findall(f"{MATH}{n}") for t, _ in inline(part, targets)) for n in ("num", "den"))
+            yield f"({top})/({low})", href
+        elif x.tag == f"{NS}hyperlink":
+            yield from inline(x, targets, targets.get(x.get(f"{RELS}id") or "") or ("#" + x.get(f"{NS}anchor") if x.get(f"{NS}anchor") else None))
+        elif kind != "pPr":
+            yield from inline(x, targets, href)
+
+
+def text_of(node: ET.Element, targets: dict[str, str] | None = None) -> str:
+    """Text of a paragraph."""
+    return "".join(t for t, _ in inline(node, targets or {}))
+
+
+def links_of(node: ET.Element, targets: dict[str, str]) -> list[dict]:
+    """Places and addresses of a paragraph's links."""
+    out, at = [], 0
+    for text, href in inline(node, targets):
+        if href and text:
+            if out and out[-1]["href"] == href and out[-1]["end"] == at:
+                out[-1]["end"] = at + len(text)
+            else:
+                out.append({"start": at, "end": at + len(text), "href": href})
+        at += len(text)
+    return out
+
+
+def link_targets(data: bytes) -> dict[str, str]:
+    """Addresses of the body's external relationships by id."""
+    root = part(data, "word/_rels/document.xml.rels")
+    return {r.get("Id") or "": r.get("Target") or "" for r in (root if root is not None else ()) if r.get("TargetMode") == "External"}
+
+
+def notes(data: bytes) -> list[str]:
+    """Texts of footnotes and endnotes, without Word's own separators."""
     out = []
-    for x in node.iter():
-        if x.tag == f"{NS}t":
-            out.append(x.text or "")
-        elif x.tag in (f"{NS}tab", f"{NS}br", f"{NS}cr"):
-            out.append("\t" if x.tag == f"{NS}tab" and x.get(f"{NS}val") is None else "\n" if x.tag != f"{NS}tab" else "")
-    return "".join(out)
+    for name, tag in (("word/footnotes.xml", "footnote"), ("word/endnotes.xml", "endnote")):
+        root = part(data, name)
+        for n in root.iter(f"{NS}{tag}") if root is not None else ():
+            if n.get(f"{NS}type") in (None, "normal"):
+                out.append("\n".join(text_of(p) for p in n.iter(f"{NS}p")).strip())
+    return out
+
+
+def blocks(body: ET.Element) -> Iterator[ET.Element]:
+    """Paragraphs and tables of a body or cell, those in content controls too."""
+    for x in body:
+        if x.tag in (f"{NS}p", f"{NS}tbl"):
+            yield x
+        elif x.tag in (f"{NS}sdt", f"{NS}sdtContent", f"{NS}ins", f"{NS}customXml"):
+            yield from blocks(x)
+
+
+def table_cells(table: ET.Element) -> list[dict]:
+    """Cells of a table with their spans; a cell that continues one above is part of it, and a table in a cell is its text."""
+    out: list[dict] = []
+    above: dict[int, dict] = {}
+    for r, row in enumerate(table.findall(f"{NS}tr")):
+        col, open_ = 0, {}
+        for c in row.findall(f"{NS}tc"):
+            span, merge = c.find(f"{NS}tcPr/{NS}gridSpan"), c.find(f"{NS}tcPr/{NS}vMerge")
+            wide = int(span.get(f"{NS}val") or 1) if span is not None else 1
+            if merge is not None and merge.get(f"{NS}val") != "restart" and col in above:
+                open_[col] = above[col]
+                above[col]["rowspan"] += 1
+            else:
+                text = "\n".join(text_of(b) if b.tag == f"{NS}p" else "\n".join(x["text"] for x in table_cells(b)) for b in blocks(c))
+                out.append({"row": r, "col": col, "colspan": wide, "rowspan": 1, "text": text})
+                if merge is not None:
+                    open_[col] = out[-1]
+            col += wide
+        above = open_
+    return out
 
 
 def style_levels(data: bytes) -> dict[str, tuple[str, int | None]]:
@@ -93,45 +177,43 @@ def style_levels(data: bytes) -> dict[str, tuple[str, int | None]]:
 
 
 def read(data: bytes) -> list[dict]:
-    """Elements of the body in order; neighbouring list paragraphs of one numbering are one list."""
+    """Elements of the body in order, then the notes; neighbouring list paragraphs of one numbering are one list."""
     if problem := package_problem(data):
         raise ValueError(problem)
-    root, levels, out = part(data, "word/document.xml"), style_levels(data), []
+    root, levels, targets, out = part(data, "word/document.xml"), style_levels(data), link_targets(data), []
     if sum(1 for _ in root.iter(f"{NS}p")) > MOST_PARAGRAPHS or sum(1 for _ in root.iter(f"{NS}tc")) > MOST_CELLS:
         raise ValueError("too many paragraphs or cells")
     run: str | None = None
 
-    def put(kind: str, content: str, level: int | None = None, cells: list | None = None) -> None:
-        out.append({"ord": len(out), "type": kind, "level": level, "content": content, "cells": cells or []})
+    def put(kind: str, content: str, level: int | None = None, cells: list | None = None, links: list | None = None) -> None:
+        out.append({"ord": len(out), "type": kind, "level": level, "content": content, "cells": cells or [], "links": links or []})
 
-    for node in root.find(f"{NS}body") if root.find(f"{NS}body") is not None else ():
+    body = root.find(f"{NS}body")
+    for node in blocks(body) if body is not None else ():
         if node.tag == f"{NS}tbl":
-            cells = []
-            for r, row in enumerate(node.iter(f"{NS}tr")):
-                col = 0
-                for c in row.findall(f"{NS}tc"):
-                    span = c.find(f"{NS}tcPr/{NS}gridSpan")
-                    wide = int(span.get(f"{NS}val")) if span is not None else 1
-                    cells.append({"row": r, "col": col, "colspan": wide, "text": "\n".join(text_of(p) for p in c.iter(f"{NS}p"))})
-                    col += wide
+            cells = table_cells(node)
             put("table", "\n".join("\t".join(c["text"] for c in cells if c["row"] == r) for r in sorted({c["row"] for c in cells})), cells=cells)
             run = None
-        elif node.tag == f"{NS}p":
-            style, number = node.find(f"{NS}pPr/{NS}pStyle"), node.find(f"{NS}pPr/{NS}numPr/{NS}numId")
-            kind, level = levels.get(style.get(f"{NS}val") if style is not None else "", ("paragraph", None))
-            text = text_of(node)
-            if any(b.get(f"{NS}type") == "page" for b in node.iter(f"{NS}br")) and not text.strip():
-                put("page_break", "")
-                run = None
-            elif number is not None and kind == "paragraph":
-                if run == number.get(f"{NS}val"):
-                    out[-1]["content"] += "\n" + text
-                else:
-                    put("list", text)
-                run = number.get(f"{NS}val")
+            continue
+        style, number = node.find(f"{NS}pPr/{NS}pStyle"), node.find(f"{NS}pPr/{NS}numPr/{NS}numId")
+        kind, level = levels.get(style.get(f"{NS}val") if style is not None else "", ("paragraph", None))
+        text, links = text_of(node, targets), links_of(node, targets)
+        if any(b.get(f"{NS}type") == "page" for b in node.iter(f"{NS}br")) and not text.strip():
+            put("page_break", "")
+            run = None
+        elif number is not None and kind == "paragraph":
+            if run == number.get(f"{NS}val"):
+                shift = len(out[-1]["content"]) + 1
+                out[-1]["content"] += "\n" + text
+                out[-1]["links"] += [k | {"start": k["start"] + shift, "end": k["end"] + shift} for k in links]
             else:
-                put(kind, text, level)
-                run = None
+                put("list", text, links=links)
+            run = number.get(f"{NS}val")
+        else:
+            put(kind, text, level, links=links)
+            run = None
+    for text in notes(data):
+        put("footnote", text)
     return out
 
 
@@ -152,6 +234,17 @@ def source_words(data: bytes) -> list[str]:
     return words
 
 
+def table_xml(cells: list[dict], para) -> str:
+    """A table's markup: each place that a cell from above covers gets a cell that continues it."""
+    rows: dict[int, list[tuple]] = {}
+    for c in cells:
+        wide, high = c.get("colspan") or 1, c.get("rowspan") or 1
+        for k in range(high):
+            rows.setdefault(c["row"] + k, []).append((c["col"], wide, "" if high == 1 else '<w:vMerge w:val="restart"/>' if k == 0 else "<w:vMerge/>", (c["text"] or "") if k == 0 else ""))
+    made = ("".join(f'<w:tc><w:tcPr><w:gridSpan w:val="{w}"/>{m}</w:tcPr>{para(t)}</w:tc>' for _, w, m, t in sorted(rows[r])) for r in sorted(rows))
+    return "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in made) + "</w:tbl>"
+
+
 def write(elements: list[dict]) -> bytes:
     """A package with these elements (type, level, content, cells)."""
     def para(text: str, style: str = "", number: bool = False) -> str:
@@ -169,8 +262,7 @@ def write(elements: list[dict]) -> bytes:
         elif kind == "page_break":
             body.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
         elif kind == "table":
-            rows = [[c for c in e["cells"] if c["row"] == r] for r in sorted({c["row"] for c in e["cells"]})]
-            body.append("<w:tbl>" + "".join("<w:tr>" + "".join(f'<w:tc><w:tcPr><w:gridSpan w:val="{c.get("colspan", 1)}"/></w:tcPr>{para(c["text"] or "")}</w:tc>' for c in row) + "</w:tr>" for row in rows) + "</w:tbl>")
+            body.append(table_xml(e["cells"], para))
         else:
             body.append(para(text, {"quote": "Quote", "caption": "Caption", "footnote": "FootnoteText"}.get(kind, "")))
     main = NS[1:-1]

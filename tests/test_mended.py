@@ -38,7 +38,7 @@ def test_upsert_keeps_the_latest_of_each_key(spark, tmp_path):
 
 
 def test_tables_are_written(spark):
-    cells = [{"row": 0, "col": 0, "colspan": 2, "text": "a"}, {"row": 1, "col": 0, "colspan": 1, "text": "b"}, {"row": 1, "col": 1, "colspan": 1, "text": "c"}]
+    cells = [{"row": 0, "col": 0, "colspan": 2, "rowspan": 1, "text": "a"}, {"row": 1, "col": 0, "colspan": 1, "rowspan": 1, "text": "b"}, {"row": 1, "col": 1, "colspan": 1, "rowspan": 1, "text": "c"}]
     rows = spark.createDataFrame([("d", 0, "table", None, "a\nb\tc", [tuple(c.values()) for c in cells]), ("d", 1, "paragraph", None, "x", None)], f"key string, ord int, type string, level int, content string, cells {docx.CELLS}")
     got = docx.elements(docx.packages(rows, key="key")).orderBy("ord").collect()
     assert [c.asDict() for c in got[0].cells] == cells and got[0].content == "a\nb\tc" and got[1].content == "x"

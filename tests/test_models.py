@@ -173,7 +173,7 @@ def test_markdown_blocks():
 def test_word_packages():
     elements = [
         {"type": "heading", "level": 2, "content": "A & B", "cells": []}, {"type": "paragraph", "level": None, "content": "x\ty\nz <", "cells": []}, {"type": "list", "level": None, "content": "one\ntwo", "cells": []},
-        {"type": "table", "level": None, "content": "", "cells": [{"row": 0, "col": 0, "colspan": 2, "text": "a"}, {"row": 1, "col": 0, "colspan": 1, "text": "b"}, {"row": 1, "col": 1, "colspan": 1, "text": "c"}]},
+        {"type": "table", "level": None, "content": "", "cells": [{"row": 0, "col": 0, "colspan": 2, "rowspan": 1, "text": "a"}, {"row": 1, "col": 0, "colspan": 1, "rowspan": 1, "text": "b"}, {"row": 1, "col": 1, "colspan": 1, "rowspan": 1, "text": "c"}]},
         {"type": "page_break", "level": None, "content": "", "cells": []}, {"type": "quote", "level": None, "content": "q", "cells": []},
     ]
     data = docx.write(elements)
