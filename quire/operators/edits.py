@@ -257,3 +257,29 @@ def externalised(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = seen.withColumns({"asset_id": F.when(F.col("_ok"), F.sha2("_c", 256)), "note": F.when(inline & ~F.col("_ok"), "a picture that can't be read was removed"), "src": F.when(~inline, F.col("src")).otherwise("")}).drop("_c", "_m", "_ok")
     assets = seen.where("_ok").groupBy(F.sha2("_c", 256).alias("asset_id")).agg(F.any_value("_c").alias("content"), F.any_value("_m").alias("type"))
     return out, assets
+
+
+def instructed(elements: DataFrame, rules: DataFrame, given: DataFrame, operations: DataFrame, waiting: DataFrame, *, doc: str = "doc_id") -> dict[str, DataFrame]:
+    """One instruction to all documents: `given` rules by target, operations by document, proposals already waiting.
+
+    A document with an override that the rules would change is stopped (`conflicts`), one with an operation that does not
+    fit is refused (`invalid`); both stay as they are. In the others looks and page breaks are applied (`elements`,
+    `rules`), and operations that change content become proposals (`proposals`, new ones only).
+    """
+    clash = R.conflicts(elements, rules, given, doc)
+    bad = tree.invalid_operations(operations, elements, doc=doc)
+    stopped = clash.select(doc).unionByName(bad.select(doc)).distinct()
+    good = operations.join(stopped, doc, "left_anti")
+    now, later = tree.split_operations(good)
+    free = rules.join(stopped, doc, "left_anti")
+    told = R.given_to(free.select(doc).distinct(), given)
+    out = tree.styled(R.stacked(free, told.select(free.columns)), now, doc=doc).unionByName(rules.join(stopped, doc, "left_semi"))
+    offered = tree.new_proposals(waiting, later, [doc, "op", "target", "after_id", "content"], order="seq")
+    return {"conflicts": clash, "invalid": bad, "elements": tree.replayed(elements, now, doc=doc), "rules": out, "proposals": offered}
+
+
+def saved(stored: DataFrame, incoming: DataFrame, rules: DataFrame, fields: list[str], *, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(elements, rules) of a save: the client's elements renumbered, the server's fields kept by id, rules of elements that are gone dropped."""
+    nth = F.row_number().over(W.partitionBy(doc).orderBy("ord", "element_id")) - 1
+    own = tree.keep_fields(stored, incoming, fields, doc=doc).withColumn("ord", nth)
+    return own, R.prune(rules, own, doc)

@@ -27,9 +27,19 @@ def o4_newest_documents(spark, d):
     return C.list_documents(docs(spark, d), members(spark, d), USER, sort="created", limit=30).select("id", "created_at")
 
 
-@query(with_(MEMBERS, DOCS) + "select id, title, workspace_id from docs where id = 7 and workspace_id in (select workspace_id from members where user_id = 42)")
+@query(with_(MEMBERS, DOCS) + "select id, title, workspace_id from docs where id in (select max(id) from docs where created_by = 42) and workspace_id in (select workspace_id from members where user_id = 42)")
 def p2_one_document(spark, d):
-    return C.get_document(docs(spark, d), members(spark, d), USER, 7).select("id", "title", "workspace_id")
+    own = docs(spark, d)
+    wanted = own.where(F.col("created_by") == USER).agg(F.max("id")).first()[0]
+    return C.get_document(own, members(spark, d), USER, wanted).select("id", "title", "workspace_id")
+
+
+@query(with_(MEMBERS, DOCS) + "select count(*) as found from docs where id in (select min(id) from docs where workspace_id not in (select workspace_id from members where user_id = 42)) and workspace_id in (select workspace_id from members where user_id = 42)")
+def p2_forbidden_document(spark, d):
+    """A document of another workspace looks like none."""
+    own = docs(spark, d)
+    wanted = own.join(members(spark, d).where(F.col("user_id") == USER), "workspace_id", "left_anti").agg(F.min("id")).first()[0]
+    return C.get_document(own, members(spark, d), USER, wanted).agg(F.count("*").alias("found"))
 
 
 @query(with_(DOCS) + "select id, title from docs where workspace_id = 3")
@@ -97,9 +107,11 @@ def j7_live_sessions(spark, d):
     return C.live_sessions(e, users, F.lit("2024-01-20").cast("timestamp")).select("event_id", "c_name")
 
 
-@query(with_(DOCS, TEMPLATES) + "select id, name as template_name from (select id, template_id from docs where template_id between 1 and 50) d join (select id as tid, name from templates) t on template_id = tid")
+@query(with_(DOCS, TEMPLATES) + "select id, name as template_name from (select id, case when template_id > 0 then template_id end as template_id from docs) d left join (select id as tid, name from templates) t on template_id = tid")
 def j17_template_or_error(spark, d):
-    return C.template_of(docs(spark, d).where("template_id between 1 and 50"), templates(spark, d)).select("id", "template_name")
+    """Template 0 means none; every other one is there."""
+    own = docs(spark, d).withColumn("template_id", F.when(F.col("template_id") > 0, F.col("template_id")))
+    return C.template_of(own, templates(spark, d)).select("id", "template_name")
 
 
 @query("with subs as (select s_suppkey as id, case when s_suppkey % 3 = 0 then s_nationkey end as workspace_id, case when s_suppkey % 3 = 1 then s_nationkey end as external_id, case when s_suppkey % 3 = 2 then s_nationkey end as customer_id from supplier) select n_nationkey as k, coalesce((select min(id) from subs where workspace_id = n_nationkey), (select min(id) from subs where external_id = n_nationkey), (select min(id) from subs where customer_id = n_nationkey)) as subscription from nation")

@@ -163,12 +163,22 @@ def w17_next_section_start(spark, d):
     return L.section_starts(e).select("doc_id", "ord", "next_start")
 
 
-@query("select l_orderkey, r as row, c as col, (sum(span) over (partition by l_orderkey, r order by c) - span)::integer as grid_col from (select l_orderkey, l_linenumber % 3 as r, row_number() over (partition by l_orderkey, l_linenumber % 3 order by l_linenumber, l_partkey, l_suppkey)::integer as c, (1 + l_partkey % 3)::integer as span from lineitem)")
+GRID = """with recursive c as (select l_orderkey, row_number() over w - 1 as k, (1 + l_partkey % 2)::integer as wide, (1 + l_suppkey % 3)::integer as high from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)),
+n as (select l_orderkey, (k // 2)::integer as row, (k % 2)::integer as col, wide, high from c), rows as (select l_orderkey, row, max(case when col = 0 then wide end) as w0, max(case when col = 0 then high end) as h0, max(case when col = 1 then wide end) as w1, max(case when col = 1 then high end) as h1 from n group by 1, 2),
+f as (select l_orderkey, -1 as row, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0] as until, null::integer as a, null::integer as b from (select distinct l_orderkey from n)
+ union all select l_orderkey, row, case when w1 is null then u0 else list_transform(range(0, 16), lambda i: case when i >= b and i < b + w1 then greatest(u0[i + 1], row + h1) else u0[i + 1] end) end, a, b from (
+  select *, case when w1 is not null then list_min(list_filter(range(0, 16), lambda i: i >= a + w0 and until[i + 1] <= row))::integer end as b, list_transform(range(0, 16), lambda i: case when i >= a and i < a + w0 then greatest(until[i + 1], row + h0) else until[i + 1] end) as u0 from (
+   select f.l_orderkey, rows.row, f.until, w0, h0, w1, h1, list_min(list_filter(range(0, 16), lambda i: f.until[i + 1] <= rows.row))::integer as a from f join rows on rows.l_orderkey = f.l_orderkey and rows.row = f.row + 1)))"""
+
+
+@query(GRID + " select l_orderkey, row, 0 as col, a as grid_col from f where row >= 0 union all select l_orderkey, row, 1, b from f where row >= 0 and b is not null")
 def l3_table_grid(spark, d):
+    """Tables of two cells a row, one or two columns wide and up to three rows high."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("l_orderkey", F.col("l_linenumber") % 3).orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    cells = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("row"), F.row_number().over(w).alias("col"), (1 + F.col("l_partkey") % 3).cast("int").alias("colspan"), F.lit(1).alias("rowspan"))
+    k = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    cells = table(spark, d, "lineitem").select("l_orderkey", k.alias("k"), (1 + F.col("l_partkey") % 2).cast("int").alias("colspan"), (1 + F.col("l_suppkey") % 3).cast("int").alias("rowspan"))
+    cells = cells.select("l_orderkey", F.floor(F.col("k") / 2).cast("int").alias("row"), (F.col("k") % 2).cast("int").alias("col"), "colspan", "rowspan")
     return L.grid(cells, key=["l_orderkey"]).select("l_orderkey", "row", "col", "grid_col")
 
 
@@ -184,12 +194,15 @@ def l5_contextual_spacing(spark, d):
     return L.closed_up(p).drop("contextual")
 
 
-@query("select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines, true as has_title from documents where text not like '%  %' and not regexp_matches(text, '[#*>|`~\\[\\]_<-]|(?m)^\\s*$|^[0-9]+[.)]')")
+@query(r"select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) as lines, true as has_title, coalesce(list_sum(list_transform(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '\s', '', 'g')))), 0)::bigint as chars from documents where text is not null")
 def s10_markdown_plain(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").like("%  %") & ~F.col("text").rlike(r"[#*>|`~\[\]_<-]|(?m)^\s*$|^[0-9]+[.)]"))
-    md = docs.select("doc_id", F.concat(F.lit("# Title\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("md"))
+    """Every text with its marks behind backslashes: each line comes back as a paragraph with all its characters."""
+    escaped = F.regexp_replace("text", r"([!-/:-@\[-`{-~])", r"\\$1")
+    docs = table(spark, d, "documents").where("text is not null")
+    md = docs.select("doc_id", F.concat(F.lit("# Title\n\n"), F.replace(escaped, F.lit("\n"), F.lit("\n\n"))).alias("md"))
     out = markdown.elements(md, doc="doc_id", text="md")
-    return out.groupBy("doc_id").agg((F.count("*") - 1).alias("lines"), (F.min_by("type", "ord") == "heading").alias("has_title"))
+    chars = F.sum(F.when(F.col("ord") > 0, F.length(F.regexp_replace("content", r"\s", ""))).otherwise(0))
+    return out.groupBy("doc_id").agg((F.count("*") - 1).alias("lines"), (F.min_by("type", "ord") == "heading").alias("has_title"), chars.alias("chars"))
 
 
 @query()

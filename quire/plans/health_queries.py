@@ -108,8 +108,15 @@ NUMBERED = """with n as (select o_custkey as doc_id, o_orderkey as ord, o_orderk
  select doc_id, case when count(*) filter (where odd) > 0 then 'fail' else 'pass' end as status, count(*) filter (where odd) as issues from l group by 1"""
 
 
-@query(NUMBERED)
+@query(sql_of("numbering"))
 def h6_numbering(spark, d):
+    e = elements(spark, d)
+    items = e.where("type = 'list'").select("doc_id", "element_id", F.col("content").alias("text"))
+    return plain(H.numbering(e, items, docs_of(e)))
+
+
+@query(NUMBERED)
+def h6_typed_numbers(spark, d):
     from ..sources.tables import table
 
     k = F.col("o_orderkey")

@@ -74,10 +74,10 @@ def d4_word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("words"))
 
 
-@query("select lower(w) as word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(" + WORDS.format("text") + ") as w from documents) group by 1 having count(*) >= 5")
+@query("select lower(w) as word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(" + WORDS.format("text") + ") as w from documents) group by 1")
 def d4_word_frequencies(spark, d):
     w = table(spark, d, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("w"))
-    return w.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 5")
+    return w.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 NUMBERS = r"regexp_extract_all(text, '[-+]?\p{Nd}+(?:[.,:/-]\p{Nd}+)*%?')"
@@ -163,9 +163,9 @@ def p20_looks_like_markdown(spark, d):
     return table(spark, d, "documents").select("doc_id", X.looks_like_markdown(F.col("text")).alias("is_markdown"))
 
 
-@query("select page_id, regexp_extract(url, '\\.([^.]*)$', 1) as extension, regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[\\\\/:*?\"<>|]', '_', 'g') as file_name from pages")
+@query("select page_id, regexp_extract(url, '\\.([^.]*)$', 1) as extension, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[\\\\/:*?\"<>|]', '_', 'g')), ''), 'document') as file_name from pages")
 def k10_file_names(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.([^.]*)$", 1).alias("extension"), F.translate(F.regexp_extract("html", "<title>(.*?)</title>", 1), '\\/:*?"<>|', "_" * 9).alias("file_name"))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.([^.]*)$", 1).alias("extension"), X.safe_filename(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("file_name"))
 
 
 @query("select page_id, lower(regexp_extract(url, '\\.([^.]*)$', 1)) as extension from pages")

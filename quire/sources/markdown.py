@@ -14,20 +14,22 @@ from pyspark.sql.types import _parse_datatype_string
 RUN = "struct<text:string,marks:array<string>,href:string>"
 ELEMENT = f"struct<ord:int,type:string,level:int,content:string,runs:array<{RUN}>,items:array<struct<level:int,ordered:boolean,checked:boolean,text:string>>,cells:array<struct<row:int,col:int,header:boolean,text:string>>>"
 SAFE = re.compile(r"(?i)(https?|ftps?|mailto|tel|callto|sms|xmpp):|www\.")
-INLINE = re.compile(r"(?P<code>`+)(?P<c>.+?)(?P=code)|!\[(?P<alt>[^\]\n]*)\]\([^)\n]*\)|\[(?P<label>[^\]\n]+)\]\((?P<href>[^)\s]+)[^)\n]*\)|(?P<strike>~~)(?P<s>.+?)~~|(?P<bold>\*\*|__)(?P<b>.+?)(?P=bold)|(?P<it>[*_])(?P<i>[^*_\s].*?)(?P=it)", re.S)
+INLINE = re.compile(r"\\(?P<mark>[!-/:-@\[-`{-~])|(?P<code>`+)(?P<c>.+?)(?P=code)|!\[(?P<alt>[^\]\n]*)\]\([^)\n]*\)|\[(?P<label>[^\]\n]+)\]\((?P<href>[^)\s]+)[^)\n]*\)|(?P<strike>~~)(?P<s>.+?)~~|(?P<bold>\*\*|__)(?P<b>.+?)(?P=bold)|(?P<it>[*_])(?P<i>[^*_\s].*?)(?P=it)", re.S)
 FENCE, ATX = re.compile(r" {0,3}(`{3,}|~{3,})"), re.compile(r" {0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")
 RULE, ITEM = re.compile(r" {0,3}([-*_])(?:\s*\1){2,}\s*$"), re.compile(r"(\s*)(?:([-*+])|(\d{1,9})[.)])\s+(.*)")
 DELIMITER, SETEXT = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"), re.compile(r" {0,3}(=+|-+)\s*$")
 
 
 def inline(text: str, marks: tuple[str, ...] = ()) -> list[dict]:
-    """Runs of a line of Markdown; a link that may not be followed keeps its text only, a picture goes."""
+    """Runs of a line of Markdown; a link that may not be followed keeps its text only, a picture goes, a mark behind a backslash is itself."""
     out, at = [], 0
     for m in INLINE.finditer(text):
         if m.start() > at:
             out.append({"text": text[at : m.start()], "marks": list(marks), "href": None})
         at = m.end()
-        if m["code"]:
+        if m["mark"]:
+            out.append({"text": m["mark"], "marks": list(marks), "href": None})
+        elif m["code"]:
             out.append({"text": m["c"].strip(), "marks": [*marks, "code"], "href": None})
         elif m["label"]:
             safe = SAFE.match(m["href"]) is not None

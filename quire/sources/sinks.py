@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,9 +17,22 @@ def write_json(documents: DataFrame, path: str) -> None:
     as_json(documents).select("json").write.mode("overwrite").text(path)
 
 
-def put_blobs(blobs: DataFrame, path: str) -> None:
-    """Blobs as rows of a table, by key; a key written again replaces the old one when it is read by its latest batch."""
-    blobs.write.mode("append").parquet(path)
+def put_blobs(blobs: DataFrame, path: str, *, batch: int) -> None:
+    """Writes blobs (key, content) as a batch of a store; a key written again is replaced, and a batch that is run again is written over."""
+    blobs.select("key", "content").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def delete_blobs(keys: DataFrame, path: str, *, batch: int) -> None:
+    """Deletes keys from a store, also such as are not there."""
+    put_blobs(keys.select("key", F.lit(None).cast("binary").alias("content")), path, batch=batch)
+
+
+def stored_blobs(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """(key, content) of a store: the last batch of each key, without deleted ones; only the given keys, if any."""
+    rows = spark.read.schema("key string, content binary, batch int").option("basePath", path).parquet(path)
+    rows = rows if keys is None else rows.join(keys.select("key").distinct(), "key", "left_semi")
+    last = rows.groupBy("key").agg(F.max_by(F.struct("content"), "batch").alias("c"))
+    return last.select("key", "c.content").where("content is not null")
 
 
 def content_addressed(blobs: DataFrame, *, content: str = "content") -> DataFrame:
