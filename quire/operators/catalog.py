@@ -137,3 +137,26 @@ def workspace_default(workspaces: DataFrame, templates: DataFrame) -> DataFrame:
 def of_list(rows: DataFrame, ids: str, key: str) -> DataFrame:
     """One row for each id of a comma list."""
     return rows.withColumn(key, F.explode(F.filter(F.transform(F.split(ids, ","), lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def ancestors(rows: DataFrame, *, key: str, parent: str) -> DataFrame:
+    """(key, ancestor, depth): every row with those above it, the parent at depth 1; a ring ends where it comes back to one already met.
+
+    One round of joins for each level; each round keeps what the one before has found last.
+    """
+    up = rows.where(F.col(parent).isNotNull()).select(key, F.col(parent).alias("ancestor"))
+    step = up.withColumns({"depth": F.lit(1), "_path": F.array(key, "ancestor")}).where(F.col(key) != F.col("ancestor"))
+    above = up.select(F.col(key).alias("ancestor"), F.col("ancestor").alias("_next"))
+    out = step
+    while not step.isEmpty():
+        met = step.join(above, "ancestor").where(~F.array_contains("_path", F.col("_next")))
+        step = met.select(key, F.col("_next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("_path", F.array("_next")).alias("_path"))
+        out = out.unionByName(step)
+    return out.select(key, "ancestor", "depth")
+
+
+def effective_values(rows: DataFrame, values: DataFrame, *, key: str, parent: str) -> DataFrame:
+    """(key, property, value): each style's own value, else that of the nearest style it is based on; rings are cut."""
+    own = values.select(key, "property", "value", F.lit(0).alias("depth"))
+    taken = ancestors(rows, key=key, parent=parent).join(values.select(F.col(key).alias("ancestor"), "property", "value"), "ancestor")
+    return own.unionByName(taken.select(key, "property", "value", "depth")).groupBy(key, "property").agg(F.min_by("value", "depth").alias("value"))

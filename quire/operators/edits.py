@@ -259,6 +259,13 @@ def externalised(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, assets
 
 
+def inline_bytes(images: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """(doc, bytes): about how many bytes a document's inline pictures have once they are decoded."""
+    body = F.substring_index("src", ",", -1)
+    size = F.when(F.lower("src").startswith("data:"), F.floor(F.length(body) * 3 / 4)).otherwise(0)
+    return images.groupBy(doc).agg(F.sum(size).cast("long").alias("bytes"))
+
+
 def instructed(elements: DataFrame, rules: DataFrame, given: DataFrame, operations: DataFrame, waiting: DataFrame, *, doc: str = "doc_id") -> dict[str, DataFrame]:
     """One instruction to all documents: `given` rules by target, operations by document, proposals already waiting.
 

@@ -102,3 +102,22 @@ def merge_revision(stored: DataFrame, writes: DataFrame, *, key: str) -> DataFra
     hit = F.col("_expected") == F.col("revision")
     out = stored.join(w, key, "left")
     return out.select(key, (F.col("revision") + F.when(hit, 1).otherwise(0)).alias("revision"), F.when(hit, F.col("_payload")).otherwise(F.col("payload")).alias("payload"), F.coalesce(~hit, F.lit(False)).alias("refused"))
+
+
+def job_states(events: DataFrame, *, job: str, status: str, order: list[str], progress: str) -> DataFrame:
+    """(job, state, attempts, progress) from a job's events in any order of arrival.
+
+    A job is pending until it runs, runs until it first succeeds or fails, and then stays as it is; attempts are the runs
+    until then, progress the furthest told until then.
+    """
+    at, s = F.struct(*order), F.col(status)
+    over = events.groupBy(job).agg(F.min(F.when(s.isin("succeeded", "failed"), F.struct(at.alias("at"), s.alias("s")))).alias("_end"))
+    seen = events.join(over, job).where(F.col("_end").isNull() | (at <= F.col("_end.at")))
+    out = seen.groupBy(job).agg(F.first("_end.s", ignorenulls=True).alias("_e"), F.count_if(s == "running").alias("attempts"), F.max(progress).alias("progress"))
+    state = F.coalesce("_e", F.when(F.col("attempts") > 0, "running").otherwise("pending"))
+    return out.select(job, state.alias("state"), "attempts", "progress")
+
+
+def of_documents(versions: DataFrame, documents: DataFrame, *, doc: str, keep: list[str]) -> DataFrame:
+    """Versions with columns of the documents they belong to; those of documents that are gone are left out."""
+    return versions.join(documents.select(F.col("id").alias(doc), *keep), doc)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numbering as N
+from ..functions import units
 from .folds import ordered_fold
 
 
@@ -122,3 +123,15 @@ def closed_up(paragraphs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     w = W.partitionBy(doc).orderBy("ord")
     up, down = (F.coalesce(f("contextual").over(w), F.lit(False)) & F.col("contextual") for f in (F.lag, F.lead))
     return paragraphs.withColumns({"space_before": F.when(up, 0.0).otherwise(F.col("space_before")), "space_after": F.when(down, 0.0).otherwise(F.col("space_after"))})
+
+
+def section_boxes(sections: DataFrame, settings: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """(doc, section, width, height, top, bottom, left, right) in pixels: each section's page set-up (size, orientation, four margins in cm) over its document's.
+
+    Unset fields come from the section before and then from the document; 96 pixels are an inch.
+    """
+    fields = ["size", "orientation", "top", "bottom", "left", "right"]
+    own = inherited(sections, fields, doc=doc).join(settings.select(doc, *(F.col(f).alias(f"_{f}") for f in fields)), doc, "left")
+    both = own.select(doc, "section", *(F.coalesce(f, f"_{f}").alias(f) for f in fields))
+    page = units.page_mm(F.col("size"), F.col("orientation"))
+    return both.select(doc, "section", (page["width"] * 96 / 25.4).alias("width"), (page["height"] * 96 / 25.4).alias("height"), *((F.col(m) * 96 / 2.54).alias(m) for m in fields[2:]))

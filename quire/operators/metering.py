@@ -117,3 +117,20 @@ def within_budget(calls: DataFrame, *, job: str, order: list[str], most: int, se
     ranked = calls.withColumns({"nth": F.row_number().over(w), "begun": F.min("ts").over(W.partitionBy(job))})
     late = (F.unix_micros("ts") - F.unix_micros("begun")) / 1_000_000
     return ranked.withColumn("allowed", (F.col("nth") <= most) & (late <= seconds)).drop("begun")
+
+
+def current_subscriptions(events: DataFrame, *, workspace: str, subscription: str, status: str, order: list[str]) -> DataFrame:
+    """(workspace, subscription, status): what holds after events in any order of arrival, repeated ones too.
+
+    The latest news of each subscription counts; of a workspace's subscriptions the entitled one with the latest news
+    holds, so news about one that was replaced and is not entitled changes nothing; where none is, the latest.
+    """
+    at = F.struct(*order)
+    last = events.groupBy(workspace, subscription).agg(F.max(F.struct(at.alias("at"), F.col(status).alias("s"))).alias("e"))
+    rank = F.struct(F.col("e.s").isin(*ENTITLED).alias("good"), "e.at", F.col(subscription))
+    return last.groupBy(workspace).agg(F.max_by(F.struct(F.col(subscription), F.col("e.s").alias(status)), rank).alias("k")).select(workspace, f"k.{subscription}", f"k.{status}")
+
+
+def document_counts(documents: DataFrame, *, workspace: str) -> DataFrame:
+    """(workspace, documents)."""
+    return documents.groupBy(workspace).agg(F.count("*").alias("documents"))

@@ -33,6 +33,11 @@ def depth(path: Column) -> Column:
     return F.size(path) - 1
 
 
+def block_depths(elements: DataFrame, *, most: int = 8, doc: str = "doc_id") -> DataFrame:
+    """(doc, top, depth): how deep each top-level element is nested, `most` at most."""
+    return elements.groupBy(doc, F.col("path")[0].alias("top")).agg(F.least(F.lit(most), F.max(depth(F.col("path")))).alias("depth"))
+
+
 def depth_first(elements: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """elements with `place`, their number in a depth-first walk: the order of their paths."""
     return elements.withColumn("place", F.row_number().over(W.partitionBy(doc).orderBy("path")) - 1)

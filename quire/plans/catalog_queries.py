@@ -96,8 +96,9 @@ def j3_accessible_assets(spark, d):
 
 @query(with_(DOCS) + "select workspace_id, count(*) as versions, count(distinct l_orderkey) as documents from lineitem join docs on l_orderkey = id group by 1")
 def j6_versions_of_documents(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey")
-    return li.join(docs(spark, d).select("id", "workspace_id"), F.col("l_orderkey") == F.col("id")).groupBy("workspace_id").agg(F.count("*").alias("versions"), F.count_distinct("l_orderkey").alias("documents"))
+    from ..operators.history import of_documents
+
+    return of_documents(table(spark, d, "lineitem").select("l_orderkey"), docs(spark, d), doc="l_orderkey", keep=["workspace_id"]).groupBy("workspace_id").agg(F.count("*").alias("versions"), F.count_distinct("l_orderkey").alias("documents"))
 
 
 @query("select event_id, c_name from events join customer on user_id = c_custkey where ts + interval 14 day > timestamp '2024-01-20' and event_type <> 'error'")

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import catalog as C_
 from ..operators import edits as E
+from ..operators import history as Y
+from ..operators import layout as L
+from ..operators import metering as M
 from ..operators import rules as R
 from ..operators import styles as S
+from ..operators import tree as T_
 from ..sources.tables import table
 from .catalogue import query
 from .document_queries import AFTER, BEFORE, versions
 from .relations import ELEMENTS, elements, with_
 from .rule_queries import CLEAN, RULES, TARGET_SQL, rules
 from .text_queries import MARKDOWN_SQL
+from .text_queries import WORDS as WORDS_SQL
 
 STYLES = """styles as (select p_partkey as style, s as section, f as field, v as value from (
     select p_partkey, 'paragraph' as s, 'fontSizePt' as f, p_size || '.50' as v from part union all select p_partkey, 'document', 'fontFamily', 'Georgia' from part where p_partkey % 2 = 0
@@ -276,3 +282,77 @@ def m18_externalised_images(spark, d):
     png = F.base64(F.unhex(F.concat(F.lit("89504E470D0A1A0A"), F.lpad(F.hex(k % 50), 4, "0"))))
     src = F.when(k % 4 == 0, F.concat(F.lit("data:image/png;base64,"), png)).when(k % 4 == 1, F.concat(F.lit("data:image/jpeg;base64,"), png)).when(k % 4 == 2, "data:image/png;base64,@@@").otherwise(F.concat(F.lit("https://example.org/"), k.cast("string")))
     return E.externalised(table(spark, d, "documents").select("doc_id", src.alias("src")))[0].select("doc_id", "asset_id", "note", "src")
+
+
+TREE = "t as (select p_partkey as id, case when p_partkey % 17 = 3 then p_partkey + 1 when p_partkey % 17 = 4 then p_partkey - 1 when p_partkey // 2 > 0 then p_partkey // 2 end as parent from part), up as (select id, parent as ancestor, 1 as depth, [id, parent] as path from t where parent is not null and parent <> id union all select up.id, t.parent, depth + 1, list_append(path, t.parent) from up join t on t.id = up.ancestor where t.parent is not null and not list_contains(path, t.parent))"
+
+
+def style_tree(spark, d):
+    k = F.col("p_partkey")
+    half = F.floor(k / 2).cast("long")
+    return table(spark, d, "part").select(k.cast("long").alias("id"), F.when(k % 17 == 3, k + 1).when(k % 17 == 4, k - 1).when(half > 0, half).cast("long").alias("parent"))
+
+
+@query("with recursive " + TREE + " select id, ancestor, depth from up")
+def o16_ancestors(spark, d):
+    """Parts as a tree of halves, with some rings of two."""
+    return C_.ancestors(style_tree(spark, d), key="id", parent="parent").select("id", "ancestor", "depth")
+
+
+@query("with recursive " + TREE + ", v as (select id, 'size' as property, 's' || id as value from t where id % 3 = 0 union all select id, 'font', 'f' || id from t where id % 5 = 0), a as (select id, property, value, 0 as depth from v union all select up.id, property, value, depth from up join v on v.id = up.ancestor) select id, property, arg_min(value, depth) as value from a group by 1, 2")
+def g15_effective_values(spark, d):
+    rows = style_tree(spark, d)
+    own = lambda name, k, letter: rows.where(F.col("id") % k == 0).select("id", F.lit(name).alias("property"), F.concat(F.lit(letter), F.col("id").cast("string")).alias("value"))
+    return C_.effective_values(rows, own("size", 3, "s").unionByName(own("font", 5, "f")), key="id", parent="parent")
+
+
+NEWS = "e as (select user_id, user_id * 10 + event_id % 3 as sub, case event_id % 5 when 0 then 'active' when 1 then 'trialing' when 2 then 'canceled' when 3 then 'past_due' else 'incomplete' end as status, ts, event_id from events)"
+
+
+@query("with " + NEWS + ", l as (select user_id, sub, arg_max(status, (ts, event_id)) as status, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id from e group by 1, 2) select user_id, arg_max(sub, (status in {0}, ts, event_id)) as sub, arg_max(status, (status in {0}, ts, event_id)) as status from l group by 1".format(str(tuple(M.ENTITLED))))
+def e16_current_subscriptions(spark, d):
+    k = F.col("event_id") % 5
+    status = F.when(k == 0, "active").when(k == 1, "trialing").when(k == 2, "canceled").when(k == 3, "past_due").otherwise("incomplete")
+    e = table(spark, d, "events").select("user_id", (F.col("user_id") * 10 + F.col("event_id") % 3).alias("sub"), status.alias("status"), "ts", "event_id")
+    return M.current_subscriptions(e.unionByName(e.where("event_id % 7 = 0")), workspace="user_id", subscription="sub", status="status", order=["ts", "event_id"])
+
+
+@query("with e as (select user_id as job, case event_id % 11 when 0 then 'succeeded' when 1 then 'failed' when 2 then 'pending' else 'running' end as status, ts, event_id, event_id % 100 as progress from events), f as (select job, min((ts, event_id)) as over_, arg_min(status, (ts, event_id)) as last from e where status in ('succeeded', 'failed') group by 1), s as (select e.*, last from e left join f on f.job = e.job where over_ is null or (ts, event_id) <= over_) select job, coalesce(max(last), case when count(*) filter (where status = 'running') > 0 then 'running' else 'pending' end) as state, count(*) filter (where status = 'running') as attempts, max(progress) as progress from s group by 1")
+def e8_job_states(spark, d):
+    k = F.col("event_id") % 11
+    e = table(spark, d, "events").select(F.col("user_id").alias("job"), F.when(k == 0, "succeeded").when(k == 1, "failed").when(k == 2, "pending").otherwise("running").alias("status"), "ts", "event_id", (F.col("event_id") % 100).alias("progress"))
+    return Y.job_states(e, job="job", status="status", order=["ts", "event_id"], progress="progress")
+
+
+@query("with r as (select conv_id, string_agg(case when turn % 4 = 1 then replace(upper(text), 'ẞ', 'SS') else text end, '' order by turn) filter (where turn % 3 > 0) as seen from conversations group by 1) select conv_id, array_to_string(" + WORDS_SQL.format("coalesce(seen, '')") + ", ' ') as words from r")
+def d4_visible_words(spark, d):
+    t = F.col("turn")
+    runs = F.array_sort(F.collect_list(F.struct("turn", "text", (t % 3 == 0).alias("hidden"), (t % 4 == 1).alias("caps"))))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(runs.alias("runs"))
+    return rows.select("conv_id", F.array_join(X.visible_words(F.col("runs")), " ").alias("words"))
+
+
+@query("select conv_id as doc_id, (turn // 12)::integer as top, least(8, max(turn % 12))::integer as depth from conversations group by 1, 2")
+def a24_block_depths(spark, d):
+    t = F.col("turn").cast("int")
+    path = F.concat(F.array(F.floor(t / 12).cast("int")), F.array_repeat(F.lit(0), (t % 12).cast("int")))
+    return T_.block_depths(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), path.alias("path")))
+
+
+@query("select doc_id % 100 as doc_id, sum(case when doc_id % 4 < 2 then (length(base64(encode(coalesce(text, '')))) * 3) // 4 else 0 end)::bigint as bytes from documents group by 1")
+def a25_inline_bytes(spark, d):
+    data = F.regexp_replace(F.base64(F.coalesce("text", F.lit("")).cast("binary")), r"\s", "")
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 100).alias("doc_id"), F.when(F.col("doc_id") % 4 < 2, F.concat(F.lit("data:image/png;base64,"), data)).otherwise(F.lit("https://x/y")).alias("src"))
+    return E.inline_bytes(rows)
+
+
+@query("""with s as (select o_custkey as doc_id, o_orderkey as section, case when o_orderkey % 4 = 0 then 'Letter' when o_orderkey % 4 = 1 then 'A4' end as size, case when o_orderkey % 3 = 0 then 'landscape' end as orientation, case when o_orderkey % 5 = 0 then 1.5::double end as top from orders),
+i as (select doc_id, section, coalesce(last_value(size ignore nulls) over w, 'Legal') as size, coalesce(last_value(orientation ignore nulls) over w, 'portrait') as orientation, coalesce(last_value(top ignore nulls) over w, 2.54) as top from s window w as (partition by doc_id order by section rows between unbounded preceding and current row)),
+p as (select *, case size when 'A4' then 210.0::double else 215.9::double end as w, case size when 'A4' then 297.0::double when 'Letter' then 279.4::double else 355.6::double end as h from i)
+select doc_id, section, round(case when orientation = 'landscape' then h else w end * 96 / 25.4, 4) as width, round(case when orientation = 'landscape' then w else h end * 96 / 25.4, 4) as height, round(top * 96 / 2.54, 4) as top, round(2.0::double * 96 / 2.54, 4) as "left" from p""")
+def w21_section_boxes(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    none = F.lit(None).cast("double")
+    sections = o.select(F.col("o_custkey").alias("doc_id"), k.alias("section"), F.when(k % 4 == 0, "Letter").when(k % 4 == 1, "A4").alias("size"), F.when(k % 3 == 0, "landscape").alias("orientation"), F.when(k % 5 == 0, 1.5).alias("top"), *(none.alias(m) for m in ("bottom", "left", "right")))
+    settings = o.select(F.col("o_custkey").alias("doc_id")).distinct().select("doc_id", F.lit("Legal").alias("size"), F.lit("portrait").alias("orientation"), F.lit(2.54).alias("top"), *(F.lit(2.0).alias(m) for m in ("bottom", "left", "right")))
+    return L.section_boxes(sections, settings).select("doc_id", "section", *(F.round(c, 4).alias(c) for c in ("width", "height", "top", "left")))

@@ -53,7 +53,7 @@ def a2_storage_bytes(spark, d):
 
 @query("select source as workspace, count(*) as documents from documents group by 1")
 def a3_documents_per_workspace(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("workspace")).agg(F.count("*").alias("documents"))
+    return M.document_counts(table(spark, d, "documents").withColumnRenamed("source", "workspace"), workspace="workspace")
 
 
 @query(with_(USED, SUBS, PLAN, PLANS) + "select user_id, plan, n as used, case when max_ai_operations is not null then greatest(0, max_ai_operations - n) end::bigint as remaining_operations, case when max_documents is not null then greatest(0, max_documents - n) end::bigint as remaining_documents from planned join plans using(plan) join used using(user_id)")

@@ -318,8 +318,3 @@ def a15_weighted_majority(spark, d):
 
     rows = table(spark, d, "documents").select("source", "lang", "doc_id", F.greatest(F.lit(1), F.length(F.trim("text"))).alias("w"))
     return majority_rules(rows, ["source"], value="lang", weight="w", seq="doc_id").select("source", "lang", "weight")
-
-
-@query("select role, max(len(string_split(text, chr(10)))) as depth, sum(length(text) * 3 // 4)::bigint as bytes from conversations group by 1")
-def a25_inline_sizes(spark, d):
-    return table(spark, d, "conversations").groupBy("role").agg(F.max(F.size(F.split("text", "\n"))).cast("long").alias("depth"), F.sum(F.floor(F.length("text") * 3 / 4)).cast("long").alias("bytes"))
