@@ -43,10 +43,14 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
 
 def default_looks(spark: SparkSession, base: list[tuple]) -> list[tuple]:
-    """(target, property, pairs of css and value) of the default rules, a fixed table of about 60 rows."""
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(base)], "k int, target string, property string, value string, unit string")
-    shown = rows.select("k", "target", "property", units.css_of(F.col("property"), F.col("value"), F.col("unit")).alias("pairs")).collect()
-    return [(r.target, r.property, [tuple(p) for p in r.pairs]) for r in sorted(shown)]
+    """(target, property, pairs of css and value) of the default rules: a fixed table of about 60 rows, which the optimizer works out without a job."""
+    def quoted(x) -> str:
+        return "null" if x is None else "'" + x + "'"
+
+    values = ", ".join(f"({k}, {quoted(v)}, {quoted(p)}, {quoted(u)})" for k, (_, p, v, u) in enumerate(base))
+    rows = spark.sql(f"select * from values {values} as t(k, value, property, unit)")
+    shown = rows.select("k", units.css_of(F.col("property"), F.col("value"), F.col("unit").cast("string")).alias("pairs")).collect()
+    return [(base[r.k][0], base[r.k][1], [tuple(p) for p in r.pairs]) for r in sorted(shown)]
 
 
 def target_of(kind: Column, level: Column) -> Column:
@@ -65,8 +69,9 @@ def stacked(*relations: DataFrame) -> DataFrame:
 
 def usable(rules: DataFrame) -> DataFrame:
     """Rules that can be drawn, with their values as they are drawn."""
-    clean = rules.withColumn("_c", units.clean_value(F.col("property"), F.col("value"), F.col("unit"))).where("_c is not null")
-    return clean.withColumns({"value": F.col("_c.value"), "unit": F.col("_c.unit")}).drop("_c")
+    made = units.clean_value(F.col("property"), F.col("value"), F.col("unit"))
+    rest = [c for c in rules.columns if c not in ("value", "unit")]
+    return rules.select(*rest, F.inline(F.array_compact(F.array(made)))).select(rules.columns)  # a generator: the value is cleaned once
 
 
 def winners(rules: DataFrame, keys: list[str], *, specific: Column | None = None) -> DataFrame:
@@ -98,6 +103,8 @@ def resolve(rules: DataFrame, keys: list[str]) -> DataFrame:
     given = F.concat_ws("/", "target", "property")
     loses = (F.col("w.priority") > DEFAULT) & given.isin(*(f"{t}/{p}" for t, p, _, _ in base))
     look = F.struct("target", given.alias("rule"), units.css_of(F.col("property"), F.col("w.value"), F.col("w.unit")).alias("pairs"))
+    parts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but each key becomes about 85 rows: not to be coalesced
+    best = best.repartition(parts, *keys) if keys else best
     own = best.groupBy(*keys).agg(F.collect_list(F.when(F.col("w").isNotNull() & ~loses, look)).alias("own"))
     defaults = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(f"{t}/{p}").alias("rule"), F.array(*(F.struct(F.lit(c).alias("css"), F.lit(v).alias("value")) for c, v in pairs)).alias("pairs")) for t, p, pairs in default_looks(rules.sparkSession, base)))
     own = own.withColumn("set", F.transform("own", lambda r: r["rule"]))
