@@ -123,3 +123,12 @@ def test_categories_of_text_differences(spark):
     assert [(got[k].kind, got[k].category, set(got[k].categories)) for k in range(len(cases))] == [c[2:] for c in cases]
     said = {r.k: (r.protected, r.summary) for r in fidelity.check_text(rows, keys=["k"], source="a", result="b").collect()}
     assert said[0] == (True, "1 difference(s): unit x1") and said[2] == (False, "1 difference(s): negation x1")
+
+
+def test_a_length_that_cannot_be_kept_is_noted(spark):
+    from quire.operators import styles
+
+    kind = "doc_id string, target string, property string, value string, unit string, priority int, source string, seq long"
+    held = spark.createDataFrame([("d", "Quote", "indentLeft", "36", "cm", 2, "i", 1), ("d", "Quote", "fontSize", "12.50", "pt", 2, "i", 2), ("d", "Image", "bold", "true", None, 2, "i", 3)], kind)
+    got = {r.property: (r.value, r.note) for r in styles.from_rules(held, ["doc_id"]).collect()}
+    assert got == {"indentLeft": (None, "Quote: 'indentLeft' = '36' cm skipped"), "fontSize": ("12.5", None), "bold": (None, "Image: 'bold' has no place in a style system")}
