@@ -35,6 +35,8 @@ LABELS_AT_ONCE = 100_000
 SALTS = 32
 #: Far above the rounding of a square root and of the conversion of a 62-bit integer.
 OUTWARD = 1e-12
+#: Of no codebooks at all.
+EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 
 
 class Node:

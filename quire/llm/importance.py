@@ -105,17 +105,22 @@ class Grams:
         return np.bincount(np.concatenate(self.which)) if sum(map(len, self.which)) else np.zeros(0, np.int64)
 
 
+def fields(told: pa.ListScalar, *names: str) -> list[np.ndarray]:
+    """The fields of a list of structs as arrays; null is an empty list."""
+    return [told.values.field(n).to_numpy() if told.is_valid else np.zeros(0, np.int64) for n in names]
+
+
 def send_tuples(longest: int):
     """Rows (chunk, side, number, ids, n): the distinct tuples of a chunk as ids of the dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, side, places, sizes, named = (c[i].as_py() for c in batch.columns)
+                chunk, side, places, sizes = (c[i].as_py() for c in batch.columns[:4])
                 grams = Grams(places, sizes, longest)
-                ids = np.zeros(len(named or []), np.int64)
-                for f in named or []:
-                    ids[f["place"]] = f["id"]
+                place, own = fields(batch.column(4)[i], "place", "id")
+                ids = np.zeros(len(place), np.int64)
+                ids[place] = own
                 lists = [ids[t] for t in grams.tuples]
                 flat = np.concatenate([x.ravel() for x in lists])
                 ends = np.append(0, np.cumsum(np.concatenate([np.full(len(x), x.shape[1]) for x in lists]))).astype(np.int32)
@@ -135,11 +140,11 @@ def weigh(longest: int, gains: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                places, sizes, ids, told = (c[i].as_py() for c in batch.columns)
+                places, sizes, ids = (c[i].as_py() for c in batch.columns[:3])
                 grams = Grams(places, sizes, longest)
                 own = np.zeros(len(grams.counts()), np.int64)
-                for f in told or []:
-                    own[f["number"]] = gain[f["bucket"]]
+                number, bucket = fields(batch.column(3)[i], "number", "bucket")
+                own[number] = gain[bucket]
                 weight, n = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
                 for which, text in zip(grams.which, grams.text):
                     np.add.at(weight, text, own[which])

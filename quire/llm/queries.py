@@ -1,4 +1,4 @@
-"""The ten queries: each applies its operator to the whole of its table with production parameters."""
+"""The thirteen queries and the pipeline: each applies its operator to the whole of its table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, learning, lines, mixing, quality, repeats, secrets, sharding, simhash, toxicity, urls
+from . import codes, decontaminate, importance, learning, lines, mixing, phrases, quality, repeats, secrets, sharding, simhash, toxicity, urls
 from .base import table
 
 
@@ -74,6 +74,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_phrases(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = books.digest() if books else codes.EMPTY_DIGEST
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,5 +96,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_decontaminate, op3_quality_rules, op4_toxicity, op5_suffix_dedup, op6_sharding, op7_url_filter, op8_quality_classifier, op9_mixing, op10_simhash, pipeline)
+    own = (op1_secret_scan, op2_decontaminate, op3_quality_rules, op4_toxicity, op5_suffix_dedup, op6_sharding, op7_url_filter, op8_quality_classifier, op9_mixing, op10_simhash, op11_phrase_dedup, op12_vector_codes, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in own}
