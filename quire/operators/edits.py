@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import units
+from ..sources.tables import written
 from . import compare as C
 from . import rules as R
 from . import tree
+from .folds import ordered_fold
 
 #: Blocks that a patch may change in any case, pieces that a model is asked about, inputs that a finished job forgets.
 PATCH_BLOCKS, MODEL_PIECES = 20, 20
@@ -25,16 +27,41 @@ UPLOADS = ("docx", "pdf", "txt")
 def decided(elements: DataFrame, proposals: DataFrame, decisions: DataFrame, *, doc: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(elements, proposals, stale) after each document's accepted proposals (decisions: doc, id, accept) are applied, in the order of their seq.
 
-    A rejected proposal goes; an accepted one that names what the document no longer has is stale: nothing is done and it
-    stays. Then those about elements that are gone go too. proposals: doc, id, seq, op, target, after_id, content.
+    Each accepted one is judged by the document as those before it have left it: one that names what is no longer there is
+    stale, and nothing is done. One that was accepted but waits no more (an earlier batch took it away) is stale as well.
+    A rejected proposal goes, and in the end so do those about elements that are gone. proposals: doc, id, seq, op,
+    target, after_id, content. A task holds the ids of one document.
     """
-    asked = proposals.join(decisions, [doc, "id"])
-    steps = asked.where("accept").withColumns({"property": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
-    stale = tree.invalid_operations(steps, elements, doc=doc).select(doc, "id")
-    good = steps.join(stale, [doc, "id"], "left_anti")
-    out = tree.replayed(elements, good.withColumn("target", F.coalesce("target", F.concat(F.lit("new-"), F.col("id").cast("string")))), doc=doc)
+    asked = decisions.where("accept").join(proposals, [doc, "id"], "left")
+    gone = asked.where("op is null").select(doc, "id")
+    steps = asked.where("op is not null").withColumn("target", F.when(F.col("op") == "insert", F.concat(F.lit("new-"), F.col("id").cast("string"))).otherwise(F.col("target")))
+    kinds = {c: proposals.schema[c].dataType.simpleString() for c in (doc, "id")}
+    fields = [doc, "seq", "op", "target", "after_id", "content", "id"]
+    base = tree.links(elements, doc=doc).withColumns({"content": F.lit(None).cast("string"), "id": F.lit(None).cast(kinds["id"])})
+    stream = base.select(fields).unionByName(steps.select(doc, F.col("seq").cast("long").alias("seq"), *fields[2:]))
+    told = written(ordered_fold(stream, [doc], ["seq"], f"{doc} {kinds[doc]}, ord long, element_id string, stale {kinds['id']}", Decisions), "decided")
+    out = told.where("stale is null").drop("stale")
+    stale = told.where("stale is not null").select(doc, F.col("stale").alias("id"))
     left = proposals.join(decisions.join(stale, [doc, "id"], "left_anti"), [doc, "id"], "left_anti")
-    return out, tree.live_proposals(left, out, doc=doc).select(proposals.columns), stale
+    return out, tree.live_proposals(left, out, doc=doc).select(proposals.columns), stale.unionByName(gone)
+
+
+class Decisions(tree.Chain):
+    """Accepted proposals, each judged by the chain that those before it have made."""
+
+    def fits(self, row: dict) -> bool:
+        op, target, after = row["op"], row["target"], row["after_id"]
+        if after is not None and after not in self.next:
+            return False
+        return row["content"] is not None if op == "insert" else target is not None and target in self.next
+
+    def step(self, row: dict) -> list[tuple]:
+        if row["id"] is not None and not self.fits(row):
+            return [(*self.key, None, None, row["id"])]
+        return super().step(row)
+
+    def end(self) -> list[tuple]:
+        return [(*row, None) for row in super().end()]
 
 
 def patch_problems(stored: DataFrame, changed: DataFrame, added: DataFrame, removed: DataFrame, *, doc: str = "doc_id") -> DataFrame:
@@ -199,12 +226,30 @@ def fingerprint(elements: DataFrame, columns: list[str], *, look: str | None = N
 def admitted(requests: DataFrame, held: DataFrame, *, workspace: str, order: list[str], limit: Column) -> DataFrame:
     """requests with `ok`: whether each still fits its workspace's limit (null: none) when those before it have been served, one after another.
 
-    held: workspace, n; requests have a quantity n. One that is refused takes nothing, so where all quantities are 1 the
-    first limit - held are served; larger ones are served while the sum of all asked before fits.
+    held: workspace, n; requests have a quantity n (null: 0). One that is refused takes nothing, so a smaller one behind it
+    may still fit: each is decided by what those before it were given, in one pass over a workspace's sorted requests.
     """
-    before = F.coalesce(F.sum("n").over(W.partitionBy(workspace).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0))
-    own = requests.join(held.select(workspace, F.col("n").alias("_held")), workspace, "left")
-    return own.withColumn("ok", limit.isNull() | (F.coalesce("_held", F.lit(0)) + before <= limit)).drop("_held")
+    own = requests.withColumn("_limit", limit.cast("long")).join(held.select(workspace, F.col("n").cast("long").alias("_held")), workspace, "left")
+    names = requests.columns
+    schema = T.StructType([*requests.schema.fields, T.StructField("ok", T.BooleanType())])
+    return ordered_fold(own, [workspace], order, schema, lambda key: Budget(names))
+
+
+class Budget:
+    """What a workspace has left: requests in, requests and whether they were admitted out."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.used = names, None
+
+    def step(self, row: dict) -> list[tuple]:
+        self.used = (row["_held"] or 0) if self.used is None else self.used
+        asked = row["n"] or 0
+        ok = row["_limit"] is None or self.used + asked <= row["_limit"]
+        self.used += asked if ok else 0
+        return [(*(row[c] for c in self.names), ok)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def cleared(jobs: DataFrame) -> DataFrame:

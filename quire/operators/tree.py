@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import written
 from .folds import ordered_fold
 
 #: Marks in the order in which a run holds them; operations that only change the look.
 MARKS = ("bold", "italic", "underline", "strike", "code", "link", "superscript", "subscript", "textStyle", "hidden")
-#: Rounds of following replies; threads of 2 ** THREAD_ROUNDS levels are followed to their root.
-THREAD_ROUNDS = 4
-CAPTION = r"(?i)^\s*(figure|fig\.|table|фигура|фиг\.|таблица|табл\.)\s*[0-9]+"
+#: Fixed value: a caption is a label, a number and a separator.
+CAPTION = r"^\s*(фигура|фиг\.|figure|fig\.|таблица|табл\.|table|схема|диаграма|графика|снимка|chart|image|изображение)\s*\d+(?:[.\-]\d+)*\s*[:.\-–—)]"
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)\]]|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 
 
@@ -47,7 +47,7 @@ def captioned(elements: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """elements whose paragraphs that read like a caption, beside an image or table, have become captions."""
     w = W.partitionBy(doc).orderBy("ord")
     beside = F.coalesce(F.lag("type").over(w).isin("image", "table"), F.lit(False)) | F.coalesce(F.lead("type").over(w).isin("image", "table"), F.lit(False))
-    out = elements.withColumn("_c", (F.col("type") == "paragraph") & F.col("content").rlike(CAPTION) & beside)
+    out = elements.withColumn("_c", (F.col("type") == "paragraph") & F.col("content").rlike("(?iuU)" + CAPTION) & beside)
     return out.withColumn("type", F.when(F.col("_c"), "caption").otherwise(F.col("type"))).drop("_c")
 
 
@@ -134,11 +134,15 @@ class Chain:
         return out
 
 
+def links(elements: DataFrame, *, doc: str) -> DataFrame:
+    """A document's elements as insertions in their order, before all operations."""
+    return elements.select(doc, (F.col("ord").cast("long") - (1 << 40)).alias("seq"), F.lit("insert").alias("op"), F.col("element_id").alias("target"), F.lit(None).cast("string").alias("after_id"))
+
+
 def replayed(elements: DataFrame, operations: DataFrame, *, doc: str) -> DataFrame:
     """(doc, ord, element_id) after each document's operations in the order of seq; a task holds the ids of one document."""
     kind = elements.schema[doc].dataType.simpleString()
-    base = elements.select(doc, (F.col("ord").cast("long") - (1 << 40)).alias("seq"), F.lit("insert").alias("op"), F.col("element_id").alias("target"), F.lit(None).cast("string").alias("after_id"))
-    stream = base.unionByName(operations.select(doc, F.col("seq").cast("long").alias("seq"), "op", "target", "after_id"))
+    stream = links(elements, doc=doc).unionByName(operations.select(doc, F.col("seq").cast("long").alias("seq"), "op", "target", "after_id"))
     return ordered_fold(stream, [doc], ["seq"], f"{doc} {kind}, ord long, element_id string", Chain)
 
 
@@ -209,14 +213,18 @@ def autolinks(texts: DataFrame, *, key: str, text: str) -> DataFrame:
 def threads(comments: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """comments (doc, id, parent_id, resolved) with their thread, the id of its first comment, and whether that one is resolved.
 
-    A parent that the document lacks begins no thread. Replies to replies are followed to the root, each round twice as far;
-    rings of comments have no root and stay in some thread of their own.
+    A parent that the document lacks begins no thread. Replies to replies are followed to the root, each round twice as far,
+    until no reply could be farther away: as many rounds as the largest document's number of comments has bits. Comments
+    that answer one another in a ring, and those below them, are in the thread of the ring's least id.
     """
     known = comments.select(doc, F.col("id").alias("thread"), F.lit(True).alias("_k"))
     up = comments.withColumn("thread", F.coalesce("parent_id", "id")).join(known, [doc, "thread"], "left")
-    up = up.select(doc, "id", F.when(F.col("_k"), F.col("thread")).otherwise(F.col("id")).alias("thread"))
-    for _ in range(THREAD_ROUNDS):
-        above = up.select(doc, F.col("id").alias("thread"), F.col("thread").alias("_up"))
-        up = up.join(above, [doc, "thread"]).select(doc, "id", F.col("_up").alias("thread"))
+    up = written(up.select(doc, "id", F.when(F.col("_k"), F.col("thread")).otherwise(F.col("id")).alias("thread")).withColumn("least", F.col("thread")), "threads")
+    most = up.groupBy(doc).count().agg(F.max("count")).first()[0] or 1
+    for _ in range(most.bit_length()):
+        above = up.select(doc, F.col("id").alias("thread"), F.col("thread").alias("_up"), F.col("least").alias("_least"))
+        up = written(up.join(above, [doc, "thread"]).select(doc, "id", F.col("_up").alias("thread"), F.least("least", "_least").alias("least")), "threads")
+    ring = up.select(doc, F.col("id").alias("thread"), F.col("thread").alias("_up"), F.col("least").alias("_ring"))
+    up = up.join(ring, [doc, "thread"]).select(doc, "id", F.when(F.col("_up") == F.col("thread"), F.col("thread")).otherwise(F.col("_ring")).alias("thread"))
     root = comments.select(doc, F.col("id").alias("thread"), F.col("resolved").alias("_r"))
     return comments.drop("resolved").join(up, [doc, "id"]).join(root, [doc, "thread"]).select(*(c for c in comments.columns if c != "resolved"), "thread", F.col("_r").alias("resolved"))

@@ -116,22 +116,31 @@ def talks(spark, d):
 
 
 def offered(spark, d):
-    """Deletions, insertions and moves offered about every turn; some are accepted, some rejected, some about what is not there."""
+    """Deletions of every third turn, insertions behind those and deletions of what is not there; some are accepted, some rejected, some wait."""
     c, t = talks(spark, d), F.col("ord")
-    op = F.when(t % 3 == 0, "delete").when(t % 3 == 1, "insert").otherwise("delete")
     target = F.when(t % 3 == 0, F.col("element_id")).when(t % 3 == 2, F.concat("element_id", F.lit("?")))
-    proposals = c.select("doc_id", t.alias("id"), t.alias("seq"), op.alias("op"), target.alias("target"), F.when(t % 3 == 1, F.col("element_id")).alias("after_id"), F.when(t % 3 == 1, F.lit("new text")).alias("content"))
+    new = t % 3 == 1
+    proposals = c.select("doc_id", t.alias("id"), t.alias("seq"), F.when(new, "insert").otherwise("delete").alias("op"), target.alias("target"), F.when(new, (t - 1).cast("string")).alias("after_id"), F.when(new, F.lit("new text")).alias("content"))
     return c, proposals, c.where(t % 5 != 4).select("doc_id", t.alias("id"), (t % 5 != 3).alias("accept"))
 
 
-@query("with c as (select conv_id as doc_id, turn, turn % 5 < 3 as accepted from conversations), r as (select doc_id, turn, 0 as s, turn::varchar as element_id from c where not (turn % 3 = 0 and accepted) union all select doc_id, turn, 1, 'new-' || turn from c where turn % 3 = 1 and accepted) select doc_id, row_number() over (partition by doc_id order by turn, s) - 1 as ord, element_id from r")
+DECIDED = "with c as (select conv_id as doc_id, turn, turn % 5 < 3 as accepted, turn % 3 = 1 and exists (select 1 from conversations x where x.conv_id = c.conv_id and x.turn = c.turn - 1) and (turn - 1) % 5 >= 3 as fits from conversations c) "
+
+
+@query(DECIDED + ", r as (select doc_id, turn, 0 as s, turn::varchar as element_id from c where not (turn % 3 = 0 and accepted) union all select doc_id, turn - 1, 1, 'new-' || turn from c where accepted and fits) select doc_id, row_number() over (partition by doc_id order by turn, s) - 1 as ord, element_id from r")
 def m9_decided_elements(spark, d):
     return E.decided(*offered(spark, d))[0]
 
 
-@query("select conv_id as doc_id, turn as id, turn % 3 = 2 as about_nothing from conversations where turn % 5 = 4 and turn % 3 <> 2")
+@query(DECIDED + "select doc_id, turn as id from c where accepted and (turn % 3 = 2 or (turn % 3 = 1 and not fits))")
+def m9_stale_proposals(spark, d):
+    """Accepted too late: behind a turn that an earlier decision of the batch has deleted, or about what never was."""
+    return E.decided(*offered(spark, d))[2]
+
+
+@query("select conv_id as doc_id, turn as id, turn % 3 = 2 as about_nothing from conversations c where turn % 5 = 4 and turn % 3 <> 2 and (turn % 3 = 0 or exists (select 1 from conversations x where x.conv_id = c.conv_id and x.turn = c.turn - 1))")
 def m9_waiting_proposals(spark, d):
-    """What is neither decided nor about what is gone: a stale one waits only while its element is there, which these never are."""
+    """What is neither decided nor about what is gone."""
     return E.decided(*offered(spark, d))[1].select("doc_id", "id", (F.col("id") % 3 == 2).alias("about_nothing"))
 
 
@@ -223,8 +232,12 @@ def d24_element_fingerprints(spark, d):
     return e.select("conv_id", "turn", E.fingerprint(e, ["id", "ord", "type", "content", "caption", "level", "items"], look="look").alias("fingerprint"))
 
 
-@query("with a as (select *, sum(1 + o_orderkey % 3) over (partition by o_custkey order by o_orderkey) as upto from orders) select o_orderkey as id, c_custkey % 9 = 0 or c_custkey % 4 + upto <= 5 as ok from a join customer on c_custkey = o_custkey")
+ADMITTED = "with recursive r as (select {own}, row_number() over (partition by workspace order by {order}) as k from asked), s as (select *, case when lim is null or held + n <= lim then held + n else held end as used, lim is null or held + n <= lim as ok from r where k = 1 union all select r.*, case when r.lim is null or s.used + r.n <= r.lim then s.used + r.n else s.used end, r.lim is null or s.used + r.n <= r.lim from r join s on r.workspace = s.workspace and r.k = s.k + 1) select id, ok from s"
+
+
+@query(ADMITTED.format(own="*", order="id").replace("recursive ", "recursive asked as (select o_custkey as workspace, o_orderkey as id, 1 + o_orderkey % 3 as n, coalesce(c_custkey % 4, 0) as held, case when o_custkey % 9 <> 0 then 5 end as lim from orders left join customer on c_custkey = o_custkey), "))
 def e7_admitted_requests(spark, d):
+    """Requests of one to three; a refused one leaves room for a smaller one behind it."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("workspace"), F.col("o_orderkey").alias("id"), (1 + F.col("o_orderkey") % 3).alias("n"))
     held = table(spark, d, "customer").select(F.col("c_custkey").alias("workspace"), (F.col("c_custkey") % 4).alias("n"))
     return E.admitted(o, held, workspace="workspace", order=["id"], limit=F.when(F.col("workspace") % 9 != 0, 5)).select("id", "ok")
@@ -259,11 +272,23 @@ def s1_routed_files(spark, d):
     return E.routed(files).select("doc_id", "kind", "problem")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey as width, l_suppkey * 997 as height, case when l_partkey * l_suppkey * 997 > 50000000 or greatest(l_partkey, l_suppkey * 997) > 20000 then 'too_large' end as problem from lineitem")
+@query("""with p as (select l_orderkey, l_linenumber, case l_linenumber % 4 when 3 then null else l_partkey end as width, case l_linenumber % 4 when 0 then l_suppkey * 997 when 3 then null else l_suppkey * 61 end as height from lineitem)
+select *, case when width is null then 'unreadable' when width * height > 50000000 or greatest(width, height) > 20000 then 'too_large' end as problem from p""")
 def p18_picture_headers(spark, d):
-    w, h = F.col("l_partkey"), F.col("l_suppkey") * 997
-    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(w), 8, "0"), F.lpad(F.hex(h), 8, "0"), F.lit("0806000000")))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", png.alias("c"))
+    """PNG files; JPEG files with a thumbnail in a header, some of over 130 KB; progressive ones; JPEG files whose data comes before any frame."""
+    k, large = F.col("l_linenumber") % 4, F.col("l_orderkey") % 1024 == 1
+    w, h = F.col("l_partkey"), F.col("l_suppkey")
+
+    def hexed(n, digits):
+        return F.lpad(F.hex(n), digits, "0")
+
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h * 997, 8), F.lit("0806000000"))
+    inner = "FFD8FFC0001108007800A003012200021101031101"
+    thumbnail = F.lit(f"FFE1{len(inner) // 2 + 2:04X}{inner}")
+    filler = F.when(large, F.repeat(F.concat(F.lit("FFE2FFFF"), F.repeat(F.lit("FFC0"), 32766), F.lit("00")), 2)).otherwise(F.lit("FFFE0004FFC0"))
+    frame = F.concat(F.when(k == 1, "FFC0").otherwise("FFC2"), F.lit("001108"), hexed(h * 61, 4), hexed(w, 4), F.lit("03"))
+    jpeg = F.concat(F.lit("FFD8"), thumbnail, filler, F.when(k == 3, F.lit("FFDA0008")).otherwise(F.lit("FFFF")), frame)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.unhex(F.when(k == 0, png).otherwise(jpeg)).alias("c"))
     size = X.picture_size(F.col("c"))
     return rows.select("l_orderkey", "l_linenumber", size["width"].alias("width"), size["height"].alias("height"), X.picture_problem(F.col("c")).alias("problem"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import units as U
@@ -35,10 +36,12 @@ def w16_depth_first(spark, d):
     return T_.depth_first(rows, doc="conv_id").select("conv_id", "turn", F.col("place").cast("int").alias("place"), T_.depth(F.col("path")).alias("depth"))
 
 
-@query(with_(ELEMENTS) + "select type, count(*) as n from (select case when type = 'paragraph' and ord % 4 = 2 and (coalesce(lag(type) over w, '') in ('image', 'table') or coalesce(lead(type) over w, '') in ('image', 'table')) then 'caption' else type end as type from elements window w as (partition by doc_id order by ord)) group by 1")
+@query(with_(ELEMENTS) + "select doc_id, ord, case when type = 'paragraph' and ord % 6 not in (1, 3) and (coalesce(lag(type) over w, '') in ('image', 'table') or coalesce(lead(type) over w, '') in ('image', 'table')) then 'caption' else type end as type from elements window w as (partition by doc_id order by ord)")
 def w11_marked_captions(spark, d):
-    e = elements(spark, d).withColumn("content", F.when(F.col("ord") % 4 == 2, F.lit("Figure 3: view")).otherwise("plain"))
-    return T_.captioned(e).groupBy("type").agg(F.count("*").alias("n"))
+    """A label and number without a separator is no caption."""
+    texts = F.array(*map(F.lit, ("Figure 3: view", "Figure 2", "Схема 1.", "plain", "ТАБЛИЦА 2.3 – data", "Image 4) x")))
+    e = elements(spark, d).withColumn("content", F.get(texts, F.col("ord") % 6))
+    return T_.captioned(e).select("doc_id", "ord", "type")
 
 
 ISLANDS = """with p as (select o_custkey as doc_id, o_orderkey as ord, case when o_orderkey % 4 <> 0 then o_orderkey % 8 // 4 end as num_id, o_orderkey % 3 as level, o_orderkey % 5 <> 0 as boxed from orders),
@@ -178,15 +181,11 @@ def g13_autolinks(spark, d):
     return T_.autolinks(table(spark, d, "pages").select("page_id", F.concat(F.lit("see "), "url", F.lit(" and so on.")).alias("text")), key="page_id", text="text")
 
 
-THREADS = """c as (select conv_id as doc_id, turn as id, case when turn % 4 <> 0 then turn - 1 end as parent from conversations),
-r as (with recursive up as (select doc_id, id, id as thread, parent from c union all select up.doc_id, up.id, c.id, c.parent from up join c on c.doc_id = up.doc_id and c.id = up.parent) select doc_id, id, min(thread) as thread from up group by 1, 2)"""
-
-
-@query(with_(THREADS) + "select doc_id, id, thread, thread % 8 = 0 as resolved from r")
+@query("with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as k from events), t as (select *, min(event_id) over (partition by user_id, k // 40) as thread from r) select user_id as doc_id, event_id as id, thread, thread % 8 = 0 as resolved from t")
 def g19_comment_threads(spark, d):
-    """Ids repeat between documents, and replies answer replies."""
-    t = F.col("turn")
-    own = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("id"), F.when(t % 4 != 0, t - 1).alias("parent_id"), (t % 8 == 0).alias("resolved"))
+    """Each event answers its user's one before it, in chains of forty."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    own = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("id"), F.when((F.row_number().over(w) - 1) % 40 != 0, F.lag("event_id").over(w)).alias("parent_id"), (F.col("event_id") % 8 == 0).alias("resolved"))
     return T_.threads(own).select("doc_id", "id", "thread", "resolved")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder, so that a loop's next round does not run the earlier ones again."""
+    path = f"{shared_dir(df.sparkSession)}/quire/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The event stream's rows with `ts` as an instant (the files carry no zone; they are UTC)."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
