@@ -203,14 +203,14 @@ def resample(
     rows. Other columns, whatever their names, play no part.
     """
     sides = packed(docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")), 0)
-    chunks = written(sides.union(packed(target.select(F.lit(None).cast("long").alias("id"), quoted(target_text).alias("text")), 1)), "chunks")
+    chunks = written(sides.union(packed(target.select(F.lit(None).cast("long").alias("id"), quoted(target_text).alias("text")), 1)), "chunks", codec="zstd")
     own = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    dictionary = written(own.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
+    dictionary = written(own.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary", codec="zstd")
     named = own.join(dictionary, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("named"))  # the distinct words of a chunk
     sent = chunks.select("chunk", "side", "places", "sizes").join(named, "chunk", "left").mapInArrow(send_tuples(longest), "chunk long, side int, number int, tuple array<long>, n long")
-    sent = written(sent, "tuples")
+    sent = written(sent, "tuples", codec="zstd")
     sums = sent.groupBy("tuple").agg(*(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(("s", "t"))))
-    hashed = written(spelled(sums, dictionary, longest, buckets), "hashed")
+    hashed = written(spelled(sums, dictionary, longest, buckets), "hashed", codec="zstd")
     gains = gains_of([tuple(r) for r in hashed.groupBy("bucket").agg(F.sum("s"), F.sum("t")).collect()], buckets)  # one row a bucket at most
     told = sent.where("side = 0").join(hashed.select("tuple", "bucket"), "tuple").groupBy("chunk").agg(F.collect_list(F.struct("number", "bucket")).alias("told"))  # the distinct tuples of a chunk
     weighed = chunks.where("side = 0").select("chunk", "places", "sizes", "ids").join(told, "chunk", "left").select("places", "sizes", "ids", "told")
