@@ -32,7 +32,7 @@ LEAST_WORDS = 20
 SHARE = 10
 SEED = 2024
 #: Bytes of text in a chunk; a longer text has one of its own.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 #: Rows ranked in one part, about.
 RANKED = 1_000_000
 #: Bytes of words in the order of their numbers: A-Z become a-z, what is no letter, digit or non-ASCII byte parts words.
