@@ -119,7 +119,7 @@ def unsafe(rows: DataFrame, *, key: str = "key") -> DataFrame:
 def features(rows: DataFrame, *, key: str = "key") -> DataFrame:
     """(key, feature, n, text, seq): what the body of a package has that is not shown or not kept as it is, a row each, for `fidelity.findings`.
 
-    Looks that a run sets itself are told, those of its styles are not.
+    Looks that a run sets itself are told; `looks.features` follows its styles as well.
     """
     body = rows.where(F.col("part") == "word/document.xml")
     tag, marks, inside = F.col("tag"), F.col("marks"), F.col("inside")
