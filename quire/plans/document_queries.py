@@ -14,7 +14,7 @@ from ..sources.tables import shared_dir, table
 from ..streaming import metering as SM
 from .catalogue import query
 from .metering_queries import BURST
-from .relations import elements
+from .relations import ADMITTED, elements
 
 BEFORE = "before as (select conv_id as doc_id, conv_id || '-' || turn as element_id, turn as ord, case when role = 'system' then 'heading' else 'paragraph' end as type, case when role = 'system' then 1 end as level, text as content from conversations where (conv_id + turn) % 7 <> 0)"
 AFTER = "after as (select conv_id as doc_id, conv_id || '-' || turn as element_id, case when turn % 5 = 1 then turn + 2.5 else turn end as ord, case when role = 'system' or turn % 11 = 3 then 'heading' else 'paragraph' end as type, case when role = 'system' then 1 + turn % 2 when turn % 11 = 3 then 2 end as level, case when turn % 3 = 2 then text || ' more' else text end as content from conversations where (conv_id + turn) % 9 <> 0)"
@@ -231,16 +231,22 @@ def k1_word_round_trip(spark, d):
     return both.select("conv_id", F.size("b").cast("long").alias("elements"), (F.transform("a", lambda x: x["e"]) == F.transform("b", lambda x: x["e"])).alias("same"))
 
 
-def streamed(spark, d, make, mode, *, files=3):
-    """Runs a stream over the events, dealt by time into files that are a batch each, in the session's shared folder, and reads what it wrote."""
+def streamed(spark, d, make, mode, *, batches=3):
+    """Runs a stream over the events in the session's shared folder, a batch for each stretch of time as it comes in, and reads what it wrote.
+
+    A stretch is a range of `ts`, so of the table's files those outside it are not read; it is written by as many tasks as
+    it takes, and the stream goes on from its checkpoint once it is there.
+    """
     base = f"{shared_dir(spark)}/quire/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
-    low, high = events.select(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
-    part = F.least(F.lit(files - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * files / F.lit(max(1, (high or 0) - (low or 0)))))
-    for k in range(files):
-        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{base}/events")
-    out = make(SM.event_stream(spark, f"{base}/events", schema=events.schema, per_trigger=1))
-    SM.drained(out, f"{base}/out", mode=mode, checkpoint=f"{base}/state")
+    low, high = events.select(F.min("ts"), F.max("ts")).first()
+    edges = [low + (high - low) * k / batches for k in range(1, batches)] if low is not None else []
+    for k in range(batches):
+        ts = F.col("ts")
+        own = (ts >= edges[k - 1] if 0 < k <= len(edges) else F.lit(True)) & (ts < edges[k] if k < len(edges) else F.lit(True))
+        events.where(own).write.mode("append").parquet(f"{base}/events")
+        out = make(SM.event_stream(spark, f"{base}/events", schema=events.schema, per_trigger=1_000_000))
+        SM.drained(out, f"{base}/out", mode=mode, checkpoint=f"{base}/state")
     return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
 
 
@@ -255,6 +261,19 @@ def e1_streamed_refusals(spark, d):
     return streamed(spark, d, lambda e: SM.refusals(e, key="user_id", limit=3, seconds=86400), "append").select("user_id", "event_id", F.col("window").alias("window_id"), "nth")
 
 
+@query(ADMITTED.format(own="*", order="ts, id").replace("recursive ", "recursive asked as (select user_id as workspace, event_id as id, ts, 1 + event_id % 3 as n, user_id % 3 as held, case when user_id % 9 <> 0 then 6 end as lim from events), "))
+def e7_streamed_admissions(spark, d):
+    """Requests as they come, decided by keyed state that begins with what customers' workspaces hold."""
+    SM.keyed_state(spark)
+    held = table(spark, d, "events").select("user_id").distinct().withColumn("n", F.col("user_id") % 3)
+
+    def make(e):
+        u, i = F.col("user_id"), F.col("event_id")
+        return SM.admissions(e.select("user_id", "ts", "event_id", (1 + i % 3).alias("n"), F.when(u % 9 != 0, 6).alias("most")), held, workspace="user_id", order=["ts", "event_id"])
+
+    return streamed(spark, d, make, "append").select(F.col("event_id").alias("id"), "ok")
+
+
 @query(BURST + "select user_id, step, kind, started, saves from folded")
 def e5_streamed_history(spark, d):
     def make(e):

@@ -16,7 +16,7 @@ from ..operators import tree as T_
 from ..sources.tables import table
 from .catalogue import query
 from .document_queries import AFTER, BEFORE, versions
-from .relations import ELEMENTS, elements, with_
+from .relations import ADMITTED, ELEMENTS, elements, with_
 from .rule_queries import CLEAN, RULES, TARGET_SQL, rules
 from .text_queries import MARKDOWN_SQL
 from .text_queries import WORDS as WORDS_SQL
@@ -232,9 +232,6 @@ def d24_element_fingerprints(spark, d):
     return e.select("conv_id", "turn", E.fingerprint(e, ["id", "ord", "type", "content", "caption", "level", "items"], look="look").alias("fingerprint"))
 
 
-ADMITTED = "with recursive r as (select {own}, row_number() over (partition by workspace order by {order}) as k from asked), s as (select *, case when lim is null or held + n <= lim then held + n else held end as used, lim is null or held + n <= lim as ok from r where k = 1 union all select r.*, case when r.lim is null or s.used + r.n <= r.lim then s.used + r.n else s.used end, r.lim is null or s.used + r.n <= r.lim from r join s on r.workspace = s.workspace and r.k = s.k + 1) select id, ok from s"
-
-
 @query(ADMITTED.format(own="*", order="id").replace("recursive ", "recursive asked as (select o_custkey as workspace, o_orderkey as id, 1 + o_orderkey % 3 as n, coalesce(c_custkey % 4, 0) as held, case when o_custkey % 9 <> 0 then 5 end as lim from orders left join customer on c_custkey = o_custkey), "))
 def e7_admitted_requests(spark, d):
     """Requests of one to three; a refused one leaves room for a smaller one behind it."""

@@ -28,6 +28,9 @@ RUNS = """runs as (select doc_id, element_id, content as text, case when ord % 4
     case when ord % 4 = 1 then case when ord % 8 = 1 then 'https://example.org/' || ord when doc_id % 5 = 0 then 'javascript:void(0)' else 'www.example.com' end end as href,
     case when ord % 4 = 3 then 'Verdana' end as font_family from elements where ord % 2 = 1)"""
 
+#: Requests in order, each decided by what those before it of its workspace have used.
+ADMITTED = "with recursive r as (select {own}, row_number() over (partition by workspace order by {order}) as k from asked), s as (select *, case when lim is null or held + n <= lim then held + n else held end as used, lim is null or held + n <= lim as ok from r where k = 1 union all select r.*, case when r.lim is null or s.used + r.n <= r.lim then s.used + r.n else s.used end, r.lim is null or s.used + r.n <= r.lim from r join s on r.workspace = s.workspace and r.k = s.k + 1) select id, ok from s"
+
 
 def with_(*parts: str) -> str:
     return "with " + ", ".join(parts) + " "

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.history import BURST_SECONDS
 from ..operators.metering import fixed_window, month_start
@@ -63,6 +66,66 @@ def refusals(events: DataFrame, *, key: str, limit: int, seconds: int, late: str
     return hits.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, ts timestamp, window long, nth long", "windows array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Admissions(StatefulProcessor):
+    """What a workspace's admitted requests have used so far; state is one number, which lives as long as the workspace."""
+
+    def __init__(self, names: list[str], order: list[str]):
+        self.names, self.order = names, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "n long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.used.update((int(initialState["n"].fillna(0).sum()),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        used = self.used.get()[0] if self.used.exists() else 0
+        asked, ok = pd.concat(list(rows)).sort_values(self.order), []
+        for n, most in zip(asked["n"].fillna(0).tolist(), asked["most"].tolist()):
+            ok.append(bool(pd.isna(most) or used + n <= most))
+            used += n if ok[-1] else 0
+        self.used.update((int(used),))
+        yield asked[self.names].assign(ok=ok)
+
+    def close(self) -> None:
+        pass
+
+
+def admissions(requests: DataFrame, held: DataFrame, *, workspace: str, order: list[str]) -> DataFrame:
+    """Whether each request still fits its workspace's limit, decided request by request as they come (append mode).
+
+    requests: workspace, n, most (null: no limit) and the columns of `order`, by which the requests of a batch are taken;
+    held: workspace, n, where the state begins, if the query has no checkpoint yet. A refused request takes nothing. Needs
+    the RocksDB state store (see `keyed_state`).
+    """
+    names = [workspace, *order]
+    schema = T.StructType([*(requests.schema[c] for c in names), T.StructField("ok", T.BooleanType())])
+    begin = held.select(workspace, F.col("n").cast("long").alias("n")).groupBy(workspace)
+    return requests.select(workspace, *order, F.col("n").cast("long").alias("n"), F.col("most").cast("long").alias("most")).groupBy(workspace).transformWithStateInPandas(
+        Admissions(names, order), schema, "append", "none", begin)
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """The state store that keyed state of several kinds needs, for queries started from here on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def sweeping(ticks: DataFrame, sweep: Callable[[datetime], None], *, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Runs a sweep once for each batch of ticks (a stream with a column `at`), as of its latest tick, and starts the query.
+
+    With `every` it goes on with that processing time, as an hourly or daily task does; without it takes what is there and
+    ends. A batch without ticks sweeps nothing; one that is run again after a failure sweeps as of the same moment.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        at = batch.agg(F.max("at")).first()[0]
+        if at is not None:
+            sweep(at)
+
+    writer = ticks.select("at").writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def burst_history(saves: DataFrame, *, doc: str, seconds: float = BURST_SECONDS) -> DataFrame:
     """Steps of each document's history after every batch (update mode): (doc, step, kind, started, saves).
 
@@ -103,6 +166,7 @@ def upsert(target: str, key: list[str], order: str, *, buckets: int = 64):
 
     The state is kept in buckets of the key. A batch rewrites the buckets that its keys fall into, each as a new version, and
     `upserted` reads the last version of each; a version that a failed batch has begun is written over when it is retried.
+    Of each bucket the last version and the one before it stay; older ones are removed, so disk grows with the state only.
     """
 
     def put(df: DataFrame, epoch: int) -> None:
@@ -117,18 +181,34 @@ def upsert(target: str, key: list[str], order: str, *, buckets: int = 64):
         latest = F.struct(order, *(c for c in rest if c != order))
         best = own.groupBy(*key, "bucket").agg(F.max_by(F.struct(*rest), latest).alias("s")).select(*key, "s.*", "bucket", F.lit(epoch).alias("version"))
         best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
+        dropped(spark, target, touched, before=epoch)
 
     return put
 
 
-def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
-    """The last version of each bucket of an upserted table, below `before` if that is given; folders only are listed."""
+def dropped(spark: SparkSession, target: str, buckets: list[int], *, before: int) -> None:
+    """Removes the versions of buckets that are older than the last one before `before`: that one a retried batch still reads."""
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = versions(spark, target, before=before)
+    for bucket, version in every_version(spark, target):
+        if bucket in buckets and version < kept.get(bucket, -1):
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={bucket}/version={version}"), True)
+
+
+def every_version(spark: SparkSession, target: str) -> list[tuple[int, int]]:
+    """(bucket, version) of an upserted table; folders only are listed."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/bucket=*/version=*")) or []
+    return [tuple(int(p.partition("=")[2]) for p in f.getPath().toString().split("/")[-2:]) for f in found]
+
+
+def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """The last version of each bucket of an upserted table, below `before` if that is given."""
     out: dict[int, int] = {}
-    for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/bucket=*/version=*")) or []:
-        bucket, version = (int(p.partition("=")[2]) for p in f.getPath().toString().split("/")[-2:])
+    for bucket, version in every_version(spark, target):
         if before is None or version < before:
             out[bucket] = max(out.get(bucket, -1), version)
     return out
