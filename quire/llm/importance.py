@@ -82,27 +82,27 @@ class Grams:
     """The n-grams of a chunk: distinct tuples of places and, for every occurrence, its tuple and text."""
 
     def __init__(self, places: bytes, sizes: bytes, longest: int):
-        at = np.frombuffer(zstandard.ZstdDecompressor().decompress(places), np.uint32).astype(np.int64)
+        at = np.frombuffer(zstandard.ZstdDecompressor().decompress(places), np.uint32)
         self.sizes = np.frombuffer(sizes, np.int64)
-        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.tuples: list[np.ndarray] = []  # by length: distinct tuples, one a row
-        self.which: list[np.ndarray] = []
-        self.text: list[np.ndarray] = []
-        code, begin = at, 0  # one number for the tuple that starts here
-        for n in range(1, longest + 1):
-            if n > 1:
-                _, code = np.unique(code[:-1] * (at.max(initial=0) + 1) + at[n - 1 :], return_inverse=True)
+        text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        begin = int(at.max()) + 1 if len(at) else 0
+        self.tuples = [np.arange(begin)[:, None]]  # by length: distinct tuples, one a row; single words are numbered already
+        self.which: list[np.ndarray] = [at]
+        self.text: list[np.ndarray] = [text]
+        code = at  # one number for the tuple that starts here
+        for n in range(2, longest + 1):
+            if len(code) < 2:
+                break
+            _, code = np.unique(code[:-1].astype(np.int64) * (int(at.max()) + 1) + at[n - 1 :], return_inverse=True)
             whole = np.flatnonzero(text[: len(code)] == text[n - 1 : n - 1 + len(code)])
             _, first, inverse = np.unique(code[whole], return_index=True, return_inverse=True)
             self.tuples.append(at[whole[first][:, None] + np.arange(n)])
             self.which.append(begin + inverse)
             self.text.append(text[whole])
             begin += len(first)
-            if len(code) < 2:
-                break
 
     def counts(self) -> np.ndarray:
-        return np.bincount(np.concatenate(self.which)) if sum(map(len, self.which)) else np.zeros(0, np.int64)
+        return sum(np.bincount(w, minlength=sum(map(len, self.tuples))) for w in self.which)
 
 
 def fields(told: pa.ListScalar, *names: str) -> list[np.ndarray]:
