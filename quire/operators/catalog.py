@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import written
+
 SORTS = ("updated", "created", "title")
 
 
@@ -142,15 +144,15 @@ def of_list(rows: DataFrame, ids: str, key: str) -> DataFrame:
 def ancestors(rows: DataFrame, *, key: str, parent: str) -> DataFrame:
     """(key, ancestor, depth): every row with those above it, the parent at depth 1; a ring ends where it comes back to one already met.
 
-    One round of joins for each level; each round keeps what the one before has found last.
+    One round of joins for each level; each round is written, and keeps what the one before has found last.
     """
     up = rows.where(F.col(parent).isNotNull()).select(key, F.col(parent).alias("ancestor"))
     step = up.withColumns({"depth": F.lit(1), "_path": F.array(key, "ancestor")}).where(F.col(key) != F.col("ancestor"))
     above = up.select(F.col(key).alias("ancestor"), F.col("ancestor").alias("_next"))
-    out = step
+    out = step = written(step, "ancestors")
     while not step.isEmpty():
         met = step.join(above, "ancestor").where(~F.array_contains("_path", F.col("_next")))
-        step = met.select(key, F.col("_next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("_path", F.array("_next")).alias("_path"))
+        step = written(met.select(key, F.col("_next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("_path", F.array("_next")).alias("_path")), "ancestors")
         out = out.unionByName(step)
     return out.select(key, "ancestor", "depth")
 

@@ -12,24 +12,31 @@ from .folds import ordered_fold
 
 
 class Pages:
-    """A unit moves on when it would cross the bottom and fits on one page; a break ends the page, even or odd ones may leave a blank one."""
+    """Units down the pages: one that starts below the content, or would cross its end and fits on one page, moves on.
 
-    def __init__(self, key: tuple, height: float):
-        self.key, self.height, self.page, self.at, self.pending = key, height, 1, 0.0, None
+    What is taller than a page flows on through margins; a unit that would then start in a top margin is pushed to the
+    content. A break ends the page, even and odd ones may leave a blank one.
+    """
+
+    def __init__(self, key: tuple, height: float, top: float = 0.0, bottom: float = 0.0, names: tuple[str, ...] = ("ord",)):
+        self.key, self.names, self.low, self.high, self.whole = key, names, top, top + height, top + height + bottom
+        self.page, self.at, self.pending = 1, top, None
 
     def step(self, row: dict) -> list[tuple]:
         h = row["height"]
         if self.pending:
-            self.page, self.at = self.page + 1, 0.0
+            self.page, self.at = self.page + 1, self.low
             if self.pending in ("even", "odd") and (self.page % 2 == 0) != (self.pending == "even"):
                 self.page += 1
             self.pending = None
-        elif self.at >= self.height or (self.at > 0 and self.at + h > self.height and h <= self.height):
-            self.page, self.at = self.page + 1, 0.0
-        out = (*self.key, row["ord"], self.page, self.at)
+        elif self.at < self.low:
+            self.at = self.low
+        elif self.at >= self.high or (self.at > self.low and self.at + h > self.high and h <= self.high - self.low):
+            self.page, self.at = self.page + 1, self.low
+        out = (*self.key, *(row[c] for c in self.names), self.page, self.at - self.low)
         self.at += h
-        while self.at > self.height:
-            self.page, self.at = self.page + 1, self.at - self.height
+        while self.at > self.whole:
+            self.page, self.at = self.page + 1, self.at - self.whole
         self.pending = row["break_after"]
         return [out]
 
@@ -37,10 +44,63 @@ class Pages:
         return []
 
 
-def paginate(unit_rows: DataFrame, *, key: str, height: float) -> DataFrame:
-    """(key, ord, page, top) of units (key, ord, height, break_after: null, any, even, odd)."""
-    kind, order = unit_rows.schema[key].dataType.simpleString(), unit_rows.schema["ord"].dataType.simpleString()
-    return ordered_fold(unit_rows.select(key, "ord", "height", "break_after"), [key], ["ord"], f"{key} {kind}, ord {order}, page int, top double", lambda k: Pages(k, height))
+def paginate(unit_rows: DataFrame, *, key: str, height: float, top: float = 0.0, bottom: float = 0.0, order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(key, order columns, page, top) of units (key, order columns, height, break_after: null, any, even, odd); top counts from the content's."""
+    names = list(order)
+    kinds = ", ".join(f"{c} {unit_rows.schema[c].dataType.simpleString()}" for c in [key, *names])
+    return ordered_fold(unit_rows.select(key, *names, "height", "break_after"), [key], names, f"{kinds}, page int, top double", lambda k: Pages(k, height, top, bottom, order))
+
+
+def layout_units(elements: DataFrame, items: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """(doc, ord, item, height, break_after): what is laid out: top-level blocks (item null), and of a list each of its items instead.
+
+    elements: doc, ord, type, height, start (of the section behind a break); items: doc, ord, item, height.
+    """
+    blocks = elements.where("type != 'list'").select(doc, "ord", F.lit(None).cast(items.schema["item"].dataType).alias("item"), "height", break_after(F.col("type"), F.col("start")).alias("break_after"))
+    lists = elements.where("type = 'list'").select(doc, "ord")
+    return blocks.unionByName(items.join(lists, [doc, "ord"], "left_semi").select(doc, "ord", "item", "height", F.lit(None).cast("string").alias("break_after")))
+
+
+class Heights:
+    """The heights of a table's rows, and what its spanning cells still need of them."""
+
+    def __init__(self, key: tuple):
+        self.key, self.rows, self.fixed, self.spans = key, [], [], []
+
+    def step(self, row: dict) -> list[tuple]:
+        if row["col"] is None:  # the row itself, before its cells
+            self.rows.append(row["height"] or 0.0)
+            self.fixed.append(row["rule"] == "exact" and row["height"] is not None)
+        elif row["rowspan"] == 1:
+            if not self.fixed[-1]:
+                self.rows[-1] = max(self.rows[-1], row["need"])
+        else:
+            self.spans.append((len(self.rows) - 1, row["rowspan"], row["need"]))
+        return []
+
+    def end(self) -> list[tuple]:
+        for first, span, need in self.spans:
+            own = range(first, min(first + span, len(self.rows)))
+            free = [r for r in own if not self.fixed[r]]
+            more = need - sum(self.rows[r] for r in own)
+            if free and more > 0:
+                for r in free:
+                    self.rows[r] += more / len(free)
+        return [(*self.key, r, h) for r, h in enumerate(self.rows)]
+
+
+def row_heights(rows: DataFrame, cells: DataFrame, *, key: str) -> DataFrame:
+    """(key, row, height) of tables: an exact height as it is, a least one, or none, as tall as what the row's cells need.
+
+    rows: key, row (from 0, all of them), height (null: none), rule (exact or not); cells: key, row, col, rowspan, need. What a cell
+    over several rows needs beyond them is shared by those of its rows that are not exact, alike; cells take their turn by
+    row and column and count what those before them added. A span that goes past the table ends with it. A task holds one
+    table's heights and spanning cells.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    lines = rows.select(key, F.col("row").cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("int").alias("rowspan"), F.lit(None).cast("double").alias("need"), F.col("height").cast("double").alias("height"), "rule")
+    own = cells.select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("rowspan").cast("int").alias("rowspan"), F.col("need").cast("double").alias("need"), F.lit(None).cast("double").alias("height"), F.lit(None).cast("string").alias("rule"))
+    return ordered_fold(lines.unionByName(own), [key], ["row", "col"], f"{key} {kind}, row int, height double", Heights)
 
 
 def break_after(kind: Column, start: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import compare as C
 from ..operators import layout as L
@@ -14,7 +15,7 @@ from ..sources.tables import shared_dir, table
 from ..streaming import metering as SM
 from .catalogue import query
 from .metering_queries import BURST
-from .relations import ADMITTED, elements
+from .relations import ADMITTED, ELEMENTS, elements
 
 BEFORE = "before as (select conv_id as doc_id, conv_id || '-' || turn as element_id, turn as ord, case when role = 'system' then 'heading' else 'paragraph' end as type, case when role = 'system' then 1 end as level, text as content from conversations where (conv_id + turn) % 7 <> 0)"
 AFTER = "after as (select conv_id as doc_id, conv_id || '-' || turn as element_id, case when turn % 5 = 1 then turn + 2.5 else turn end as ord, case when role = 'system' or turn % 11 = 3 then 'heading' else 'paragraph' end as type, case when role = 'system' then 1 + turn % 2 when turn % 11 = 3 then 2 end as level, case when turn % 3 = 2 then text || ' more' else text end as content from conversations where (conv_id + turn) % 9 <> 0)"
@@ -129,18 +130,41 @@ def w9_heading_labels(spark, d):
     return numbered.labelled(items, key="conv_id", pattern="%1.|%2)", formats=["decimal", "lowerLetter"]).select("conv_id", "ord", "label")
 
 
-@query()
+#: Units one after another: each is placed by where the one before it has ended.
+PAGED = """, u as (select doc_id, ord, item, height, brk, row_number() over (partition by doc_id order by ord, item nulls first) as k from (
+ select doc_id, ord, null::int as item, length(content) / 8.0::double as height, case when type = 'page_break' and ord % 2 = 1 then 'odd' when type = 'page_break' then 'any' end as brk from elements where type <> 'list'
+ union all select doc_id, ord, item, length(content) / 16.0::double, null from elements, range(2) t(item) where type = 'list')),
+p as (select doc_id, ord, item, k, 1 as page, 5.0::double as y, height, brk from u where k = 1
+ union all select doc_id, ord, item, k, case when pending is not null then at_page + 1 + case when pending = 'odd' and (at_page + 1) % 2 = 0 then 1 else 0 end when yy < 5 then at_page when yy >= 65 or (yy > 5 and yy + height > 65 and height <= 60) then at_page + 1 else at_page end,
+ case when pending is not null or yy < 5 or yy >= 65 or (yy > 5 and yy + height > 65 and height <= 60) then 5.0::double else yy end, height, brk
+ from (select u.*, p.brk as pending, p.page + case when p.y + p.height > 75 then ceil((p.y + p.height) / 75)::int - 1 else 0 end as at_page, p.y + p.height - 75 * case when p.y + p.height > 75 then ceil((p.y + p.height) / 75)::int - 1 else 0 end as yy from p join u on u.doc_id = p.doc_id and u.k = p.k + 1) s)"""
+
+
+@query("with recursive " + ELEMENTS + PAGED + " select doc_id, ord, item, page, y - 5 as top from p")
 def l1_pages(spark, d):
-    e = elements(spark, d).select("doc_id", "ord", (F.length("content") / 10.0).alias("height"), L.break_after(F.col("type"), F.lit(None).cast("string")).alias("break_after"))
-    return L.paginate(e, key="doc_id", height=60.0)
+    """Lines as blocks, list items in halves; page breaks, every other one to an odd page; margins of 5 above and 10 below."""
+    e = elements(spark, d)
+    high = F.length("content") / 8.0
+    start = F.when((F.col("type") == "page_break") & (F.col("ord") % 2 == 1), "oddPage").otherwise("nextPage")
+    blocks = e.select("doc_id", "ord", F.when(F.col("type") == "page_break", "section_break").otherwise(F.col("type")).alias("type"), high.alias("height"), start.alias("start"))
+    items = e.select("doc_id", "ord", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("item"), (high / 2).alias("height"))
+    return L.paginate(L.layout_units(blocks, items), key="doc_id", height=60.0, top=5.0, bottom=10.0, order=("ord", "item"))
+
+
+@query()
+def l4_row_heights(spark, d):
+    """Tables of an order's lines: exact, least and free rows, and cells over two or three of them."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    i = table(spark, d, "lineitem").select("l_orderkey", (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("row"), n, p, "l_quantity")
+    rows = i.select("l_orderkey", "row", F.when(p % 3 > 0, p % 40 + 0.5).alias("height"), F.when(p % 3 == 1, "exact").otherwise("atLeast").alias("rule"))
+    cells = i.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(1)))).select("l_orderkey", "row", "col", F.when(F.col("col") == 1, 1 + p % 3).otherwise(1).alias("rowspan"), (F.col("l_quantity") * (1 + F.col("col"))).alias("need"))
+    return L.row_heights(rows, cells, key="l_orderkey").withColumn("height", F.round("height", 6))
 
 
 @query("""with s as (select o_custkey as doc_id, o_orderkey as page, case when o_orderkey % 5 = 0 then 1 end as start, o_orderkey % 3 = 0 as is_start from orders),
  m as (select *, sum(is_start::int) over w as n, last_value(case when is_start and start is not null then page end ignore nulls) over w as first from s window w as (partition by doc_id order by page rows between unbounded preceding and current row))
  select doc_id, page, case when n > 0 then n end::bigint as section, coalesce(1 + page - first, page)::integer as number from m""")
 def j20_page_sections(spark, d):
-    from pyspark.sql import Window as W
-
     p = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"))
     s = p.where("page % 3 = 0").select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("page")).cast("long").alias("section"), F.col("page").alias("first_page"), F.when(F.col("page") % 5 == 0, 1).alias("start"), F.lit("decimal").alias("format"))
     return L.page_numbers(p, s).select("doc_id", "page", "section", "number")
@@ -174,8 +198,6 @@ f as (select l_orderkey, -1 as row, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0
 @query(GRID + " select l_orderkey, row, 0 as col, a as grid_col from f where row >= 0 union all select l_orderkey, row, 1, b from f where row >= 0 and b is not null")
 def l3_table_grid(spark, d):
     """Tables of two cells a row, one or two columns wide and up to three rows high."""
-    from pyspark.sql import Window as W
-
     k = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
     cells = table(spark, d, "lineitem").select("l_orderkey", k.alias("k"), (1 + F.col("l_partkey") % 2).cast("int").alias("colspan"), (1 + F.col("l_suppkey") % 3).cast("int").alias("rowspan"))
     cells = cells.select("l_orderkey", F.floor(F.col("k") / 2).cast("int").alias("row"), (F.col("k") % 2).cast("int").alias("col"), "colspan", "rowspan")

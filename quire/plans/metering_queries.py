@@ -112,15 +112,20 @@ def e1_fixed_window_counts(spark, d):
 RATES_SQL = "rates as (select * from (values " + ", ".join(f"('{s}', '{r}')" for s, r in M.RATES.items()) + ") t(scope, rate))"
 
 
-@query(with_(RATES_SQL) + "select scope, rate, split_part(rate, '/', 1)::integer as \"limit\", case split_part(rate, '/', 2) when 'second' then 1 when 'minute' then 60 when 'hour' then 3600 else 86400 end as seconds from rates")
+@query(with_(RATES_SQL) + "select event_id, scope, split_part(rate, '/', 1)::integer as \"limit\", case split_part(rate, '/', 2) when 'second' then 1 when 'minute' then 60 when 'hour' then 3600 else 86400 end as seconds from (select event_id, " + str(list(M.RATES)) + "[event_id % " + str(len(M.RATES)) + " + 1] as scope from events) join rates using (scope)")
 def e3_scope_rates(spark, d):
-    return M.scope_rates(spark)
+    """The limit and window that hold for each event's scope."""
+    scope = F.get(F.array(*map(F.lit, M.RATES)), F.col("event_id") % len(M.RATES))
+    rates = M.scope_rates(spark).select("scope", "limit", "seconds")
+    return events(spark, d).select("event_id", scope.alias("scope")).join(F.broadcast(rates), "scope")  # a fixed table of a row a scope
 
 
-@query("select text, case when n > 0 and s is not null then n end as \"limit\", case when n > 0 then s end as seconds from (select text, try_cast(trim(split_part(text, '/', 1)) as integer) as n, case rtrim(trim(split_part(text, '/', 2)), 's') when 'second' then 1 when 'minute' then 60 when 'hour' then 3600 when 'day' then 86400 end as s from (values ('20/minute'), ('5/hours'), ('0/day'), (''), ('x/minute'), ('7/week'), (' 3 / day ')) t(text))")
+@query("select l_orderkey, l_linenumber, case when n > 0 and s is not null then n end as \"limit\", case when n > 0 then s end as seconds from (select l_orderkey, l_linenumber, case when l_partkey % 9 = 0 then null else (l_partkey % 50)::integer end as n, case l_linenumber % 6 when 0 then 1 when 1 then 60 when 2 then 3600 when 3 then 86400 when 4 then 60 end as s from lineitem)")
 def d29_parse_rate(spark, d):
-    texts = spark.createDataFrame([(t,) for t in ("20/minute", "5/hours", "0/day", "", "x/minute", "7/week", " 3 / day ")], "text string")
-    return texts.withColumn("r", M.rate_of(F.col("text"))).select("text", F.col("r.limit").alias("limit"), F.col("r.seconds").alias("seconds"))
+    """Rates of all units, in both numbers, some of nothing, some not numbers, some of weeks."""
+    unit = F.get(F.array(*map(F.lit, ("second", "minute", "hours", " day ", " minutes", "week"))), F.col("l_linenumber") % 6)
+    text = F.concat(F.when(F.col("l_partkey") % 9 == 0, "x").otherwise((F.col("l_partkey") % 50).cast("string")), F.lit("/"), unit)
+    return table(spark, d, "lineitem").withColumn("r", M.rate_of(text)).select("l_orderkey", "l_linenumber", F.col("r.limit").alias("limit"), F.col("r.seconds").alias("seconds"))
 
 
 @query("select event_id, date_trunc('month', ts)::timestamp as month_start, (date_trunc('month', ts) + interval 1 month)::timestamp as month_end from events")

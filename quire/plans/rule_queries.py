@@ -151,17 +151,25 @@ def literal(x) -> str:
     return "null" if x is None else "'" + x + "'"
 
 
-@query("select * from (values " + ", ".join(f"({literal(p)}, {literal(v)}, {literal(c[0] if c else None)}, {literal(c[1] if c else None)})" for (p, v, _), c in zip(VALUES, CLEANED)) + ") t(property, given, value, unit)")
+@query("with v as (select * from (values " + ", ".join(f"({k}, {literal(p)}, {literal(v)}, {literal(c[0] if c else None)}, {literal(c[1] if c else None)})" for k, ((p, v, _), c) in enumerate(zip(VALUES, CLEANED))) + f") t(k, property, given, value, unit)) select l_orderkey, l_linenumber, case when l_linenumber = 1 then 'fontSize' else property end as property, case when l_linenumber = 1 then (l_partkey / 8)::double::varchar else given end as given, case when l_linenumber = 1 then case when l_partkey > 0 and l_partkey / 8 <= 400 then rtrim(rtrim(printf('%.4f', l_partkey / 8), '0'), '.') end else value end as value, case when l_linenumber = 1 then case when l_partkey > 0 and l_partkey / 8 <= 400 then 'pt' end else unit end as unit from lineitem join v on k = (l_orderkey + l_linenumber) % {len(VALUES)}")
 def p13_clean_values(spark, d):
-    rows = spark.createDataFrame(list(VALUES), "property string, given string, u string")
-    return rows.withColumn("c", U.clean_value(F.col("property"), F.col("given"), F.col("u"))).select("property", "given", "c.value", "c.unit")
+    """Values of all kinds, good and bad, and of each order's first line its part as a size in eighths of a point."""
+    pick, first = (F.col("l_orderkey") + F.col("l_linenumber")) % len(VALUES), F.col("l_linenumber") == 1
+    chosen = F.get(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(v).alias("v"), F.lit(u).cast("string").alias("u")) for p, v, u in VALUES)), pick)
+    size = F.struct(F.lit("fontSize").alias("p"), (F.col("l_partkey") / 8).cast("string").alias("v"), F.lit("pt").alias("u"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(first, size).otherwise(chosen).alias("s")).select("l_orderkey", "l_linenumber", F.col("s.p").alias("property"), F.col("s.v").alias("given"), F.col("s.u").alias("u"))
+    return rows.withColumn("c", U.clean_value(F.col("property"), F.col("given"), F.col("u"))).select("l_orderkey", "l_linenumber", "property", "given", "c.value", "c.unit")
 
 
-@query("select level, like_ as \"like\" from (values (1, 2), (2, 2), (3, 4), (4, 4), (5, 6), (6, 6)) t(level, like_)")
+@query("with u as (select distinct l_orderkey, 1 + l_partkey % 6 as level from lineitem) select l_orderkey, w.level, arg_min(u.level, (abs(u.level - w.level), -u.level)) as \"like\" from u, range(1, 7) w(level) group by all")
 def o6_nearest_level(spark, d):
+    """For each of six levels the nearest of those that an order's parts stand for."""
     from ..operators.segment import nearest_level
 
-    return nearest_level(spark.createDataFrame([(k,) for k in range(1, 7)], "level int"), spark.createDataFrame([(2,), (4,), (6,)], "level int"))
+    used = table(spark, d, "lineitem").select("l_orderkey", (1 + F.col("l_partkey") % 6).alias("level")).distinct()
+    wanted = used.select("l_orderkey").distinct().withColumn("level", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))))
+    return nearest_level(wanted, used, key="l_orderkey")
+
 
 
 INFERRED = r"""unmarked as (select * replace (case when type = 'heading' and doc_id % 2 = 1 then 'paragraph' else type end as type) from elements),

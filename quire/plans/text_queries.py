@@ -127,18 +127,23 @@ def d10_compare_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", X.preview(F.col("text"), 80, quoted=False).alias("preview"))
 
 
-@query("select size, case when regexp_matches(size, '^[0-9.]+\\s*px') then 0.75 else 1.0 end::double * coalesce(try_cast(nullif(regexp_extract(size, '^([0-9.]+)', 1), '') as double), 0) as points from (values ('12pt'), ('16px'), ('11'), (''), ('large'), ('1.5 px')) t(size)")
+@query("select l_orderkey, l_linenumber, size, case l_linenumber % 4 when 3 then 0 else case when l_linenumber % 4 in (1, 2) then 0.75 else 1.0 end * l_partkey / 4 end::double as points from (select *, case l_linenumber % 4 when 0 then (l_partkey / 4)::double || 'pt' when 1 then (l_partkey / 4)::double || 'px' when 2 then (l_partkey / 4)::double || ' px' else 'large ' || l_partkey end as size from lineitem)")
 def d11_points(spark, d):
-    return spark.createDataFrame([(s,) for s in ("12pt", "16px", "11", "", "large", "1.5 px")], "size string").select("size", X.points(F.col("size")).alias("points"))
+    n, k = (F.col("l_partkey") / 4).cast("string"), F.col("l_linenumber") % 4
+    size = F.when(k == 0, F.concat(n, F.lit("pt"))).when(k == 1, F.concat(n, F.lit("px"))).when(k == 2, F.concat(n, F.lit(" px"))).otherwise(F.concat(F.lit("large "), F.col("l_partkey").cast("string")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", size.alias("size"), X.points(size).alias("points"))
 
 
-HREFS = (None, "", "https://example.org/a", "www.example.org", "javascript:alert(1)", "mailto:a@example.org", "mailto:nobody", "http://localhost/x", "http://intranet/x", "ftp://files.example.org", "tel:+359", "/relative", "data:text/html,x", " https://example.org ", "HTTPS://EXAMPLE.ORG")
+HREFS = ("", "www.example.org", "javascript:alert(1)", "mailto:nobody", "http://localhost/x", "http://intranet/x", "tel:+359", "/relative", "data:text/html,x")
 
 
-@query("select href, regexp_extract(lower(full_), '^([a-z][a-z0-9+.-]*):', 1) in ('http','https','ftp','ftps','mailto','tel','callto','sms','xmpp') and length(full_) > 0 as safe, case when scheme in ('http','https','ftp','ftps') then contains(host, '.') or host = 'localhost' when scheme = 'mailto' then contains(full_, '@') when scheme = 'tel' then true else false end as usable from (select *, regexp_extract(lower(full_), '^([a-z][a-z0-9+.-]*):', 1) as scheme, regexp_extract(lower(full_), '^[a-z]+://([^/?#:]*)', 1) as host from (select href, case when lower(trim(href)) like 'www.%' then 'https://' || trim(href) else coalesce(trim(href), '') end as full_ from (values " + ", ".join("(null)" if h is None else f"('{h}')" for h in HREFS) + ") t(href)))")
+@query("select page_id, k, regexp_extract(lower(full_), '^([a-z][a-z0-9+.-]*):', 1) in ('http','https','ftp','ftps','mailto','tel','callto','sms','xmpp') and length(full_) > 0 as safe, case when scheme in ('http','https','ftp','ftps') then contains(host, '.') or host = 'localhost' when scheme = 'mailto' then contains(full_, '@') when scheme = 'tel' then true else false end as usable from (select *, regexp_extract(lower(full_), '^([a-z][a-z0-9+.-]*):', 1) as scheme, regexp_extract(lower(full_), '^[a-z]+://([^/?#:]*)', 1) as host from (select page_id, k, case when lower(trim(href)) like 'www.%' then 'https://' || trim(href) else coalesce(trim(href), '') end as full_ from (select page_id, k, case k when 0 then url when 1 then ' ' || upper(url) || ' ' when 2 then 'mailto:p' || page_id || '@example.org' else " + str(list(HREFS)) + "[page_id % 9 + 1] end as href from pages, range(4) t(k))))")
 def p10_link_policy(spark, d):
-    rows = spark.createDataFrame([(h,) for h in HREFS], "href string")
-    return rows.select("href", X.safe_href(F.col("href")).isNotNull().alias("safe"), X.usable_link(F.col("href")).alias("usable"))
+    """Addresses of pages, the same in capitals, mail addresses, and one of a few that are odd."""
+    url, page = F.col("url"), F.col("page_id")
+    hrefs = F.array(url, F.concat(F.lit(" "), F.upper(url), F.lit(" ")), F.concat(F.lit("mailto:p"), page.cast("string"), F.lit("@example.org")), F.get(F.array(*map(F.lit, HREFS)), page % 9))
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(hrefs).alias("k", "href"))
+    return rows.select("page_id", "k", X.safe_href(F.col("href")).isNotNull().alias("safe"), X.usable_link(F.col("href")).alias("usable"))
 
 
 @query("select page_id, regexp_extract(url, '^([a-z]+):', 1) as scheme, regexp_extract(url, '^([a-z]+):', 1) in ('http','https') as safe from pages")
@@ -147,12 +152,15 @@ def p11_url_schemes(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+):", 1).alias("scheme"), safe.isNotNull().alias("safe"))
 
 
-COLORS = ("#fff", "#12345G", "red", "Blue ", "#a1b2c3", "rgb(1,2,3)", "", "grey")
+COLORS = ("#12345G", "red", "Blue ", "rgb(1,2,3)", "", "grey", "a;b")
 
 
-@query("select v as value, regexp_full_match(trim(v), '#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})') or lower(trim(v)) in ('red','blue','green','black','white','gray','grey','yellow','orange','purple') as ok, regexp_full_match(trim(v), '[\\p{L}\\p{Nd}_][\\p{L}\\p{Nd}_ .\\-]*') as font from (values " + ", ".join(f"('{c}')" for c in COLORS) + ") t(v)")
+@query("select l_orderkey, l_linenumber, regexp_full_match(trim(v), '#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})') or lower(trim(v)) in ('red','blue','green','black','white','gray','grey','yellow','orange','purple') as ok, regexp_full_match(trim(v), '[\\p{L}\\p{Nd}_][\\p{L}\\p{Nd}_ .\\-]*') as font from (select *, case l_linenumber % 3 when 0 then '#' || hex(l_partkey) when 1 then l_returnflag || ' ' || l_partkey else " + str(list(COLORS)) + "[l_partkey % 7 + 1] end as v from lineitem)")
 def p12_colors_and_fonts(spark, d):
-    return spark.createDataFrame([(c,) for c in COLORS], "value string").select("value", X.is_color(F.col("value")).alias("ok"), X.is_font_name(F.col("value")).alias("font"))
+    """Numbers as hexadecimal colours of as many digits as they have, flags and numbers as fonts, and a few that are odd."""
+    k, p = F.col("l_linenumber") % 3, F.col("l_partkey")
+    v = F.when(k == 0, F.concat(F.lit("#"), F.hex(p))).when(k == 1, F.concat_ws(" ", "l_returnflag", p.cast("string"))).otherwise(F.get(F.array(*map(F.lit, COLORS)), p % 7))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.is_color(v).alias("ok"), X.is_font_name(v).alias("font"))
 
 
 MARKDOWN_SQL = "(regexp_matches(text, '(?m)^ {0,3}#{1,6}(?:\\s+\\S|\\s*$)') or regexp_matches(text, '(?m)^ {0,3}(`{3,}|~{3,})') or regexp_matches(text, '(?m)^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)+\\|?\\s*$') or (regexp_matches(text, '(\\*\\*[^*\\n]+\\*\\*|\\*[^*\\n]+\\*)')::int + regexp_matches(text, '(?m)^ {0,3}>')::int + regexp_matches(text, '\\[[^\\]\\n]+\\]\\([^)\\n]+\\)')::int) >= 2)"
@@ -205,35 +213,39 @@ def d26_xml_text(spark, d):
 ROMAN_SQL = "array_to_string([" + ", ".join("[" + ", ".join(f"'{x}'" for x in digits) + f"][((n // {10 ** k}) % 10) + 1]" for k, digits in reversed(list(enumerate(N.ROMAN)))) + "], '')"
 
 
-@query("select n, " + ROMAN_SQL + " as roman, upper(" + ROMAN_SQL + ") as upper_roman, repeat(chr((97 + (n - 1) % 26)::integer), ((n - 1) // 26 + 1)::integer) as letters, case when n < 10 then '0' || n else n::varchar end as zeroed, repeat(substr('абвгдежзиклмнопрстуфхцчшщэюя', ((n - 1) % 28 + 1)::integer, 1), ((n - 1) // 28 + 1)::integer) as cyrillic from (select unnest(range(1, 4000)) as n)")
+@query("select p_partkey, n, " + ROMAN_SQL + " as roman, upper(" + ROMAN_SQL + ") as upper_roman, repeat(chr((97 + (n - 1) % 26)::integer), ((n - 1) // 26 + 1)::integer) as letters, case when n < 10 then '0' || n else n::varchar end as zeroed, repeat(substr('абвгдежзиклмнопрстуфхцчшщэюя', ((n - 1) % 28 + 1)::integer, 1), ((n - 1) // 28 + 1)::integer) as cyrillic from (select p_partkey, 1 + p_partkey % 3999 as n from part)")
 def d13_number_formats(spark, d):
-    n = spark.range(1, 4000).select(F.col("id").alias("n"))
+    n = table(spark, d, "part").select("p_partkey", (1 + F.col("p_partkey") % 3999).alias("n"))
 
     def shown(fmt: str):
         return N.format_number(F.col("n"), F.lit(fmt))
 
-    return n.select("n", shown("lowerRoman").alias("roman"), shown("upperRoman").alias("upper_roman"), shown("lowerLetter").alias("letters"), shown("decimalZero").alias("zeroed"), shown("russianLower").alias("cyrillic"))
+    return n.select("p_partkey", "n", shown("lowerRoman").alias("roman"), shown("upperRoman").alias("upper_roman"), shown("lowerLetter").alias("letters"), shown("decimalZero").alias("zeroed"), shown("russianLower").alias("cyrillic"))
 
 
-@query("select n, n || '.' || chr((97 + (n - 1) % 26)::integer) || ')' as label, n || '.' || n || ')' as legal from (select unnest(range(1, 27)) as n)")
+@query("select l_orderkey, l_linenumber, n || '.' || chr((97 + l_linenumber - 1)::integer) || ')' as label, n || '.' || l_linenumber || ')' as legal from (select *, l_partkey as n from lineitem)")
 def d14_level_labels(spark, d):
-    n = spark.range(1, 27).select(F.col("id").alias("n"))
-    values, formats = F.array("n", "n"), F.array(F.lit("decimal"), F.lit("lowerLetter"))
-    return n.select("n", N.level_label(F.lit("%1.%2)"), values, formats, F.lit(False)).alias("label"), N.level_label(F.lit("%1.%2)"), values, formats, F.lit(True)).alias("legal"))
+    n = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_partkey", "l_linenumber").alias("v"))
+    values, formats = F.col("v").cast("array<int>"), F.array(F.lit("decimal"), F.lit("lowerLetter"))
+    return n.select("l_orderkey", "l_linenumber", N.level_label(F.lit("%1.%2)"), values, formats, F.lit(False)).alias("label"), N.level_label(F.lit("%1.%2)"), values, formats, F.lit(True)).alias("legal"))
 
 
-@query("select k as kind, i::integer as level, case k when 'bullet' then 'bullet' when 'none' then 'none' else ['decimal','lowerLetter','lowerRoman'][i % 3 + 1] end as format, case k when 'bullet' then ['•','◦','▪'][i % 3 + 1] when 'none' then '' else '%' || (i + 1) || '.' end as text, (357 * (i + 1))::integer as \"left\" from (values ('number'), ('bullet'), ('none')) t(k), (select unnest(range(0, 9)) as i)")
+@query("select c_custkey, k as kind, i::integer as level, case k when 'bullet' then 'bullet' when 'none' then 'none' else ['decimal','lowerLetter','lowerRoman'][i % 3 + 1] end as format, case k when 'bullet' then ['•','◦','▪'][i % 3 + 1] when 'none' then '' else '%' || (i + 1) || '.' end as text, (357 * (i + 1))::integer as \"left\" from (select c_custkey, ['number', 'bullet', 'none'][c_custkey % 3 + 1] as k from customer), (select unnest(range(0, 9)) as i)")
 def d15_list_levels(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in ("number", "bullet", "none")], "kind string")
-    return kinds.select("kind", F.inline(N.default_levels(F.col("kind"), F.lit(None).cast("string")))).select("kind", "level", "format", "text", "left")
+    kind = F.get(F.array(*map(F.lit, ("number", "bullet", "none"))), F.col("c_custkey") % 3)
+    kinds = table(spark, d, "customer").select("c_custkey", kind.alias("kind"))
+    return kinds.select("c_custkey", "kind", F.inline(N.default_levels(F.col("kind"), F.lit(None).cast("string")))).select("c_custkey", "kind", "level", "format", "text", "left")
 
 
-LENGTHS = (("2.5", "cm"), ("25", "mm"), ("1", "in"), ("72", "pt"), ("96", "px"), ("3", None), ("x", "cm"), ("2", "em"))
+UNIT = "case l_linenumber % 7 when 0 then 'cm' when 1 then 'mm' when 2 then 'in' when 3 then 'pt' when 4 then 'px' when 5 then 'em' end"
 
 
-@query("select value, unit, round(try_cast(value as double) * case coalesce(unit, 'cm') when 'cm' then 1.0 when 'mm' then 0.1 when 'in' then 2.54 when 'pt' then 2.54 / 72 when 'px' then 2.54 / 96 end, 6)::double as cm, try_cast(value as double) * case coalesce(unit, 'pt') when 'pt' then 1.0::double when 'px' then 0.75::double end as pt from (values " + ", ".join(f"('{v}', {'null' if u is None else repr(u)})" for v, u in LENGTHS) + ") t(value, unit)")
+@query("select l_orderkey, l_linenumber, round(q * case coalesce(unit, 'cm') when 'cm' then 1.0 when 'mm' then 0.1 when 'in' then 2.54 when 'pt' then 2.54 / 72 when 'px' then 2.54 / 96 end, 6)::double as cm, q * case coalesce(unit, 'pt') when 'pt' then 1.0::double when 'px' then 0.75::double end as pt from (select *, l_quantity::double as q, " + UNIT + " as unit from lineitem)")
 def d16_unit_conversion(spark, d):
-    return spark.createDataFrame(list(LENGTHS), "value string, unit string").select("value", "unit", F.round(U.to_cm(F.col("value"), F.col("unit")), 6).alias("cm"), U.to_pt(F.col("value"), F.col("unit")).alias("pt"))
+    """Without a unit a number is centimetres, or points; em is neither."""
+    unit = F.get(F.array(*map(F.lit, ("cm", "mm", "in", "pt", "px", "em"))), F.col("l_linenumber") % 7)
+    value = F.col("l_quantity").cast("string")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(U.to_cm(value, unit), 6).alias("cm"), U.to_pt(value, unit).alias("pt"))
 
 
 @query("select l_orderkey, l_linenumber, rtrim(rtrim(printf('%.4f', l_quantity / 20 * 1.15), '0'), '.') as height from lineitem")
@@ -242,10 +254,11 @@ def d17_line_heights(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", U.line_height(q.cast("string"), F.lit(None).cast("string")).alias("height"))
 
 
-@query("select size, orientation, case when orientation = 'landscape' then h else w end as width, case when orientation = 'landscape' then w else h end as height from (select size, orientation, (case size when 'Letter' then 215.9 when 'Legal' then 215.9 else 210.0 end)::double as w, (case size when 'Letter' then 279.4 when 'Legal' then 355.6 else 297.0 end)::double as h from (values ('A4'), ('Letter'), ('Legal'), ('A5')) a(size), (values ('portrait'), ('landscape')) b(orientation))")
+@query("select c_custkey, size, orientation, case when orientation = 'landscape' then h else w end as width, case when orientation = 'landscape' then w else h end as height from (select c_custkey, size, orientation, (case size when 'Letter' then 215.9 when 'Legal' then 215.9 else 210.0 end)::double as w, (case size when 'Letter' then 279.4 when 'Legal' then 355.6 else 297.0 end)::double as h from (select c_custkey, ['A4', 'Letter', 'Legal', 'A5'][c_custkey % 4 + 1] as size, case when c_nationkey % 2 = 0 then 'landscape' else 'portrait' end as orientation from customer))")
 def d18_page_sizes(spark, d):
-    a = spark.createDataFrame([(s, o) for s in ("A4", "Letter", "Legal", "A5") for o in ("portrait", "landscape")], "size string, orientation string")
-    return a.withColumn("p", U.page_mm(F.col("size"), F.col("orientation"))).select("size", "orientation", "p.width", "p.height")
+    size = F.get(F.array(*map(F.lit, ("A4", "Letter", "Legal", "A5"))), F.col("c_custkey") % 4)
+    a = table(spark, d, "customer").select("c_custkey", size.alias("size"), F.when(F.col("c_nationkey") % 2 == 0, "landscape").otherwise("portrait").alias("orientation"))
+    return a.withColumn("p", U.page_mm(F.col("size"), F.col("orientation"))).select("c_custkey", "size", "orientation", "p.width", "p.height")
 
 
 BAGS = "with p as (select doc_id, lag(doc_id) over (order by doc_id) as before, " + WORDS.format("text") + """ as ws from documents),
@@ -258,12 +271,9 @@ select a.doc_id, a.pos::integer as pos, a.word from a left join b on b.doc_id =
 def j16_bag_missing(spark, d):
     """Each document against the one with the next smaller doc_id; the first, which has none, lacks all its words."""
     docs = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
-    kept = docs.select(F.col("doc_id").alias("before"), "w").join(following(docs.select("doc_id"), "doc_id"), "before")
-
-    def rows(df):
-        return df.select("doc_id", F.posexplode("w").alias("p", "word")).select("doc_id", (F.col("p") + 1).alias("pos"), "word")
-
-    return bag_missing(rows(docs), rows(kept), key="doc_id", word="word", at="pos")
+    before = following(docs.select("doc_id"), "doc_id").join(docs.select(F.col("doc_id").alias("before"), F.col("w").alias("kept")), "before")
+    pairs = docs.join(before.select("doc_id", "kept"), "doc_id", "left")
+    return bag_missing(pairs, key="doc_id", source="w", kept="kept").withColumnRenamed("at", "pos")
 
 
 def worded(spark, d):
@@ -289,14 +299,16 @@ def o13_subsequence(spark, d):
     return subsequences(*worded(spark, d))
 
 
-BYTES = [("utf8", "здравей".encode()), ("bom", b"\xef\xbb\xbfabc"), ("cp1251", "здравей".encode("cp1251")), ("latin", b"caf\xe9 \x98"), ("pdf", b"%PDF-1.7 x"), ("late pdf", b"\x00" * 10 + b"%PDF-1.4"), ("zip", b"PK\x03\x04rest"), ("png", b"\x89PNG\r\n\x1a\n"), ("jpeg", b"\xff\xd8\xff\xe0"), ("nul", b"a\x00b"), ("utf16", b"\xff\xfea\x00")]
+#: First bytes, and what they tell: kind, whether it is a PDF file, whether it can be text.
+FIRSTS = (("", None, False, True), ("EFBBBF", None, False, True), ("255044462D312E37", "pdf", True, True), ("00000000255044462D312E34", None, True, False), ("504B0304", "zip", False, True), ("89504E470D0A1A0A", "png", False, True), ("FFD8FFE0", "jpeg", False, True), ("6100", None, False, False), ("FFFE6100", None, False, True))
 
 
-@query()
+@query("select doc_id, kind, is_pdf, is_text from (select doc_id, doc_id % " + str(len(FIRSTS)) + " as k from documents) join (values " + ", ".join(f"({k}, {'null' if kind is None else repr(kind)}, {p}, {t})" for k, (_, kind, p, t) in enumerate(FIRSTS)) + ") v(k, kind, is_pdf, is_text) using (k)")
 def p15_sniffed_files(spark, d):
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])
-    c = F.col("content")
-    return spark.createDataFrame([(n, bytearray(b)) for n, b in BYTES], schema).select("name", X.sniffed(c).alias("kind"), X.is_pdf(c).alias("is_pdf"), X.is_plain_text(c).alias("is_text"))
+    """Texts of documents behind the first bytes of several kinds of files; null texts are empty."""
+    head = F.get(F.array(*(F.lit(h) for h, *_ in FIRSTS)), F.col("doc_id") % len(FIRSTS))
+    c = F.unhex(F.concat(head, F.hex(F.coalesce("text", F.lit("")).cast("binary"))))
+    return table(spark, d, "documents").select("doc_id", X.sniffed(c).alias("kind"), X.is_pdf(c).alias("is_pdf"), X.is_plain_text(c).alias("is_text"))
 
 
 @query("select source, lang, count(*) as n from documents group by all")

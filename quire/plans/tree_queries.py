@@ -19,13 +19,15 @@ def d1_plain_text(spark, d):
     return runs.select("conv_id", T_.plain_text(F.col("runs")).alias("content"))
 
 
-MARKED = (("a", ["link", "bold", "bold"]), ("b", ["textStyle", "italic", "code"]), ("c", []), ("d", ["glow", "underline"]))
+MARKED = (["link", "bold", "bold"], ["textStyle", "italic", "code"], [], ["glow", "underline"])
 
 
-@query("select * from (values ('a', ['bold', 'link']), ('b', ['italic', 'code', 'textStyle']), ('c', cast([] as varchar[])), ('d', ['underline', 'glow'])) t(run, marks)")
+@query("select l_orderkey, l_linenumber, list_concat([['bold', 'link'], ['italic', 'code', 'textStyle'], [], ['underline']][l_partkey % 4 + 1], case when l_linenumber % 2 = 1 then ['hidden'] else [] end, case when l_partkey % 4 = 3 then ['glow'] else [] end, ['x' || l_linenumber]) as marks from lineitem")
 def o7_ordered_marks(spark, d):
-    schema = T.StructType([T.StructField("run", T.StringType()), T.StructField("marks", T.ArrayType(T.StringType()))])
-    return spark.createDataFrame(list(MARKED), schema).select("run", T_.ordered_marks(F.col("marks")).alias("marks"))
+    """Marks in any order, some twice, some hidden, some unknown: those come last by name."""
+    held = F.get(F.array(*(F.array(*map(F.lit, m)).cast("array<string>") for m in MARKED)), F.col("l_partkey") % 4)
+    more = F.array_compact(F.array(F.concat(F.lit("x"), F.col("l_linenumber").cast("string")), F.when(F.col("l_linenumber") % 2 == 1, "hidden")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T_.ordered_marks(F.concat(more, held)).alias("marks"))
 
 
 @query("select conv_id, turn, (row_number() over (partition by conv_id order by turn // 3, turn % 3) - 1)::integer as place, case when turn % 3 = 0 then 0 else 1 end as depth from conversations")
@@ -189,7 +191,8 @@ def g19_comment_threads(spark, d):
     return T_.threads(own).select("doc_id", "id", "thread", "resolved")
 
 
-@query("select value, unit, pt from (values ('12', 'pt', 12.0::double), ('16', 'px', 12.0::double), ('1', 'cm', null)) t(value, unit, pt)")
+@query("select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then l_extendedprice::double when 1 then l_extendedprice::double * 0.75 end as pt from lineitem")
 def d16_points(spark, d):
-    rows = spark.createDataFrame([("12", "pt"), ("16", "px"), ("1", "cm")], "value string, unit string")
-    return rows.select("value", "unit", U.to_pt(F.col("value"), F.col("unit")).alias("pt"))
+    """Points and pixels are told in points; centimetres are not."""
+    unit = F.get(F.array(F.lit("pt"), F.lit("px"), F.lit("cm")), F.col("l_linenumber") % 3)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", U.to_pt(F.col("l_extendedprice").cast("string"), unit).alias("pt"))

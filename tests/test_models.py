@@ -1,13 +1,15 @@
 """Folds, diffs and readers against plain models."""
 
 import random
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import numbering as N
-from quire.operators import compare, layout, numbered, segment
+from quire.functions import text as X
+from quire.operators import compare, fidelity, layout, numbered, segment
 from quire.sources import docx, markdown
 
 
@@ -186,3 +188,119 @@ def test_word_packages():
     assert docx.package_problem(b"no") == "not a zip"
     with pytest.raises(ValueError):
         docx.read(data[: len(data) // 2])
+
+
+def plain_pages(units, height, top, bottom):
+    """units: (height, break after); absolute places on pages that follow one another without gaps."""
+    page, y, pending, out = 1, top, None, []
+    for h, brk in units:
+        if pending:
+            page, y = page + 1, top
+            page += pending in ("even", "odd") and (page % 2 == 0) != (pending == "even")
+        elif y < top:
+            y = top
+        elif y >= top + height or (y > top and y + h > top + height and h <= height):
+            page, y = page + 1, top
+        out.append((page, y - top))
+        y += h
+        while y > top + height + bottom:
+            page, y = page + 1, y - (top + height + bottom)
+        pending = brk
+    return out
+
+
+def test_pages_against_a_plain_layout(spark):
+    rng = random.Random(4)
+    docs = {d: [(rng.choice([0, 3, 10, 25, 60, 61, 130, 200]) / 2, rng.choice([None] * 6 + ["any", "even", "odd"])) for _ in range(rng.randrange(1, 40))] for d in range(20)}
+    rows = spark.createDataFrame([(d, i, h, b) for d, us in docs.items() for i, (h, b) in enumerate(us)], "doc_id int, ord int, height double, break_after string").repartition(4)
+    for top, bottom in ((0.0, 0.0), (5.0, 8.0)):
+        got = {(r.doc_id, r.ord): (r.page, r.top) for r in layout.paginate(rows, key="doc_id", height=30.0, top=top, bottom=bottom).collect()}
+        assert got == {(d, i): p for d, us in docs.items() for i, p in enumerate(plain_pages(us, 30.0, top, bottom))}
+
+
+def test_a_unit_in_the_top_margin_is_pushed_down(spark):
+    rows = spark.createDataFrame([("d", 0, 36.0, None), ("d", 1, 4.0, None)], "doc_id string, ord int, height double, break_after string")
+    got = layout.paginate(rows, key="doc_id", height=30.0, top=5.0, bottom=2.0).orderBy("ord").collect()
+    assert [(r.page, r.top) for r in got] == [(1, 0.0), (2, 0.0)]
+
+
+def test_list_items_are_units(spark):
+    e = spark.createDataFrame([("d", 0, "list", 9.0, None), ("d", 1, "section_break", 0.0, "oddPage"), ("d", 2, "paragraph", 4.0, None)], "doc_id string, ord int, type string, height double, start string")
+    items = spark.createDataFrame([("d", 0, 0, 4.0), ("d", 0, 1, 5.0), ("d", 2, 0, 1.0)], "doc_id string, ord int, item int, height double")
+    got = {tuple(r) for r in layout.layout_units(e, items).collect()}
+    assert got == {("d", 0, 0, 4.0, None), ("d", 0, 1, 5.0, None), ("d", 1, None, 0.0, "odd"), ("d", 2, None, 4.0, None)}
+
+
+def test_row_heights_share_what_spans_need(spark):
+    rng = random.Random(8)
+    rows, cells, want = [], [], {}
+    for t in range(40):
+        n = rng.randrange(1, 6)
+        own = [(rng.choice([None, 5.0, 12.0]), rng.choice(["exact", "atLeast", None])) for _ in range(n)]
+        heights = [h or 0.0 for h, _ in own]
+        fixed = [r == "exact" and h is not None for h, r in own]
+        spans = []
+        for r in range(n):
+            for c in range(3):
+                span, need = rng.choice([1, 1, 2, 3]), float(rng.randrange(1, 40))
+                cells.append((t, r, c, span, need))
+                if span == 1 and not fixed[r]:
+                    heights[r] = max(heights[r], need)
+                elif span > 1:
+                    spans.append((r, span, need))
+        for r, span, need in spans:
+            own_rows = range(r, min(n, r + span))
+            free = [x for x in own_rows if not fixed[x]]
+            more = need - sum(heights[x] for x in own_rows)
+            for x in free if more > 0 else ():
+                heights[x] += more / len(free)
+        rows += [(t, r, *own[r]) for r in range(n)]
+        want |= {(t, r): heights[r] for r in range(n)}
+    got = layout.row_heights(spark.createDataFrame(rows, "t int, row int, height double, rule string").repartition(3), spark.createDataFrame(cells, "t int, row int, col int, rowspan int, need double"), key="t").collect()
+    assert {(r.t, r.row): r.height for r in got} == want
+
+
+def test_sniffed_files(spark):
+    """Each kind by its first bytes, and what is text."""
+    cases = [(bytes.fromhex(h) + b" rest", k) for k, h in X.SIGNATURES] + [(b"plain", None), (b"", None)]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c binary")
+    got = {r.i: r.k for r in rows.select("i", X.sniffed(F.col("c")).alias("k")).collect()}
+    firsts = [next((k for k, h in X.SIGNATURES if c.startswith(bytes.fromhex(h))), None) for c, _ in cases]
+    assert [got[i] for i in range(len(cases))] == firsts
+
+
+def test_doubtful_texts_are_told_and_composed(spark):
+    """Whatever composition changes, alone or behind a letter, the pattern tells; composed and decomposed texts have the same tokens."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    doubtful = [c for c in chars if unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFC", "e" + c) != "e" + c]
+    rows = spark.createDataFrame([(c,) for c in doubtful], "c string")
+    assert rows.where(~F.col("c").rlike(X.UNCOMPOSED)).count() == 0
+    joins = [a + b for a, b in (("ᄀ", "ᅡ"), ("가", "ᆨ"), ("େ", "ା"), ("e", "́"), ("и", "̆"))]
+    plain = "Обикновен текст, plain text — “quoted” 1,5 é"
+    got = spark.createDataFrame([(t,) for t in [*joins, plain, None]], "t string").select("t", X.composed(F.col("t")).alias("c")).collect()
+    assert all(r.c == (r.t and unicodedata.normalize("NFC", r.t)) for r in got)
+    texts = ["Café naïve 4,5 — Ångström", "Също й и ё"]
+    pairs = spark.createDataFrame([(i, unicodedata.normalize("NFD", t), t) for i, t in enumerate(texts)], "k int, a string, b string")
+    assert all(r.verified and r.differences == 0 for r in fidelity.check_text(pairs, keys=["k"], source="a", result="b").collect())
+
+
+def test_words_that_are_lacking(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choices("abcd", k=rng.randrange(0, 12)), rng.choice([None, rng.choices("abcde", k=rng.randrange(0, 12))])) for i in range(60)] + [(None, None, ["a"])]
+    want = []
+    for k, own, other in rows:
+        left = list(other or ())
+        for at, w in enumerate(own or (), 1):
+            if w in left:
+                left.remove(w)
+            else:
+                want.append((k, at, w))
+    got = compare.bag_missing(spark.createDataFrame(rows, "k int, a array<string>, b array<string>"), key="k", source="a", kept="b").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_following_over_several_levels(spark):
+    rng = random.Random(3)
+    ids = sorted(rng.sample(range(-500, 4000), 300))
+    got = compare.following(spark.createDataFrame([(i,) for i in ids], "i long"), "i", block=4).collect()
+    assert sorted(map(tuple, got)) == list(zip(ids[1:], ids))
