@@ -124,7 +124,13 @@ def cotrain(a: np.ndarray, b: np.ndarray, y: np.ndarray, au: np.ndarray, bu: np.
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars"), label: str = "quality", id_col: str = "doc_id", per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> Model:
-    """Trains on bounded samples: per_class labelled rows of each class and `unlabelled` others, those with the least hash of the id."""
+    """Trains on bounded samples: per_class labelled rows of each class and `unlabelled` others, those with the least hash of the id.
+
+    Null and empty texts, and null metadata, are values like others. Labels repeated for one id count once, the larger wins;
+    null ids and labels are left out. Ties in the order of pseudo-labels go to the row that comes first by id and view;
+    repeated rows count as often as they stand. Very long texts are viewed whole. Columns besides the text and the three of
+    metadata are not read; without labels, or with one class, scores are that class's smoothed share.
+    """
     cols = [id_col, text_col, *meta]
     known, prior = labelled_sample(docs.select(*cols), labels, label, per_class, id_col=id_col)
     ids = docs.select(id_col).where(quoted(id_col).isNotNull()).join(labels.select(quoted(id_col).alias("_l")), quoted(id_col) == F.col("_l"), "left_anti")

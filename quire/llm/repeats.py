@@ -374,7 +374,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null texts are empty. Of rows with the same id none counts as smaller, so they keep what only they share. A row with
     a null id has no place in the order: it loses nothing and takes nothing from others. Texts of fewer than LENGTH bytes
-    lose nothing. An empty table gives no rows.
+    lose nothing; very long texts are worked on whole, in a chunk of their own. Other columns, whatever their names, play no
+    part. An empty table gives no rows.
     """
     packed = written(chunks(docs, id_col, text_col), "chunks")
     buckets = 1 + (packed.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES

@@ -206,14 +206,22 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     """
     base = measured(docs, text_col)
     size, key, crc = base.columns[-3:]
-    held = written(base.select(quoted(id_col), size, key, crc), "keys")  # the texts are hashed once for groups and slots
-    own = held.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("size")).withColumn("bucket", F.substring("key", 1, DIGITS))
+    held = base.select(quoted(id_col), size, key, crc)  # the texts are hashed once for groups and slots
+    copies = fresh("_copies", base)
+    if not texts:  # rows alike are one row with their number from here on
+        held = held.groupBy(*(quoted(c) for c in held.columns)).agg(F.count("*").alias(copies))
+    held = written(held, "keys")
+    each = F.lit(1) if texts else F.col(copies)
+    own = held.groupBy(F.col(key).alias("key")).agg(F.sum(F.col(size) * each).alias("size")).withColumn("bucket", F.substring("key", 1, DIGITS))
     groups = written(own.repartitionByRange("key").sortWithinPartitions("key"), "groups")
     order = Ordered(groups)
     _, at = cuts(order, shards)
     boundaries = [order.key_at(b) for b in at]
     shard_col, slot_col = fresh("_shard", base), fresh("_slot", base)
-    placed = (base if texts else held).withColumn(shard_col, shard_of(F.col(key), boundaries))
+    if not texts:
+        rows = held.withColumn(shard_col, shard_of(F.col(key), boundaries))
+        return numbered_copies(rows, copies, shard_col, slot_col, [quoted(id_col), F.col(key)]).drop(key)
+    placed = base.withColumn(shard_col, shard_of(F.col(key), boundaries))
     narrow = held.withColumn(shard_col, shard_of(F.col(key), boundaries))
     return numbered(placed, narrow, shard_col, slot_col, [quoted(id_col), F.col(key)]).drop(key)
 
@@ -235,3 +243,27 @@ def numbered(placed: DataFrame, narrow: DataFrame, shard_col: str, slot_col: str
         .withColumn(slot_col, F.col(slot_col) + F.coalesce(F.col(start), F.lit(0)))
         .drop(s, p, part, start)
     )
+
+
+def numbered_copies(rows: DataFrame, copies_col: str, shard_col: str, slot_col: str, ids: list[Column]) -> DataFrame:
+    """A row for each copy of each of the distinct rows, with slots as `numbered` gives them.
+
+    Parts hold distinct rows, whose copies are only counted; they are spelled out at the end in runs of SLOT_ROWS, which
+    are dealt anew where one row has more, so that no task has more than some runs of one row.
+    """
+    part, start, s, p, run = (fresh(n, rows) for n in ("_part", "_start", "_s", "_p", "_run"))
+    n = F.col(copies_col)
+    told = rows.agg(F.count("*").alias("rows"), F.max(n).alias("most")).first()
+    home = F.pmod(F.xxhash64(*ids), F.lit(1 + told.rows // SLOT_ROWS)).cast("int")
+    counts = rows.groupBy(F.col(shard_col).alias(s), home.alias(p)).agg(F.sum(n).alias("count"))
+    before = counts.withColumn(start, F.coalesce(F.sum("count").over(W.partitionBy(s).orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = W.partitionBy(shard_col, part).orderBy(*ids).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn(part, home).withColumn(slot_col, F.coalesce(F.sum(n).over(own), F.lit(0)))
+    placed = placed.join(before.select(s, p, start), (F.col(shard_col) == F.col(s)) & (F.col(part) == F.col(p)))
+    placed = placed.withColumn(slot_col, F.col(slot_col) + F.col(start)).drop(s, p, part, start)
+    runs = placed.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SLOT_ROWS))))
+    if (told.most or 0) > SLOT_ROWS:
+        runs = runs.repartition(*ids, F.col(run))
+    first = F.col(run) * SLOT_ROWS
+    each = F.explode(F.sequence(F.col(slot_col) + first, F.col(slot_col) + F.least(n, first + SLOT_ROWS) - 1))
+    return runs.withColumn(slot_col, each).drop(run, copies_col)

@@ -256,7 +256,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each group the row whose id is the component; of rows alike in id and text, one.
 
-    A group whose ids are all null keeps one row.
+    A group whose ids are all null keeps one row; null, empty and blank texts are one group. Of rows with one id and
+    different texts the one with the least content hash stays. Very long texts are hashed whole; helper columns take names
+    that docs has not; an empty table stays empty. A row that a third of the table repeats is cut to one a task before the
+    last shuffle, as its number among its like is only asked to be 1.
     """
     code, nth = fresh("_code", docs), fresh("_nth", docs)
     own = docs.withColumn(code, F.xxhash64(quoted(text_col)))

@@ -133,7 +133,13 @@ def useful_features(n1: int, n0: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label: str = "toxic", id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
-    """Fits on a sample of at most per_class rows of each class; the driver holds the useful features and which rows have them."""
+    """Fits on a sample of at most per_class rows of each class; the driver holds the useful features and which rows have them.
+
+    Null and empty texts are rows without features. Labels repeated for one id count once, the larger wins; null ids and
+    labels, and labels without a document, are left out; of ties in the sample's hash the smaller id comes first. Repeated
+    documents of a sampled id all count. With one class only, or no labels, the model knows just that class's smoothed share.
+    Very long texts give their features whole. Other columns are not read; empty tables give a model without features.
+    """
     rows, prior = labelled_sample(docs.select(quoted(id_col), quoted(text_col)), labels, label, per_class, id_col=id_col)
     sample = written(rows.select("_y", quoted(text_col).alias("text"), F.xxhash64(quoted(id_col)).alias("place")).repartition(8, "place"), "labelled")
     n = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}

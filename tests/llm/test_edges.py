@@ -147,6 +147,23 @@ def test_sharding(spark, odd, none):
     assert bag((r.doc_id, r[size], r[crc], r._shard) for r in bare.collect()) == bag((r.doc_id, r[size], r[crc], r._shard) for r in out)
 
 
+@pytest.mark.parametrize("texts", [True, False])
+def test_sharding_in_many_parts_with_a_hot_row(spark, monkeypatch, texts):
+    """Slots over several numbering groups, one row in a third of all, and groups fetched bucket by bucket."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
+    monkeypatch.setattr(sharding, "MOST_GROUPS", 1)
+    monkeypatch.setattr(sharding, "MOST_HELD", 2)
+    rows = [(i % 150, f"text {i % 90}") for i in range(300)] + [(7, "hot")] * 150 + [(None, None)] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.shard(docs, shards=4, texts=texts).collect()
+    slots, home = defaultdict(list), defaultdict(set)
+    for r in out:
+        slots[r._shard].append(r._slot)
+        home[r._crc].add(r._shard)
+    assert Counter((r.doc_id, r._crc) for r in out) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(h) == 1 for h in home.values()) and len(slots) == 4
+
+
 class Listed(sharding.Ordered):
     """Groups held in a list: 64 buckets of them."""
 
