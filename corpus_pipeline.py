@@ -72,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written and read again.
+
+    Nulls, empty texts, ties and repeated rows are what each stage says; an empty table gives an empty result with the
+    columns of documents, shard and slot; further columns pass through under their names; texts of any length stay whole.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, name)
