@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import catalog_queries, copy_queries, document_queries, edit_queries, fidelity_queries, health_queries, markup_queries, metering_queries, rule_queries, text_queries, tree_queries  # noqa: F401
+    from . import catalog_queries, copy_queries, document_queries, edit_queries, fidelity_queries, health_queries, markup_queries, metering_queries, report_queries, rule_queries, text_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
