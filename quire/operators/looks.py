@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,11 @@ def over(own: str, base: str) -> Column:
     return F.struct(*(F.coalesce(F.col(f"{own}.{p}"), F.col(f"{base}.{p}")).alias(p) for p in LOOK))
 
 
-def resolved_styles(styles: DataFrame) -> DataFrame:
+def resolved_styles(styles: DataFrame, merged: Callable[[str, str], Column] = over) -> DataFrame:
     """(key, style, look) of (key, style, base, look): a style's own look over that of the style it is based on, and so on.
 
+    `merged` says what one look over another is, of the names of their columns.
+
     Each round takes a style as far again up as all before; there are as many rounds as the number of a package's styles
     has bits, so chains of any length are followed; in a ring every style is beneath itself, which changes nothing.
     """
@@ -64,7 +68,7 @@ def resolved_styles(styles: DataFrame) -> DataFrame:
     most = now.groupBy("key").count().agg(F.max("count")).first()[0] or 1
     for _ in range(most.bit_length()):
         above = now.select("key", F.col("style").alias("base"), F.col("base").alias("_base"), F.col("look").alias("_look"))
-        now = written(now.join(above, ["key", "base"], "left").select("key", "style", F.col("_base").alias("base"), over("look", "_look").alias("look")), "styles")
+        now = written(now.join(above, ["key", "base"], "left").select("key", "style", F.col("_base").alias("base"), merged("look", "_look").alias("look")), "styles")
     return now.select("key", "style", "look")
 
 

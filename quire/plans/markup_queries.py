@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import looks as L
 from ..operators import numbered as N
+from ..operators import sections as S
 from ..sources import markup
 from ..sources.tables import table, written
 from .catalogue import query
@@ -122,3 +123,44 @@ def g15_numbering_levels(spark, d):
     lists = i.where("level = 1").select("list_id", F.when(F.col("list_id") % 7 > 0, F.col("s")).alias("abstract"))
     overrides = i.where("level > 1").select("list_id", "level", F.when(own, "upperLetter").alias("fmt"), F.when(own, "own").alias("text"), F.when(own, F.lit(4).cast("long")).alias("start"), F.when(F.col("p") % 2 == 0, F.col("s")).alias("start_at"))
     return N.numbering_levels(lists, abstracts, levels, overrides)
+
+
+@query("""with l as (select l_orderkey as key, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as section, count(*) over (partition by l_orderkey) as n, l_linenumber as line, l_partkey as p, l_suppkey as s from lineitem),
+v as (select *, case p % 4 when 0 then 11906 when 1 then 12240 + s % 100 when 2 then 20000 + s else null end as w, case p % 4 when 0 then 16838 when 1 then 15840 when 2 then 9000 else 16838 end as h, case s % 5 when 0 then 'continuous' when 1 then 'oddPage' when 2 then 'column' end as type from l)
+select key, section, section = n - 1 as last, case when section < n - 1 then case when lead(type) over (partition by key order by section) in ('continuous', 'oddPage') then lead(type) over (partition by key order by section) else 'nextPage' end end as start,
+ case p % 4 when 0 then 'A4' when 1 then 'Letter' end as size, case when p % 4 = 2 then 'landscape' else 'portrait' end as orientation, case when p % 4 < 3 then round(w / 56.6929, 2) end as width_mm, round(s * 8 / 566.929, 2) as top, case when line % 3 = 1 then 2 + p % 3 end as columns,
+ case when line % 2 = 0 then p % 7 end as number_start, case when line % 2 = 0 and s % 2 = 0 then 'lowerRoman' end as number_format from v""")
+def g16_page_setups(spark, d):
+    """Sections in lines of orders: known and other sizes, one way up or the other, negative margins, columns, page numbers."""
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    size = F.when(p % 4 == 0, F.lit('<w:pgSz w:w="11906" w:h="16838"/>')).when(p % 4 == 1, text('<w:pgSz w:w="', 12240 + s % 100, '" w:h="15840"/>')).when(p % 4 == 2, text('<w:pgSz w:w="', 20000 + s, '" w:h="9000"/>')).otherwise('<w:pgSz w:w="wide" w:h="16838"/>')
+    kind = F.when(s % 5 == 0, F.lit('<w:type w:val="continuous"/>')).when(s % 5 == 1, F.lit('<w:type w:val="oddPage"/>')).when(s % 5 == 2, F.lit('<w:type w:val="column"/>')).otherwise("")
+    numbers = F.when(n % 2 == 0, text('<w:pgNumType w:start="', p % 7, '" w:fmt="', F.when(s % 2 == 0, "lowerRoman").otherwise("words"), '"/>')).otherwise("")
+    own = F.concat(F.lit("<w:sectPr>"), kind, size, text('<w:pgMar w:top="-', s * 8, '"/>'), F.when(n % 3 == 1, text('<w:cols w:num="', 2 + p % 3, '"/>')).otherwise(F.lit("<w:cols/>")), numbers, F.lit("</w:sectPr>"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), n.alias("n"), p.alias("p"), s.alias("s"), own.alias("x")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "p", "s", "x"))), lambda v: v["x"]).alias("x"))
+    inside = F.transform(F.slice("x", 1, F.size("x") - 1), lambda v: F.concat(F.lit("<w:p><w:pPr>"), v, F.lit("</w:pPr></w:p>")))
+    xml = F.concat(F.lit(f'<w:document xmlns:w="{WORD}"><w:body>'), F.array_join(inside, ""), F.element_at("x", -1), F.lit("</w:body></w:document>"))
+    rows = written(markup.tree(lines.select("key", F.lit("word/document.xml").alias("part"), xml.alias("xml"))), "markup")
+    return S.page_setups(rows).select("key", "section", "last", "start", "size", "orientation", "width_mm", "top", "columns", "number_start", "number_format")
+
+
+@query("""with c as (select c_custkey as key, c_nationkey as n, 8 + c_custkey % 5 as pt from customer),
+t as (select * from (values ('Paragraph', 'n'), ('Quote', 'n'), ('Caption', 'c'), ('List', 'l'), ('Footnote', 'n'), ('Heading 1', 'h1'), ('Heading 2', 'h2'), ('Table', 'n')) v(target, style)),
+p as (select key, target, style, unnest([{'p': 'fontFamily', 'v': case when style = 'l' then 'Serif' else 'Sans' end}, {'p': 'fontSizePt', 'v': case style when 'h1' then (pt + 6)::varchar when 'h2' then (pt + 6)::varchar else pt::varchar end}, {'p': 'bold', 'v': case style when 'h1' then 'true' when 'h2' then case when n % 2 = 0 then 'false' else 'true' end end},
+ {'p': 'alignment', 'v': case when style = 'h2' then 'justify' end}, {'p': 'spaceAfterPt', 'v': case when target = 'Table' then '0' else n::varchar end}, {'p': 'indentLeftCm', 'v': case when style in ('c', 'l') then '1' end}, {'p': 'lineSpacing', 'v': '1.5'}], recursive := true) from c, t where target <> 'Heading 2' or n % 3 > 0)
+select key, target, p as property, v as value from p where v is not null and (target <> 'Table' or p in ('fontFamily', 'fontSizePt', 'spaceAfterPt')) and (target not in ('List', 'Footnote') or p <> 'indentLeftCm')""")
+def g16_style_systems(spark, d):
+    """A style sheet for each customer: sizes, spaces and headings from its row, the rest through what styles are based on."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    pt = 8 + k % 5
+    style = lambda name, base, look, id_: text(f'<w:style w:type="paragraph" w:styleId="{id_}"{" w:default=@1@".replace("@", chr(34)) if id_ == "n" else ""}><w:name w:val="{name}"/>' + (f'<w:basedOn w:val="{base}"/>' if base else ""), *look, "</w:style>")
+    sheet = F.concat(
+        F.lit(f'<w:styles xmlns:w="{WORD}"><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:hAnsi="Sans"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:line="360"/></w:pPr></w:pPrDefault></w:docDefaults>'),
+        style("Normal", None, ['<w:pPr><w:spacing w:after="', n * 20, '"/></w:pPr><w:rPr><w:sz w:val="', pt * 2, '"/></w:rPr>'], "n"), style("heading 1", "n", ['<w:rPr><w:b/><w:sz w:val="', pt * 2 + 12, '"/></w:rPr>'], "h1"),
+        F.when(n % 3 > 0, style("Heading 2", "h1", ['<w:pPr><w:jc w:val="both"/></w:pPr>', F.when(n % 2 == 0, F.lit('<w:rPr><w:b w:val="0"/></w:rPr>')).otherwise("")], "h2")).otherwise(""),
+        style("caption", "n", ['<w:pPr><w:ind w:left="567"/></w:pPr>'], "c"), style("List Paragraph", "c", ['<w:rPr><w:rFonts w:ascii="Serif"/></w:rPr>'], "l"), F.lit("</w:styles>"),
+    )
+    rows = written(markup.tree(table(spark, d, "customer").select(k.alias("key"), F.lit("word/styles.xml").alias("part"), sheet.alias("xml"))), "markup")
+    return S.style_systems(rows)
