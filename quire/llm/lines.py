@@ -72,42 +72,43 @@ def base_failed(rules: Column) -> Column:
     return (rules["n_words"] < 10) | (rules["n_repeat_words"] * 100 > rules["n_words"] * 20)
 
 
-def sized(x: Column) -> Column:
-    """A value with its length before it, null as "-": strings of these stand for one list of values only."""
-    return F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+def measured_lines(lines: Column) -> Column:
+    """Array of (hash of the normalised line, words) of an array of lines with a word; words are what single blanks part in a normalised line."""
+    plain = F.transform(lines, normal)
+    return F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
 
 
-def row_key(*columns: Column) -> Column:
-    """SHA-256 of a row's values, nulls told apart."""
-    return F.unhex(F.sha2(F.concat(*(sized(c.cast("string")) for c in columns)).cast("binary"), 256))
+def read_once(docs: DataFrame, *, id_col: str, host_col: str, text_col: str) -> DataFrame:
+    """(id, host, doc, r, lines, _row), written: all that is taken from the texts, in one pass over them.
 
-
-def line_rows(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """(_row, pos, host, line hash, words) of every line with a word."""
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    rows = docs.select("_row", quoted(host_col).cast("string").alias("host"), F.posexplode(lines_of(text)).alias("pos", "line"))
-    return rows.select("_row", "pos", "host", F.xxhash64(normal(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).alias("words"))
+    doc tells documents apart by their content, r has the base counts, lines the measured lines; _row is a number of its own
+    for every row. Documents and lines are told apart by 64-bit hashes: among 10^9 distinct lines of a host some pair is
+    taken for one line with a chance of one in forty.
+    """
+    rows = docs.select(quoted(id_col).alias("id"), quoted(host_col).cast("string").alias("host"), quoted(text_col).alias("text"))
+    base, name = base_rules(rows, "text")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    told = base.select("id", "host", F.xxhash64(body).alias("doc"), F.col(name).alias("r"), measured_lines(lines_of(body)).alias("lines"))
+    return written(told.withColumn("_row", F.monotonically_increasing_id()), "rules")
 
 
-def frequent_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", share: float = SHARE, floor: int = FLOOR) -> DataFrame:
-    """(host, line) of the lines found in more distinct documents of a host than its limit; null is a host of its own.
+def frequent_lines(rows: DataFrame, *, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
+    """(host, line) of the lines found in more distinct documents of a host than its limit; null is a host of its own. rows are those of `read_once`.
 
     Each document also sends its host a null line, so that one count gives the hosts' sizes too.
     """
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    own = F.array_distinct(F.transform(lines_of(text), lambda x: F.xxhash64(normal(x))))
-    own = F.concat(F.array(F.lit(None).cast("long")), own)
-    rows = docs.select(quoted(host_col).cast("string").alias("host"), F.xxhash64(text).alias("doc"), F.explode(own).alias("line"))
+    own = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.col("lines.line")))
+    each = rows.select("host", "doc", F.explode(own).alias("line"))
     # a copy of a document adds nothing: distinct (host, line, document) are merged before and after the shuffle
-    counts = written(rows.distinct().groupBy("host", "line").count().where((F.col("count") > floor) | F.col("line").isNull()), "counts")
+    counts = written(each.distinct().groupBy("host", "line").count().where((F.col("count") > floor) | F.col("line").isNull()), "counts")
     sizes = counts.where("line is null").select(F.col("host").alias("_host"), F.col("count").alias("_docs"))
     lines = counts.where("line is not null")
     return lines.join(sizes, lines.host.eqNullSafe(F.col("_host"))).where(F.col("count") > F.lit(share) * F.col("_docs")).select("host", "line")
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame, n: int, *, host_col: str, text_col: str) -> DataFrame:
+def removed_words(rows: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
     """(_row, removed): words of each row's frequent lines. `frequent` has n rows: up to BROADCAST_ROWS they are broadcast."""
-    each = line_rows(docs, host_col, text_col)
+    each = rows.select("_row", "host", F.inline("lines"))
     if n <= BROADCAST_ROWS:
         right, on = F.broadcast(frequent), []
     else:
@@ -116,24 +117,20 @@ def removed_words(docs: DataFrame, frequent: DataFrame, n: int, *, host_col: str
     same = (each.line == right.line) & each.host.eqNullSafe(right.host)
     for c in on:
         same = same & (each[c] == right[c])
-    hit = each.join(right, same, "left_semi").select("_row", "pos", "words").distinct()  # repeated rows are one row here
-    return hit.groupBy("_row").agg(F.sum("words").alias("removed"))
+    return each.join(right, same, "left_semi").groupBy("_row").agg(F.sum("words").alias("removed"))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", share: float = SHARE, floor: int = FLOOR, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """(id, the base counts, base_failed, n_removed_words, kept) for every row of docs.
 
-    Null texts have no lines or words and fail the base rules; the null host is a host; repeated rows share their counts
-    (rows are told apart by id, host and text, and copies of a document count once per host); an empty table gives no
-    rows. Texts of any length are read whole. Only the three named columns are read, so others may have any names.
+    Null texts have no lines or words and fail the base rules; the null host is a host; repeated rows are judged alike
+    (copies of a document count once per host); an empty table gives no rows. Texts of any length are read whole. Only the
+    three named columns are read, so others may have any names.
     """
-    rows = docs.select(quoted(id_col).alias("id"), quoted(host_col).cast("string").alias("host"), quoted(text_col).alias("text"))
-    rows = rows.withColumn("_row", row_key(F.col("id"), F.col("host"), F.col("text")))
-    frequent = written(frequent_lines(rows, host_col="host", text_col="text", share=share, floor=floor), "lines")
-    base, name = base_rules(rows, "text")
-    lost = removed_words(rows, frequent, frequent.count(), host_col="host", text_col="text")
-    copies = base.select("id", "_row", F.col(name).alias("r"))
-    out = copies.join(lost, "_row", "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
+    rows = read_once(docs, id_col=id_col, host_col=host_col, text_col=text_col)
+    frequent = written(frequent_lines(rows, share=share, floor=floor), "lines")
+    lost = removed_words(rows, frequent, frequent.count())
+    out = rows.select("id", "r", "_row").join(lost, "_row", "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
     left = F.col("r")["n_words"] - F.col("removed")
     depleted = (F.col("removed") > 0) & ((left < least_words) | (left < F.lit(least_share) * F.col("r")["n_words"]))
     failed = base_failed(F.col("r"))

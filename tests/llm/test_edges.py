@@ -86,9 +86,9 @@ def test_rules(spark, odd, none):
 
 def test_salted_join_of_frequent_lines_agrees(spark, odd):
     rows = odd.selectExpr("doc_id as id", "source as host", "text")
-    rows = rows.withColumn("_row", lines.row_key(rows.id, rows.host, rows.text))
-    frequent = lines.frequent_lines(rows, host_col="host", text_col="text", share=0, floor=0).cache()
-    a, b = (bag(lines.removed_words(rows, frequent, n, host_col="host", text_col="text").collect()) for n in (0, lines.BROADCAST_ROWS + 1))
+    rows = lines.read_once(rows, id_col="id", host_col="host", text_col="text")
+    frequent = lines.frequent_lines(rows, share=0, floor=0).cache()
+    a, b = (bag(lines.removed_words(rows, frequent, n).collect()) for n in (0, lines.BROADCAST_ROWS + 1))
     assert a == b and a
 
 
