@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import edits as E
 from ..operators import fidelity as V
 from ..operators import history as H
+from ..operators import rules as R
 from ..sources.tables import table
 from .catalogue import query
 from .relations import ELEMENTS, elements, with_
@@ -72,3 +73,27 @@ def v6_read_back(spark, d):
     results = c.select("key", F.explode(F.array(F.lit("docx"), F.lit("pdf"))).alias("format"), read.alias("text"))
     documents = c.select("key", "text", F.col("text").alias("visible"))
     return V.read_back(documents, results, key="key").select("key", "format", "method", "verified")
+
+
+@query("""with c as (select conv_id, turn, conv_id % 6 = 3 and exists (select 1 from conversations x where x.conv_id = c.conv_id and x.turn = 1) as clash, conv_id % 5 = 4 and exists (select 1 from conversations x where x.conv_id = c.conv_id and x.turn = 0) as bad from conversations c)
+select conv_id as doc_id, case when bool_or(clash) then 'conflict' when bool_or(bad) then 'invalid' else 'done' end as outcome, count(*) filter (where turn % 4 = 0 and not clash and not bad) as proposals, count(*) + count(*) filter (where turn % 4 = 1 and not clash and not bad) as elements from c group by 1""")
+def m14_instructed_documents(spark, d):
+    """One instruction to all conversations: some have an override that it would change, some an operation that does not fit; in the others breaks are put in and deletions are proposed."""
+    t, doc = F.col("turn"), F.col("conv_id")
+    c = table(spark, d, "conversations").select(doc.alias("doc_id"), t.alias("ord"), t.cast("string").alias("element_id"), F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), F.col("text").alias("content"))
+    k = F.col("doc_id")
+    rules = c.where((k % 3 == 0) & (F.col("ord") == 1)).select("doc_id", F.col("element_id").alias("target"), F.lit("bold").alias("property"), F.when(k % 6 == 0, "true").otherwise("false").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(R.LIVE_OVERRIDE).alias("priority"), F.lit("override").alias("source"), F.lit(0).cast("long").alias("seq"))
+    given = spark.createDataFrame([("Paragraph", "bold", "true", None, R.INSTRUCTION, "instruction", 0)], "target string, property string, value string, unit string, priority int, source string, seq long")  # the one instruction
+    none = F.lit(None).cast("string")
+    op = F.when(F.col("ord") % 4 == 0, "delete").when(F.col("ord") % 4 == 1, "page_break")
+    operations = c.select("doc_id", F.col("ord").alias("seq"), op.alias("op"), F.when(op == "delete", F.col("element_id")).alias("target"), F.when(op == "page_break", F.col("element_id")).alias("after_id"), none.alias("content"), none.alias("property"), none.alias("value")).where("op is not null")
+    bad = c.where((k % 5 == 4) & (F.col("ord") == 0)).select("doc_id", F.lit(1_000_000).alias("seq"), F.lit("delete").alias("op"), F.lit("nowhere").alias("target"), none.alias("after_id"), none.alias("content"), none.alias("property"), none.alias("value"))
+    waiting = operations.where("false").select("doc_id", "seq", "op", "target", "after_id", "content")
+    out = E.instructed(c, rules, given, operations.unionByName(bad), waiting)
+    told = c.select("doc_id").distinct()
+    for name, column in (("conflicts", "conflict"), ("invalid", "invalid")):
+        told = told.join(out[name].select("doc_id", F.lit(True).alias(column)).distinct(), "doc_id", "left")
+    counts = [out[name].groupBy("doc_id").agg(F.count("*").alias(name)) for name in ("proposals", "elements")]
+    told = told.join(counts[0], "doc_id", "left").join(counts[1], "doc_id", "left")
+    outcome = F.when(F.col("conflict"), "conflict").when(F.col("invalid"), "invalid").otherwise("done")
+    return told.select("doc_id", outcome.alias("outcome"), F.coalesce("proposals", F.lit(0)).cast("long").alias("proposals"), F.col("elements").cast("long").alias("elements"))
