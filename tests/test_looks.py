@@ -8,6 +8,7 @@ from xml.etree import ElementTree as ET
 from pyspark.sql import functions as F
 
 from quire.operators import looks as L
+from quire.operators import sections
 from quire.sources import markup
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -115,3 +116,16 @@ def test_features_of_packages_tell_hidden_styles(spark):
         z.writestr("word/styles.xml", f'<w:styles xmlns:w="{W}">{styled("s1", None, "<w:vanish/>")}{styled("s2", "s1")}</w:styles>')
     files = spark.createDataFrame([("a", made.getvalue()), ("b", b"no package")], "key string, content binary")
     assert {(r.key, r.feature, r.text) for r in L.features(files).collect()} == {("a", "hidden", "out of sight"), ("a", "content_control", "")}
+
+
+def test_page_setups_and_styles_of_odd_packages(spark):
+    sect = '<w:sectPr><w:pgSz w:w="x" w:h="5"/><w:pgMar w:top="-1134" w:bottom="99999" w:left=""/><w:cols w:num="many"/><w:pgNumType w:start="-1" w:fmt="words"/></w:sectPr>'
+    rows = tree(spark, document=f'<w:document xmlns:w="{W}"><w:body><w:p><w:pPr>{sect}</w:pPr></w:p><w:p/><w:sectPr><w:type w:val="evenPage"/><w:pgSz w:w="16838" w:h="11906"/><w:cols w:num="11"/></w:sectPr></w:body></w:document>').cache()
+    one, two = sections.page_setups(rows).orderBy("section").collect()
+    assert (one.last, one.start, one.size, one.orientation, one.width_mm, one.top, one.bottom, one.left, one.columns, one.number_start, one.number_format) == (False, "evenPage", None, "portrait", None, 2.0, None, None, None, None, None)
+    assert (two.last, two.start, two.size, two.orientation, two.width_mm, two.columns) == (True, None, "A4", "landscape", 297.0, None)
+    assert [tuple(r) for r in sections.style_systems(rows).collect()] == [("d", "Table", "spaceAfterPt", "0")]
+    ring = f'<w:style w:type="paragraph" w:default="1" w:styleId="a"><w:name w:val="Normal"/><w:basedOn w:val="b"/><w:rPr><w:i/></w:rPr></w:style><w:style w:type="paragraph" w:styleId="b"><w:name w:val="QUOTE"/><w:basedOn w:val="a"/><w:pPr><w:ind w:hanging="567" w:start="1134"/></w:pPr><w:rPr><w:sz w:val="25"/><w:color w:val="auto"/></w:rPr></w:style>'
+    got = {(r.target, r.property): r.value for r in sections.style_systems(tree(spark, styles=f'<w:styles xmlns:w="{W}">{ring}</w:styles>')).collect()}
+    assert {p: v for (t, p), v in got.items() if t == "Quote"} == {"italic": "true", "fontSizePt": "12.5", "indentLeftCm": "2", "firstLineIndentCm": "-1"}
+    assert {p: v for (t, p), v in got.items() if t == "List"} == {"italic": "true", "fontSizePt": "12.5"} and ("Heading 1", "italic") not in got
