@@ -235,30 +235,32 @@ def scores(elements: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
         "links": F.coalesce("_links", F.lit(0)), "broken": F.coalesce("_broken", F.lit(0)),
     }
 
-    def fact(check: str, when: Column, key: Column, num: Column | None = None) -> Column:
-        num = F.lit(None).cast("long") if num is None else num
-        return F.when(when, F.array(F.struct(F.lit(check).alias("check"), key.alias("key"), num.alias("num")))).otherwise(F.array().cast("array<struct<check:string,key:string,num:bigint>>"))
+    def fact(check: str, when: Column, key: Column) -> Column:
+        return F.when(when, F.array(F.struct(F.lit(check).alias("check"), key.alias("key")))).otherwise(F.array().cast("array<struct<check:string,key:string>>"))
 
-    fonts_ = F.when(body & text, F.transform(used, lambda f: F.struct(F.lit("font").alias("check"), f.alias("key"), F.lit(None).cast("long").alias("num")))).otherwise(F.array().cast("array<struct<check:string,key:string,num:bigint>>"))
+    fonts_ = F.when(body & text, F.transform(used, lambda f: F.struct(F.lit("font").alias("check"), f.alias("key")))).otherwise(F.array().cast("array<struct<check:string,key:string>>"))
     facts = F.concat(
         fact("doc", F.lit(True), F.lit("")), fonts_, fact("size", heading & text, F.concat_ws("|", level.cast("string"), css("font-size"))), fact("look", (type_ == "paragraph") & text, F.concat_ws("|", css("line-height"), css("margin-bottom"))),
-        fact("side", (type_ == "paragraph") & (F.length(F.trim("content")) > 80), F.coalesce(F.element_at("css", "text-align"), F.lit("left"))), fact("number", heading & (number != ""), parent, F.element_at(parts, -1)),
+        fact("side", (type_ == "paragraph") & (F.length(F.trim("content")) > 80), F.coalesce(F.element_at("css", "text-align"), F.lit("left"))),
     )
     each = e.select("doc_id", "ord", *(f.cast("long").alias(n) for n, f in flags.items()), F.explode(facts).alias("f"))
     whole = F.col("f.check") == "doc"
-    numbers = F.array_sort(F.collect_list(F.when(F.col("f.check") == "number", F.struct("ord", "f.num"))))
-    counts = each.groupBy("doc_id", F.col("f.check").alias("check"), F.col("f.key").alias("key")).agg(F.count("*").alias("n"), F.min("ord").alias("first"), numbers.alias("numbers"), *(F.sum(F.when(whole, F.col(n))).alias(n) for n in flags))
+    counts = each.groupBy("doc_id", F.col("f.check").alias("check"), F.col("f.key").alias("key")).agg(F.count("*").alias("n"), F.min("ord").alias("first"), *(F.sum(F.when(whole, F.col(n))).alias(n) for n in flags))
+    # numbers typed into headings are few: they are listed apart, so that the counts of all else are plain sums
+    listed = e.where(heading & (number != "")).select("doc_id", parent.alias("key"), F.struct("ord", F.element_at(parts, -1).alias("num")).alias("s"))
+    listed = listed.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("s")).alias("numbers"))
     numbers = F.col("numbers")
     odd = F.size(F.filter(F.transform(numbers, lambda x, k: x["num"] != F.when(k > 0, F.get(numbers, k - 1)["num"]).otherwise(0) + 1), lambda b: b))
     sized = F.when(F.col("check") == "size", F.struct(F.split_part("key", F.lit("|"), F.lit(1)).cast("int").alias("lv"), (-F.col("n")).alias("n"), "first", F.substring_index("key", "|", -1).alias("size")))
 
-    def of(check: str, f, c: Column | None = None) -> Column:
-        return F.coalesce(f(F.when(F.col("check") == check, F.col("n") if c is None else c)), F.lit(0))
+    def of(check: str, f) -> Column:
+        return F.coalesce(f(F.when(F.col("check") == check, F.col("n"))), F.lit(0))
 
     docs = counts.groupBy("doc_id").agg(
         *(F.max(n).alias(n) for n in flags), F.collect_list(sized).alias("sizes"), of("font", F.count).alias("fonts"), of("look", F.sum).alias("looks"), of("look", F.max).alias("look"), of("side", F.sum).alias("sides"), of("side", F.max).alias("side"),
-        of("number", F.sum).alias("numbered"), of("number", F.sum, odd).alias("odd"),
     )
+    typed = listed.groupBy("doc_id").agg(F.sum(F.size("numbers")).alias("numbered"), F.sum(odd).alias("odd"))
+    docs = docs.join(typed, "doc_id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("numbered", "odd")})
     levels = F.array_sort(F.array_distinct(F.transform("sizes", lambda s: s["lv"])))
     mains = F.transform(levels, lambda lv: F.struct(F.size(F.filter("sizes", lambda s: s["lv"] == lv)).alias("kinds"), X.points(F.array_min(F.transform(F.filter("sizes", lambda s: s["lv"] == lv), lambda s: F.struct(s["n"], s["first"], s["size"].alias("size"))))["size"]).alias("points")))
     docs = docs.withColumn("mains", mains)
