@@ -41,11 +41,11 @@ def normal(line: Column) -> Column:
 def base_rules(docs: DataFrame, text_col: str = "text", window: int = 5) -> tuple[DataFrame, str]:
     """docs with a struct column (its name is returned too): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    Windows are first compared by hash, which only tells texts without a repetition for certain; the others sort the
-    windows themselves, so the counts are exact. A null or empty text has no words and fails.
+    Windows are first compared by hash, which only tells windows without a repetition for certain; those whose hash comes
+    twice are spelled out and sorted, so the counts are exact. A null or empty text has no words and fails.
     """
-    temp = [fresh(x, docs) for x in ("_body", "_words", "_codes", "_hashes", "_sorted", "_twice", "_lines")]
-    body, words, codes, hashes, ordered, twice, lines = map(F.col, temp)
+    temp = [fresh(x, docs) for x in ("_body", "_words", "_codes", "_hashes", "_sorted", "_twice", "_lines", "_pairs")]
+    body, words, codes, hashes, ordered, twice, lines, pairs = map(F.col, temp)
     name = fresh("rules", docs)
     starts = F.sequence(F.lit(0), F.size(words) - window)
     out = docs.withColumn(temp[0], F.coalesce(quoted(text_col), F.lit("")))
@@ -54,15 +54,17 @@ def base_rules(docs: DataFrame, text_col: str = "text", window: int = 5) -> tupl
     coded = F.transform(starts, lambda i: F.xxhash64(*(F.get(codes, i + k) for k in range(window))))
     out = out.withColumn(temp[3], F.when(F.size(words) >= window, coded))
     repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    spelled = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, window), " ").alias("w"), i.alias("i")))
-    out = out.withColumn(temp[4], F.when(repeats, F.sort_array(spelled)))
+    out = out.withColumn(temp[7], F.when(repeats, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    alike = F.filter(pairs, lambda x, k: (F.get(pairs, k - 1)["h"] == x["h"]) | (F.get(pairs, k + 1)["h"] == x["h"]))
+    spelled = F.transform(alike, lambda x: F.struct(F.array_join(F.slice(words, x["i"] + 1, window), " ").alias("w"), x["i"].alias("i")))
+    out = out.withColumn(temp[4], F.sort_array(spelled))
     again = F.transform(ordered, lambda x, k: F.when((F.get(ordered, k - 1)["w"] == x["w"]) | (F.get(ordered, k + 1)["w"] == x["w"]), x["i"]))
     out = out.withColumn(temp[5], F.sort_array(F.filter(again, lambda i: i.isNotNull())))
     covered = F.transform(twice, lambda x, k: F.least(F.lit(window), F.coalesce(F.get(twice, k + 1) - x, F.lit(window))))
     n_words = F.size(words).cast("long")
     n_repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
-    chars = F.length(F.translate(body, "\t\n\x0b\f\r ", "")).cast("long")
-    symbols = (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long")
+    chars = (F.length(body) - F.regexp_count(body, F.lit(r"[\x20\x09-\x0D]"))).cast("long")
+    symbols = F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long")
     dup = (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
     out = out.withColumn(name, F.struct(n_words.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"), n_repeat.alias("n_repeat_words")))
     return out.drop(*temp), name
@@ -75,7 +77,7 @@ def base_failed(rules: Column) -> Column:
 def measured_lines(lines: Column) -> Column:
     """Array of (hash of the normalised line, words) of an array of lines with a word; words are what single blanks part in a normalised line."""
     plain = F.transform(lines, normal)
-    return F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
+    return F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).alias("words")))
 
 
 def read_once(docs: DataFrame, *, id_col: str, host_col: str, text_col: str) -> DataFrame:
