@@ -131,7 +131,7 @@ def integers(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return kept, out
 
 
-def batches_of(batch: pa.RecordBatch, most: int = 4096) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, most: int = 16_384) -> Iterator[pa.RecordBatch]:
     for k in range(0, batch.num_rows, most):
         yield batch.slice(k, most)
 
@@ -166,8 +166,10 @@ def refined(rows: DataFrame, books: Codebooks) -> Codebooks:
             for batch in batches_of(whole):
                 _, vectors = integers(batch.column(1), p * w)
                 index, _ = books.assign(vectors)
-                slot = (index + np.arange(p) * k).ravel()
-                np.add.at(total, slot, np.append(vectors.reshape(-1, w), np.ones((len(slot), 1), np.int64), axis=1))
+                slot, cut = (index + np.arange(p) * k).ravel(), vectors.reshape(-1, w)
+                for j in range(w):  # a batch's sums are far below 2^53, so doubles hold them exactly
+                    total[:, j] += np.bincount(slot, cut[:, j], p * k).astype(np.int64)
+                total[:, w] += np.bincount(slot, minlength=p * k)
         used = np.flatnonzero(total[:, w])
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(used, w + 1) * (w + 1) + np.tile(np.arange(w + 1), len(used))), pa.array(total[used].ravel())], names=["place", "total"])
 
