@@ -7,6 +7,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -16,6 +17,9 @@ def ordered_fold(df: DataFrame, key: list[str], order: list[str], schema: Struct
 
     The object has step(row) -> rows to give out now, and end() -> rows to give out after the last; a row is a dict in,
     a tuple out. Groups are told apart by their key in the sorted stream, so memory holds one state.
+
+    Rows are dealt by a hash of the key, which no input is dealt by already: over a union of inputs dealt by the key itself
+    Spark would leave the shuffle out and then coalesce each input's partitions apart, so that a group's rows did not meet.
     """
     names = df.columns
     out_schema = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
@@ -39,5 +43,5 @@ def ordered_fold(df: DataFrame, key: list[str], order: list[str], schema: Struct
         columns = list(zip(*rows)) or [()] * len(out_schema)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
-    dealt = df.repartition(*key).sortWithinPartitions(*key, *order).select(*names)
+    dealt = df.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, *order).select(*names)
     return dealt.mapInArrow(run, schema)

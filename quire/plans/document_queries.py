@@ -155,7 +155,7 @@ def l1_pages(spark, d):
 def l4_row_heights(spark, d):
     """Tables of an order's lines: exact, least and free rows, and cells over two or three of them."""
     n, p = F.col("l_linenumber"), F.col("l_partkey")
-    i = table(spark, d, "lineitem").select("l_orderkey", (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("row"), n, p, "l_quantity")
+    i = table(spark, d, "lineitem").select("l_orderkey", (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1).alias("row"), n, p, "l_quantity")
     rows = i.select("l_orderkey", "row", F.when(p % 3 > 0, p % 40 + 0.5).alias("height"), F.when(p % 3 == 1, "exact").otherwise("atLeast").alias("rule"))
     cells = i.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(1)))).select("l_orderkey", "row", "col", F.when(F.col("col") == 1, 1 + p % 3).otherwise(1).alias("rowspan"), (F.col("l_quantity") * (1 + F.col("col"))).alias("need"))
     return L.row_heights(rows, cells, key="l_orderkey").withColumn("height", F.round("height", 6))
