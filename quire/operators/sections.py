@@ -21,11 +21,12 @@ WITHOUT_INDENT, INDENTS = ("List", "Footnote"), ("indentLeftCm", "firstLineInden
 TABLE_TEXT = ("fontFamily", "fontSizePt", "color")
 
 
-def page_setups(rows: DataFrame) -> DataFrame:
+def page_setups(rows: DataFrame, *, bounded: bool = True) -> DataFrame:
     """(key, section, last, start, size, orientation, width_mm, height_mm, the margins and distances in cm, columns, column_spacing, number_start, number_format).
 
     A row for each section in order, from `markup.tree` rows; last is the document's own. start is how the section behind it
-    starts, which that one's properties say. Pages of no known size have none; values outside what a page can have are null.
+    starts, which that one's properties say. Pages of no known size have none; values outside what a page can have are null,
+    unless lengths are not `bounded`, but as they are written.
     """
     body = rows.where("part = 'word/document.xml'")
     owners = body.where("tag = 'sectPr'").select(*PART, "pre")
@@ -38,7 +39,7 @@ def page_setups(rows: DataFrame) -> DataFrame:
 
     def length(part: str, name: str, per: float, least: float, most: float) -> Column:
         x = F.bround(F.abs(whole(part, name)) / per, 2)
-        return F.when((x >= least) & (x <= most), x)
+        return F.when((x >= least) & (x <= most), x) if bounded else x
 
     w, h = whole("pgSz", "w"), whole("pgSz", "h")
     short, long = F.least(w, h), F.greatest(w, h)

@@ -39,3 +39,7 @@ def test_a_tables_rows_meet_whatever_its_inputs_are_dealt_by(spark):
     assert 0 < steps.find("Exchange") < steps.index("Union")
     got = out.collect()
     assert len(got) == 600 and {r.height for r in got} == {5.0}
+
+
+def test_page_margins_beyond_a_page_are_told_as_written(spark, grown):
+    same(spark, grown, "g16_page_setups")
