@@ -272,20 +272,24 @@ def s1_routed_files(spark, d):
 @query("""with p as (select l_orderkey, l_linenumber, case l_linenumber % 4 when 3 then null else l_partkey end as width, case l_linenumber % 4 when 0 then l_suppkey * 997 when 3 then null else l_suppkey * 61 end as height from lineitem)
 select *, case when width is null then 'unreadable' when width * height > 50000000 or greatest(width, height) > 20000 then 'too_large' end as problem from p""")
 def p18_picture_headers(spark, d):
-    """PNG files; JPEG files with a thumbnail in a header, some of over 130 KB; progressive ones; JPEG files whose data comes before any frame."""
+    """PNG files; JPEG files with a thumbnail in a header, some of over 130 KB; progressive ones; JPEG files whose data comes before any frame.
+
+    A JPEG's sides are two bytes each, so a larger picture is a PNG file.
+    """
     k, large = F.col("l_linenumber") % 4, F.col("l_orderkey") % 1024 == 1
-    w, h = F.col("l_partkey"), F.col("l_suppkey")
+    w, h = F.col("l_partkey"), F.when(k == 0, F.col("l_suppkey") * 997).otherwise(F.col("l_suppkey") * 61)
+    as_png = (k == 0) | ((k != 3) & (F.greatest(w, h) > 0xFFFF))
 
     def hexed(n, digits):
         return F.lpad(F.hex(n), digits, "0")
 
-    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h * 997, 8), F.lit("0806000000"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h, 8), F.lit("0806000000"))
     inner = "FFD8FFC0001108007800A003012200021101031101"
     thumbnail = F.lit(f"FFE1{len(inner) // 2 + 2:04X}{inner}")
     filler = F.when(large, F.repeat(F.concat(F.lit("FFE2FFFF"), F.repeat(F.lit("FFC0"), 32766), F.lit("00")), 2)).otherwise(F.lit("FFFE0004FFC0"))
-    frame = F.concat(F.when(k == 1, "FFC0").otherwise("FFC2"), F.lit("001108"), hexed(h * 61, 4), hexed(w, 4), F.lit("03"))
+    frame = F.concat(F.when(k == 1, "FFC0").otherwise("FFC2"), F.lit("001108"), hexed(h, 4), hexed(w, 4), F.lit("03"))
     jpeg = F.concat(F.lit("FFD8"), thumbnail, filler, F.when(k == 3, F.lit("FFDA0008")).otherwise(F.lit("FFFF")), frame)
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.unhex(F.when(k == 0, png).otherwise(jpeg)).alias("c"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.unhex(F.when(as_png, png).otherwise(jpeg)).alias("c"))
     size = X.picture_size(F.col("c"))
     return rows.select("l_orderkey", "l_linenumber", size["width"].alias("width"), size["height"].alias("height"), X.picture_problem(F.col("c")).alias("problem"))
 

@@ -43,3 +43,7 @@ def test_a_tables_rows_meet_whatever_its_inputs_are_dealt_by(spark):
 
 def test_page_margins_beyond_a_page_are_told_as_written(spark, grown):
     same(spark, grown, "g16_page_setups")
+
+
+def test_pictures_larger_than_a_jpeg_can_be(spark, grown):
+    same(spark, grown, "p18_picture_headers")
