@@ -24,6 +24,7 @@ LOOK_BITS = {"firstRow": 0x0020, "lastRow": 0x0040, "firstColumn": 0x0080, "last
 EMU_PER_CM, TURN_PER_DEGREE, SHARE_OF_ONE = 360_000, 60_000, 100_000
 WRAPS = {"wrapSquare": "square", "wrapTight": "tight", "wrapThrough": "through", "wrapTopAndBottom": "topAndBottom"}
 FROM = {"positionH": ("character", "column", "margin", "page", "leftMargin", "rightMargin", "insideMargin", "outsideMargin"), "positionV": ("line", "paragraph", "margin", "page", "topMargin", "bottomMargin", "insideMargin", "outsideMargin")}
+DRAWN = ("docPr", "extent", "srcRect", "xfrm", "anchor", *WRAPS, *FROM, "align", "posOffset")
 ALIGN = {"positionH": ("left", "center", "right", "inside", "outside"), "positionV": ("top", "center", "bottom", "inside", "outside")}
 
 
@@ -165,21 +166,36 @@ def pictures(rows: DataFrame) -> DataFrame:
 
     Of several extents, crops or turns inside a drawing the first counts; the anchor is the drawing's own child.
     """
-    inside = within(rows, F.col("tag") == "drawing", "_d", F.col("pre")).where("_d is not null")
-    inside = written(inside.withColumn("_child", F.col("up") == F.col("_d")), "drawings")
-    tag = F.col("tag")
-    first = lambda cond, v: F.min_by(F.when(cond, v), F.when(cond, F.col("pre")))
-    anchors = inside.where("tag = 'anchor' and _child").groupBy(*PART, "_d").agg(F.min_by(F.struct("pre", "attrs"), "pre").alias("anchor"))
-    own = inside.where("tag != 'drawing'").groupBy(*PART, "_d").agg(
-        first(tag == "docPr", F.col("attrs")).alias("doc"), first(tag == "extent", F.col("attrs")).alias("extent"), first(tag == "srcRect", F.col("attrs")).alias("rect"), first(tag == "xfrm", F.col("attrs")).alias("turn"))
-    below = inside.join(anchors.select(*PART, "_d", F.col("anchor.pre").alias("up")), [*PART, "_d", "up"])
-    placed = below.groupBy(*PART, "_d").agg(first(tag.isin(*WRAPS), tag).alias("wrap"), *(first(tag == k, F.struct("pre", F.element_at("attrs", "relativeFrom").alias("from"))).alias(k) for k in FROM))
+    inside = rows.where(F.col("in_drawing").isNotNull() & F.col("tag").isin(*DRAWN))
+    each = F.array_sort(F.collect_list(F.struct("pre", "up", "tag", "attrs", "text")), lambda x, y: x["pre"] - y["pre"])
+    inside = inside.groupBy(*PART, F.col("in_drawing").alias("_d")).agg(each.alias("e"))
+    return drawn(rows.where("tag = 'drawing'").select(*PART, F.col("pre").alias("_d")).join(inside, [*PART, "_d"], "left"))
+
+
+def pictures_of(nodes: DataFrame) -> DataFrame:
+    """The same of `markup.nodes`, whose parts have their elements at hand: nothing is shuffled or written."""
+
+    def inside(d: Column) -> Column:
+        own = F.filter(F.slice("nodes", d["pre"] + 2, d["last"] - d["pre"]), lambda x: (x["in_drawing"] == d["pre"]) & x["tag"].isin(*DRAWN))
+        return F.struct(d["pre"].alias("_d"), F.transform(own, lambda x: F.struct(*(x[c].alias(c) for c in ("pre", "up", "tag", "attrs", "text")))).alias("e"))
+
+    return drawn(nodes.select(*PART, F.inline(F.transform(F.filter("nodes", lambda x: x["tag"] == "drawing"), inside))))
+
+
+def drawn(drawings: DataFrame) -> DataFrame:
+    """What `pictures` tells of drawings (key, part, _d, e): a drawing's number and the elements inside it that count, in order."""
+    first = lambda of, cond: F.get(F.filter(of, cond), F.lit(0))
+    tagged = lambda name: first("e", lambda x: x["tag"] == name)["attrs"]
+    below = lambda name: first("_below", lambda x: x["tag"] == name)
+    got = drawings.select(
+        *PART, "_d", "e", tagged("docPr").alias("doc"), tagged("extent").alias("extent"), tagged("srcRect").alias("rect"), tagged("xfrm").alias("turn"),
+        first("e", lambda x: (x["tag"] == "anchor") & (x["up"] == F.col("_d"))).alias("anchor"),
+    )
+    got = got.withColumn("_below", F.filter("e", lambda x: x["up"] == F.col("anchor.pre")))
+    got = got.withColumns({"wrap": first("_below", lambda x: x["tag"].isin(*WRAPS))["tag"], **{f"_{k}": below(k) for k in FROM}})
     for k in FROM:
-        leaves = inside.where(tag.isin("align", "posOffset")).select(*PART, "_d", F.col("up").alias("_up"), "tag", F.trim("text").alias("_t"))
-        at = placed.select(*PART, "_d", F.col(f"{k}.pre").alias("_up"))
-        said = leaves.join(at, [*PART, "_d", "_up"]).groupBy(*PART, "_d").agg(F.first(F.when(tag == "align", F.col("_t")), ignorenulls=True).alias(f"{k}_align"), F.first(F.when(tag == "posOffset", F.col("_t")), ignorenulls=True).alias(f"{k}_offset"))
-        placed = placed.join(said, [*PART, "_d"], "left")
-    got = rows.where("tag = 'drawing'").select(*PART, F.col("pre").alias("_d")).join(own, [*PART, "_d"], "left").join(anchors, [*PART, "_d"], "left").join(placed, [*PART, "_d"], "left")
+        leaf = lambda name, k=k: F.trim(first("e", lambda x: (x["tag"] == name) & (x["up"] == F.col(f"_{k}.pre")) & x["text"].isNotNull())["text"])
+        got = got.withColumns({k: F.struct(F.element_at(F.col(f"_{k}.attrs"), "relativeFrom").alias("from")), f"{k}_align": leaf("align"), f"{k}_offset": leaf("posOffset")})
     share = lambda side: F.least(F.greatest(F.coalesce(F.element_at("rect", side).try_cast("long") / SHARE_OF_ONE, F.lit(0.0)), F.lit(0.0)), F.lit(0.99))
     sides = {n: share(k) for n, k in (("left", "l"), ("top", "t"), ("right", "r"), ("bottom", "b"))}
     crop = F.struct(*(v.alias(n) for n, v in sides.items()))

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators import fidelity, layout
+from quire.operators import fidelity, layout, looks
 from quire.plans import catalogue
+from quire.sources import markup
 
 from .test_catalogue import rows
 
@@ -53,3 +54,17 @@ def test_a_mark_at_the_end_of_a_text_that_goes_on(spark):
     pairs = spark.createDataFrame([(1, "one two.\nY.", "one two.\nY. and 17 more"), (2, "a\nY. and", "a\nY."), (3, "a\nY.", "a\nZ. and")], "k int, a string, b string")
     got = {r.k: (r.kind, r.source, r.result) for r in fidelity.token_edits(pairs, keys=["k"], source="a", result="b").collect()}
     assert got == {1: ("added", "", "and 17 more"), 2: ("missing", "and", ""), 3: ("changed", "Y .", "and")}
+
+
+def steps(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pictures_are_read_where_their_part_is(spark):
+    xml = '<p><drawing><anchor><positionH relativeFrom="page"><align> left </align></positionH><extent cx="360000" cy="720000"/><t><drawing><inline><docPr name="in"/></inline></drawing></t><docPr name="out"/></anchor></drawing><drawing/></p>'
+    texts = spark.createDataFrame([("d", "word/document.xml", xml), ("e", "word/document.xml", "<p>")], "key string, part string, xml string")
+    out = looks.pictures_of(markup.nodes(texts))
+    assert "Exchange" not in steps(out)
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[2])
+    assert [(r[2], r[3], r[6], r[7]) for r in got] == [(1, "out", 1.0, 2.0), (7, "in", None, None), (11, None, None, None)]
+    assert got == sorted(map(tuple, looks.pictures(markup.tree(texts)).collect()), key=lambda r: r[2])
