@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import markup, packages
-from ..sources.markup import PART, within
+from ..sources.markup import PART
 from ..sources.packages import UNDERLINES
 from ..sources.tables import written
 
@@ -39,8 +39,7 @@ def on(value: Column) -> Column:
 
 def own_looks(rows: DataFrame) -> DataFrame:
     """(key, part, owner, hidden, underline, scale, effects, rtl): what run properties say themselves; owner is the number of what holds them."""
-    holders = rows.where("tag = 'rPr'").select(*PART, F.col("pre").alias("up"), F.col("up").alias("owner"))
-    said = rows.join(holders, [*PART, "up"])
+    said = rows.where("up_tag = 'rPr'").withColumn("owner", F.col("over"))
     tag, value = F.col("tag"), attr("val")
     scale = F.when(value.rlike(r"^\d+$"), value.cast("int"))
     valued = F.when(tag == "bdr", ~attr("val", "").isin("nil", "none")).otherwise(attr("val", "") != "none")
@@ -90,12 +89,9 @@ def run_looks(rows: DataFrame) -> DataFrame:
     usual = styles.where("paragraph and `default`").groupBy("key").agg(F.max_by("style", "pre").alias("_usual"))
     base = sheet.where("tag = 'rPrDefault'").select(*PART, "pre").join(of, [*PART, "pre"]).groupBy("key").agg(F.min_by("look", "pre").alias("_base"))
     body = rows.where("part = 'word/document.xml'")
-    body = within(body, F.col("tag") == "p", "_p", F.col("pre"))
-    body = written(within(body, F.col("tag").isin("del", "moveFrom"), "_away", F.lit(True)), "body")
-    styled = lambda tag, holder, name: body.where(F.col("tag") == tag).select(*PART, F.col("up").alias("pre"), attr("val").alias(name)).join(
-        body.where(F.col("tag") == holder).select(*PART, "pre", F.col("up").alias("_of")), [*PART, "pre"]).groupBy(*PART, F.col("_of").alias("pre")).agg(F.first(name).alias(name))
+    styled = lambda tag, holder, name: body.where((F.col("tag") == tag) & (F.col("up_tag") == holder)).groupBy(*PART, F.col("over").alias("pre")).agg(F.min_by(attr("val"), "pre").alias(name))
     texts = body.where("tag = 't'").groupBy(*PART, F.col("up").alias("pre")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pre").alias("n"), F.coalesce("text", F.lit("")).alias("t")))), lambda s: s["t"]), "").alias("text"))
-    runs = body.where("tag = 'r' and _away is null").select(*PART, "pre", "_p").join(texts, [*PART, "pre"]).where(F.trim("text") != "")
+    runs = body.where("tag = 'r' and in_away is null").select(*PART, "pre", F.col("in_p").alias("_p")).join(texts, [*PART, "pre"]).where(F.trim("text") != "")
     runs = runs.join(said.select(*PART, F.col("owner").alias("pre"), look.alias("_own"), "rtl"), [*PART, "pre"], "left").join(styled("rStyle", "rPr", "_character"), [*PART, "pre"], "left")
     paragraphs = styled("pStyle", "pPr", "_named").withColumnRenamed("pre", "_p")
     runs = runs.join(paragraphs, [*PART, "_p"], "left").join(usual, "key", "left").join(base, "key", "left").withColumn("_style", F.coalesce("_named", "_usual"))

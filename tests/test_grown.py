@@ -68,3 +68,10 @@ def test_pictures_are_read_where_their_part_is(spark):
     got = sorted(map(tuple, out.collect()), key=lambda r: r[2])
     assert [(r[2], r[3], r[6], r[7]) for r in got] == [(1, "out", 1.0, 2.0), (7, "in", None, None), (11, None, None, None)]
     assert got == sorted(map(tuple, looks.pictures(markup.tree(texts)).collect()), key=lambda r: r[2])
+
+
+def test_nothing_is_sorted_to_find_what_is_around(spark):
+    xml = "<body><p><r><rPr><vanish/></rPr><t>a</t></r><del><r><t>b</t></r></del><r><t>c</t></r></p></body>"
+    sheet = "<styles><style styleId='s' type='paragraph'/></styles>"
+    out = looks.run_looks(markup.tree(spark.createDataFrame([("d", "word/document.xml", xml), ("d", "word/styles.xml", sheet)], "key string, part string, xml string")))
+    assert "Window" not in steps(out) and sorted((r.text, r.hidden) for r in out.collect()) == [("a", True), ("c", None)]
