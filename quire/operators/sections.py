@@ -29,9 +29,8 @@ def page_setups(rows: DataFrame, *, bounded: bool = True) -> DataFrame:
     unless lengths are not `bounded`, but as they are written.
     """
     body = rows.where("part = 'word/document.xml'")
-    owners = body.where("tag = 'sectPr'").select(*PART, "pre")
     parents = body.where("tag = 'body'").select(*PART, F.col("pre").alias("_body"))
-    own = body.join(owners.withColumnRenamed("pre", "up"), [*PART, "up"]).groupBy(*PART, F.col("up").alias("pre")).agg(
+    own = body.where("up_tag = 'sectPr'").groupBy(*PART, F.col("up").alias("pre")).agg(
         *(F.min_by(F.when(F.col("tag") == t, F.col("attrs")), F.when(F.col("tag") == t, F.col("pre"))).alias(t) for t in ("pgSz", "pgMar", "cols", "pgNumType", "type")))
     placed = body.where("tag = 'sectPr'").select(*PART, "pre", "up").join(own, [*PART, "pre"], "left").join(parents, PART, "left")
     at = lambda part, name: F.element_at(part, name)
@@ -64,8 +63,7 @@ def page_setups(rows: DataFrame, *, bounded: bool = True) -> DataFrame:
 
 def own_values(rows: DataFrame) -> DataFrame:
     """(key, part, owner, values): what paragraph and run properties say, as a map by property; owner is the number of what holds them."""
-    holders = rows.where("tag in ('pPr', 'rPr')").select(*PART, F.col("pre").alias("up"), F.col("up").alias("owner"))
-    said = rows.join(holders, [*PART, "up"])
+    said = rows.where("up_tag in ('pPr', 'rPr')").withColumn("owner", F.col("over"))
     tag, val = F.col("tag"), L.attr("val")
     switch = F.when(L.on(L.attr("val", "true")), "true").otherwise("false")
     number = lambda name, per: U.number_text(F.bround(L.attr(name).try_cast("int") / per, 2))
