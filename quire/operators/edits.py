@@ -166,16 +166,25 @@ def structured(pieces: DataFrame, answers: DataFrame, segments: DataFrame, *, do
     """(doc, ord, type, level, content, from_model): each piece's blocks from the model's answer if that holds the piece's text exactly, else from the segments.
 
     pieces: doc, piece, text; answers and segments: doc, piece, ord, type, level, content. Pieces from MODEL_PIECES on are not
-    asked about. Equality is that of tokens: only structure may change.
+    asked about. Equality is that of tokens: only structure may change. What belongs to a piece meets in one shuffle, by the
+    document, and its tokens are compared there once: as a condition of a join they would be the join's key.
     """
-    told = answers.groupBy(doc, "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda s: s["content"]), "\n").alias("_said"))
-    both = pieces.where(F.col("piece") < MODEL_PIECES).join(told, [doc, "piece"])
-    good = both.where(X.tokens(F.col("text")) == X.tokens(F.col("_said"))).select(doc, "piece")
-    own = answers.join(good, [doc, "piece"], "left_semi").withColumn("from_model", F.lit(True))
-    rest = segments.join(good, [doc, "piece"], "left_anti").withColumn("from_model", F.lit(False))
+    cols = ["type", "level", "content"]
+    block = ["ord", "content", "type", "level"]
+    kind = T.StructType([answers.schema[c] for c in block]).simpleString()
+
+    def rows(df: DataFrame, **own: Column) -> DataFrame:
+        none = {"_text": F.lit(None).cast("string"), "_said": F.lit(None).cast(kind), "_own": F.lit(None).cast(kind)}
+        return df.select(doc, "piece", *((own.get(n, c)).alias(n) for n, c in none.items()))
+
+    every = rows(pieces.where(F.col("piece") < MODEL_PIECES), _text=F.col("text")).unionByName(rows(answers, _said=F.struct(*block).cast(kind))).unionByName(rows(segments, _own=F.struct(*block).cast(kind)))
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = every.repartition(parts, doc).groupBy(doc, "piece").agg(F.collect_list("_text").alias("_texts"), F.array_sort(F.collect_list("_said")).alias("_said"), F.collect_list("_own").alias("_own"))
+    said = F.array_join(F.transform("_said", lambda s: s["content"]), "\n")
+    met = met.withColumn("_good", F.col(doc).isNotNull() & (F.size("_said") > 0) & F.exists("_texts", lambda text: X.tokens(text) == X.tokens(said)))
+    out = met.select(doc, "piece", F.col("_good").alias("from_model"), F.inline(F.when(F.col("_good"), F.col("_said")).otherwise(F.col("_own"))))
     nth = F.row_number().over(W.partitionBy(doc).orderBy("piece", "ord")) - 1
-    cols = ["type", "level", "content", "from_model"]
-    return own.select(doc, "piece", "ord", *cols).unionByName(rest.select(doc, "piece", "ord", *cols)).select(doc, nth.alias("ord"), *cols)
+    return out.select(doc, nth.alias("ord"), *cols, "from_model")
 
 
 def all_runs(elements: DataFrame, *, doc: str = "doc_id") -> DataFrame:
