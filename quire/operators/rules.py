@@ -91,11 +91,13 @@ def css_rows(rules: DataFrame, keys: list[str]) -> DataFrame:
 def resolve(rules: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, target, css, value): the look of each target of each key.
 
-    The winning rules of a key come together in one row; what the defaults add to them, and what each kind of text takes
-    from Paragraph where nothing sets it, follows there from literal tables, so nothing is joined. A key needs memory for
-    its own winning rules. Keys without a usable rule have the defaults.
+    The rules of a key meet in one shuffle, its winning ones in one row; the fixed table of what the defaults give and of
+    what each kind of text takes from Paragraph is laid out beside them, and each of its rows asks the few own ones whether
+    it holds, so nothing is joined. A key needs memory for its own winning rules. Keys without a usable rule have the defaults.
     """
-    marked = rules.withColumn("_c", units.clean_value(F.col("property"), F.col("value"), F.col("unit")))
+    parts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but each key becomes about 85 rows: not to be coalesced
+    met = rules.repartition(parts, *keys) if keys else rules
+    marked = met.withColumn("_c", units.clean_value(F.col("property"), F.col("value"), F.col("unit")))
     counts = F.col("_c").isNotNull() & ~F.col("property").isin(*PAGE_PROPERTIES) & (F.col("target") != "Document")
     order = F.struct((~counts).cast("int").alias("n"), F.col("priority"), F.col("seq"))
     best = marked.groupBy(*keys, "target", "property").agg(F.min_by(F.when(counts, F.struct("_c.value", "_c.unit", "priority")), order).alias("w"))
@@ -103,22 +105,37 @@ def resolve(rules: DataFrame, keys: list[str]) -> DataFrame:
     given = F.concat_ws("/", "target", "property")
     loses = (F.col("w.priority") > DEFAULT) & given.isin(*(f"{t}/{p}" for t, p, _, _ in base))
     look = F.struct("target", given.alias("rule"), units.css_of(F.col("property"), F.col("w.value"), F.col("w.unit")).alias("pairs"))
-    parts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but each key becomes about 85 rows: not to be coalesced
-    best = best.repartition(parts, *keys) if keys else best
     own = best.groupBy(*keys).agg(F.collect_list(F.when(F.col("w").isNotNull() & ~loses, look)).alias("own"))
-    defaults = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(f"{t}/{p}").alias("rule"), F.array(*(F.struct(F.lit(c).alias("css"), F.lit(v).alias("value")) for c, v in pairs)).alias("pairs")) for t, p, pairs in default_looks(rules.sparkSession, base)))
-    own = own.withColumn("set", F.transform("own", lambda r: r["rule"]))
-    every = F.concat(F.col("own"), F.filter(defaults, lambda r: ~F.array_contains("set", r["rule"])))
-    rows = F.flatten(F.transform(every, lambda r: F.transform(r["pairs"], lambda x: F.struct(r["target"].alias("target"), x["css"].alias("css"), x["value"].alias("value")))))
-    own = own.select(*keys, rows.alias("rows"))
+    kind = "array<struct<how:int,target:string,css:string,value:string,rule:string>>"
+    flat = F.flatten(F.transform("own", lambda r: F.transform(r["pairs"], lambda x: F.struct(F.lit(OWN).alias("how"), r["target"].alias("target"), x["css"].alias("css"), x["value"].alias("value"), r["rule"].alias("rule")))))
+    own = own.select(*keys, F.transform("own", lambda r: r["rule"]).alias("set"), flat.cast(kind).alias("rows"))
     own = own.withColumns({
-        "here": F.transform("rows", lambda r: F.concat_ws("/", r["target"], r["css"])), "targets": F.array_distinct(F.transform("rows", lambda r: r["target"])),
+        "here": F.transform("rows", lambda r: F.concat_ws("/", r["target"], r["css"])),
         "body": F.map_from_entries(F.transform(F.filter("rows", lambda r: r["target"] == "Paragraph"), lambda r: F.struct(r["css"], r["value"]))),
     })
-    takes = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(c).alias("css"), F.lit(f"{t}/{c}").alias("at")) for t, css in FROM_BODY.items() for c in css))
-    open_ = F.filter(takes, lambda x: F.array_contains("targets", x["target"]) & F.map_contains_key("body", x["css"]) & ~F.array_contains("here", x["at"]))
-    taken = F.transform(open_, lambda x: F.struct(x["target"].alias("target"), x["css"].alias("css"), F.element_at("body", x["css"]).alias("value")))
-    return own.select(*keys, F.inline(F.concat(F.col("rows"), taken)))
+    slots = F.array(*(F.struct(*map(F.lit, s)) for s in slots_of(default_looks(rules.sparkSession, base)))).cast(kind)
+    each = own.select(*keys, "set", "here", "body", F.inline(F.concat("rows", slots)))
+    how, css = F.col("how"), F.col("css")
+    held = F.map_contains_key("body", css)
+    taken = (how == TAKEN) & ~F.array_contains("here", F.col("rule")) & (held | F.col("value").isNotNull())
+    shown = (how == OWN) | ((how == GIVEN) & ~F.array_contains("set", F.col("rule"))) | taken
+    return each.where(shown).select(*keys, "target", "css", F.when((how == TAKEN) & held, F.element_at("body", css)).otherwise(F.col("value")).alias("value"))
+
+
+#: Where a row of a look is from: the key's own rule, a default rule, or Paragraph.
+OWN, GIVEN, TAKEN = range(3)
+
+
+def slots_of(looks: list[tuple]) -> list[tuple]:
+    """(how, target, css, value, rule) of what a key without rules has: a fixed table of about 100 rows.
+
+    A rule gives the same css whatever its value, and every target that takes from Paragraph has defaults, so what a
+    default rule sets is set in any case, and only what none sets can be taken: there `rule` is the target and css, and
+    value what Paragraph has by default, null if nothing.
+    """
+    given = [(GIVEN, t, css, v, f"{t}/{p}") for t, p, pairs in looks for css, v in pairs]
+    set_, body = {(t, css) for _, t, css, _, _ in given}, {css: v for _, t, css, v, _ in given if t == "Paragraph"}
+    return given + [(TAKEN, t, css, body.get(css), f"{t}/{css}") for t, own in FROM_BODY.items() for css in own if (t, css) not in set_]
 
 
 def settings(rules: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps whose cost once grew faster than their input: what they now give, and how they are planned."""
 
 from quire.operators import edits as E
+from quire.operators import rules as R
 
 
 def planned(df) -> str:
@@ -16,3 +17,20 @@ def test_pieces_meet_in_one_shuffle(spark):
     assert "Join" not in planned(out) and planned(out).count("Exchange") == 1
     assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == [
         (1, 0, "heading", 1, "one", True), (1, 1, "paragraph", None, "two", True), (1, 2, "paragraph", None, "three", False), (1, 3, "paragraph", None, "late", False), (2, 0, "paragraph", None, "alone", False)]
+
+
+def test_looks_are_asked_once_a_row(spark):
+    """The fixed table is laid out as rows: nothing is searched for in lists of a key's whole look; all rules of a key meet in one shuffle."""
+    kind = "doc_id int, target string, property string, value string, unit string, priority int, source string, seq long"
+    rules = spark.createDataFrame([
+        (1, "Paragraph", "color", "red", None, 4, "x", 1), (1, "Heading 1", "color", "blue", None, 4, "x", 2), (1, "Paragraph", "alignment", "right", None, 4, "x", 3), (1, "List", "alignment", "center", None, 4, "x", 4),
+        (1, "Paragraph", "fontSize", "12", "pt", 9, "x", 5), (1, "Nowhere", "bold", "true", None, 4, "x", 6), (2, "Paragraph", "color", "plaid", None, 4, "x", 1),
+    ], kind)
+    out = R.resolve(rules, ["doc_id"])
+    assert planned(out).count("Exchange") == 1
+    got = {(r.doc_id, r.target, r.css): r.value for r in out.collect()}
+    assert out.count() == len(got)
+    assert [got[1, "Quote", c] for c in ("color", "text-align", "font-size", "line-height", "font-style")] == ["red", "right", "11pt", "1.15", "italic"]
+    assert [got[1, t, c] for t, c in (("Heading 1", "color"), ("Heading 2", "color"), ("List", "text-align"), ("Paragraph", "font-size"), ("Nowhere", "font-weight"))] == ["blue", "red", "center", "11pt", "bold"]
+    assert not [k for k in got if k[0] == 2 and k[2] == "color"] and not [k for k in got if k[1] == "Nowhere" and k[2] != "font-weight"]
+    assert [got[2, "Caption", c] for c in ("font-size", "font-family", "text-align")] == ["9pt", "Arial", "left"]
