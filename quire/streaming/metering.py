@@ -35,6 +35,15 @@ def window_counts(events: DataFrame, *, key: list[str], seconds: int, late: str
     return marked.groupBy(F.window("ts", f"{seconds} seconds"), *key).agg(F.count("*").alias("hits")).select(F.col("window.start").alias("start"), *key, "hits")
 
 
+#: Fixed value: keys share so many states, since a call of Python for each key costs more than its few rows.
+BUCKETS = 1024
+
+
+def shared_state(rows: DataFrame, key: str) -> DataFrame:
+    """rows with their key as a text, `state_key`, and the bucket whose state holds it."""
+    return rows.withColumns({"state_key": F.col(key).cast("string"), "state_bucket": F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")}).drop(key)
+
+
 def refusals(events: DataFrame, *, key: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
     """Hits beyond the limit of their fixed window, as they come.
 
@@ -129,27 +138,29 @@ def sweeping(ticks: DataFrame, sweep: Callable[[datetime], None], *, checkpoint:
 def burst_history(saves: DataFrame, *, doc: str, seconds: float = BURST_SECONDS) -> DataFrame:
     """Steps of each document's history after every batch (update mode): (doc, step, kind, started, saves).
 
-    A save counts when its batch comes: within a batch by time, and later batches go on at the tip. State is the tip of each
-    document, four numbers, which its next save needs whenever that comes; it is never dropped.
+    A save counts when its batch comes: within a batch by time, and later batches go on at the tip. State is the tips of a
+    bucket's documents, four numbers each, which the next save needs whenever that comes; it is never dropped.
     """
     kind = saves.schema[doc].dataType.simpleString()
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, tip, begun, n = state.get if state.exists else (0, "", 0, 0)
-        out: dict[int, tuple] = {}
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tips = {k: tuple(tip) for k, *tip in zip(*state.get)} if state.exists else {}
+        out: dict[tuple, tuple] = {}
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for what, ts in zip(rows["kind"], rows["ts"]):
-            micros = ts.value // 1000
+        for k, what, micros in zip(rows["state_key"].tolist(), rows["kind"].tolist(), rows["ts"].to_numpy("datetime64[us]").astype("int64").tolist()):
+            number, tip, begun, n = tips.get(k, (0, "", 0, 0))
             if number and what == "content" == tip and micros - begun < seconds * 1_000_000:
                 n += 1
             else:
                 number, tip, begun, n = number + 1, what, micros, 1
-            out[number] = (k[0], number, tip, pd.Timestamp(begun, unit="us"), n)
-        state.update((int(number), tip, int(begun), int(n)))
-        yield pd.DataFrame(list(out.values()), columns=[doc, "step", "kind", "started", "saves"])
-
-    out = f"{doc} {kind}, step long, kind string, started timestamp, saves long"
-    return saves.select(doc, "event_id", "ts", "kind").groupBy(doc).applyInPandasWithState(step, out, "number long, tip string, begun long, n long", "update", GroupStateTimeout.NoTimeout)
+            tips[k] = out[k, number] = (number, tip, begun, n)
+        state.update((list(tips), *map(list, zip(*tips.values()))))
+        told = pd.DataFrame([(k, *v) for (k, _), v in out.items()], columns=["state_key", "step", "kind", "started", "saves"])
+        yield told.assign(started=pd.to_datetime(told["started"], unit="us"))
+
+    made = shared_state(saves.select(doc, "event_id", "ts", "kind"), doc).groupBy("state_bucket").applyInPandasWithState(
+        step, "state_key string, step long, kind string, started timestamp, saves long", "keys array<string>, number array<long>, tip array<string>, begun array<long>, n array<long>", "update", GroupStateTimeout.NoTimeout)
+    return made.select(F.col("state_key").cast(kind).alias(doc), "step", "kind", "started", "saves")
 
 
 def drained(stream: DataFrame, path: str, *, mode: str, checkpoint: str) -> None:

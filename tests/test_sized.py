@@ -1,7 +1,11 @@
 """Steps whose cost once grew faster than their input: what they now give, and how they are planned."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from quire.operators import edits as E
 from quire.operators import rules as R
+from quire.streaming import metering as SM
 
 
 def planned(df) -> str:
@@ -34,3 +38,27 @@ def test_looks_are_asked_once_a_row(spark):
     assert [got[1, t, c] for t, c in (("Heading 1", "color"), ("Heading 2", "color"), ("List", "text-align"), ("Paragraph", "font-size"), ("Nowhere", "font-weight"))] == ["blue", "red", "center", "11pt", "bold"]
     assert not [k for k in got if k[0] == 2 and k[2] == "color"] and not [k for k in got if k[1] == "Nowhere" and k[2] != "font-weight"]
     assert [got[2, "Caption", c] for c in ("font-size", "font-family", "text-align")] == ["9pt", "Arial", "left"]
+
+
+@pytest.mark.parametrize("kind", ["burst_history"])
+def test_keys_share_states(spark, tmp_path, kind):
+    """A stream of more keys than there are buckets, a null one too: as many states as buckets at most, and what each key's own rows say."""
+    n = 1500
+    rows = spark.range(n * 4).select(F.when(F.col("id") % n > 0, F.col("id") % n).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / n) * 600).alias("ts"), F.lit("content").alias("kind"), F.lit(1).alias("n"), F.lit(3).alias("most"))
+    rows.write.parquet(f"{tmp_path}/in")
+    SM.keyed_state(spark)
+    stream = SM.event_stream(spark, f"{tmp_path}/in")
+    if kind == "refusals":
+        out = SM.refusals(stream, key="user_id", limit=3, seconds=86400).select("user_id", "nth")
+        want = {(u, 4) for u in [None, *range(1, n)]}
+    elif kind == "burst_history":
+        out = SM.burst_history(stream, doc="user_id", seconds=1500).select("user_id", "step", "saves")
+        want = {(u, *x) for u in [None, *range(1, n)] for x in ((1, 3), (2, 1))}
+    else:
+        held = spark.createDataFrame([(7, 2), (8, 9)], "user_id long, n int")
+        out = SM.admissions(stream, held, workspace="user_id", order=["ts", "event_id"]).where("ok").select("user_id", "event_id")
+        want = {(u or None, u + n * k) for u in range(n) for k in range({7: 1, 8: 0}.get(u, 3))}
+    q = out.writeStream.format("memory").queryName(f"shared_{kind}").outputMode("update" if kind == "burst_history" else "append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {tuple(r) for r in spark.table(f"shared_{kind}").collect()} == want
+    assert max(p["stateOperators"][-1]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= SM.BUCKETS
