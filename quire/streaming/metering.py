@@ -76,25 +76,32 @@ def refusals(events: DataFrame, *, key: str, limit: int, seconds: int, late: str
 
 
 class Admissions(StatefulProcessor):
-    """What a workspace's admitted requests have used so far; state is one number, which lives as long as the workspace."""
+    """What the admitted requests of a bucket's workspaces have used so far; state is one number each, which lives as long as the workspace."""
 
-    def __init__(self, names: list[str], order: list[str]):
-        self.names, self.order = names, order
+    def __init__(self, order: list[str]):
+        self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "n long")
+        self.used = handle.getValueState("used", "keys array<string>, n array<long>")
+
+    def held(self) -> dict:
+        return dict(zip(*self.used.get())) if self.used.exists() else {}
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.used.update((int(initialState["n"].fillna(0).sum()),))
+        used = self.held()
+        for k, n in zip(initialState["state_key"].tolist(), initialState["n"].fillna(0).tolist()):
+            used[k] = used.get(k, 0) + int(n)
+        self.used.update((list(used), list(used.values())))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        used = self.used.get()[0] if self.used.exists() else 0
+        used = self.held()
         asked, ok = pd.concat(list(rows)).sort_values(self.order), []
-        for n, most in zip(asked["n"].fillna(0).tolist(), asked["most"].tolist()):
-            ok.append(bool(pd.isna(most) or used + n <= most))
-            used += n if ok[-1] else 0
-        self.used.update((int(used),))
-        yield asked[self.names].assign(ok=ok)
+        for k, n, most in zip(asked["state_key"].tolist(), asked["n"].fillna(0).tolist(), asked["most"].tolist()):
+            now = used.get(k, 0)
+            ok.append(bool(pd.isna(most) or now + n <= most))
+            used[k] = int(now + n) if ok[-1] else now
+        self.used.update((list(used), list(used.values())))
+        yield asked[["state_key", *self.order]].assign(ok=ok)
 
     def close(self) -> None:
         pass
@@ -107,11 +114,11 @@ def admissions(requests: DataFrame, held: DataFrame, *, workspace: str, order: l
     held: workspace, n, where the state begins, if the query has no checkpoint yet. A refused request takes nothing. Needs
     the RocksDB state store (see `keyed_state`).
     """
-    names = [workspace, *order]
-    schema = T.StructType([*(requests.schema[c] for c in names), T.StructField("ok", T.BooleanType())])
-    begin = held.select(workspace, F.col("n").cast("long").alias("n")).groupBy(workspace)
-    return requests.select(workspace, *order, F.col("n").cast("long").alias("n"), F.col("most").cast("long").alias("most")).groupBy(workspace).transformWithStateInPandas(
-        Admissions(names, order), schema, "append", "none", begin)
+    schema = T.StructType([T.StructField("state_key", T.StringType()), *(requests.schema[c] for c in order), T.StructField("ok", T.BooleanType())])
+    begin = shared_state(held.select(F.col(workspace).cast(requests.schema[workspace].dataType).alias(workspace), F.col("n").cast("long").alias("n")), workspace).groupBy("state_bucket")
+    asked = shared_state(requests.select(workspace, *order, F.col("n").cast("long").alias("n"), F.col("most").cast("long").alias("most")), workspace)
+    out = asked.groupBy("state_bucket").transformWithStateInPandas(Admissions(order), schema, "append", "none", begin)
+    return out.select(F.col("state_key").cast(requests.schema[workspace].dataType).alias(workspace), *order, "ok")
 
 
 def keyed_state(spark: SparkSession) -> None:
