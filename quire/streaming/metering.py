@@ -47,32 +47,35 @@ def shared_state(rows: DataFrame, key: str) -> DataFrame:
 def refusals(events: DataFrame, *, key: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
     """Hits beyond the limit of their fixed window, as they come.
 
-    State is each key's open windows with their counts: hits of an earlier window may come in a later batch until the
-    watermark has passed its end; then the window is dropped. Hits count in the order of their batches, within a batch by time.
+    State is the open windows of a bucket's keys with their counts: hits of an earlier window may come in a later batch until
+    the watermark has passed its end; then the window is dropped. Hits count in the order of their batches, within a batch by time.
     """
     kind = events.schema[key].dataType.simpleString()
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get)) if state.exists else {}
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, windows, counts = state.get if state.exists else ((), (), ())
+        held = dict(zip(zip(keys, windows), counts))
         passed = state.getCurrentWatermarkMs()
-        out: list[tuple] = []
+        over: list[tuple] = []
         if not state.hasTimedOut:
             rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-            for w, ts, event in zip(rows["w"].tolist(), rows["ts"], rows["event_id"].tolist()):
-                held[w] = held.get(w, 0) + 1
-                if held[w] > limit:
-                    out.append((k[0], event, ts, w, held[w]))
-        held = {w: n for w, n in held.items() if (w + 1) * seconds * 1000 > passed}
+            for at, one in enumerate(zip(rows["state_key"].tolist(), rows["w"].tolist())):
+                held[one] = n = held.get(one, 0) + 1
+                if n > limit:
+                    over.append((at, n))
+        held = {(k, w): n for (k, w), n in held.items() if (w + 1) * seconds * 1000 > passed}
         if held:
-            state.update((list(held), list(held.values())))
-            state.setTimeoutTimestamp(max((min(held) + 1) * seconds * 1000, passed) + 1)
+            state.update(([k for k, _ in held], [w for _, w in held], list(held.values())))
+            state.setTimeoutTimestamp(max((min(w for _, w in held) + 1) * seconds * 1000, passed) + 1)
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=[key, "event_id", "ts", "window", "nth"])
+        if over:
+            yield rows.iloc[[at for at, _ in over]][["state_key", "event_id", "ts", "w"]].rename(columns={"w": "window"}).assign(nth=[n for _, n in over])
 
-    hits = events.withWatermark("ts", late).select(key, "event_id", "ts", fixed_window(F.col("ts"), F.lit(seconds)).alias("w"))
-    return hits.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, ts timestamp, window long, nth long", "windows array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    hits = shared_state(events.withWatermark("ts", late).select(key, "event_id", "ts", fixed_window(F.col("ts"), F.lit(seconds)).alias("w")), key)
+    out = hits.groupBy("state_bucket").applyInPandasWithState(
+        step, "state_key string, event_id long, ts timestamp, window long, nth long", "keys array<string>, windows array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.col("state_key").cast(kind).alias(key), "event_id", "ts", "window", "nth")
 
 
 class Admissions(StatefulProcessor):

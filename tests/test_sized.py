@@ -40,7 +40,7 @@ def test_looks_are_asked_once_a_row(spark):
     assert [got[2, "Caption", c] for c in ("font-size", "font-family", "text-align")] == ["9pt", "Arial", "left"]
 
 
-@pytest.mark.parametrize("kind", ["burst_history", "admissions"])
+@pytest.mark.parametrize("kind", ["refusals", "burst_history", "admissions"])
 def test_keys_share_states(spark, tmp_path, kind):
     """A stream of more keys than there are buckets, a null one too: as many states as buckets at most, and what each key's own rows say."""
     n = 1500
