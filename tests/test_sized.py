@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quire.operators import edits as E
 from quire.operators import fidelity as V
 from quire.operators import rules as R
+from quire.operators import segment as G
 from quire.streaming import metering as SM
 
 
@@ -71,3 +72,12 @@ def test_texts_are_compared_once(spark):
     assert planned(out).count("MapInArrow") == 1 and "Join" not in planned(out)
     assert sorted((r.k, r.kind, r.category, r.result) for r in out.collect()) == [(1, "added", "duplicate", "a b"), (2, "added", "words", "x y"), (3, "added", "words", "a c z")]
     assert [(r.n, r.p) for r in V.check_text(pairs, keys=["k"], source="s", result="r").selectExpr("k", "differences n", "verified p").sort("k").collect()] == [(1, False), (1, False), (1, False), (0, True)]
+
+
+def test_levels_are_one_number(spark):
+    used = spark.createDataFrame([(1, 2), (1, 4), (1, 4), (2, 6)], "doc_id int, level int")
+    every = G.nearest_level(None, used)
+    assert "Join" not in planned(every) and "SortAggregate" not in planned(every) and planned(every).count("Exchange") == 1
+    assert sorted(map(tuple, every.collect())) == [(1, 1, 2), (1, 2, 2), (1, 3, 4), (1, 4, 4), (1, 5, 4), (1, 6, 4), *((2, k, 6) for k in range(1, 7))]
+    wanted = spark.createDataFrame([(1, 3), (2, 1), (3, 1)], "doc_id int, level int")
+    assert sorted(map(tuple, G.nearest_level(wanted, used).collect())) == [(1, 3, 4), (2, 1, 6)]
