@@ -142,14 +142,22 @@ def cell_regions(row: Column, col: Column, rows: Column, cols: Column, look: Col
 def cell_looks(cells: DataFrame, tables: DataFrame, styles: DataFrame, *, table: str = "table_id") -> DataFrame:
     """(table, row, col, property, value, region): what a table's style gives each cell, the strongest region's value of each property.
 
-    cells: table, row, col, and own (a map, which is above all regions); tables: table, style, rows, cols, look;
+    cells: table, row, col, and own (a map, which is above all regions), a row for each cell; tables: table, style, rows, cols, look;
     styles: style, region, property, value (resolved through what they are based on, see `catalog.effective_values`).
+    A table brings its style's few settings with it, by region, and each cell takes from them where it is: cells meet their
+    table in one shuffle, and what regions give is neither joined nor sorted.
     """
-    placed = cells.join(tables, table).withColumn("_r", F.explode(cell_regions(F.col("row"), F.col("col"), F.col("rows"), F.col("cols"), F.col("look"))))
-    given = placed.select(table, "row", "col", "style", F.col("_r.rank").alias("rank"), F.col("_r.region").alias("region")).join(styles, ["style", "region"]).select(table, "row", "col", "property", "value", "rank", "region")
-    own = cells.select(table, "row", "col", F.explode("own").alias("property", "value")).select("*", F.lit(len(REGIONS)).alias("rank"), F.lit("own").alias("region"))
-    best = given.unionByName(own).groupBy(table, "row", "col", "property").agg(F.max_by(F.struct("value", "region"), "rank").alias("s"))
-    return best.select(table, "row", "col", "property", "s.value", "s.region")
+    kind = "array<struct<property:string,value:string,region:string>>"
+    told = F.struct("property", "value", "region")
+    given = styles.groupBy("style").agg(F.array(*(F.collect_list(F.when(F.col("region") == r, told)) for r in REGIONS)).cast(f"array<{kind}>").alias("_given"))
+    placed = cells.join(tables.join(given, "style", "left"), table, "left")
+    none = F.array().cast(kind)
+    regions = F.reverse(cell_regions(F.col("row"), F.col("col"), F.col("rows"), F.col("cols"), F.col("look")))
+    styled = F.flatten(F.transform(regions, lambda r: F.get("_given", r["rank"])))
+    own = F.transform(F.map_entries("own"), lambda e: F.struct(e["key"].alias("property"), e["value"].alias("value"), F.lit("own").alias("region"))).cast(kind)
+    # an array of one, so that what follows does not work the settings out for each of them again
+    strongest = F.transform(F.array(F.concat(F.coalesce(own, none), F.coalesce(styled, none))), lambda s: F.filter(s, lambda x, k: F.array_position(s["property"], x["property"]) == k + 1))
+    return placed.select(table, "row", "col", F.inline(F.get(strongest, F.lit(0))))
 
 
 def emu_cm(value: Column, low: float, high: float) -> Column:

@@ -1,10 +1,13 @@
 """Steps whose cost once grew faster than their input: what they now give, and how they are planned."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import edits as E
 from quire.operators import fidelity as V
+from quire.operators import looks
 from quire.operators import rules as R
 from quire.operators import segment as G
 from quire.streaming import metering as SM
@@ -81,3 +84,14 @@ def test_levels_are_one_number(spark):
     assert sorted(map(tuple, every.collect())) == [(1, 1, 2), (1, 2, 2), (1, 3, 4), (1, 4, 4), (1, 5, 4), (1, 6, 4), *((2, k, 6) for k in range(1, 7))]
     wanted = spark.createDataFrame([(1, 3), (2, 1), (3, 1)], "doc_id int, level int")
     assert sorted(map(tuple, G.nearest_level(wanted, used).collect())) == [(1, 3, 4), (2, 1, 6)]
+
+
+def test_cells_take_their_looks_where_they_are(spark):
+    """A cell that meets its table needs no more: what the regions of its style give is not joined by style and region, whose few values most cells share."""
+    styles = spark.createDataFrame([(1, "wholeTable", "fill", "w"), (1, "firstRow", "fill", "f"), (1, "firstRow", "bold", None), (1, "band1Horz", "edge", "b"), (1, "elsewhere", "fill", "x")], "style int, region string, property string, value string")
+    cells = spark.createDataFrame([("t", r, 0, {"fill": "own"} if r == 1 else {}) for r in range(3)] + [("no style", 0, 0, {}), ("no table", 0, 0, {"fill": "own"})], "table_id string, row int, col int, own map<string,string>")
+    tables = spark.createDataFrame([("t", 1, 3, 1), ("no style", 9, 1, 1)], "table_id string, style int, rows int, cols int").withColumn("look", looks.look_flags(F.lit("0420"), F.lit(None).cast("map<string,string>")))
+    out = looks.cell_looks(cells, tables, styles)
+    assert "Window" not in planned(out) and planned(out).count("Join") == 2 and not re.search(r"Exchange hashpartitioning\(style#\d+, region", planned(out))
+    assert sorted((r.table_id, r.row, r.property, r.value, r.region) for r in out.collect()) == [
+        ("no table", 0, "fill", "own", "own"), ("t", 0, "bold", None, "firstRow"), ("t", 0, "fill", "f", "firstRow"), ("t", 1, "edge", "b", "band1Horz"), ("t", 1, "fill", "own", "own"), ("t", 2, "fill", "w", "wholeTable")]
