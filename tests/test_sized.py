@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from quire.operators import fidelity as V
 from quire.operators import looks
 from quire.operators import rules as R
 from quire.operators import segment as G
+from quire.sources import markdown
 from quire.streaming import metering as SM
 
 
@@ -106,3 +108,22 @@ def test_a_writers_features_go_to_the_items(spark):
     assert "SortMergeJoin" not in steps and steps.count("Exchange hashpartitioning(report") == 1 and steps.count("Exchange hashpartitioning") == 1
     assert sorted((r.report, r.feature, r.reason, r.policy, r.changed, r.n, r.element_ids) for r in out.collect()) == [
         (1, "a", "new", "k", False, 3, ["e1", "e2"]), (1, "b", "r (s)", "p", True, 1, []), (2, "c", None, "p", False, 1, [])]
+
+
+def test_elements_are_handed_on_a_few_texts_at_a_time(spark, monkeypatch):
+    """Tasks hold the elements of a few texts, not of a batch: three texts come out in batches of their own, and all are there."""
+    sent = []
+
+    class Docs:
+        schema = spark.createDataFrame([], "k int, t string").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            sent.extend(run([pa.RecordBatch.from_pydict({"k": pa.array([1, 2, 3, 4], pa.int32()), "t": ["a *b*\n\n# c", None, "d" * 9, "e"]}), pa.RecordBatch.from_pydict({"k": pa.array([], pa.int32()), "t": pa.array([], pa.string())})]))
+            return spark.createDataFrame([(0, [])], schema)
+
+    monkeypatch.setattr(markdown, "AT_ONCE", 8)
+    markdown.elements(Docs(), doc="k", text="t")
+    assert [[(r["k"], [e["content"] for e in r["e"]]) for r in b.to_pylist()] for b in sent] == [[(1, ["a b", "c"])], [(2, []), (3, ["d" * 9])], [(4, ["e"])]]
