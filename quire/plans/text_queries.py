@@ -9,7 +9,7 @@ from ..functions import numbering as N
 from ..functions import text as X
 from ..functions import units as U
 from ..operators import segment as S
-from ..operators.compare import bag_missing, following, subsequences, windows_in
+from ..operators.compare import bag_missing_after, subsequences, windows_in
 from ..sources.tables import table
 from .catalogue import query
 
@@ -270,10 +270,7 @@ select a.doc_id, a.pos::integer as pos, a.word from a left join b on b.doc_id =
 @query(BAGS)
 def j16_bag_missing(spark, d):
     """Each document against the one with the next smaller doc_id; the first, which has none, lacks all its words."""
-    docs = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
-    before = following(docs.select("doc_id"), "doc_id").join(docs.select(F.col("doc_id").alias("before"), F.col("w").alias("kept")), "before")
-    pairs = docs.join(before.select("doc_id", "kept"), "doc_id", "left")
-    return bag_missing(pairs, key="doc_id", source="w", kept="kept").withColumnRenamed("at", "pos")
+    return bag_missing_after(table(spark, d, "documents"), key="doc_id", text="text").withColumnRenamed("at", "pos")
 
 
 def worded(spark, d):

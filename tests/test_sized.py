@@ -1,11 +1,14 @@
 """Steps whose cost once grew faster than their input: what they now give, and how they are planned."""
 
+import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import compare
 from quire.operators import edits as E
 from quire.operators import fidelity as V
 from quire.operators import looks
@@ -127,3 +130,38 @@ def test_elements_are_handed_on_a_few_texts_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(markdown, "AT_ONCE", 8)
     markdown.elements(Docs(), doc="k", text="t")
     assert [[(r["k"], [e["content"] for e in r["e"]]) for r in b.to_pylist()] for b in sent] == [[(1, ["a b", "c"])], [(2, []), (3, ["d" * 9])], [(4, ["e"])]]
+
+
+@pytest.mark.parametrize("words", [1, 7, 1 << 18])
+def test_texts_stand_behind_one_another(spark, monkeypatch, words):
+    """Each text is dealt once and a block's last one twice; whatever is compared together, each text has the one before it."""
+    monkeypatch.setattr(compare, "AT_ONCE", words)
+    rng = random.Random(words)
+    texts = [(i, rng.choice([None, "", *(" ".join(rng.choices("abcé", k=rng.randrange(1, 9))) for _ in range(6))])) for i in sorted(rng.sample(range(-50, 900), 150))]
+    want, before = [], Counter()
+    for k, text in texts:
+        left, before = before, Counter((text or "").split())
+        for at, w in enumerate((text or "").split(), 1):
+            if left[w] > 0:
+                left[w] -= 1
+            else:
+                want.append((k, at, w))
+    out = compare.bag_missing_after(spark.createDataFrame(texts, "k long, t string").repartition(3), key="k", text="t", block=4)
+    assert planned(out).count("regexp_extract_all") == 1
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_words_that_lack_are_handed_on_before_a_batch_ends(spark):
+    sent = []
+
+    class Pairs:
+        def select(self, *names):
+            self.schema = spark.createDataFrame([], "k int").schema
+            return self
+
+        def mapInArrow(self, run, schema):
+            words = pa.list_(pa.string())
+            sent.extend(run([pa.RecordBatch.from_arrays([pa.array(range(3), pa.int32()), pa.array([["a"] * compare.AT_ONCE, ["b", "a"], ["c"]], words), pa.array([None, ["a"], None], words)], names=["k", "a", "b"])]))
+
+    compare.bag_missing(Pairs(), key="k", source="a", kept="b")
+    assert [b.num_rows for b in sent] == [compare.AT_ONCE, 2] and sent[1].to_pylist() == [{"k": 1, "at": 1, "word": "b"}, {"k": 2, "at": 1, "word": "c"}]
