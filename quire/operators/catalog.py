@@ -144,9 +144,31 @@ def of_list(rows: DataFrame, ids: str, key: str) -> DataFrame:
 def ancestors(rows: DataFrame, *, key: str, parent: str) -> DataFrame:
     """(key, ancestor, depth): every row with those above it, the parent at depth 1; a ring ends where it comes back to one already met.
 
-    One round of joins for each level; each round is written, and keeps what the one before has found last.
+    A row's list of those above it is lengthened by the list of its last one, twice as far each round; lists are written and
+    meet by shuffles only. Rows that come with several parents have several ways up and are followed a level at a time.
     """
     up = rows.where(F.col(parent).isNotNull()).select(key, F.col(parent).alias("ancestor"))
+    if not up.groupBy(key).count().where("count > 1").isEmpty():
+        return ways(up, key)
+    return listed(up, key).select(key, F.posexplode("_up").alias("depth", "ancestor")).select(key, "ancestor", (F.col("depth") + 1).alias("depth"))
+
+
+def listed(up: DataFrame, key: str) -> DataFrame:
+    """(key, _up): for each row (key, ancestor) all those above it, nearest first. A list is done where it is shorter than the round's, or met one again."""
+    step = written(up.select(key, F.array(F.when(F.col(key) != F.col("ancestor"), F.col("ancestor"))).alias("_up")).select(key, F.array_compact("_up").alias("_up"), (F.size(F.array_compact("_up")) == 0).alias("_done")), "ancestors")
+    out, open_ = step.where("_done"), step.where("not _done")
+    while not open_.isEmpty():
+        far = out.unionByName(open_).select(F.col(key).alias("_last"), F.col("_up").alias("_more"), F.col("_done").alias("_ends"))
+        met = open_.withColumn("_last", F.element_at("_up", -1)).join(far.hint("merge"), "_last", "left")
+        walk = met.select(key, F.concat("_up", F.coalesce("_more", F.slice("_up", 1, 0))).alias("_walk"), F.coalesce("_ends", F.lit(True)).alias("_ends"))
+        once = F.array_remove(F.array_distinct("_walk"), F.col(key))
+        step = written(walk.select(key, once.alias("_up"), (F.col("_ends") | (F.size(once) < F.size("_walk"))).alias("_done")), "ancestors")
+        out, open_ = out.unionByName(step.where("_done")), step.where("not _done")
+    return out.select(key, "_up")
+
+
+def ways(up: DataFrame, key: str) -> DataFrame:
+    """(key, ancestor, depth) of rows (key, ancestor) with several ways up: one round of joins for each level, each of them written."""
     step = up.withColumns({"depth": F.lit(1), "_path": F.array(key, "ancestor")}).where(F.col(key) != F.col("ancestor"))
     above = up.select(F.col(key).alias("ancestor"), F.col("ancestor").alias("_next"))
     out = step = written(step, "ancestors")

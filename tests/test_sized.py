@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import compare
+from quire.operators import catalog, compare
 from quire.operators import edits as E
 from quire.operators import fidelity as V
 from quire.operators import looks
@@ -165,3 +165,22 @@ def test_words_that_lack_are_handed_on_before_a_batch_ends(spark):
 
     compare.bag_missing(Pairs(), key="k", source="a", kept="b")
     assert [b.num_rows for b in sent] == [compare.AT_ONCE, 2] and sent[1].to_pylist() == [{"k": 1, "at": 1, "word": "b"}, {"k": 2, "at": 1, "word": "c"}]
+
+
+def test_lists_of_those_above_are_doubled(spark, monkeypatch):
+    """A chain of 70, two rings with tails, a row that is its own parent, parents without a row: as many rounds as the longest list's length has bits, and one."""
+    rounds = []
+    monkeypatch.setattr(catalog, "written", lambda df, label, f=catalog.written: rounds.append(label) or f(df, label))
+    parents = {k: k - 1 for k in range(1, 71)} | {100: 101, 101: 102, 102: 100, 103: 101, 104: 103, 105: 106, 106: 105, 107: 105, 110: 110, 111: 110, 112: 111, 120: 999}
+    rows = [(0, None), *parents.items()]
+    want = []
+    for k in parents:
+        path, at = [k], parents.get(k)
+        while at is not None and at not in path:
+            path.append(at)
+            at = parents.get(at)
+        want.extend((k, a, n) for n, a in enumerate(path[1:], 1))
+    got = catalog.ancestors(spark.createDataFrame(rows, "id long, parent long"), key="id", parent="parent")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(rounds) == 8
+    several = catalog.ancestors(spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4)], "id long, parent long"), key="id", parent="parent")
+    assert sorted(map(tuple, several.collect())) == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 4, 2), (2, 4, 1), (3, 4, 1)]
