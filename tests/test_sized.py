@@ -14,6 +14,7 @@ from quire.operators import fidelity as V
 from quire.operators import looks
 from quire.operators import rules as R
 from quire.operators import segment as G
+from quire.operators import tree
 from quire.sources import markdown
 from quire.streaming import metering as SM
 
@@ -184,3 +185,23 @@ def test_lists_of_those_above_are_doubled(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(rounds) == 8
     several = catalog.ancestors(spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4)], "id long, parent long"), key="id", parent="parent")
     assert sorted(map(tuple, several.collect())) == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 4, 2), (2, 4, 1), (3, 4, 1)]
+
+
+def test_comments_are_read_in_order_and_the_rest_is_followed(spark, monkeypatch):
+    """Chains of answers with larger ids need no round; parents with larger ids, rings of one, two and five, and parents that are not there are followed."""
+    rounds = []
+    monkeypatch.setattr(tree, "written", lambda df, label, f=tree.written: rounds.append(label) or f(df, label))
+    rows = [("a", i, i - 1 if i % 40 else None) for i in range(200)] + [("c", 5, 5)]
+    kind = "doc_id string, id int, parent_id int, resolved boolean"
+    got = tree.threads(spark.createDataFrame([(*r, r[1] % 3 == 0) for r in rows], kind)).collect()
+    assert sorted((r.doc_id, r.id, r.thread, r.resolved) for r in got) == [*(("a", i, i // 40 * 40, i // 40 * 40 % 3 == 0) for i in range(200)), ("c", 5, 5, False)] and len(rounds) == 1
+    rows += [("b", i, i + 1 if i < 30 else None) for i in range(31)] + [("d", 1, 2), ("d", 2, 1), ("d", 3, 2), ("d", 0, 3)] + [("e", i, (i + 1) % 5) for i in range(5)] + [("f", 1, 99), ("f", 0, 1), ("f", 2, 0), ("f", 3, 8), ("f", 4, 3)]
+    want = {"a": lambda i: i // 40 * 40, "b": lambda i: 30, "c": lambda i: 5, "d": lambda i: 1, "e": lambda i: 0, "f": lambda i: 1 if i < 3 else 3}
+    got = tree.threads(spark.createDataFrame([(*r, False) for r in rows], kind)).collect()
+    assert sorted((r.doc_id, r.id, r.thread) for r in got) == sorted((d, i, want[d](i)) for d, i, _ in rows)
+
+
+def test_a_document_holds_so_many_comments(monkeypatch):
+    monkeypatch.setattr(tree, "HELD", 2)
+    state = tree.Roots(("d",))
+    assert [state.step({"id": i, "parent_id": p})[0][2:] for i, p in ((1, None), (2, 1), (3, 2), (4, 3))] == [(1, True), (1, True), (1, True), (3, False)]
