@@ -43,8 +43,12 @@ def places(spark: SparkSession) -> DataFrame:
 
 
 def compiled(styles: DataFrame, keys: list[str], *, priority: int, source: str) -> DataFrame:
-    """The rules of each style system (keys, section, field, value), at one tier: what is not set gives none, but the document's font and colour hold for its kinds of text."""
+    """The rules of each style system (keys, section, field, value), at one tier: what is not set gives none, but the document's font and colour hold for its kinds of text.
+
+    Style systems are dealt first: a task that reads very many of their few bytes would lay out all their rules.
+    """
     table = places(styles.sparkSession)
+    styles = styles.repartition(int(styles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else styles
     own = styles.where("section != 'document'").join(F.broadcast(table), ["section", "field"])
     base = styles.where("section = 'document'").select(*keys, "field", F.col("value").alias("_v"))
     taken = base.join(F.broadcast(table.where("inherited")), "field")

@@ -14,6 +14,7 @@ from quire.operators import fidelity as V
 from quire.operators import looks
 from quire.operators import rules as R
 from quire.operators import segment as G
+from quire.operators import styles as S
 from quire.operators import tree
 from quire.sources import markdown
 from quire.streaming import metering as SM
@@ -205,3 +206,13 @@ def test_a_document_holds_so_many_comments(monkeypatch):
     monkeypatch.setattr(tree, "HELD", 2)
     state = tree.Roots(("d",))
     assert [state.step({"id": i, "parent_id": p})[0][2:] for i, p in ((1, None), (2, 1), (3, 2), (4, 3))] == [(1, True), (1, True), (1, True), (3, False)]
+
+
+def test_style_systems_are_dealt_before_they_are_laid_out(spark):
+    """Many rules are made of few bytes: style systems are dealt by their keys below the joins with the fixed table of places."""
+    rows = [(k, s, f, v) for k in (1, 2) for s, f, v in (("document", "fontFamily", "Georgia"), ("code", "fontFamily", "Courier"), ("paragraph", "fontSizePt", "9.50"))]
+    out = S.compiled(spark.createDataFrame(rows, "style int, section string, field string, value string"), ["style"], priority=1, source="x")
+    steps = planned(out).split("Initial Plan")[-1]
+    assert steps.rindex("Exchange hashpartitioning(style") > steps.rindex("BroadcastHashJoin")
+    got = {(r.style, r.target, r.property): r.value for r in out.collect()}
+    assert got[1, "Paragraph", "fontSize"] == "9.5" and got[2, "CodeBlock", "fontFamily"] == "Courier" and got[2, "Quote", "fontFamily"] == "Georgia" and len(got) == 28
