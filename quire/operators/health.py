@@ -7,8 +7,6 @@ items: doc_id, element_id, text of list items. Every check gives (doc_id, check,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,7 +28,11 @@ def in_order() -> WindowSpec:
 
 
 def filled(content: Column) -> Column:
-    return F.length(F.regexp_replace(content, r"(?U)\s", "")) > 0
+    return content.rlike(r"(?U)\S")
+
+
+def n_words(content: Column) -> Column:
+    return F.regexp_count(content, F.lit(r"(?U)\S+"))
 
 
 def css(name: str) -> Column:
@@ -48,7 +50,7 @@ def hierarchy(elements: DataFrame, docs: DataFrame) -> DataFrame:
     heads = elements.where("type = 'heading'").withColumn("lv", F.coalesce("level", F.lit(1)))
     heads = heads.withColumn("gap", F.col("lv") > F.lag("lv").over(in_order()) + 1)
     a = heads.groupBy("doc_id").agg(F.count("*").alias("heads"), F.count_if("gap").alias("gaps"))
-    n = F.when(F.col("type").isin(*BODY), F.size(F.filter(F.split("content", r"(?U)\s+"), lambda w: w != ""))).otherwise(0)
+    n = F.when(F.col("type").isin(*BODY), n_words(F.col("content"))).otherwise(0)
     b = elements.groupBy("doc_id").agg(F.sum(n).alias("words"))
     heads_, words = F.coalesce("heads", F.lit(0)), F.col("words")
     status = F.when(heads_ > 0, F.when(F.col("gaps") > 0, "warn").otherwise("pass")).when(words > 600, "fail").when(words > 0, "pass")
@@ -167,12 +169,10 @@ def links(runs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def all_checks(elements: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
-    docs = elements.select("doc_id").distinct()
-    parts = [
-        hierarchy(elements, docs), fonts(elements, runs, docs), heading_sizes(elements, docs), spacing(elements, docs), direct_formatting(elements, runs, docs),
-        numbering(elements, items, docs), alignment(elements, docs), tables(elements, docs), captions(elements, docs), page_breaks(elements, docs), links(runs, docs),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """The rows of all eleven checks, in one pass over the elements (see `judged`)."""
+    docs = judged(elements, runs, items)
+    told = (F.struct(F.lit(n).alias("check"), F.lit(w).alias("weight"), F.coalesce(F.col(n)["status"], F.lit("skip")).alias("status"), F.col(n)["issues"].alias("issues")) for n, w in WEIGHTS.items())
+    return docs.select("doc_id", F.inline(F.array(*told)))
 
 
 def score(checks: DataFrame) -> DataFrame:
@@ -192,97 +192,130 @@ def rated(sums: DataFrame) -> DataFrame:
 
 
 def scores(elements: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
-    """What `score` gives for `all_checks`, in one pass over the elements: they are dealt by document once.
+    """What `score` gives for `all_checks`, without their rows."""
+    status = {n: F.col(n)["status"] for n in WEIGHTS}
+    earned = sum((F.when(status[n].isNotNull(), worth(status[n]) * w).otherwise(0.0) for n, w in WEIGHTS.items()), F.lit(0.0))
+    total = sum((F.when(status[n].isNotNull(), w).otherwise(0) for n, w in WEIGHTS.items()), F.lit(0))
+    return rated(judged(elements, runs, items).select("doc_id", earned.alias("earned"), F.when(total > 0, total).alias("total")))
+
+
+def read(elements: DataFrame) -> DataFrame:
+    """What the checks need of an element: its text is read here, once, and goes no further."""
+    type_, content = F.col("type"), F.col("content")
+    number = F.regexp_extract("content", r"^\s*([0-9]+(?:\.[0-9]+)*)[.)]?\s+\S", 1)
+    parts = F.transform(F.split(number, r"\."), lambda x: x.cast("long"))
+    typed = (type_ == "heading") & (number != "")
+    base = F.trim(F.regexp_replace(F.trim(F.split_part(css("font-family"), F.lit(","), F.lit(1))), "^['\"]+|['\"]+$", ""))
+    return elements.select(
+        "doc_id", "element_id", "ord", "type", F.coalesce("level", F.lit(1)).alias("level"), filled(content).alias("text"), F.when(type_.isin(*BODY), n_words(content)).otherwise(0).alias("words"),
+        ((type_ == "paragraph") & (F.length(F.trim(content)) > 80)).alias("long"), F.when(typed, F.element_at(parts, -1)).alias("number"),
+        F.when(typed, F.array_join(F.slice(parts, 1, F.size(parts) - 1).cast("array<string>"), ".")).alias("parent"), (F.col("style_ref") == F.col("element_id")).alias("own"), F.col("ordered").cast("boolean").alias("ordered"), F.col("has_header").cast("boolean").alias("has_header"),
+        F.when(type_.isin(*BODY), base).alias("font"), F.when(type_ == "heading", css("font-size")).alias("size"), F.when(type_ == "paragraph", css("line-height")).alias("line"), F.when(type_ == "paragraph", css("margin-bottom")).alias("below"),
+        F.when(type_ == "paragraph", F.coalesce(F.element_at("css", "text-align"), F.lit("left"))).alias("side"),
+    )
+
 
+def said(runs: DataFrame, items: DataFrame) -> DataFrame:
+    """What runs and list items say of their element; those that say nothing are left out."""
+    style, link = (F.col("mark") == "textStyle") & filled(F.col("text")), F.col("mark") == "link"
+    looks = style & (F.col("font_family").isNotNull() | F.col("font_size_pt").isNotNull() | F.col("color").isNotNull())
+    of_runs = runs.select("doc_id", "element_id", F.when(style, F.trim("font_family")).alias("_set"), looks.alias("_marked"), link.alias("_links"), (link & ~X.usable_link(F.col("href"))).alias("_broken")).where("_marked or _links")
+    typed = items.where(F.col("text").rlike(r"^\s*[0-9]+[.)]\s")).select("doc_id", "element_id", F.lit(True).alias("_typed"))
+    return of_runs.unionByName(typed, allowMissingColumns=True)
+
+
+def judged(elements: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, and by each check's name its status, null where it is skipped, and issues), in one pass over the elements.
+
+    Elements and what runs and items say of them are dealt by document once, without their texts; all else is done where they meet.
     Each element sends what it counts in its document and facts (check, key): a body font, a heading's size, a paragraph's
     look or side, a number typed into a heading. Facts are counted by document, check and key, then folded by document.
+    Runs and items are those of the elements: what belongs to none is not counted.
     """
-    type_, text = F.col("type"), filled(F.col("content"))
-    own = F.when((F.col("mark") == "textStyle") & filled(F.col("text")), F.struct("font_family", "font_size_pt", "color"))
-    marks = runs.groupBy("doc_id", "element_id").agg(
-        F.collect_set(F.trim(own["font_family"])).alias("_set"), F.coalesce(F.bool_or(own["font_family"].isNotNull() | own["font_size_pt"].isNotNull() | own["color"].isNotNull()), F.lit(False)).alias("_marked"),
-        F.count_if(F.col("mark") == "link").alias("_links"), F.count_if((F.col("mark") == "link") & ~X.usable_link(F.col("href"))).alias("_broken"),
-    )
-    typed = items.where(F.col("text").rlike(r"^\s*[0-9]+[.)]\s")).select("doc_id", "element_id", F.lit(True).alias("_typed")).distinct()
-    e = elements.join(marks, ["doc_id", "element_id"], "left").join(typed, ["doc_id", "element_id"], "left")
+    parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: tasks must not be coalesced until each holds much
+    dealt = read(elements).withColumn("_element", F.lit(True)).unionByName(said(runs, items), allowMissingColumns=True).repartition(parts, "doc_id")
+    of_element = {"_set": F.collect_set("_set"), "_marked": F.bool_or("_marked"), "_links": F.count_if("_links"), "_broken": F.count_if("_broken"), "_typed": F.bool_or("_typed")}
+    e = dealt.withColumns({n: f.over(W.partitionBy("doc_id", "element_id")) for n, f in of_element.items()}).where("_element")
     past = in_order().rowsBetween(W.unboundedPreceding, -1)
-    heading, body, level = type_ == "heading", type_.isin(*BODY), F.coalesce("level", F.lit(1))
-    empty = (type_ == "paragraph") & ~text
-    is_break, figure = type_ == "page_break", type_.isin("image", "table")
+    type_, text, level = F.col("type"), F.col("text"), F.col("level")
+    heading, paragraph, table, body = type_ == "heading", type_ == "paragraph", type_ == "table", type_.isin(*BODY) & text
+    empty = paragraph & ~text
+    is_break, figure, caption = type_ == "page_break", type_.isin("image", "table"), type_ == "caption"
     content = ~is_break & (text | figure)
 
     def before(c: Column, k: int = 1) -> Column:
         return F.coalesce(F.lag(c, k).over(in_order()), F.lit(False))
 
-    caption = type_ == "caption"
     near = before(caption) | F.coalesce(F.lead(caption).over(in_order()), F.lit(False))
     e = e.withColumns({
-        "_gap": heading & (level > F.last(F.when(heading, level), ignorenulls=True).over(past) + 1), "_run": empty & before(empty) & ~before(empty, 2), "_near": near,
-        "_before": F.count_if(content).over(in_order()), "_all": F.count_if(content).over(in_doc()),
+        "_gap": heading & (level > F.last(F.when(heading, level), ignorenulls=True).over(past) + 1), "_run": empty & before(empty) & ~before(empty, 2), "_near": near, "_before": F.count_if(content).over(in_order()),
     })
     e = e.withColumn("_double", is_break & (F.col("_before") == F.last(F.when(is_break, F.col("_before")), ignorenulls=True).over(past)))
-    number = F.regexp_extract("content", r"^\s*([0-9]+(?:\.[0-9]+)*)[.)]?\s+\S", 1)
-    parts = F.transform(F.split(number, r"\."), lambda x: x.cast("long"))
-    parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1).cast("array<string>"), ".")
-    base = F.trim(F.regexp_replace(F.trim(F.split_part(css("font-family"), F.lit(","), F.lit(1))), "^['\"]+|['\"]+$", ""))
-    used = F.filter(F.array_distinct(F.concat(F.array(base), F.coalesce("_set", F.array().cast("array<string>")))), lambda f: (f != "") | (f != base))
-    numbered = F.coalesce(type_ == "list", F.lit(False)) & F.coalesce("ordered", F.lit(False))
-    words = F.when(body, F.size(F.filter(F.split("content", r"(?U)\s+"), lambda w: w != ""))).otherwise(0)
+    listed = F.coalesce((type_ == "list") & F.col("ordered"), F.lit(False))
     flags = {
-        "words": words, "heads": heading, "gaps": F.col("_gap"), "runs": F.col("_run"), "body": body & text, "own": body & text & ((F.col("style_ref") == F.col("element_id")) | F.coalesce("_marked", F.lit(False))),
-        "lists": numbered, "typed": numbered & F.coalesce("_typed", F.lit(False)), "tables": type_ == "table", "headers": (type_ == "table") & F.col("has_header"), "apart": (type_ == "table") & (F.col("style_ref") == F.col("element_id")),
-        "figures": figure, "bare": figure & ~F.col("_near"), "captions": caption, "breaks": is_break, "edges": is_break & ((F.col("_before") == 0) | (F.col("_before") == F.col("_all"))), "doubled": F.col("_double"),
-        "links": F.coalesce("_links", F.lit(0)), "broken": F.coalesce("_broken", F.lit(0)),
+        "words": F.col("words"), "heads": heading, "gaps": F.col("_gap"), "runs": F.col("_run"), "body": body, "own": body & (F.col("own") | F.coalesce("_marked", F.lit(False))),
+        "lists": listed, "typed": listed & F.coalesce("_typed", F.lit(False)), "tables": table, "headers": table & F.col("has_header"), "apart": table & F.col("own"),
+        "figures": figure, "bare": figure & ~F.col("_near"), "captions": caption, "shown": content, "breaks": is_break, "edges": is_break & (F.col("_before") == 0), "doubled": F.col("_double"),
+        "links": F.col("_links"), "broken": F.col("_broken"),
     }
+    none = F.array().cast("array<struct<check:string,key:string,also:string,at:long>>")
 
-    def fact(check: str, when: Column, key: Column) -> Column:
-        return F.when(when, F.array(F.struct(F.lit(check).alias("check"), key.alias("key")))).otherwise(F.array().cast("array<struct<check:string,key:string>>"))
+    def a_fact(check: str, key: Column, also: Column | None = None, at: Column | None = None) -> Column:
+        also, at = F.lit("") if also is None else also.cast("string"), F.lit(None) if at is None else at
+        return F.struct(F.lit(check).alias("check"), key.alias("key"), also.alias("also"), at.cast("long").alias("at"))
 
-    fonts_ = F.when(body & text, F.transform(used, lambda f: F.struct(F.lit("font").alias("check"), f.alias("key")))).otherwise(F.array().cast("array<struct<check:string,key:string>>"))
+    def fact(when: Column, *what) -> Column:
+        return F.when(when, F.array(a_fact(*what))).otherwise(none)
+
+    base = F.when(F.col("font") != "", F.array("font")).otherwise(F.array().cast("array<string>"))
+    fonts_ = F.array_distinct(F.concat(base, "_set"))
     facts = F.concat(
-        fact("doc", F.lit(True), F.lit("")), fonts_, fact("size", heading & text, F.concat_ws("|", level.cast("string"), css("font-size"))), fact("look", (type_ == "paragraph") & text, F.concat_ws("|", css("line-height"), css("margin-bottom"))),
-        fact("side", (type_ == "paragraph") & (F.length(F.trim("content")) > 80), F.coalesce(F.element_at("css", "text-align"), F.lit("left"))),
+        F.when(body, F.transform(fonts_, lambda f: a_fact("font", f))).otherwise(none), fact(heading & text, "size", F.col("size"), level), fact(paragraph & text, "look", F.col("line"), F.col("below")),
+        fact(F.col("long"), "side", F.col("side")), fact(F.col("number").isNotNull(), "number", F.col("parent"), F.col("number"), F.col("ord")),
+    )
+    each = e.select("doc_id", "ord", *(f.cast("long").alias(n) for n, f in flags.items()), F.when(is_break, F.col("_before")).alias("last"), F.posexplode_outer(facts).alias("k", "f"))
+    whole = F.coalesce("k", F.lit(0)) == 0  # an element's counts go with its first fact
+    counts = each.groupBy("doc_id", *(F.col(f"f.{n}").alias(n) for n in ("check", "key", "also", "at"))).agg(
+        F.count("*").alias("n"), F.min("ord").alias("first"), F.max(F.when(whole, F.col("last"))).alias("last"), *(F.sum(F.when(whole, F.col(n))).alias(n) for n in flags)
     )
-    each = e.select("doc_id", "ord", *(f.cast("long").alias(n) for n, f in flags.items()), F.explode(facts).alias("f"))
-    whole = F.col("f.check") == "doc"
-    counts = each.groupBy("doc_id", F.col("f.check").alias("check"), F.col("f.key").alias("key")).agg(F.count("*").alias("n"), F.min("ord").alias("first"), *(F.sum(F.when(whole, F.col(n))).alias(n) for n in flags))
-    # numbers typed into headings are few: they are listed apart, so that the counts of all else are plain sums
-    listed = e.where(heading & (number != "")).select("doc_id", parent.alias("key"), F.struct("ord", F.element_at(parts, -1).alias("num")).alias("s"))
-    listed = listed.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("s")).alias("numbers"))
-    numbers = F.col("numbers")
-    odd = F.size(F.filter(F.transform(numbers, lambda x, k: x["num"] != F.when(k > 0, F.get(numbers, k - 1)["num"]).otherwise(0) + 1), lambda b: b))
-    sized = F.when(F.col("check") == "size", F.struct(F.split_part("key", F.lit("|"), F.lit(1)).cast("int").alias("lv"), (-F.col("n")).alias("n"), "first", F.substring_index("key", "|", -1).alias("size")))
+    sized = F.when(F.col("check") == "size", F.struct(F.col("also").cast("int").alias("lv"), (-F.col("n")).alias("n"), "first", F.col("key").alias("size")))
+    number = F.when(F.col("check") == "number", F.struct(F.col("key").alias("parent"), "at", F.col("also").cast("long").alias("own")))
 
     def of(check: str, f) -> Column:
         return F.coalesce(f(F.when(F.col("check") == check, F.col("n"))), F.lit(0))
 
     docs = counts.groupBy("doc_id").agg(
-        *(F.max(n).alias(n) for n in flags), F.collect_list(sized).alias("sizes"), of("font", F.count).alias("fonts"), of("look", F.sum).alias("looks"), of("look", F.max).alias("look"), of("side", F.sum).alias("sides"), of("side", F.max).alias("side"),
+        *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in flags), F.max("last").alias("last"), F.collect_list(sized).alias("sizes"), F.array_sort(F.collect_list(number)).alias("numbers"), of("font", F.count).alias("fonts"),
+        *(of(k, f).alias(n) for k, one, all_ in (("font", "font", "used"), ("look", "look", "looks"), ("side", "side", "sides")) for n, f in ((one, F.max), (all_, F.sum))),
     )
-    typed = listed.groupBy("doc_id").agg(F.sum(F.size("numbers")).alias("numbered"), F.sum(odd).alias("odd"))
-    docs = docs.join(typed, "doc_id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("numbered", "odd")})
-    levels = F.array_sort(F.array_distinct(F.transform("sizes", lambda s: s["lv"])))
-    mains = F.transform(levels, lambda lv: F.struct(F.size(F.filter("sizes", lambda s: s["lv"] == lv)).alias("kinds"), X.points(F.array_min(F.transform(F.filter("sizes", lambda s: s["lv"] == lv), lambda s: F.struct(s["n"], s["first"], s["size"].alias("size"))))["size"]).alias("points")))
-    docs = docs.withColumn("mains", mains)
-    sized_ = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a - s["n"])
-    mixed = F.exists("mains", lambda m: m["kinds"] > 1)
-    larger = F.exists(F.transform("mains", lambda m, k: F.coalesce((k > 0) & (m["points"] > F.get("mains", k - 1)["points"]), F.lit(False))), lambda b: b)
-    c = {n: F.col(n) for n in (*flags, "fonts", "looks", "look", "sides", "side", "numbered", "odd")}
-    split = (c["headers"] > 0) & (c["headers"] < c["tables"])
-    status = {
-        "hierarchy": F.when(c["heads"] > 0, F.when(c["gaps"] > 0, "warn").otherwise("pass")).when(c["words"] > 600, "fail").when(c["words"] > 0, "pass"),
-        "fonts": F.when(c["body"] > 0, F.when(c["fonts"] <= 1, "pass").when(c["fonts"] == 2, "warn").otherwise("fail")),
-        "heading_sizes": F.when(sized_ >= 2, F.when(mixed, "fail").when(larger, "warn").otherwise("pass")),
-        "spacing": F.when(c["looks"] >= 2, F.when((c["looks"] == c["look"]) & (c["runs"] == 0), "pass").when((c["looks"] - c["look"]) > c["looks"] / 4, "fail").otherwise("warn")),
-        "direct_formatting": F.when(c["own"] > 0.2 * c["body"], "warn").when(c["body"] > 0, "pass"),
-        "numbering": F.when(c["numbered"] + c["lists"] > 0, F.when(c["odd"] > 0, "fail").when(c["typed"] > 0, "warn").otherwise("pass")),
-        "alignment": F.when(c["sides"] >= 2, F.when(c["sides"] > c["side"], "warn").otherwise("pass")),
-        "tables": F.when(split | ((c["apart"] > 0) & (c["tables"] > 1)), "warn").when(c["tables"] > 0, "pass"),
-        "captions": F.when(c["figures"] > 0, F.when((c["bare"] == 0) | ((c["captions"] == 0) & (c["figures"] == 1)), "pass").otherwise("warn")),
-        "page_breaks": F.when((c["edges"] > 0) | (c["doubled"] > 0), "warn").when(c["breaks"] > 0, "pass"),
-        "links": F.when(c["broken"] > 0, "fail").when(c["links"] > 0, "pass"),
+    numbers, levels = F.col("numbers"), F.array_sort(F.array_distinct(F.transform("sizes", lambda s: s["lv"])))
+
+    def odd_one(x: Column, k: Column) -> Column:
+        above = F.get(numbers, k - 1)
+        return x["own"] != F.when((k > 0) & (above["parent"] == x["parent"]), above["own"]).otherwise(0) + 1
+
+    def of_level(lv: Column) -> Column:
+        own = F.filter("sizes", lambda s: s["lv"] == lv)
+        return F.struct(F.size(own).alias("kinds"), X.points(F.array_min(F.transform(own, lambda s: F.struct(s["n"], s["first"], s["size"].alias("size"))))["size"]).alias("points"))
+
+    docs = docs.withColumns({"odd": F.size(F.filter(F.transform(numbers, odd_one), lambda b: b)), "mains": F.transform(levels, of_level), "sized": F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a - s["n"])})
+    c = {n: F.col(n) for n in (*flags, "last", "fonts", "font", "used", "look", "looks", "side", "sides", "odd", "sized")}
+    mixed = F.size(F.filter("mains", lambda m: m["kinds"] > 1))
+    larger = F.size(F.filter(F.transform("mains", lambda m, k: (k > 0) & (m["points"] > F.get("mains", k - 1)["points"])), lambda b: b))
+    split, apart = (c["headers"] > 0) & (c["headers"] < c["tables"]), (c["apart"] > 0) & (c["tables"] > 1)
+    spaced, alone = c["looks"] - c["look"], (c["captions"] == 0) & (c["figures"] == 1)
+    edge, doubled = (c["edges"] > 0) | F.coalesce(c["last"] == c["shown"], F.lit(False)), c["doubled"] > 0
+    found = {
+        "hierarchy": (F.when(c["heads"] > 0, F.when(c["gaps"] > 0, "warn").otherwise("pass")).when(c["words"] > 600, "fail").when(c["words"] > 0, "pass"), c["gaps"]),
+        "fonts": (F.when(c["body"] > 0, F.when(c["fonts"] <= 1, "pass").when(c["fonts"] == 2, "warn").otherwise("fail")), c["used"] - c["font"]),
+        "heading_sizes": (F.when(c["sized"] >= 2, F.when(mixed > 0, "fail").when(larger > 0, "warn").otherwise("pass")), F.when(c["sized"] >= 2, mixed + larger)),
+        "spacing": (F.when(c["looks"] >= 2, F.when((spaced == 0) & (c["runs"] == 0), "pass").when(spaced > c["looks"] / 4, "fail").otherwise("warn")), F.when(c["looks"] >= 2, spaced + c["runs"])),
+        "direct_formatting": (F.when(c["own"] > 0.2 * c["body"], "warn").when(c["body"] > 0, "pass"), c["own"]),
+        "numbering": (F.when(F.size(numbers) + c["lists"] > 0, F.when(c["odd"] > 0, "fail").when(c["typed"] > 0, "warn").otherwise("pass")), c["odd"] + (c["typed"] > 0).cast("int")),
+        "alignment": (F.when(c["sides"] >= 2, F.when(c["sides"] > c["side"], "warn").otherwise("pass")), F.when(c["sides"] >= 2, c["sides"] - c["side"])),
+        "tables": (F.when(split | apart, "warn").when(c["tables"] > 0, "pass"), split.cast("int") + apart.cast("int")),
+        "captions": (F.when(c["figures"] > 0, F.when((c["bare"] == 0) | alone, "pass").otherwise("warn")), F.when(alone, 0).otherwise(c["bare"])),
+        "page_breaks": (F.when(edge | doubled, "warn").when(c["breaks"] > 0, "pass"), edge.cast("int") + doubled.cast("int")),
+        "links": (F.when(c["broken"] > 0, "fail").when(c["links"] > 0, "pass"), c["broken"]),
     }
-    told = docs.select("doc_id", *(s.alias(n) for n, s in status.items()))
-    earned = sum((F.when(F.col(n).isNotNull(), worth(F.col(n)) * w).otherwise(0.0) for n, w in WEIGHTS.items()), F.lit(0.0))
-    total = sum((F.when(F.col(n).isNotNull(), w).otherwise(0) for n, w in WEIGHTS.items()), F.lit(0))
-    return rated(told.select("doc_id", earned.alias("earned"), F.when(total > 0, total).alias("total")))
+    return docs.select("doc_id", *(F.struct(status.alias("status"), F.coalesce(issues, F.lit(0)).cast("long").alias("issues")).alias(n) for n, (status, issues) in found.items()))
