@@ -37,18 +37,38 @@ def on(value: Column) -> Column:
     return ~F.lower(value).isin(*OFF)
 
 
+def effect(tag: Column, space: Column, value: Column) -> Column:
+    """Whether a run property gives a run an effect."""
+    valued = F.when(tag == "bdr", ~F.coalesce(value, F.lit("")).isin("nil", "none")).otherwise(F.coalesce(value, F.lit("")) != "none")
+    return (tag.isin(*SWITCHED) & on(F.coalesce(value, F.lit("true")))) | (tag.isin(*VALUED) & valued) | tag.isin(*PRESENT) | (space == WORD_2010)
+
+
+#: The run property that says each part of a look, and what it says by its value.
+SAYS = {
+    "hidden": ("vanish", lambda v: on(F.coalesce(v, F.lit("true")))), "underline": ("u", lambda v: F.coalesce(v, F.lit("single"))),
+    "scale": ("w", lambda v: F.when(v.rlike(r"^\d+$"), v.cast("int"))), "rtl": ("rtl", lambda v: on(F.coalesce(v, F.lit("true")))),
+}
+
+
 def own_looks(rows: DataFrame) -> DataFrame:
     """(key, part, owner, hidden, underline, scale, effects, rtl): what run properties say themselves; owner is the number of what holds them."""
     said = rows.where("up_tag = 'rPr'").withColumn("owner", F.col("over"))
     tag, value = F.col("tag"), attr("val")
-    scale = F.when(value.rlike(r"^\d+$"), value.cast("int"))
-    valued = F.when(tag == "bdr", ~attr("val", "").isin("nil", "none")).otherwise(attr("val", "") != "none")
-    effect = (tag.isin(*SWITCHED) & on(attr("val", "true"))) | (tag.isin(*VALUED) & valued) | tag.isin(*PRESENT) | (F.col("space") == WORD_2010)
-    first = lambda of, v: F.min_by(F.when(tag == of, v), F.when(tag == of, F.col("pre")))
-    return said.groupBy(*PART, "owner").agg(
-        first("vanish", on(attr("val", "true"))).alias("hidden"), first("u", attr("val", "single")).alias("underline"), first("w", scale).alias("scale"),
-        F.max(F.when(effect, F.lit(True))).alias("effects"), first("rtl", on(attr("val", "true"))).alias("rtl"),
-    )
+    first = {p: F.min_by(F.when(tag == of, says(value)), F.when(tag == of, F.col("pre"))) for p, (of, says) in SAYS.items()}
+    first["effects"] = F.max(F.when(effect(tag, F.col("space"), value), F.lit(True)))
+    return said.groupBy(*PART, "owner").agg(*(first[p].alias(p) for p in (*LOOK, "rtl")))
+
+
+def said_first(said: Column, tag: str, says: Callable[[Column], Column] = lambda v: v) -> Column:
+    """What the first property of a tag says, of those of a run as an array (see `markup.runs`); null without one."""
+    at = F.array_position(said["tag"], tag)
+    return F.when(at > 0, says(F.get(said["value"], (at - 1).cast("int"))))
+
+
+def said_looks(said: Column) -> dict[str, Column]:
+    """What `own_looks` tells by name, of a run's properties as an array."""
+    effects = F.when(F.exists(said, lambda x: F.coalesce(effect(x["tag"], x["space"], x["value"]), F.lit(False))), F.lit(True))
+    return {"effects": effects, **{p: said_first(said, *of) for p, of in SAYS.items()}}
 
 
 def over(own: str, base: str) -> Column:
@@ -72,47 +92,86 @@ def resolved_styles(styles: DataFrame, merged: Callable[[str, str], Column] = ov
     return now.select("key", "style", "look")
 
 
+def sheet_looks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, style, look) of all styles, followed, and (key, usual, base): the default paragraph style's name and the look of the document's defaults."""
+    sheet = rows.where(F.col("part") == markup.SHEET)
+    of = own_looks(sheet).select(*PART, F.col("owner").alias("pre"), F.struct(*LOOK).alias("look"))
+    based = sheet.where("tag = 'basedOn'").groupBy(*PART, F.col("up").alias("pre")).agg(F.min_by(attr("val"), "pre").alias("base"))
+    styles = sheet.where("tag = 'style'").select(*PART, "pre", attr("styleId", "").alias("style"), (attr("type", "") == "paragraph").alias("paragraph"), F.lower(attr("default", "")).isin("1", "true", "on").alias("default"))
+    styles = styles.join(based, [*PART, "pre"], "left").join(of, [*PART, "pre"], "left")
+    known = resolved_styles(styles.groupBy("key", "style").agg(F.max_by(F.struct("base", "look"), "pre").alias("s")).select("key", "style", "s.base", "s.look"))
+    usual = styles.where("paragraph and `default`").groupBy("key").agg(F.max_by("style", "pre").alias("usual"))
+    base = sheet.where("tag = 'rPrDefault'").select(*PART, "pre").join(of, [*PART, "pre"]).groupBy("key").agg(F.min_by("look", "pre").alias("base"))
+    return written(known, "looks"), written(usual.join(base, "key", "full"), "looks")
+
+
+def shown(runs: DataFrame, sheets: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
+    """What `run_looks` tells, of runs (key, seq, text, _own, rtl, _character, _named); `key` has the name of their sheet."""
+    known, whole = sheets
+    runs = runs.join(whole.withColumnRenamed("key", key), key, "left").withColumn("_style", F.coalesce("_named", "usual"))
+    for name, by in (("_c", "_character"), ("_s", "_style")):
+        runs = runs.join(known.select(F.col("key").alias(key), F.col("style").alias(by), F.col("look").alias(name)), [key, by], "left")
+    told = {p: F.coalesce(*(F.col(f"{x}.{p}") for x in ("_own", "_c", "_s", "base"))) for p in LOOK}
+    return runs.select("key", "seq", "text", *(c.alias(p) for p, c in told.items()), F.coalesce("rtl", F.lit(False)).alias("rtl"))
+
+
 def run_looks(rows: DataFrame) -> DataFrame:
     """(key, seq, text, hidden, underline, scale, effects, rtl) of the body's runs that have text and are not deleted or moved away.
 
     A run's own properties come first, then its character style, its paragraph's style (the default one, if it names none)
     and the document's defaults. `rows` are `markup.tree` of all parts; they are read several times, so write them first.
     """
-    said = own_looks(rows)
-    look = F.struct(*LOOK)
-    of = said.select(*PART, F.col("owner").alias("pre"), look.alias("look"))
-    sheet = rows.where("part = 'word/styles.xml'")
-    child = lambda tag, name: sheet.where(F.col("tag") == tag).groupBy(*PART, F.col("up").alias("pre")).agg(F.min_by(attr("val"), "pre").alias(name))
-    styles = sheet.where("tag = 'style'").select(*PART, "pre", attr("styleId", "").alias("style"), (attr("type", "") == "paragraph").alias("paragraph"), F.lower(attr("default", "")).isin("1", "true", "on").alias("default"))
-    styles = styles.join(child("basedOn", "base"), [*PART, "pre"], "left").join(of, [*PART, "pre"], "left")
-    known = written(resolved_styles(styles.groupBy("key", "style").agg(F.max_by(F.struct("base", "look"), "pre").alias("s")).select("key", "style", "s.base", "s.look")), "looks")
-    usual = styles.where("paragraph and `default`").groupBy("key").agg(F.max_by("style", "pre").alias("_usual"))
-    base = sheet.where("tag = 'rPrDefault'").select(*PART, "pre").join(of, [*PART, "pre"]).groupBy("key").agg(F.min_by("look", "pre").alias("_base"))
-    body = rows.where("part = 'word/document.xml'")
+    body = rows.where(F.col("part") == markup.BODY)
+    said = own_looks(body).select(*PART, F.col("owner").alias("pre"), F.struct(*LOOK).alias("_own"), "rtl")
     styled = lambda tag, holder, name: body.where((F.col("tag") == tag) & (F.col("up_tag") == holder)).groupBy(*PART, F.col("over").alias("pre")).agg(F.min_by(attr("val"), "pre").alias(name))
     texts = body.where("tag = 't'").groupBy(*PART, F.col("up").alias("pre")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pre").alias("n"), F.coalesce("text", F.lit("")).alias("t")))), lambda s: s["t"]), "").alias("text"))
     runs = body.where("tag = 'r' and in_away is null").select(*PART, "pre", F.col("in_p").alias("_p")).join(texts, [*PART, "pre"]).where(F.trim("text") != "")
-    runs = runs.join(said.select(*PART, F.col("owner").alias("pre"), look.alias("_own"), "rtl"), [*PART, "pre"], "left").join(styled("rStyle", "rPr", "_character"), [*PART, "pre"], "left")
-    paragraphs = styled("pStyle", "pPr", "_named").withColumnRenamed("pre", "_p")
-    runs = runs.join(paragraphs, [*PART, "_p"], "left").join(usual, "key", "left").join(base, "key", "left").withColumn("_style", F.coalesce("_named", "_usual"))
-    for name, by in (("_c", "_character"), ("_s", "_style")):
-        runs = runs.join(known.select("key", F.col("style").alias(by), F.col("look").alias(name)), ["key", by], "left")
-    told = {p: F.coalesce(*(F.col(f"{x}.{p}") for x in ("_own", "_c", "_s", "_base"))) for p in LOOK}
-    return runs.select("key", F.col("pre").alias("seq"), "text", *(c.alias(p) for p, c in told.items()), F.coalesce("rtl", F.lit(False)).alias("rtl"))
+    runs = runs.join(said, [*PART, "pre"], "left").join(styled("rStyle", "rPr", "_character"), [*PART, "pre"], "left")
+    runs = runs.join(styled("pStyle", "pPr", "_named").withColumnRenamed("pre", "_p"), [*PART, "_p"], "left")
+    return shown(runs.withColumnRenamed("pre", "seq"), sheet_looks(rows), "key")
+
+
+def run_looks_of(texts: DataFrame) -> DataFrame:
+    """The same of (key, document, styles), the texts of packages' bodies and style sheets.
+
+    A sheet that many packages have is read and followed once. Runs come with what is around them and take from their sheet
+    what their styles give: elements are neither written nor shuffled.
+    """
+    sheet = F.unhex(F.sha2("styles", 256))
+    sheets = texts.where("styles is not null").select("styles").distinct().select(sheet.alias("key"), F.lit(markup.SHEET).alias("part"), F.col("styles").alias("xml"))
+    followed = sheet_looks(written(markup.tree(sheets), "markup"))
+    runs = markup.runs(texts.select("key", sheet.alias("_sheet"), F.col("document").alias("xml"))).where(F.trim("text") != "")
+    said = said_looks(F.col("said"))
+    runs = runs.select("key", "_sheet", "seq", "text", F.struct(*(said[p].alias(p) for p in LOOK)).alias("_own"), said["rtl"].alias("rtl"), said_first(F.col("said"), "rStyle").alias("_character"), F.col("style").alias("_named"))
+    return shown(runs, followed, "_sheet")
+
+
+def not_shown() -> dict[str, Column]:
+    """By feature, whether a run's look is one that is not shown as it is."""
+    return {"hidden": F.col("hidden"), "underline": F.col("underline").isin(*UNDERLINES), "scale": F.col("scale") != 100, "effects": F.col("effects"), "rtl": F.col("rtl")}
 
 
 def look_features(rows: DataFrame) -> DataFrame:
     """(key, feature, n, text, seq) of the looks of runs that are not shown as they are, for `fidelity.findings`; styles are followed."""
-    runs = run_looks(rows)
-    is_ = {"hidden": F.col("hidden"), "underline": F.col("underline").isin(*UNDERLINES), "scale": F.col("scale") != 100, "effects": F.col("effects"), "rtl": F.col("rtl")}
-    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in is_.items())))
+    return told(run_looks(rows))
+
+
+def told(runs: DataFrame) -> DataFrame:
+    """What `look_features` tells of the looks of runs."""
+    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in not_shown().items())))
     return runs.select("key", F.explode(found).alias("feature"), F.lit(1).alias("n"), "text", "seq")
 
 
+def counted(runs: DataFrame) -> DataFrame:
+    """(key, feature, n): how many of a package's runs have looks that are not shown as they are."""
+    n = runs.groupBy("key").agg(*(F.count_if(c).alias(f) for f, c in not_shown().items()))
+    return n.select("key", F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("n")) for f in not_shown())))).where("n > 0")
+
+
 def features(files: DataFrame) -> DataFrame:
     """(key, feature, n, text, seq) of packages (key, content): what they have that is not shown, looks that come from styles among it."""
     others = packages.features(packages.nodes(files)).where(~F.col("feature").isin("hidden", "underline", "scale", "effects", "rtl"))
-    return others.unionByName(look_features(written(markup.tree(markup.parts(files)), "markup")))
+    return others.unionByName(told(run_looks_of(markup.bodies(files))))
 
 
 def look_flags(value: Column, own: Column) -> Column:
