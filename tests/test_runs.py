@@ -81,7 +81,7 @@ def test_looks_of_orders_write_only_sheets_that_differ(spark, tmp_path, monkeypa
     df = catalogue.queries()["v7_look_features"](spark, str(tmp_path))
     got = rows(df.collect(), df.columns)
     of_markup = spark.read.parquet(f"{tmp_path}/shared/quire/markup-*")
-    assert of_markup.select("part").distinct().collect() == [(markup.SHEET,)] and of_markup.where("tag = 'styles'").count() == 4
+    assert of_markup.select("part").distinct().collect() == [("word/styles.xml",)] and of_markup.where("tag = 'styles'").count() == 4
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     result = con.execute(catalogue.oracle_sql()["v7_look_features"])
